@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from corpusflow.llm import token_output
+from corpusflow.llm import language_id, mixing, mpeg_audio, token_output
 
 
 def queries() -> dict:
     return {
         "op1_token_output": token_output.op1_token_output,
+        "op4_mpeg_audio": mpeg_audio.op4_mpeg_audio,
+        "op7_language_id": language_id.op7_language_id,
+        "op8_source_mixing": mixing.op8_source_mixing,
     }
 
 
