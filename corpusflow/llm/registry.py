@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusflow.llm import language_id, mixing, mpeg_audio, ngram_join, substring_dedup, token_output
+from corpusflow.llm import hnsw, language_id, mixing, mpeg_audio, ngram_join, substring_dedup, token_output
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op8_source_mixing": mixing.op8_source_mixing,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op6_ngram_join": ngram_join.op6_ngram_join,
+        "op10_hnsw": hnsw.op10_hnsw,
     }
 
 
