@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusflow.llm import hnsw, language_id, mixing, mpeg_audio, ngram_join, substring_dedup, token_output
+from corpusflow.llm import hnsw, language_id, licences, mixing, mpeg_audio, ngram_join, pii, substring_dedup, token_output
 
 
 def queries() -> dict:
@@ -14,6 +14,8 @@ def queries() -> dict:
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op6_ngram_join": ngram_join.op6_ngram_join,
         "op10_hnsw": hnsw.op10_hnsw,
+        "op5_pii": pii.op5_pii,
+        "op3_licences": licences.op3_licences,
     }
 
 
