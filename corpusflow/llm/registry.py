@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from corpusflow.llm import hnsw, language_id, licences, mixing, mpeg_audio, ngram_join, pii, substring_dedup, token_output
+from corpusflow.llm import hnsw, language_id, licences, mixing, mpeg_audio, ngram_join, pii, sentencepiece_codec, substring_dedup, token_output
 
 
 def queries() -> dict:
     return {
+        "op2_sentencepiece": sentencepiece_codec.op2_sentencepiece,
         "op1_token_output": token_output.op1_token_output,
         "op4_mpeg_audio": mpeg_audio.op4_mpeg_audio,
         "op7_language_id": language_id.op7_language_id,
