@@ -57,13 +57,16 @@ def targets(sources: DataFrame, total: float = 1.5, most: float = 2.0) -> DataFr
     return s.withColumn("times", epochs).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("times") * F.col("source_size"))).select("source", "source_size", "target", "times", "rest")
 
 
-def mix(docs: DataFrame, seed: int = 17, total: float = 1.5, most: float = 2.0) -> DataFrame:
-    """doc_id, source, size, source_size, target, repeats (times the mix holds the document), taken."""
+def mix(docs: DataFrame, seed: int = 17, total: float = 1.5, most: float = 2.0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The columns in `carry` (of type long), doc_id, source, size, source_size, target, repeats (times the mix holds the document), taken."""
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select(F.col("doc_id").cast("long"), "source", size.alias("size"), (-F.log(u) / quality_weight()).alias("key"))
+    sized = docs.select(*carry, F.col("doc_id").cast("long"), "source", size.alias("size"), (-F.log(u) / quality_weight()).alias("key"))
     sized = storage.written(sized, "sized")  # small: the texts are read once
 
+    kept = (*carry, "doc_id", "source", "size")
+    schema = "".join(f"{c} long, " for c in carry) + "doc_id long, source string, size long, before long, part long"
+
     def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, now = TaskContext.get().partitionId(), 0, ()
         for batch in batches:
@@ -77,10 +80,10 @@ def mix(docs: DataFrame, seed: int = 17, total: float = 1.5, most: float = 2.0)
                     held, now = 0, (source[a],)
                 sums = held + np.cumsum(n[a:b])
                 before_row[a:b], held = sums - n[a:b], int(sums[-1])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("size"), pa.array(before_row, pa.int64()), pa.array(np.full(len(n), part), pa.int64())], ["doc_id", "source", "size", "before", "part"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(before_row, pa.int64()), pa.array(np.full(len(n), part), pa.int64())], [*kept, "before", "part"])
 
     ordered = sized.repartitionByRange("source", "key", "doc_id", "size").sortWithinPartitions("source", "key", "doc_id", "size")
-    summed = storage.written(ordered.mapInArrow(running, "doc_id long, source string, size long, before long, part long"), "running")
+    summed = storage.written(ordered.mapInArrow(running, schema), "running")
     parts = summed.groupBy("source", "part").agg(F.sum("size").alias("n"))
     sources = parts.groupBy("source").agg(F.sum("n").alias("source_size"))
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -90,7 +93,7 @@ def mix(docs: DataFrame, seed: int = 17, total: float = 1.5, most: float = 2.0)
     at = F.col("carried") + F.col("before")
     extra = (at + F.col("size") / 2 <= F.col("rest")) & (F.col("size") > 0) & (F.col("rest") > 0)
     out = joined.withColumn("repeats", F.col("times") + extra.cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
+    return out.select(*carry, "doc_id", "source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
