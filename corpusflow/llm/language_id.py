@@ -85,7 +85,7 @@ def profiles(docs: DataFrame, sample: int = SAMPLE, top: int = TOP) -> DataFrame
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 gram, n = grams(text)
-                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(gram), "gram": gram, "n": n})
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram, pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
     counted = picked.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))

@@ -1,0 +1,394 @@
+"""Each operator against a plain version, on rows with every edge case and on an empty table."""
+
+import hashlib
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from corpusflow.llm import elias_fano, hnsw, language_id, licences, mixing, mpeg_audio, ngram_join, pii, sentencepiece_codec, sketch, storage, substring_dedup, token_output
+from corpusflow.llm.components import components
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def words(t):
+    return WORD.findall(t or "")
+
+
+def test_elias_fano_round_trip_and_select():
+    rng = np.random.default_rng(1)
+    for n, span in ((0, 1), (1, 1), (5, 3), (1000, 10), (3000, 10**9)):
+        values = np.sort(rng.integers(-7, span, n))
+        held = elias_fano.Sequence(elias_fano.encode(values))
+        assert held.all().tolist() == values.tolist()
+        assert [held.select(i) for i in range(n)] == values.tolist()
+
+
+def test_token_output(spark, docs, none, rows):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    got = token_output.read_shards(token_output.write_shards(docs, path, public_tokenizers.PATTERN, storage.shared_dir(spark) + "/s")).collect()
+    library = Tokenizer.from_file(path)
+    wanted, at = [], 0
+    for i, t in sorted(((r[0], r[1]) for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or "")):
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
+        wanted.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == wanted
+    assert token_output.read_shards(token_output.write_shards(none, path, public_tokenizers.PATTERN, storage.shared_dir(spark) + "/s")).count() == 0
+
+
+def test_encoder_equals_library_on_odd_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["", " ", "\x1c\x85 a", "don't  stop\r\n\n x", "<|endoftext|> b", "ʼtis 漢²½ é", "a" * 5000]
+    ids = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(b, "<u2").tolist() for b in token_output.Encoder(path, public_tokenizers.PATTERN).encode(texts)] == ids
+
+
+def test_sentencepiece_equals_library(spark, docs, none, rows):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    got = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, path), path).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["ids"] == library.encode(r["text"] or "")
+        assert r["decoded"] == (r["text"] or "")
+    assert sentencepiece_codec.encode(none, path).count() == 0
+
+
+def unigram_model(path):
+    """The same pieces and scores, marked as a unigram model."""
+    data = open(path, "rb").read()
+    at = 0
+
+    def varint(i):
+        v = s = 0
+        while True:
+            b = data[i]
+            v |= (b & 127) << s
+            i, s = i + 1, s + 7
+            if b < 128:
+                return v, i
+
+    while at < len(data):
+        key, at = varint(at)
+        size, at = varint(at)
+        if key >> 3 == 2:
+            i = at
+            while i < at + size:
+                k, i = varint(i)
+                if k == 3 << 3:
+                    return data[:i] + b"\x01" + data[i + 1 :]
+                if k & 7 == 0:
+                    _, i = varint(i)
+                elif k & 7 == 2:
+                    n, i = varint(i)
+                    i += n
+                else:
+                    i += 8 if k & 7 == 1 else 4
+        at += size
+    raise AssertionError
+
+
+def test_viterbi_fold_finds_the_best_path(spark, tmp_path):
+    path = str(tmp_path / "unigram.model")
+    with open(path, "wb") as f:
+        f.write(unigram_model(public_tokenizers.path("piece_bpe_32k.model")))
+    model = sentencepiece_codec.Model.read(path)
+    assert model.algorithm == sentencepiece_codec.UNIGRAM
+    units = ["▁the", "▁another", "ing", "▁under", "standing", "▁a"]
+    score = lambda ids: sum(model.scores[i] for i in ids)
+
+    def best(unit):
+        at = [0.0]
+        for e in range(1, len(unit) + 1):
+            at.append(max(at[s] + model.scores[model.ids[unit[s:e]]] for s in range(e) if unit[s:e] in model.ids))
+        return at[-1]
+
+    got = sentencepiece_codec.segmented(spark.createDataFrame([(u,) for u in units], "unit string"), model).collect()
+    assert {r["unit"] for r in got} == set(units)
+    for r in got:
+        assert "".join(model.pieces[i] for i in r["ids"]) == r["unit"]
+        assert score(r["ids"]) == pytest.approx(best(r["unit"])) == pytest.approx(score(model.segment(r["unit"])))
+
+
+def test_units_beyond_the_dictionary_are_segmented_alike(monkeypatch):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts = ["the end of it", "thethethe" * 300, "\n\t 12 é漢", "  two  blanks "]
+    ids = sentencepiece_codec.Encoder(sentencepiece_codec.Model.read(path), []).encode(texts)
+    assert [i.tolist() for i in ids] == sentencepiece.SentencePieceProcessor(model_file=path).encode(texts)
+
+
+def test_licences(docs, none):
+    got = {r["doc_id"]: r for r in licences.scan(docs).collect()}
+    found = {k: [x["family"] for x in r["found"]] for k, r in got.items() if r["found"]}
+    assert list(found.values()) == [["mit"]]
+    assert licences.scan(none).count() == 0
+
+
+def test_licence_families_and_ordinary_text():
+    import pyarrow as pa
+
+    from corpusflow.llm import arrays
+
+    scanner = licences.Scanner()
+    texts = ["Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under the Apache License, Version 2.0.", *licences.ORDINARY[:20]]
+    _, found = scanner.scan(*arrays.utf8(pa.array(texts)))
+    assert [(d, f) for d, f, *_ in found] == [(0, "cc-by-nc"), (1, "gpl"), (2, "apache")]
+    assert scanner.held_accuracy > 0.95
+
+
+def test_mpeg_round_trip(docs, none, rows):
+    got = mpeg_audio.describe(mpeg_audio.store(docs)).collect()
+    assert len(got) == len(rows)
+    for i, t in {(r[0], r[1]) for r in rows if r[0] is not None}:
+        b = (t or "").encode()
+        payload = b + b"\xff" * (max(576, -(-len(b) // 576) * 576) - len(b))
+        r = next(x for x in got if x["doc_id"] == i)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(b), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert r["samples"] == 1152 * len(payload) // 576 and r["sampling_rate"] == 48000
+    assert mpeg_audio.store(none).count() == 0
+
+
+def test_mpeg_resynchronises_and_checks():
+    data = mpeg_audio.pack(bytes(range(256)) * 9, 2304)
+    assert mpeg_audio.payload(data, mpeg_audio.parse(data)) == bytes(range(256)) * 9
+    whole = mpeg_audio.parse(data)
+    assert (len(whole["offset"]), whole["wrong"], whole["table"]["frames"], whole["fields"]["payload-bytes"]) == (5, 0, 4, "2304")
+    at = int(whole["offset"][2])
+    torn = mpeg_audio.parse(data[:at] + b"junk!" + data[at:])
+    assert len(torn["offset"]) == 5 and torn["skipped"] == 5
+    broken = bytearray(data)
+    broken[at + 10] ^= 1
+    assert mpeg_audio.parse(bytes(broken))["wrong"] == 1
+    assert mpeg_audio.parse(b"")["samples"] == 0 and len(mpeg_audio.parse(b"no audio here")["offset"]) == 0
+
+
+def base(t):
+    def luhn(s):
+        return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
+
+    out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub(r"[^0-9]", "", m[0])
+        out += [("card", m.start(), m.end())] if 16 <= len(d) <= 19 and luhn(d) else []
+    return out + [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= sum(c.isdigit() for c in m[0]) <= 15]
+
+
+def test_pii_base_equals_patterns(docs, none, rows):
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("aB.@+-0123456789  é%()", k=rng.randint(0, 50))) for _ in range(4000)] + ["4111 1111-1111 1111", "1.2.3.4.5.6.7.8", "00256.1.1.1 0001.2.3.4", "a@b.c@d.e", "+1 (988) 555-2485"]
+    own, _ = pii.find_spans(pa.RecordBatch.from_pydict({"text": texts}), pii.train())
+    assert own == [base(t) for t in texts]
+    got = pii.detect(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert [tuple(s) for s in r["base"]] == base(r["text"] or "")
+    assert pii.detect(none).count() == 0
+
+
+def test_crf_adds_spans_and_masks(spark):
+    docs = spark.createDataFrame([(1, "ring (415) 555-2671 or jane at example dot com now"), (2, "page 12 of 30 in 1998"), (3, None)], "doc_id long, text string")
+    spans = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in pii.detect(docs).collect()}
+    assert spans == {1: ["email", "phone"], 2: [], 3: []}
+    assert {r["doc_id"]: r["text"] for r in pii.mask(docs).collect()} == {1: "ring [phone] or [email] now", 2: "page 12 of 30 in 1998", 3: None}
+
+
+def test_viterbi_equals_brute_force():
+    from itertools import product
+
+    crf = pii.train(rounds=20)
+    sequence = [b"call", b"(415)", b"555-2671"]
+    total = lambda y: crf.start[y[0]] + sum(crf.parts(w)[0][y[t]] + (crf.parts(sequence[t - 1])[1][y[t]] + crf.move[y[t - 1], y[t]] if t else 0) + (crf.parts(sequence[t + 1])[2][y[t]] if t < 2 else 0) for t, w in enumerate(sequence))
+    assert total(crf.decode([sequence])[0].tolist()) == pytest.approx(max(map(total, product(range(len(pii.LABELS)), repeat=3))))
+
+
+def shingles(t):
+    w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_ngram_join_equals_brute_force(docs, none, rows, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    own = {r[0]: shingles(r[1]) for r in rows if r[0] is not None}
+    root = {i: i for i in own}
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for i in own:
+        for j in own:
+            if i < j and own[i] and own[j] and 100 * len(own[i] & own[j]) >= 75 * len(own[i] | own[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = ngram_join.near_duplicates(docs).collect()
+    assert len(got) == len(rows)
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None} == {(i, len(own[i]), find(i)) for i in own}
+    assert len({find(i) for i in own}) < len(own) - 4
+    if block == 512:
+        assert ngram_join.near_duplicates(none).count() == 0
+
+
+def test_signature_trees_lose_no_pair():
+    rng = np.random.default_rng(2)
+    sets = []
+    for _ in range(12):
+        core = rng.integers(0, 2**63, rng.integers(8, 60)).astype(np.uint64)
+        sets += [np.unique(np.concatenate([core, rng.integers(0, 2**63, rng.integers(0, 9)).astype(np.uint64)])) for _ in range(5)]
+    sizes = np.array(list(map(len, sets)))
+    order = np.argsort(sizes, kind="stable")
+    tree = ngram_join.Tree(sizes[order], np.array([ngram_join.marks_of(sets[o]) for o in order]), np.arange(len(sets)))
+    i, j = ngram_join.traverse(tree, tree, 75, True)
+    kept = set(zip(i.tolist(), j.tolist(), strict=True))
+    for a in range(len(sets)):
+        for b in range(a + 1, len(sets)):
+            x, y = sets[order[a]], sets[order[b]]
+            both = len(np.intersect1d(x, y))
+            if 100 * both >= 75 * (len(x) + len(y) - both):
+                assert (a, b) in kept
+
+
+def test_components_equal_union_find(spark):
+    edges = [(i, i + 1) for i in range(0, 60, 2)] + [(i, i + 2) for i in range(100, 160, 2)] + [(7, 7), (1, 100), (60, 3)]
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
+    near = defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    for start in near:
+        seen, todo = {start}, [start]
+        while todo:
+            for n in near[todo.pop()] - seen:
+                seen.add(n)
+                todo.append(n)
+        assert got.get(start, start) == min(seen)
+
+
+def test_language_profiles(spark, docs, none, rows):
+    got = language_id.predict(docs.select("doc_id", "text"), language_id.profiles(docs)).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
+    for r in got:
+        assert (r["lang_pred"] == "und") == (not any(c.isalpha() for c in r["text"] or ""))
+    assert language_id.predict(docs.select("doc_id", "text"), language_id.profiles(none)).where("lang_pred <> 'und'").count() == 0
+    assert language_id.predict(none.select("doc_id", "text"), language_id.profiles(docs)).count() == 0
+
+
+def test_out_of_place_distance():
+    rows = [("x", int(g), i) for i, g in enumerate(language_id.ranked(*language_id.grams("abc abd abe")))] + [("y", int(g), i) for i, g in enumerate(language_id.ranked(*language_id.grams("zyx zyw zyv")))]
+    matcher = language_id.Matcher(rows)
+    assert matcher.match("abc abd abe") == ("x", 1.0)
+    assert matcher.match("zy") [0] == "y"
+    assert matcher.match("12 !") == ("und", 0.0)
+
+
+def test_mixing(docs, none, rows):
+    got = mixing.mix(docs).collect()
+    size = [len(words(r[1])) for r in rows]
+    assert len(got) == len(rows) and sum(r["size"] for r in got) == sum(size)
+    own = defaultdict(int)
+    for r, n in zip(rows, size, strict=True):
+        own[r[3]] += n
+    names = sorted(own, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    total, full = 1.5 * sum(size), set()
+    while True:
+        left = total - sum(2 * own[s] for s in full)
+        target = {s: 2 * own[s] if s in full else left * weight[s] / sum(weight[x] for x in names if x not in full) for s in names}
+        over = {s for s in names if s not in full and target[s] > 2 * own[s]}
+        if not over:
+            break
+        full |= over
+    taken, largest = defaultdict(int), defaultdict(int)
+    for r in got:
+        assert r["target"] == pytest.approx(target[r["source"]]) and r["source_size"] == own[r["source"]]
+        assert r["taken"] == r["repeats"] * r["size"] <= 2 * r["size"]
+        taken[r["source"]] += r["taken"]
+        largest[r["source"]] = max(largest[r["source"]], r["size"])
+    for s in names:
+        assert abs(taken[s] - target[s]) <= largest[s]
+    assert sorted(map(str, mixing.mix(docs).collect())) == sorted(map(str, got))
+    assert mixing.mix(none).count() == 0
+
+
+@pytest.mark.parametrize("loose", [False, True])
+def test_substring_dedup(docs, none, rows, monkeypatch, loose):
+    if loose:  # an estimate that takes every window for repeated changes nothing
+        monkeypatch.setattr(sketch.Sketch, "repeated", lambda self, h: np.ones(len(h), bool))
+    first = {}
+    for r in rows:
+        w = words(r[1])
+        for p in range(len(w) - 12):
+            if r[0] is not None:
+                first[tuple(w[p : p + 13])] = min(first.get(tuple(w[p : p + 13]), r[0]), r[0])
+    got = substring_dedup.remove_repeats(docs).collect()
+    assert len(got) == len(rows)
+    wanted = set()
+    for r in rows:
+        w = words(r[1])
+        keep = [True] * len(w)
+        for p in range(len(w) - 12):
+            if r[0] is not None and first[tuple(w[p : p + 13])] < r[0]:
+                keep[p : p + 13] = [False] * 13
+        wanted.add((r[0], len(w), keep.count(False), " ".join(x for x, k in zip(w, keep, strict=True) if k)))
+    assert {tuple(r) for r in got} == wanted
+    assert substring_dedup.remove_repeats(none).count() == 0
+
+
+def test_sketch_loses_no_repeat(spark, docs):
+    hashed = lambda batch: substring_dedup._windows(batch, 3)[0]
+    held = sketch.build(docs.select("text"), hashed, 20_000)
+    import pyarrow as pa
+
+    h = hashed(pa.RecordBatch.from_pydict({"text": pa.array([r["text"] for r in docs.select("text").collect()], pa.string())}))
+    value, n = np.unique(h, return_counts=True)
+    seen = held.repeated(value)
+    assert seen[n > 1].all() and seen[n == 1].mean() < 0.2
+
+
+def test_hnsw_equals_brute_force(spark):
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(40, 16))
+    x = [(centre[i % 40] + rng.normal(scale=0.02, size=16)).tolist() for i in range(120)] + rng.normal(size=(300, 16)).tolist()
+    x += [x[0], x[0], None, [0.0] * 16, [float("nan")] * 16, [None] * 16, [1.0, 2.0], [2.0, 4.0], []]
+    docs = spark.createDataFrame([(i, v, i, "z") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label long, rep string")
+    good = {i: np.array(v) for i, v in enumerate(x) if v and all(c is not None and np.isfinite(c) for c in v) and any(v)}
+    root, n = {i: i for i in range(len(x))}, defaultdict(int)
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for i, a in good.items():
+        for j, b in good.items():
+            if i != j and len(a) == len(b) and a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= 0.9:
+                n[i] += 1
+                p, q = find(i), find(j)
+                root[max(p, q)] = min(p, q)
+    got = {r["vec_id"]: r for r in hnsw.near_duplicates(docs).collect()}
+    assert {i: (r["n_links"], r["component_id"], r["kept"]) for i, r in got.items()} == {i: (n[i], find(i), find(i) == i) for i in range(len(x))}
+    assert hnsw.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_graph_recall():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 24))
+    graph = hnsw.Graph(np.arange(3000), np.ones(3000, np.int64), x)
+    ids, _ = graph.search(graph.vec[:200], 64)
+    near = np.argsort(-(graph.vec[:200] @ graph.vec.T), axis=1)[:, :10]
+    assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(ids.tolist(), near.tolist(), strict=True)]) >= 0.9
