@@ -6,7 +6,9 @@ multi-byte character, so words can be cut on bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,22 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
+#: What a worker drops when a task is done.
+AT_END: list[Callable[[], None]] = []
+
+
+def trim() -> None:
+    """Give memory back: workers live on between tasks, beside their executor's JVM."""
+    for drop in AT_END:
+        drop()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def sliced(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches whose text holds about `limit` bytes, or one row."""
     for batch in batches:
@@ -43,6 +61,7 @@ def sliced(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = S
             to = max(at + 1, int(np.searchsorted(size, done + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
+    trim()
 
 
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,7 +1,9 @@
-"""Connected components of an edge table by alternating stars, with partition-local contraction.
+"""Connected components of an edge table, by rounds of hanging nodes on smaller ones.
 
-Every round hangs each node on the smallest node near it; partitions first shrink their own
-edges to a forest. Edges stay distributed and go to the shared folder between rounds.
+Partitions first shrink their own edges to a forest. Then each round gathers a node's parents, of
+which there are no more than partitions, keeps the smallest, hangs the others on it, and
+follows every parent to its own parent. Edges stay distributed and go to the shared folder between
+rounds.
 """
 
 from __future__ import annotations
@@ -15,7 +17,8 @@ from pyspark.sql import functions as F
 
 from corpusflow.llm import storage
 
-EDGES = "a long, b long"
+#: Edges that a partition shrinks at once, about.
+EDGES_A_TASK = 500_000
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,36 +42,32 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[moved], ids[label[moved]]
 
 
-def contracted(edges: DataFrame) -> DataFrame:
-    """A forest of each partition's edges; a > b in every row."""
+def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A forest of a partition's edges (a, b) and whether any of them is open; a > b in every row."""
+    parts = [(x.column("a").to_numpy(), x.column("b").to_numpy()) for x in batches]
+    if parts:
+        a, b = forest(*(np.concatenate(p) for p in zip(*parts, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(x.column("a").to_numpy(), x.column("b").to_numpy()) for x in batches]
-        if parts:
-            a, b = forest(*(np.concatenate(p) for p in zip(*parts, strict=True)))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return edges.mapInArrow(shrink, EDGES)
+def _written(edges: DataFrame, rows: int) -> DataFrame:
+    few = edges.select("a", "b").coalesce(max(8, -(-rows // EDGES_A_TASK)))
+    return storage.written(few.mapInArrow(shrink, "a long, b long"), "edges")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least.hint("merge"), "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """id, component (smallest id connected with it) for every id of edges (a, b) that isn't its component's smallest.
 
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    hung = edges.join(least.hint("merge"), "a")
-    return hung.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """id, component (smallest id connected with it) for every id of edges (a, b) that isn't its component's smallest."""
-    now = storage.written(contracted(edges.select("a", "b").where("a <> b").distinct()), "edges")
+    rows: about how many edges there are, if it is known.
+    """
+    now = storage.written(edges.select("a", "b").where("a <> b").mapInArrow(shrink, "a long, b long"), "edges") if rows is None else _written(edges.where("a <> b"), rows)
     while True:
-        ends = now.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-        if ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").isEmpty():
-            return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
-        stars = _small_star(_large_star(now).distinct())
-        now = storage.written(contracted(stars.distinct()), "edges")
+        n = now.count()
+        up = now.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("up"))
+        own = up.select("a", F.explode(F.concat(F.array(F.struct(F.col("a").alias("x"), F.get("up", F.lit(0)).alias("y"))), F.transform(F.slice("up", 2, F.greatest(F.size("up"), F.lit(1))), lambda v: F.struct(v.alias("x"), F.get("up", F.lit(0)).alias("y"))))).alias("e"), (F.size("up") > 1).alias("many"))
+        parent = up.select(F.col("a").alias("node"), F.get("up", F.lit(0)).alias("top"))
+        hung = own.select("many", "e.x", "e.y").join(parent, F.col("y") == F.col("node"), "left")
+        step = storage.written(hung.select(F.col("x").alias("a"), F.coalesce("top", "y").alias("b"), (F.col("many") | F.col("top").isNotNull()).alias("open")).coalesce(max(8, -(-n // EDGES_A_TASK))), "step")
+        if step.where("open").isEmpty():
+            return step.select(F.col("a").alias("id"), F.col("b").alias("component"))
+        now = _written(step, n)

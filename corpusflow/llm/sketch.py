@@ -25,8 +25,9 @@ from corpusflow.llm import arrays, elias_fano, storage
 DEPTH = 2
 LEAST_BITS, MOST_BITS = 20, 31
 #: Windows that a partition sketches at once, and windows in a merged block at most (roughly).
-FLUSH, BLOCK = 1 << 22, 1 << 21
+FLUSH, BLOCK = 1 << 21, 1 << 21
 _LOADED: dict[str, list[np.ndarray]] = {}
+arrays.AT_END.append(_LOADED.clear)
 
 
 def counters(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -81,6 +82,7 @@ def build(docs: DataFrame, hasher: Callable[[pa.RecordBatch], np.ndarray], expec
                 kept = []
         if kept:
             yield from blocks(kept)
+        arrays.trim()
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         row, block = (k.as_py() for k in key)

@@ -64,7 +64,7 @@ def repeated_windows(docs: DataFrame, k: int = K) -> DataFrame:
             own = doc[at]
             place = at - np.searchsorted(doc, own)  # position in its document
             parts.append((h, again[np.searchsorted(where, at)], batch.column("doc_id").to_numpy()[own], batch.column("text_hash").to_numpy()[own], place.astype(np.uint32)))
-            if sum(len(p[0]) for p in parts) >= sketch.FLUSH // 4:
+            if sum(len(p[0]) for p in parts) >= sketch.FLUSH // 2:
                 yield from pack(parts)
                 parts = []
         if parts:
