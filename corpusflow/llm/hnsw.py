@@ -2,8 +2,8 @@
 
 Vectors are dealt to shards by hash; each shard's graph is built in one task from at most
 SHARD_ROWS vectors and stored in the shared folder. Every vector queries every shard, in blocks. A shard's
-beam is widened until an audit against brute force passes, and a query's own beam is widened
-as long as it is full of links. Links are verified by cosine in double precision. Identical
+beam is widened until an audit against brute force passes; a query whose beam is full of links is widened
+to its whole shard. Links are verified by cosine in double precision. Identical
 vectors are one class and are searched once; links leave a task as a forest and as counts, never
 as all pairs.
 
@@ -29,8 +29,8 @@ COSINE = 0.9
 #: Neighbours of a node, candidates when it is linked, and beam at the start.
 LINKS, BUILD, BEAM = 24, 64, 48
 SHARDS, SHARD_ROWS, QUERY_ROWS = 8, 500_000, 1024
-#: Vectors of the audit, the neighbours of each it looks for, and the recall it asks for.
-AUDIT_ROWS, AUDIT_NEAREST, AUDIT_RECALL = 256, 10, 0.95
+#: Vectors of the audit, and the share of their links that it asks for.
+AUDIT_ROWS, AUDIT_RECALL = 1024, 0.99
 #: Single precision guides the search; what it puts this far below the threshold is still verified.
 SLACK = 1e-4
 _GRAPHS: dict[str, "Graph"] = {}
@@ -186,35 +186,31 @@ class Graph:
         return np.concatenate([pad(i, -1) for i, _ in parts]), np.concatenate([pad(s, -np.inf) for _, s in parts])
 
     def audit(self, query: np.ndarray, cosine: float) -> None:
-        """Widen the beam until it finds AUDIT_RECALL of the nearest nodes, and of the links, that brute force finds."""
+        """Widen the beam until it finds AUDIT_RECALL of the links that brute force finds; rows with more links than the beam holds are scanned anyway."""
         if not len(query):
             return
-        sims = query @ self.vec.T
-        nearest = np.argpartition(-sims, min(AUDIT_NEAREST, sims.shape[1]) - 1, axis=1)[:, :AUDIT_NEAREST]
-        linked = sims >= cosine
+        wanted = query @ self.vec.T >= cosine
+        full = wanted.sum(1) >= self.beam
         while self.beam < len(self.vec):
             found = np.zeros((len(query), len(self.vec) + 1), bool)
-            found[np.arange(len(query))[:, None], self.links(query, cosine)[0]] = True
-            found = found[:, :-1]
-            if np.take_along_axis(found, nearest, 1).mean() >= AUDIT_RECALL and (found & linked).sum() >= AUDIT_RECALL * linked.sum():
+            found[np.arange(len(query))[:, None], self.search(query, self.beam)[0]] = True
+            if (found[:, :-1] & wanted)[~full].sum() >= AUDIT_RECALL * wanted[~full].sum():
                 break
             self.beam *= 2
 
     def links(self, query: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-        """Beams, each widened until its last node is no link."""
+        """(query, node) of what the beams hold that may reach cosine. A beam whose last node still does is widened to the whole shard."""
         ids, sims = self.search(query, self.beam)
-        width = self.beam
-        while width < len(self.vec):
-            full = np.flatnonzero((ids[:, -1] >= 0) & (sims[:, -1] >= cosine - SLACK))
-            if not len(full):
-                break
-            width *= 2
-            more, s = self.search(query[full], width)
-            grow = more.shape[1] - ids.shape[1]
-            if grow > 0:
-                ids, sims = np.pad(ids, ((0, 0), (0, grow)), constant_values=-1), np.pad(sims, ((0, 0), (0, grow)), constant_values=-np.inf)
-            ids[full, : more.shape[1]], sims[full, : more.shape[1]] = more, s
-        return ids, sims
+        least = cosine - SLACK
+        full = (ids[:, -1] >= 0) & (sims[:, -1] >= least) & (ids.shape[1] < len(self.vec))
+        q, k = np.nonzero((ids >= 0) & (sims >= least) & ~full[:, None])
+        pairs = [(q, ids[q, k])]
+        wide = np.flatnonzero(full)
+        step = max(1, min(256, (16 << 20) // max(1, len(self.vec))))
+        for a in range(0, len(wide), step):
+            row, node = np.nonzero(query[wide[a : a + step]] @ self.vec.T >= least)
+            pairs.append((wide[a : a + step][row], node))
+        return np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
 
     def dump(self) -> bytes:
         out = io.BytesIO()
@@ -294,12 +290,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
                 reps = np.frombuffer(reps, np.int64)
                 x = np.frombuffer(data, np.float64).reshape(-1, dim)
                 unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-                ids, sims = graph.links(unit.astype(np.float32), cosine)
-                q, k = np.nonzero((ids >= 0) & (sims >= cosine - SLACK))
-                node = ids[q, k]
-                other = graph.vectors[node]
-                exact = np.einsum("nd,nd->n", unit[q], other / np.linalg.norm(other, axis=1, keepdims=True))
-                good = (exact >= cosine) & (graph.ids[node] != reps[q])
+                q, node = graph.links(unit.astype(np.float32), cosine)
+                good = graph.ids[node] != reps[q]
+                for at in range(0, len(q), 1 << 16):
+                    part = slice(at, at + (1 << 16))
+                    other = graph.vectors[node[part]]
+                    good[part] &= np.einsum("nd,nd->n", unit[q[part]], other / np.linalg.norm(other, axis=1, keepdims=True)) >= cosine
                 q, node = q[good], node[good]
                 n = np.bincount(q, graph.weight[node], len(reps)).astype(np.int64)
                 a, b = forest(reps[q], graph.ids[node])
