@@ -1,24 +1,45 @@
-"""The registered queries of this package, by operator number."""
+"""The registered queries of this package, by operator number, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from corpusflow.llm import hnsw, language_id, licences, mixing, mpeg_audio, ngram_join, pii, sentencepiece_codec, substring_dedup, token_output
 
+_WORDS = r"regexp_extract_all({t}, '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _runs(k: int) -> str:
+    """Words with position, and the k words that start at each."""
+    parts = " || ' ' || ".join(["word", *(f"lead(word, {i}) OVER w" for i in range(1, k))])
+    return f"x AS (SELECT doc_id, unnest(ws) AS word, unnest(generate_series(1, len(ws))) AS p, len(ws) AS n FROM t), h AS (SELECT *, {parts} AS k FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY p))"
+
 
 def queries() -> dict:
     return {
-        "op2_sentencepiece": sentencepiece_codec.op2_sentencepiece,
         "op1_token_output": token_output.op1_token_output,
+        "op2_sentencepiece": sentencepiece_codec.op2_sentencepiece,
+        "op3_licences": licences.op3_licences,
         "op4_mpeg_audio": mpeg_audio.op4_mpeg_audio,
+        "op5_pii": pii.op5_pii,
+        "op6_ngram_join": ngram_join.op6_ngram_join,
         "op7_language_id": language_id.op7_language_id,
         "op8_source_mixing": mixing.op8_source_mixing,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
-        "op6_ngram_join": ngram_join.op6_ngram_join,
         "op10_hnsw": hnsw.op10_hnsw,
-        "op5_pii": pii.op5_pii,
-        "op3_licences": licences.op3_licences,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_ngram_join": f"""WITH RECURSIVE t AS (SELECT doc_id, {_WORDS.format(t=_LOWER)} AS ws FROM documents), {_runs(5)},
+s AS (SELECT DISTINCT doc_id, k FROM h WHERE k IS NOT NULL UNION SELECT doc_id, len(ws) || ':' || array_to_string(ws, ' ') FROM t WHERE len(ws) BETWEEN 1 AND 4),
+c AS (SELECT doc_id, count(*) AS n, md5(string_agg(k, chr(10) ORDER BY k)) AS own FROM s GROUP BY doc_id), cl AS (SELECT own, min(doc_id) AS class_id FROM c GROUP BY own),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b USING (k) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM i JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE 100 * m >= 75 * (x.n + y.n - m)),
+r AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other)
+SELECT r.doc_id, coalesce(max(c.n), 0)::BIGINT AS n_shingles, coalesce(max(class_id), r.doc_id) AS class_id, min(other) AS component_id FROM r LEFT JOIN c ON c.doc_id = r.doc_id LEFT JOIN cl USING (own) GROUP BY r.doc_id""",
+        "op9_substring_dedup": f"""WITH t AS (SELECT doc_id, {_WORDS.format(t="coalesce(text, '')")} AS ws FROM documents), {_runs(13)},
+m AS (SELECT k, min(doc_id) AS least FROM h WHERE k IS NOT NULL GROUP BY k), d AS (SELECT h.doc_id, p, word, coalesce(least < h.doc_id, false) AS dup FROM h LEFT JOIN m USING (k)),
+g AS (SELECT doc_id, p, word, max(dup::INT) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM d)
+SELECT o.doc_id, count(p) AS n_words, coalesce(sum(gone), 0)::BIGINT AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY p) FILTER (gone = 0), '')) AS kept_sha256 FROM documents o LEFT JOIN g USING (doc_id) GROUP BY o.doc_id""",
+    }
