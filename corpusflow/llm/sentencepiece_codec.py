@@ -10,9 +10,10 @@ grouped by unit, and a fold with Spark's `aggregate` finds the segmentation:
   a model are merge ranks, and a path of the largest total isn't what the model's own encoder
   returns (the README has figures), so the fold follows the encoder.
 
-The segmented units form a dictionary in the shared folder, of at most DICTIONARY units, the most
-frequent. Each task looks its units up there; units beyond it, and those longer than LONGEST, are
-merged in the task by the same rule.
+The segmented units form a dictionary in the shared folder, of units that occur LEAST times or more,
+the most frequent DICTIONARY of them. Each task looks its units up there; a unit that occurs once
+gains nothing from a dictionary, and is merged in the task by the same rule, as are units beyond
+it and those longer than LONGEST.
 
 Edge cases: null and empty texts have no ids; characters without a piece become bytes, or the
 unknown id where the model has no byte pieces; repeated rows are encoded alike; an empty table gives
@@ -28,6 +29,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -41,9 +43,13 @@ from corpusflow.llm import arrays, storage
 
 BLANK = "▁"
 LONGEST = 32
-DICTIONARY = 6_000_000
+LEAST, DICTIONARY = 2, 6_000_000
 #: Distinct units that a task counts before it hands them on, and units whose ids a worker keeps.
-FLUSH, CACHE = 400_000, 300_000
+FLUSH, CACHE = 100_000, 100_000
+#: Bytes of text encoded at once.
+SLICE_BYTES = 1 << 19
+#: Units that a task segments.
+UNITS_A_TASK = 50_000
 UNIGRAM, BPE = 1, 2
 
 
@@ -200,18 +206,21 @@ def counted_units(docs: DataFrame, model: Model) -> DataFrame:
                 seen = Counter()
         if seen:
             yield row()
+        seen = Counter()
+        arrays.trim()
 
     return docs.select("text").mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 def _merge_fold(edges: Column, size: Column) -> Column:
     """Cuts of a unit after merging neighbours in the order of ranks; edges: map of start * 64 + end to (rank, id)."""
-    none = F.lit(float("inf"))
+    none = F.lit(1 << 30).cast("long")
 
     def step(cuts: Column, _: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), F.size(cuts) - 2), lambda i: F.struct(F.coalesce(F.try_element_at(edges, F.element_at(cuts, i) * 64 + F.element_at(cuts, i + 2))["rank"], none).alias("rank"), i.alias("i")))
-        least = F.array_min(pairs)
-        return F.when((F.size(cuts) < 3) | (least["rank"] == none), cuts).otherwise(F.filter(cuts, lambda x, k: k != least["i"]))
+        pairs = F.transform(F.sequence(F.lit(1), F.size(cuts) - 2), lambda i: F.struct(F.coalesce(F.try_element_at(edges, (F.element_at(cuts, i) * 64 + F.element_at(cuts, i + 2)).cast("long"))["rank"], none).alias("rank"), i.alias("i")))
+        # A transform of one element names the least pair, which a plain expression would find anew for every cut.
+        merged = F.transform(F.array(F.array_min(pairs)), lambda least: F.when(least["rank"] == none, cuts).otherwise(F.filter(cuts, lambda x, k: k != least["i"])))
+        return F.when(F.size(cuts) < 3, cuts).otherwise(F.element_at(merged, 1))
 
     return F.aggregate(F.sequence(F.lit(1), size), F.sequence(F.lit(0), size), step)
 
@@ -238,25 +247,46 @@ def _viterbi_fold(edges: Column, size: Column, floor: float) -> Column:
 def segmented(units: DataFrame, model: Model) -> DataFrame:
     """unit, ids (array of int; -1 stands for a character without a piece) of distinct units of at most LONGEST characters."""
     spark = units.sparkSession
-    table = pa.table({"piece": list(model.ids), "id": pa.array(model.ids.values(), pa.int32()), "score": pa.array([model.scores[i] for i in model.ids.values()], pa.float64())})
+    order = {x: r for r, x in enumerate(sorted({-model.scores[i] for i in model.ids.values()}))}
+    table = pa.table({"piece": list(model.ids), "id": pa.array(model.ids.values(), pa.int64()), "rank": pa.array([order[-model.scores[i]] for i in model.ids.values()], pa.int64()), "score": pa.array([model.scores[i] for i in model.ids.values()], pa.float64())})
     pieces = F.broadcast(spark.createDataFrame(table))  # the model's vocabulary: its size doesn't depend on the input
     # Units are dealt once; the explode, the join and the grouping below keep to that.
-    each = units.select("unit").repartition("unit").withColumn("size", F.length("unit"))
+    each = units.select("unit").repartition(max(8, -(-units.count() // UNITS_A_TASK)), "unit").withColumn("size", F.length("unit"))
     spans = each.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
     spans = spans.withColumn("l", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.col("size") - F.col("s")))))
     edges = spans.withColumn("piece", F.substring("unit", F.col("s") + 1, F.col("l"))).join(pieces, "piece")
-    edge = F.struct(F.col("s"), (F.col("s") + F.col("l")).alias("e"), "id", "score")
+    # An edge is one long: 12 bits of place, 24 of rank, 24 of id. A list of longs is light to group.
+    place = (F.col("s") * 64 + F.col("s") + F.col("l")).cast("long")
+    edge = F.shiftleft(place, 48).bitwiseOR(F.shiftleft("rank", 24)).bitwiseOR(F.col("id"))
     found = edges.groupBy("unit").agg(F.collect_list(edge).alias("edges")).withColumn("size", F.length("unit"))
-    keyed = F.map_from_entries(F.transform("edges", lambda x: F.struct((x["s"] * 64 + x["e"]).alias("k"), F.struct((-x["score"]).alias("rank"), x["id"].alias("id")).alias("v"))))
-    found = found.withColumn("at", keyed)
-    cuts = _merge_fold(F.col("at"), F.col("size")) if model.algorithm == BPE else _viterbi_fold(F.col("edges"), F.col("size"), model.floor)
-    ids = F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), lambda i: F.coalesce(F.try_element_at("at", F.element_at("cuts", i) * 64 + F.element_at("cuts", i + 1))["id"], F.lit(-1)))
+    low = F.lit((1 << 24) - 1)
+    entry = F.transform("edges", lambda x: F.struct(F.shiftright(x, 48).alias("k"), F.struct(F.shiftright(x, 24).bitwiseAND(low).alias("rank"), x.bitwiseAND(low).alias("id")).alias("v")))
+    found = found.withColumn("at", F.map_from_entries(entry))
+    if model.algorithm == BPE:
+        cuts = _merge_fold(F.col("at"), F.col("size"))
+    else:
+        scores = F.array(*(F.lit(-x) for x in order))  # by rank
+        found = found.withColumn("scored", F.transform("edges", lambda x: F.struct((F.shiftright(x, 54)).cast("int").alias("s"), F.shiftright(x, 48).bitwiseAND(F.lit(63)).cast("int").alias("e"), F.element_at(scores, (F.shiftright(x, 24).bitwiseAND(low) + 1).cast("int")).alias("score"))))
+        cuts = _viterbi_fold(F.col("scored"), F.col("size"), model.floor)
+    ids = F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), lambda i: F.coalesce(F.try_element_at("at", (F.element_at("cuts", i) * 64 + F.element_at("cuts", i + 1)).cast("long"))["id"], F.lit(-1)).cast("int"))
     return found.withColumn("cuts", cuts).select("unit", ids.alias("ids"))
 
 
+@contextmanager
+def grouped_in_memory(spark: SparkSession):
+    """Lists are grouped by hash, without a sort, for as many keys as a task gets; the session's own setting comes back after."""
+    name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(4 * UNITS_A_TASK))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def write_dictionary(docs: DataFrame, model: Model) -> list[str]:
     """Segment the corpus' units; the paths of the dictionary's files, one a partition."""
-    units = storage.written(counted_units(docs, model), "units").where((F.length("unit") > 1) & (F.length("unit") <= LONGEST))
+    units = storage.written(counted_units(docs, model), "units").where((F.length("unit") > 1) & (F.length("unit") <= LONGEST) & (F.col("n") >= LEAST))
     if units.count() > DICTIONARY:
         rows = units.groupBy("n").agg(F.count("*").alias("m")).orderBy(F.desc("n"))
         from pyspark.sql import Window
@@ -279,8 +309,11 @@ def write_dictionary(docs: DataFrame, model: Model) -> list[str]:
             np.savez(out, keys=np.array(keys, np.uint64), sizes=np.concatenate(sizes).astype(np.uint8), ids=np.concatenate(ids).astype(np.int32))
             storage.write_file(path, [out.getvalue()])
             yield pa.RecordBatch.from_pydict({"path": [path]})
+        del keys, sizes, ids
+        arrays.trim()
 
-    return [r["path"] for r in segmented(units, model).mapInArrow(write, "path string").collect()]  # one row a file
+    with grouped_in_memory(docs.sparkSession):
+        return [r["path"] for r in segmented(units, model).mapInArrow(write, "path string").collect()]  # one row a file
 
 
 class Encoder:
@@ -323,25 +356,31 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
+def _worker(model: Model, files: list[str]) -> Encoder:
+    """One encoder a worker process."""
+    key = files[0] if files else ""
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(model, files)
+    return _ENCODERS[key]
+
+
+def encode(docs: DataFrame, path: str, keep_text: bool = True) -> DataFrame:
     """docs with ids: array of int, for the model file at path."""
     from pyspark.sql.types import ArrayType, IntegerType, StructType
 
     model = Model.read(path)
     files = write_dictionary(docs, model)
-    names = docs.columns
+    names = [c for c in docs.columns if keep_text or c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = files[0] if files else path
-        if key not in _ENCODERS:
-            _ENCODERS.clear()
-            _ENCODERS[key] = Encoder(model, files)
-        for batch in arrays.sliced(batches):
-            ids = _ENCODERS[key].encode(batch.column("text").to_pylist())
+        encoder = _worker(model, files)
+        for batch in arrays.sliced(batches, limit=SLICE_BYTES):
+            ids = encoder.encode(batch.column("text").to_pylist())
             off = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(off, pa.array(np.concatenate([np.zeros(0, np.int32), *ids]), pa.int32()))], [*names, "ids"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.ListArray.from_arrays(off, pa.array(np.concatenate([np.zeros(0, np.int32), *ids]), pa.int32()))], [*names, "ids"])
 
-    return docs.mapInArrow(run, StructType(list(docs.schema.fields)).add("ids", ArrayType(IntegerType())))
+    return docs.mapInArrow(run, StructType([docs.schema[c] for c in names]).add("ids", ArrayType(IntegerType())))
 
 
 def decoder(model: Model):
@@ -373,18 +412,21 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.mapInArrow(run, StructType(list(encoded.schema.fields)).add("decoded", StringType()))
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers) and round_trip (decoded equals the text)."""
+def digests(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers) and round_trip (decoded equals the text), in one pass."""
+    model = Model.read(path)
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    files = write_dictionary(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column("ids")
-            off, flat = column.offsets.to_numpy(), column.values.to_numpy().astype("<i4")
-            crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(off[:-1], off[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(off), pa.int64()), pa.array(crc, pa.int64()), batch.column("round_trip")], ["doc_id", "n_tokens", "ids_crc32", "round_trip"])
+        encoder, spell = _worker(model, files), decoder(model)
+        for batch in arrays.sliced(batches, limit=SLICE_BYTES):
+            texts = batch.column("text").to_pylist()
+            ids = encoder.encode(texts)
+            same = [spell(i) == (t or "") for i, t in zip(ids, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(len, ids)), pa.int64()), pa.array([zlib.crc32(i.astype("<i4").tobytes()) for i in ids], pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids_crc32", "round_trip"])
 
-    kept = encoded.select(F.col("doc_id").cast("long"), "ids", F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
-    return kept.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")
+    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -392,4 +434,4 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return digests(decode(encode(docs, path), path))
+    return digests(docs, path)
