@@ -4,11 +4,12 @@ from corpusflow.operators import cleaning, directory
 from corpusflow.streaming import events
 
 
-def test_split_text_covers_and_overlaps():
+def test_windows_cover_and_overlap():
     text = "One sentence here. " * 80
-    parts = cleaning.split_text(text, 400, 50)
+    parts = list(cleaning.windows(text, 400, 50))
     assert all(len(p) <= 400 for p in parts) and len(parts) > 3
-    assert cleaning.split_text("short", 400, 50) == ["short"]
+    assert list(cleaning.windows("short", 400, 50)) == ["short"]
+    assert list(cleaning.windows("x" * 1000, 400, 50))[0] == "x" * 400
 
 
 def test_packed_paragraphs_carry_a_tail():
