@@ -45,7 +45,7 @@ BLANK = "▁"
 LONGEST = 32
 LEAST, DICTIONARY = 2, 6_000_000
 #: Distinct units that a task counts before it hands them on, and units whose ids a worker keeps.
-FLUSH, CACHE = 100_000, 100_000
+FLUSH, CACHE = 100_000, 150_000
 #: Bytes of text encoded at once.
 SLICE_BYTES = 1 << 19
 #: Units that a task segments.
@@ -330,15 +330,19 @@ class Encoder:
         self.keys, self.sizes, self.at = keys[order], sizes[order], at[order].astype(np.uint32 if len(self.ids) < 1 << 32 else np.uint64)
         self.known: dict[str, bytes] = {}
 
-    def _learn(self, units: list[str]) -> None:
+    def _learn(self, units: list[str]) -> dict[str, bytes]:
+        """Ids of new units; those of the dictionary are kept, as they come again, the others are for this once."""
         keys = np.array([xxhash.xxh64_intdigest(u) for u in units], np.uint64)
         place = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
         hit = self.keys[place] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        once: dict[str, bytes] = {}
         for u, i, ok in zip(units, place.tolist(), hit.tolist(), strict=True):
             own = self.ids[self.at[i] : self.at[i] + self.sizes[i]] if ok else None
             if own is None or own.min() < 0:
-                own = self.model.segment(u)
-            self.known[u] = np.asarray(own, "<i4").tobytes()
+                once[u] = np.asarray(self.model.segment(u), "<i4").tobytes()
+            else:
+                self.known[u] = own.astype("<i4").tobytes()
+        return once
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         units = [self.model.units(t or "") for t in texts]
@@ -347,9 +351,9 @@ class Encoder:
         if len(self.known) + len(new) > CACHE:
             self.known.clear()
             new = distinct
-        if new:
-            self._learn(list(new))
-        look = self.known.__getitem__
+        once = self._learn(list(new)) if new else {}
+        known = self.known
+        look = {u: known[u] if u in known else once[u] for u in distinct}.__getitem__
         return [np.frombuffer(b"".join(map(look, own)), "<i4") for own in units]
 
 
