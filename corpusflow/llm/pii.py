@@ -85,7 +85,7 @@ def base_spans(data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, i
         head, tail = _chains(data, first, start, end, b".")
         for h, t in zip(head[tail - head >= 3].tolist(), tail[tail - head >= 3].tolist(), strict=True):
             for r in range(h, t - 2, 4):
-                if all(int(text[start[q] : end[q]][-3:]) <= 255 and not text[start[q] : end[q] - 3].strip(b"0") for q in range(r, r + 4)):
+                if all(int(text[start[q] : end[q]][-3:]) <= 255 and not text[start[q] : max(start[q], end[q] - 3)].strip(b"0") for q in range(r, r + 4)):
                     out.append((doc_of(start[r]), 1, int(start[r]), int(end[r + 3])))
         head, tail = _chains(data, first, start, end, b" -")
         total = np.concatenate([[0], np.cumsum(end - start)])

@@ -203,6 +203,13 @@ def test_pii_base_equals_patterns(docs, none, rows):
     assert pii.detect(none).count() == 0
 
 
+@pytest.mark.parametrize("text", ["10.0.0.1 x", "1.2.3.4 x", "x 1.2.3.4", "0001.2.3.4", "1000.2.3.4"])
+def test_pii_base_at_the_start_of_a_slice(text):
+    data = np.frombuffer((text * 2).encode(), np.uint8)
+    got = pii.base_spans(data, np.array([0, len(text), 2 * len(text)]))
+    assert [(d, pii.KINDS[k], s - d * len(text), e - d * len(text)) for d, k, s, e in got] == [(d, *x) for d in (0, 1) for x in base(text)]
+
+
 def test_crf_adds_spans_and_masks(spark):
     docs = spark.createDataFrame([(1, "ring (415) 555-2671 or jane at example dot com now"), (2, "page 12 of 30 in 1998"), (3, None)], "doc_id long, text string")
     spans = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in pii.detect(docs).collect()}
