@@ -296,7 +296,7 @@ def crf_spans(crf: Crf, data: np.ndarray, off: np.ndarray, base: list[tuple[int,
     hot[[i for i in three.tolist() if text[start[i] : end[i]] in SPELLED]] = True
     if not hot.any():
         return []
-    wide = np.convolve(hot, np.ones(2 * reach + 1, np.int8), "same") > 0
+    wide = np.convolve(hot, np.ones(2 * reach + 1, np.int8))[reach : reach + len(hot)] > 0
     wide[hot] = True
     at = np.flatnonzero(wide)
     cut = np.flatnonzero((np.diff(at) > 1) | (np.diff(doc[at]) > 0)) + 1

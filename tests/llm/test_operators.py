@@ -210,6 +210,14 @@ def test_pii_base_at_the_start_of_a_slice(text):
     assert [(d, pii.KINDS[k], s - d * len(text), e - d * len(text)) for d, k, s, e in got] == [(d, *x) for d in (0, 1) for x in base(text)]
 
 
+@pytest.mark.parametrize("text", ["5551234", "call 5551234", "call me 5551234", "call me on 5551234", "Ab3" * 800_000])
+def test_pii_slices_of_few_words(text):
+    import pyarrow as pa
+
+    own, every = pii.find_spans(pa.RecordBatch.from_pydict({"text": [text]}), pii.train(rounds=1))
+    assert own == [base(text[:100])] and len(every) == 1
+
+
 def test_crf_adds_spans_and_masks(spark):
     docs = spark.createDataFrame([(1, "ring (415) 555-2671 or jane at example dot com now"), (2, "page 12 of 30 in 1998"), (3, None)], "doc_id long, text string")
     spans = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in pii.detect(docs).collect()}
