@@ -4,10 +4,10 @@ Base kinds are found on the UTF-8 bytes of a whole slice of texts: addresses aro
 of digit runs for ip and card, a match at each `+` and digit for phone.
 
 The CRF labels words in BIO form. Its features are word shapes, digit counts and near words; it is
-trained in the driver from the labelled table below by gradient ascent on the exact likelihood and
-decoded by Viterbi over many sequences at once. Only words near a word with a digit, `@`, or `+`,
-or near a spelled-out `at` and `dot`, can be labelled: elsewhere the label is O by definition. A
-span of the CRF is added if it overlaps no base span; it never changes one.
+trained in the driver from the labelled table below by gradient ascent on the exact likelihood. Every
+text is decoded whole: words that bounds prove to be O are set aside, and Viterbi runs over what lies
+between them, many sequences at once. A span of the CRF is added if it overlaps no base span; it
+never changes one.
 
 Edge cases: null and empty texts have no spans; equal texts give equal spans; long texts and long
 digit runs are handled whole; an empty table gives no rows; other columns are ignored.
@@ -18,7 +18,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -120,18 +119,24 @@ LABELLED = (
 MARK = re.compile(r"\{(\w+):([^}]*)\}")
 #: Words whose presence beside a word is a feature.
 NEAR = frozenset("call phone tel tel. telephone telephone: mobile fax ring number contact reach card visa pay ssn ssn: social security passport iban insurance no. email email: mail write send address reply at dot [at] [dot] isbn serial version page year chapter telefon appelez le order line build section".split())
-SPELLED = frozenset((b"at", b"dot", b"[at]", b"[dot]", b"(at)", b"(dot)"))
+#: Words on each side that tell whether a word is O for certain.
+REACH = 4
+#: A byte's part in its word's shape.
+FORM = np.arange(256, dtype=np.uint8)
+FORM[ord("0") : ord("9") + 1], FORM[ord("A") : ord("Z") + 1], FORM[ord("a") : ord("z") + 1] = ord("9"), ord("X"), ord("x")
 LABELS = ("O", *(f"{p}-{k}" for k in CRF_KINDS for p in "BI"))
 
 
-@lru_cache(maxsize=200_000)
 def shape(word: bytes) -> str:
     """Letters as x or X, digits as 9, runs of letters as one."""
-    s = re.sub(r"[^\W\d_]", lambda m: "X" if m[0].isupper() else "x", word[:40].decode("utf-8", "replace"))
-    return re.sub(r"(x+|X+)", lambda m: m[0][0], re.sub(r"\d", "9", s))
+    if word.isascii():
+        s = word.translate(FORM.tobytes()).decode()
+    else:
+        s = re.sub(r"[^\W\d_]", lambda m: "X" if m[0].isupper() else "x", word.decode("utf-8", "replace"))
+        s = re.sub(r"\d", "9", s)
+    return re.sub("X+", "X", re.sub("x+", "x", s))
 
 
-@lru_cache(maxsize=200_000)
 def features(word: bytes) -> tuple[str, ...]:
     s = shape(word)
     n = s.count("9")
@@ -140,7 +145,6 @@ def features(word: bytes) -> tuple[str, ...]:
     return (f"shape={s}", f"short={short}", f"digits={min(n, 12)}", f"long={len(word) > 12}", f"word={low if low in NEAR else '-'}", f"alpha={not n and s.strip('xX') == ''}", f"ends={s[-1:]}", f"starts={s[:1]}")
 
 
-@lru_cache(maxsize=200_000)
 def beside(word: bytes) -> tuple[str, ...]:
     s = re.sub(r"9+", "9", shape(word))
     low = word[:16].decode("utf-8", "replace").lower()
@@ -152,38 +156,128 @@ class Crf:
 
     def __init__(self, names: dict[str, int], weight: np.ndarray, move: np.ndarray, start: np.ndarray) -> None:
         self.names, self.weight, self.move, self.start = names, weight, move, start
-        self._own: dict[bytes, np.ndarray] = {}
+        self.near = np.array([int(arrays.word_hashes(d, np.array([0]), np.array([len(d)]))[0]) for d in (np.frombuffer(w.encode(), np.uint8) for w in sorted(NEAR))], np.uint64)
+        self._row: dict[int, int] = {}
+        self._rows: dict[bytes, int] = {}
+        self._table: list[np.ndarray] = []
 
     def parts(self, word: bytes) -> np.ndarray:
         """What a word adds to its own labels' scores, and to those of the next and the previous word."""
-        if word not in self._own:
-            if len(self._own) > 200_000:
-                self._own.clear()
-            total = np.zeros((3, len(LABELS)))
-            for row, group in ((0, [f"0{f}" for f in features(word)]), (1, [f"-{f}" for f in beside(word)]), (2, [f"+{f}" for f in beside(word)])):
-                for f in group:
-                    if f in self.names:
-                        total[row] += self.weight[self.names[f]]
-            self._own[word] = total
-        return self._own[word]
+        total = np.zeros((3, len(LABELS)))
+        for row, group in ((0, [f"0{f}" for f in features(word)]), (1, [f"-{f}" for f in beside(word)]), (2, [f"+{f}" for f in beside(word)])):
+            for f in group:
+                if f in self.names:
+                    total[row] += self.weight[self.names[f]]
+        return total
 
     def decode(self, sequences: list[list[bytes]]) -> list[np.ndarray]:
-        """Viterbi over all sequences at once, longest first; a step takes those that still have a word."""
-        order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
-        size = np.array([len(sequences[i]) for i in order])
-        if not len(size):
-            return []
-        at = np.cumsum(size) - size
-        own = np.array([self.parts(w) for i in order for w in sequences[i]])
-        score = own[:, 0].copy()
-        inner = np.ones(len(score), bool)
-        inner[at] = False
-        score[inner] += own[np.flatnonzero(inner) - 1, 1]
-        last = np.zeros(len(score), bool)
-        last[at + size - 1] = True
-        score[~last] += own[np.flatnonzero(~last) + 1, 2]
+        """The best labels of each sequence."""
+        text = [b" ".join(s) for s in sequences]
+        off = np.concatenate([[0], np.cumsum(list(map(len, text)))]).astype(np.int64)
+        data = np.frombuffer(b"".join(text), np.uint8)
+        start, end, doc = arrays.words(data, off)
+        return np.split(self.label(data, start, end, doc), np.searchsorted(doc, np.arange(1, len(sequences)))) if sequences else []
+
+    def classes(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The row of `table` of every word: words of one row have the same features."""
+        high = np.concatenate([[0], np.cumsum(data >= 128)])
+        odd = high[end] > high[start]
+        form = FORM[data]
+        if odd.any():  # only ASCII words are told apart by their form
+            step = np.zeros(len(data) + 1, np.int8)
+            step[start[odd]] += 1
+            step[end[odd]] -= 1
+            form = np.where(np.cumsum(step[:-1], dtype=np.int8) > 0, data, form)
+        key = arrays.word_hashes(form, start, end)
+        low = arrays.word_hashes(arrays.LOWER[data], start, end)
+        near = np.isin(low, self.near)
+        key[near] = arrays.mix(key[near] + low[near])
+        value, at, of = np.unique(key, return_index=True, return_inverse=True)
+        if len(self._row) > 200_000:
+            self._row.clear()
+        row = np.zeros(len(value), np.int64)
+        for i, (v, a, b) in enumerate(zip(value.tolist(), start[at].tolist(), end[at].tolist(), strict=True)):
+            r = self._row.get(v)
+            if r is None:
+                part = self.parts(data[a:b].tobytes())
+                r = self._row[v] = self._rows.setdefault(part.tobytes(), len(self._rows))
+                if r == len(self._table):
+                    self._table.append(part)
+            row[i] = r
+        return row[of]
+
+    def label(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """The best label of every word, each document's words being one sequence.
+
+        Most words are O on every best path, whatever stands around them (see `certain`). The path falls into independent
+        parts there, so Viterbi runs over what lies between: the result is that of whole sequences.
+        """
+        n = len(start)
+        out = np.zeros(n, np.int8)
+        if not n:
+            return out
+        row = self.classes(data, start, end)
+        table = np.array(self._table)
+        first, last = np.ones(n, bool), np.ones(n, bool)
+        first[1:] = doc[1:] != doc[:-1]
+        last[:-1] = first[1:]
+
+        def score(i: np.ndarray) -> np.ndarray:
+            own = table[row[i], 0]
+            inner = ~first[i]
+            own[inner] += table[row[i[inner] - 1], 1]
+            inner = ~last[i]
+            own[inner] += table[row[i[inner] + 1], 2]
+            return own
+
+        key, ahead, behind = row.astype(np.uint64), row + 1, row + 1  # words with the same rows around them are certain alike
+        for _ in range(REACH):
+            ahead, behind = np.append(ahead[1:], 0) * ~last, np.append(0, behind[:-1]) * ~first
+            key = arrays.mix((key * arrays.BASES[0] + ahead.astype(np.uint64)) * arrays.BASES[1] + behind.astype(np.uint64))
+        _, at, of = np.unique(key, return_index=True, return_inverse=True)
+        window = [np.clip(at + j, 0, n - 1) for j in range(1 - REACH, REACH)]
+        sure = self.certain([score(i) for i in window], [first[i] for i in window], [last[i] for i in window])[of]
+        at = np.flatnonzero(~sure)
+        if not len(at):
+            return out
+        head = np.flatnonzero(np.concatenate([[True], (np.diff(at) > 1) | first[at[1:]]]))
+        tail = np.append(head[1:], len(at)) - 1
+        begin = np.where(first[at[head], None], self.start, self.move[0])
+        leave = np.where(last[at[tail], None], 0.0, self.move[:, 0])
+        out[at] = self.viterbi(score(at), head, tail - head + 1, begin, leave)
+        return out
+
+    def certain(self, score: list[np.ndarray], first: list[np.ndarray], last: list[np.ndarray]) -> np.ndarray:
+        """Whether the word in the middle of a window is O on every best path, from the window's scores.
+
+        What another label can gain over O up to the word and after it is bounded from above, from the window's ends
+        inwards; the sum must be below nothing. Beyond the ends the bound holds for whatever stands there.
+        """
+        move, middle = self.move, len(score) // 2
+        over = [s - s[:, :1] for s in score]
+        any_before = (move - move[:, :1]).max(0)
+        gain = np.tile(any_before, (len(over[0]), 1))
+        for j in range(middle + 1):
+            if j:  # against O at the word before as well
+                gain = np.minimum(any_before, (before[:, :, None] + move).max(1) - move[0, 0])
+            before = over[j] + np.where(first[j][:, None], self.start - self.start[0], gain)
+        after = None
+        for j in range(len(score) - 2, middle - 1, -1):
+            least = np.tile(-move[0], (len(over[0]), 1))  # against O here and the same label next
+            for b in range(1, len(LABELS), 2):  # an I can't follow O: against its B
+                least[:, b + 1] = over[j + 1][:, b + 1] - over[j + 1][:, b] + max(0.0, (move[b + 1] - move[b]).max()) - move[0, b]
+            if after is not None:  # against O next
+                least = np.minimum(least, over[j + 1] + after - move[0, 0])
+            after = np.where(last[j][:, None], 0.0, (move + least[:, None]).max(2))
+            after[:, 0] = 0.0
+        return (before + after)[:, 1:].max(1) < -1e-6
+
+    def viterbi(self, score: np.ndarray, at: np.ndarray, size: np.ndarray, begin: np.ndarray, leave: np.ndarray) -> np.ndarray:
+        """Labels of sequences that lie at `at`, all at once, longest first; a step takes those that still have a word."""
+        order = np.argsort(-size, kind="stable")
+        at, size, leave = at[order], size[order], leave[order]
         back = np.zeros(score.shape, np.int8)
-        now = score[at] + self.start
+        now = score[at] + begin[order]
         final = now.copy()
         for t in range(1, int(size[0])):
             n = int(np.searchsorted(-size, -t))  # sequences longer than t
@@ -192,14 +286,11 @@ class Crf:
             now = step.max(1) + score[at[:n] + t]
             final[:n] = now
         label = np.zeros(len(score), np.int8)
-        label[at + size - 1] = final.argmax(1)
+        label[at + size - 1] = (final + leave).argmax(1)
         for t in range(int(size[0]) - 1, 0, -1):
             n = int(np.searchsorted(-size, -t))
             label[at[:n] + t - 1] = back[at[:n] + t, label[at[:n] + t]]
-        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(sequences)
-        for k, i in enumerate(order):
-            out[i] = label[at[k] : at[k] + size[k]]
-        return out
+        return label
 
 
 def _examples(rows: tuple[str, ...]) -> tuple[list[list[bytes]], list[list[int]]]:
@@ -282,42 +373,25 @@ def _plausible(kind: str, words: list[bytes]) -> bool:
     return {"card": 12 <= n <= 19, "phone": 7 <= n <= 15, "id": n >= 7}[kind]
 
 
-def crf_spans(crf: Crf, data: np.ndarray, off: np.ndarray, base: list[tuple[int, int, int, int]], reach: int = 2) -> list[tuple[int, str, int, int]]:
+def crf_spans(crf: Crf, data: np.ndarray, off: np.ndarray, base: list[tuple[int, int, int, int]]) -> list[tuple[int, str, int, int]]:
     """(document, kind, start, end) in bytes, none overlapping a base span."""
     start, end, doc = arrays.words(data, off)
     if not len(start):
         return []
     text = data.tobytes()
-    marked = np.flatnonzero(DIGIT[data] | (data == ord("@")) | (data == ord("+")))
-    hot = np.zeros(len(start), bool)
-    hot[np.searchsorted(start, marked, "right") - 1] = True
-    size = end - start
-    three = np.flatnonzero((data[start] == ord("d")) & (size == 3) | (data[start] == ord("[")) & (size <= 5) | (data[start] == ord("(")) & (size <= 5))
-    hot[[i for i in three.tolist() if text[start[i] : end[i]] in SPELLED]] = True
-    if not hot.any():
-        return []
-    wide = np.convolve(hot, np.ones(2 * reach + 1, np.int8))[reach : reach + len(hot)] > 0
-    wide[hot] = True
-    at = np.flatnonzero(wide)
-    cut = np.flatnonzero((np.diff(at) > 1) | (np.diff(doc[at]) > 0)) + 1
-    runs = [r for r in np.split(at, cut) if hot[r].any()]
-    words = [[text[start[i] : end[i]] for i in r.tolist()] for r in runs]
+    label = crf.label(data, start, end, doc)
     out = []
-    for r, w, label in zip(runs, words, crf.decode(words), strict=True):
-        t = 0
-        while t < len(label):
-            if label[t] == 0:
-                t += 1
-                continue
-            kind, u = LABELS[label[t]][2:], t + 1
-            while u < len(label) and LABELS[label[u]] == f"I-{kind}":
-                u += 1
-            if _plausible(kind, w[t:u]):
-                a, b = int(start[r[t]]), int(end[r[u - 1]])
-                while b > a and text[b - 1 : b] in b".,;:!?":
-                    b -= 1
-                out.append((int(doc[r[t]]), kind, a, b))
-            t = u
+    at = np.flatnonzero(label)
+    goes_on = (np.diff(at) == 1) & (doc[at[1:]] == doc[at[:-1]]) & (label[at[1:]] % 2 == 0)  # an I
+    head = at[np.concatenate([[True], ~goes_on])[: len(at)]]
+    tail = at[np.concatenate([~goes_on, [True]])[: len(at)]]
+    for h, t in zip(head.tolist(), tail.tolist(), strict=True):
+        kind = LABELS[label[h]][2:]
+        if _plausible(kind, [text[start[i] : end[i]] for i in range(h, t + 1)]):
+            a, b = int(start[h]), int(end[t])
+            while b > a and text[b - 1 : b] in b".,;:!?":
+                b -= 1
+            out.append((int(doc[h]), kind, a, b))
     taken: dict[int, list[tuple[int, int]]] = {}
     for d, _, s, e in base:
         taken.setdefault(d, []).append((s, e))

@@ -225,6 +225,49 @@ def test_crf_adds_spans_and_masks(spark):
     assert {r["doc_id"]: r["text"] for r in pii.mask(docs).collect()} == {1: "ring [phone] or [email] now", 2: "page 12 of 30 in 1998", 3: None}
 
 
+def test_crf_finds_every_labelled_span():
+    import pyarrow as pa
+
+    crf = pii.train()
+    plain, wanted = [], []
+    for row in pii.LABELLED:
+        spans = []
+        for m in pii.MARK.finditer(row):
+            s = len(pii.MARK.sub(r"\2", row[: m.start()]))
+            spans.append((m[1], s, s + len(m[2].rstrip(".,;:!?"))))
+        plain.append(pii.MARK.sub(r"\2", row))
+        wanted.append(spans)
+    texts = [*plain, "mail Jane AT Example DOT com please"]
+    _, every = pii.find_spans(pa.RecordBatch.from_pydict({"text": texts}), crf)
+    for row, got, spans in zip(texts, every, [*wanted, [("email", 5, 28)]], strict=True):
+        kept = {x for x in spans if row[x[1] : x[2]] != "QQ123456C"}  # six digits: `_plausible` asks for seven
+        assert kept <= set(got), row
+
+
+def test_decoding_in_parts_equals_whole_sequences():
+    import random
+
+    crf, rng = pii.train(), random.Random(1)
+
+    def whole(sequence):
+        p = [crf.parts(w) for w in sequence]
+        score = [p[t][0] + (p[t - 1][1] if t else 0) + (p[t + 1][2] if t + 1 < len(p) else 0) for t in range(len(p))]
+        now, back = score[0] + crf.start, []
+        for s in score[1:]:
+            step = now[:, None] + crf.move
+            back.append(step.argmax(0))
+            now = step.max(0) + s
+        path = [int(now.argmax())]
+        for b in reversed(back):
+            path.append(int(b[path[-1]]))
+        return path[::-1]
+
+    pool = [*" ".join(pii.MARK.sub(r"\2", t) for t in pii.LABELLED).split(), *"é漢字 The AT Dot, dot. [AT] x.y@z 12 ... Ab3Cd straße".split(), "a9" * 30 + "-1", *["and"] * 300]
+    sequences = [[rng.choice(pool).encode() for _ in range(rng.randint(1, 40))] for _ in range(800)]
+    assert [x.tolist() for x in crf.decode(sequences)] == list(map(whole, sequences))
+    assert pii.shape(b"x9" * 30) == "x9" * 30
+
+
 def test_viterbi_equals_brute_force():
     from itertools import product
 
