@@ -120,9 +120,17 @@ def _tag(data: bytes) -> tuple[int, dict[str, str]]:
 
 def parse(data: bytes) -> dict:
     """Tags, frames, table and checks of one stream."""
+    if len(data) < 128 or data[-128:-125] != b"TAG":
+        return _parse(data, len(data))
+    whole = _parse(data, len(data))
+    held = whole["offset"] + whole["length"] == len(data)  # bytes inside a frame of the chain are no tag
+    return whole if len(held) > 1 and held[-1] and whole["offset"][-2] + whole["length"][-2] == whole["offset"][-1] else _parse(data, len(data) - 128)
+
+
+def _parse(data: bytes, end: int) -> dict:
+    """`parse` of the bytes before `end`."""
     raw = np.frombuffer(data, np.uint8)
     first, fields = _tag(data)
-    end = len(data) - 128 if data[-128:-125] == b"TAG" else len(data)
     at = np.flatnonzero((raw[: end - 3] == 0xFF) & (raw[1 : end - 2] >= 0xE0)) if end > 4 else np.zeros(0, np.int64)
     at = at[at >= first]
     code = raw[at + 1].astype(np.int64) << 8 | raw[at + 2]

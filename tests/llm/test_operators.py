@@ -175,6 +175,18 @@ def test_mpeg_resynchronises_and_checks():
     assert mpeg_audio.parse(b"")["samples"] == 0 and len(mpeg_audio.parse(b"no audio here")["offset"]) == 0
 
 
+@pytest.mark.parametrize("units", [1, 3])
+def test_mpeg_text_that_looks_like_a_trailing_tag(units):
+    text = bytearray(b"ACGT" * (144 * units))
+    text[-70:-67] = b"TAG"
+    data = mpeg_audio.pack(bytes(text), len(text))
+    assert data[-128:-125] == b"TAG"
+    assert mpeg_audio.payload(data, mpeg_audio.parse(data)) == bytes(text)
+    tagged = mpeg_audio.pack(b"ACGT" * (144 * units), 576 * units) + b"TAG" + bytes(125)
+    found = mpeg_audio.parse(tagged)
+    assert (len(found["offset"]), found["skipped"]) == (units + 1, 0)
+
+
 def base(t):
     def luhn(s):
         return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
