@@ -74,21 +74,50 @@ def hashed_embedding(docs, dim=384):
     return t.groupBy("doc_id", "place").agg(F.sum("n").alias("n")).where("n <> 0")
 
 
+#: Rows of a block, and blocks of queries whose best a task holds at once.
+BLOCK_ROWS, HELD_BLOCKS = 1024, 16
+
+
+def _blocks(rows, key, name):
+    """Rows of (key, embedding) packed into blocks: `name`_ids and `name`_units, the vectors at unit length."""
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for at in range(0, len(f), BLOCK_ROWS):
+                part = f.iloc[at : at + BLOCK_ROWS].sort_values(key)
+                x = np.array(part["embedding"].tolist(), np.float64)
+                yield pd.DataFrame({f"{name}_ids": [part[key].to_numpy(np.int64).tobytes()], f"{name}_units": [(x / np.linalg.norm(x, axis=1, keepdims=True)).tobytes()]})
+
+    return rows.select(key, "embedding").mapInPandas(pack, f"{name}_ids binary, {name}_units binary")
+
+
 def cosine_top(queries, vectors, k=10):
-    """query_id, vec_id, rank of the k nearest by cosine. Queries are a bounded set; each partition of vectors keeps k a query."""
-    rows = queries.select("query_id", "embedding").collect()
-    ids = np.array([r["query_id"] for r in rows])
-    q_ = np.array([r["embedding"] for r in rows], np.float64)
-    q_ /= np.linalg.norm(q_, axis=1, keepdims=True)
+    """query_id, vec_id, rank of the k nearest by cosine. Every block of queries meets every block of vectors; a task keeps k a query of the blocks that it holds."""
 
     def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            x = np.array(f["embedding"].tolist(), np.float64)
-            s = q_ @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
-            best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            yield pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), "vec_id": f["vec_id"].to_numpy()[best.ravel()], "score": np.take_along_axis(s, best, 1).ravel()})
+        held: dict[tuple[bytes, bytes], tuple[np.ndarray, np.ndarray]] = {}
 
-    found = vectors.select("vec_id", "embedding").mapInPandas(nearest, "query_id long, vec_id long, score double")
+        def best(block: tuple[bytes, bytes]) -> pd.DataFrame:
+            score, vec = held.pop(block)
+            return pd.DataFrame({"query_id": np.repeat(np.frombuffer(block[0], np.int64), score.shape[1]), "vec_id": vec.ravel(), "score": score.ravel()})
+
+        for f in frames:
+            for asked, q_, ids, x in zip(f["q_ids"], f["q_units"], f["v_ids"], f["v_units"], strict=True):
+                n, m = len(asked) // 8, len(ids) // 8
+                score = np.frombuffer(q_, np.float64).reshape(n, -1) @ np.frombuffer(x, np.float64).reshape(m, -1).T
+                vec = np.broadcast_to(np.frombuffer(ids, np.int64), (n, m))
+                block = asked, q_
+                if block in held:
+                    score, vec = (np.concatenate(p, 1) for p in zip(held.pop(block), (score, vec), strict=True))
+                elif len(held) == HELD_BLOCKS:
+                    yield best(next(iter(held)))
+                order = np.lexsort((vec, -np.round(score, 9)), axis=1)[:, :k]
+                held[block] = np.take_along_axis(score, order, 1), np.take_along_axis(vec, order, 1)
+        for block in list(held):
+            yield best(block)
+
+    pairs = _blocks(queries, "query_id", "q").crossJoin(_blocks(vectors, "vec_id", "v"))
+    found = pairs.mapInPandas(nearest, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -1,6 +1,9 @@
 """Kernels without a SQL form, against the cases that define them."""
 
-from corpusflow.operators import cleaning, directory
+import numpy as np
+import pytest
+
+from corpusflow.operators import cleaning, directory, retrieval
 from corpusflow.streaming import events
 
 
@@ -45,3 +48,22 @@ def test_rate_limit_starts_at_the_first_event(spark):
 def test_stream_equals_batch(spark):
     sf = "/root/testdata/sf0.001"
     assert sorted(map(tuple, events.s4_rate_limit_stream(spark, sf).collect())) == sorted(map(tuple, events.s4_rate_limit(spark, sf).collect()))
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_cosine_top_collects_no_queries(spark, monkeypatch, block):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", block, raising=False)
+    monkeypatch.setattr(retrieval, "HELD_BLOCKS", 2, raising=False)
+    x = np.random.default_rng(3).normal(size=(90, 8))
+    x[50:60] = x[40:50]  # ties
+    v = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    asked = v.where("vec_id % 2 = 0").withColumnRenamed("vec_id", "query_id")
+    with monkeypatch.context() as m:
+        m.setattr(DataFrame, "collect", lambda self: pytest.fail("collected"))
+        found = retrieval.cosine_top(asked, v, 4)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    score = np.round(unit @ unit.T, 9)
+    wanted = {(i, j, r + 1) for i in range(0, 90, 2) for r, j in enumerate(sorted(range(90), key=lambda j: (-score[i, j], j))[:4])}
+    assert {(r["query_id"], r["vec_id"], r["rank"]) for r in found.collect()} == wanted
