@@ -51,17 +51,18 @@ def trim() -> None:
         pass
 
 
-def sliced(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Batches whose text holds about `limit` bytes, or one row."""
+def sliced(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES, done: bool = True) -> Iterator[pa.RecordBatch]:
+    """Batches whose text holds about `limit` bytes, or one row; after the last, if `done`, memory is trimmed."""
     for batch in batches:
         size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64))
         at = 0
         while at < batch.num_rows:
-            done = size[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(size, done + limit, "right")))
+            before = size[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(size, before + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
-    trim()
+    if done:
+        trim()
 
 
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,16 +102,62 @@ def _powers(which: int, n: int) -> np.ndarray:
     return have
 
 
+#: Bytes of a word from which it is hashed byte by byte, in one sweep, and masks of the first n bytes of eight.
+LONG_WORD = 512
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as a number; zeros follow the data."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def heads(view: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each word, zeros after a shorter one; view: `eights`."""
+    return view[start] & _FIRST[np.minimum(size, 8)]
+
+
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word's bytes. Words must be in order and not overlap."""
+    """A 64-bit hash of each word's bytes, eight bytes a step."""
     if not len(start):
         return np.zeros(0, np.uint64)
-    size = end - start
-    at = np.cumsum(size) - size
-    place = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(at, size)
-    value = data[place + np.repeat(start, size)].astype(np.uint64) + np.uint64(1)
-    value *= _powers(which, int(size.max()))[place]
-    return mix(np.add.reduceat(value, at) + size.astype(np.uint64) * BASES[1 - which])
+    size, view = end - start, eights(data)
+    own, other = BASES[which], BASES[1 - which]
+    out = mix(heads(view, start, size) + size.astype(np.uint64) * other)
+    left, done = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+    while len(left):
+        out[left] = mix(out[left] * own + heads(view, start[left] + done, size[left] - done))
+        done += 8
+        left = left[size[left] > done]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        value = data[start[i] : end[i]].astype(np.uint64) + np.uint64(1)
+        value *= np.cumprod(np.full(len(value), own, np.uint64))
+        out[i] = mix(value.sum(dtype=np.uint64, keepdims=True) + size[i : i + 1].astype(np.uint64) * other)[0]
+    return out
+
+
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position, code point) of each character of UTF-8 bytes."""
+    if not (data >= 128).any():
+        return np.arange(len(data)), data.astype(np.int32)
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    lead = data[at]
+    code = lead.astype(np.int32)
+    padded = np.concatenate([data, np.zeros(3, np.uint8)])
+    for low, high, more, mark in ((0xC0, 0xE0, 1, 0x1F), (0xE0, 0xF0, 2, 0x0F), (0xF0, 0x100, 3, 0x07)):
+        wide = np.flatnonzero((lead >= low) & (lead < high))
+        value = code[wide] & mark
+        for j in range(1, more + 1):
+            value = value << 6 | (padded[at[wide] + j] & 0x3F)
+        code[wide] = value
+    return at, code
+
+
+def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... of each i, count[i] of them, one after the other."""
+    ends = np.cumsum(count)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - count), count)
 
 
 def window_hashes(word: np.ndarray, doc: np.ndarray, k: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:

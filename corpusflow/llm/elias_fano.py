@@ -74,13 +74,24 @@ class Sequence:
             value |= (int(self.lower[bit // 8]) >> (bit % 8) & 1) << b
         return self.base + value
 
-    def all(self) -> np.ndarray:
-        if not self.n:
+    def some(self, i: int, j: int) -> np.ndarray:
+        """Values i to j - 1, reading only the bytes between their samples."""
+        if not 0 <= i < j <= self.n:
             return np.zeros(0, np.int64)
-        high = np.flatnonzero(np.unpackbits(self.upper, bitorder="little"))[: self.n] - np.arange(self.n)
-        value = high.astype(np.int64) << self.low
+        first = i // SAMPLE
+        byte = int(self.samples[first]) // 8
+        last = -(-j // SAMPLE)
+        end = int(self.samples[last]) // 8 + 1 if last < len(self.samples) else len(self.upper)
+        at = np.flatnonzero(np.unpackbits(self.upper[byte:end], bitorder="little")) + byte * 8
+        at = at[np.searchsorted(at, int(self.samples[first])) :][i - first * SAMPLE : j - first * SAMPLE]
+        value = (at - np.arange(i, j)).astype(np.int64) << self.low
         if self.low:
-            plane = np.unpackbits(self.lower, count=self.n * self.low, bitorder="little").reshape(self.n, self.low)
+            byte = i * self.low // 8
+            skip = i * self.low - byte * 8
+            plane = np.unpackbits(self.lower[byte : (j * self.low + 7) // 8], bitorder="little")[skip : skip + (j - i) * self.low].reshape(j - i, self.low)
             for b in range(self.low):
                 value |= plane[:, b].astype(np.int64) << b
         return value + self.base
+
+    def all(self) -> np.ndarray:
+        return self.some(0, self.n)

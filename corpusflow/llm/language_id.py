@@ -10,7 +10,8 @@ cells, from documents that aren't held out. Every other step covers all rows.
 
 Edge cases: null texts and texts without letters are `und` with score 0; equal distances go to
 the smaller language name, equal counts to the smaller n-gram; with nothing to learn from, every
-text is `und`; an empty table gives no rows; columns beside doc_id, text and lang are ignored.
+text is `und`; an empty table gives no rows; columns beside doc_id, text and lang are ignored, and
+lang_pred and score take the place of columns of that name.
 """
 
 from __future__ import annotations
@@ -30,12 +31,11 @@ SAMPLE = 400
 TOP = 300
 #: Letters handled at once.
 CHUNK = 1 << 19
-PROFILE = "lang string, gram long, rank long"
+#: What stands for everything between words.
+BLANK = 1
 
-LETTER = np.zeros(0x110000, bool)
-LETTER[: 1 << 16] = [chr(c).isalpha() for c in range(1 << 16)]
-LETTER[1 << 16 :] = True  # scripts and pictures beyond the base plane; pictures are cut out below
-LETTER[0x1F000:0x20000] = False
+#: Unicode's letters, in all planes.
+LETTER = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
 def _counts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,7 +43,7 @@ def _counts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     c = codes.astype(np.int64)
     two = c[:-1] << 21 | c[1:]
     three = two[:-1] << 21 | c[2:]
-    grams = np.sort(np.concatenate([c[c > 0], two[(c[:-1] > 0) | (c[1:] > 0)], three[c[1:-1] > 0]]))  # a middle blank joins two words: no n-gram
+    grams = np.sort(np.concatenate([c[c > BLANK], two[(c[:-1] > BLANK) | (c[1:] > BLANK)], three[c[1:-1] > BLANK]]))  # a middle blank joins two words: no n-gram
     if not len(grams):
         return grams, grams
     at = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
@@ -55,9 +55,9 @@ def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     if not text:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = np.where(LETTER[codes], codes, 0)
-    blank = codes == 0
-    codes = np.concatenate([[0], codes[~blank | np.concatenate([[True], ~blank[:-1]])], [0]])
+    codes = np.where(LETTER[codes], codes, BLANK)
+    blank = codes == BLANK
+    codes = np.concatenate([[BLANK], codes[~blank | np.concatenate([[True], ~blank[:-1]])], [BLANK]])
     parts = [_counts(codes[a : a + CHUNK + 2 * bool(a + CHUNK < len(codes))]) for a in range(0, len(codes) - 1, CHUNK)]
     if len(parts) == 1:
         return parts[0]
@@ -82,7 +82,7 @@ def profiles(docs: DataFrame, sample: int = SAMPLE, top: int = TOP) -> DataFrame
     picked = known.groupBy("lang", cell.alias("cell")).agg(F.min_by("text", F.struct(F.xxhash64("doc_id", F.lit(7)), "text")).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in arrays.sliced(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 gram, n = grams(text)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram, pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
@@ -116,20 +116,28 @@ class Matcher:
 
 
 def predict(docs: DataFrame, learned: DataFrame, top: int = TOP) -> DataFrame:
-    """docs with lang_pred and score. The profiles (languages x top rows) are collected, as their size is bounded."""
+    """docs with lang_pred and score, in place of columns of that name. The profiles (languages x top rows) are collected, as their size is bounded.
+
+    Only texts go to Python, and only languages and scores come back.
+    """
     rows = [tuple(r) for r in learned.collect()]
-    names = docs.columns
 
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def match(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = Matcher(rows, top)
-        for batch in batches:
-            found = [known.match(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*names, "lang_pred", "score"])
-
-    from pyspark.sql.types import DoubleType, StringType, StructType
-
-    out = StructType(list(docs.schema.fields)).add("lang_pred", StringType()).add("score", DoubleType())
-    return docs.mapInArrow(match, out)
+        for column in columns:
+            langs, scores = [], []
+            for batch in arrays.sliced([pa.RecordBatch.from_arrays([column], ["text"])], done=False):
+                for text in batch.column("text").to_pylist():
+                    lang, score = known.match(text)
+                    langs.append(lang)
+                    scores.append(score)
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
+        arrays.trim()
+
+    match.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    found = F.arrow_udf(match, "lang string, score double")
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "_found")]
+    return docs.withColumn("_found", found("text")).select(*kept, F.col("_found.lang").alias("lang_pred"), F.col("_found.score").alias("score"))
 
 
 def held_out() -> Column:

@@ -5,11 +5,12 @@ payload's true length, a frame with a Xing/Info table, then one frame for every
 Each frame is protected by its CRC-16; its main data is empty (silence) and the payload is the
 frame's ancillary data. `parse` reads any MPEG audio stream: it skips tags, resynchronises on
 frame headers, checks checksums, reads Xing/Info and VBRI tables, and returns the exact duration as
-samples over the sampling rate and the byte offset of every frame.
+samples over the sampling rate (as they are, and less an encoder's delay and padding, which the
+table tells) and the byte offset of every frame.
 
 Edge cases: a null text is an empty one; an empty payload still fills one unit of 576 bytes of 255;
-damaged bytes between frames are counted in `skipped` and passed over; a stream without frames has
-no duration; equal texts give equal bytes; an empty table gives no rows.
+damaged bytes between frames are counted in `skipped` and passed over; a table or tag that is cut off
+isn't read; free-format frames aren't recognised; a stream without frames has no duration; equal texts give equal bytes; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -108,9 +109,14 @@ def _tag(data: bytes) -> tuple[int, dict[str, str]]:
         return 0, {}
     end = 10 + (data[6] << 21 | data[7] << 14 | data[8] << 7 | data[9])
     at, fields = 10, {}
+    if data[5] & 64 and data[3] in (3, 4):  # an extended header comes first
+        n = data[10:14]
+        at += (n[0] << 21 | n[1] << 14 | n[2] << 7 | n[3] if data[3] == 4 else 4 + int.from_bytes(n, "big")) if len(n) == 4 else 0
     while at + 10 <= min(end, len(data)) and data[at] and data[3] in (3, 4):
         n = data[at + 4 : at + 8]
         size = n[0] << 21 | n[1] << 14 | n[2] << 7 | n[3] if data[3] == 4 else int.from_bytes(n, "big")
+        if size > len(data):
+            break
         if data[at : at + 4] == b"TXXX" and data[at + 10 : at + 11] in (b"\x00", b"\x03"):
             key, _, value = data[at + 11 : at + 10 + size].partition(b"\x00")
             fields[key.decode("latin-1")] = value.decode("utf-8", "replace").rstrip("\x00")
@@ -157,7 +163,7 @@ def _parse(data: bytes, end: int) -> dict:
     skipped += max(0, end - now)
     j = np.array(chosen, np.int64)
     offset, code = at[j], code[j]
-    frames = {"fields": fields, "offset": offset, "length": size[j], "skipped": skipped, "samples": 0, "rate": 0, "table": None, "checked": 0, "wrong": 0, "code": code}
+    frames = {"fields": fields, "offset": offset, "length": size[j], "skipped": skipped, "samples": 0, "played": 0, "rate": 0, "table": None, "checked": 0, "wrong": 0, "code": code}
     if not len(j):
         return frames
     mono = raw[offset + 3] >> 6 == 3
@@ -171,22 +177,52 @@ def _parse(data: bytes, end: int) -> dict:
         frames["checked"] += len(rows)
         frames["wrong"] += int((crc16(body) != told).sum())
     body = int(offset[0]) + 4 + 2 * bool(safe[0]) + int(side[0])
-    mark, vbri = data[body : body + 4], int(offset[0]) + 36
-    if mark in (b"Xing", b"Info"):
-        flags = int.from_bytes(data[body + 4 : body + 8], "big")
-        numbers = iter(struct.unpack_from(f">{bin(flags & 3).count('1')}I", data, body + 8))
-        frames["table"] = {"kind": mark.decode(), "frames": next(numbers) if flags & 1 else None, "bytes": next(numbers) if flags & 2 else None}
-    elif data[vbri : vbri + 4] == b"VBRI":
-        size, count = struct.unpack_from(">II", data, vbri + 10)
-        frames["table"] = {"kind": "VBRI", "frames": count, "bytes": size}
+    stop = int(offset[0] + size[j[0]])  # a table lies whole within the first frame, or isn't one
+    frames["table"] = xing_table(data[body:stop]) or vbri_table(data[int(offset[0]) + 36 : stop])
     drop = 1 if frames["table"] else 0  # the table's frame isn't played
-    frames |= {"samples": int(SAMPLES[code[drop:]].sum()), "rate": int(RATE[code[0]])}
+    samples = int(SAMPLES[code[drop:]].sum())
+    frames |= {"samples": samples, "rate": int(RATE[code[0]]), "played": max(0, samples - sum((frames["table"] or {}).get("trim", (0, 0))))}
     return frames
 
 
+def xing_table(body: bytes) -> dict | None:
+    """The table that starts a frame's main data with `Xing` or `Info`: counts, seek points, and samples to trim at both ends."""
+    if body[:4] not in (b"Xing", b"Info") or len(body) < 8:
+        return None
+    flags, at = int.from_bytes(body[4:8], "big"), 8
+    table: dict = {"kind": body[:4].decode(), "frames": None, "bytes": None, "seek": [], "trim": (0, 0)}
+    for bit, name in ((1, "frames"), (2, "bytes")):
+        if flags & bit:
+            if at + 4 > len(body):
+                return None
+            table[name], at = int.from_bytes(body[at : at + 4], "big"), at + 4
+    if flags & 4:
+        if at + 100 > len(body):
+            return None
+        table["seek"], at = [x * (table["bytes"] or 0) // 256 for x in body[at : at + 100]], at + 100
+    at += 4 * bool(flags & 8)
+    if at + 24 <= len(body) and body[at : at + 4] in (b"LAME", b"Lavf", b"Lavc"):
+        trim = int.from_bytes(body[at + 21 : at + 24], "big")
+        table["trim"] = (trim >> 12, trim & 4095)
+    return table
+
+
+def vbri_table(body: bytes) -> dict | None:
+    """The table at byte 36 of a frame: counts and the byte offsets of its seek points."""
+    if body[:4] != b"VBRI" or len(body) < 26:
+        return None
+    delay, _, size, count, points, scale, width, _ = struct.unpack_from(">HHIIHHHH", body, 6)
+    seek = [0]
+    if 1 <= width <= 4 and 26 + points * width <= len(body):
+        for i in range(points):
+            seek.append(seek[-1] + int.from_bytes(body[26 + i * width : 26 + (i + 1) * width], "big") * scale)
+    return {"kind": "VBRI", "frames": count, "bytes": size, "seek": seek, "trim": (0, 0), "delay": delay}
+
+
 def payload(data: bytes, found: dict) -> bytes:
     """The bytes that `pack` stored, from a stream that `parse` has read."""
     rows = found["offset"][1:]
+    rows = rows[found["length"][1:] == FRAME]
     return np.frombuffer(data, np.uint8)[rows[:, None] + np.arange(BODY, BODY + UNIT)].tobytes()
 
 
@@ -209,8 +245,8 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 def describe(media: DataFrame, key: str = "doc_id") -> DataFrame:
     """Per stream: what it holds, its digests, exact duration and frame seek offsets."""
-    schema = f"{key} long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, samples long, sampling_rate long, seek array<long>"
-    arrow = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "samples": pa.int64(), "sampling_rate": pa.int64(), "seek": pa.list_(pa.int64())}
+    schema = f"{key} long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, samples long, sampling_rate long, played long, seek array<long>"
+    arrow = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "samples": pa.int64(), "sampling_rate": pa.int64(), "played": pa.int64(), "seek": pa.list_(pa.int64())}
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrays.sliced(batches, "media"):
@@ -221,7 +257,8 @@ def describe(media: DataFrame, key: str = "doc_id") -> DataFrame:
                 table = f["table"] or {}
                 kbits = KBITS[f["code"]]
                 feature = f"frames={len(f['offset'])} kbps={int(kbits.min())}-{int(kbits.max())} duration={f['samples']}/{f['rate']} crc={f['checked'] - f['wrong']}/{f['checked']} skipped={f['skipped']} {table.get('kind')}={table.get('frames')}:{table.get('bytes')}" if len(kbits) else "no frames"
-                row = (int(f["fields"].get("payload-bytes", 0)), len(held), hashlib.sha256(held).hexdigest(), zlib.crc32(held[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature, f["samples"], f["rate"], f["offset"].tolist())
+                told = f["fields"].get("payload-bytes", "")
+                row = (int(told) if told.isdecimal() and len(told) < 16 else 0, len(held), hashlib.sha256(held).hexdigest(), zlib.crc32(held[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature, f["samples"], f["rate"], f["played"], f["offset"].tolist())
                 for k, v in zip(arrow, row, strict=True):
                     out[k].append(v)
             yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(out[k], t) for k, t in arrow.items())], [key, *arrow])
@@ -231,4 +268,4 @@ def describe(media: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def op4_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return describe(store(docs)).withColumn("n_seek", F.size("seek")).drop("seek")
+    return describe(store(docs))

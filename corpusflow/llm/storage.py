@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder URI below spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """A fresh folder URI below spark.checkpoint.dir; a temporary folder only where that is unset and Spark is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
         if not base:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             base = "file://" + tempfile.mkdtemp(prefix="corpusflow-")
             spark.sparkContext.setCheckpointDir(base)
     if base.startswith("/"):
@@ -29,8 +32,8 @@ def written(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_file(uri: str, parts: list[bytes]) -> None:
-    """Write under a private name, then rename, so that a repeated or killed task leaves whole files only."""
+def write_file(uri: str, parts: Iterable[bytes]) -> None:
+    """Write parts as they come under a private name, then rename, so that a repeated or killed task leaves whole files only."""
     store, path = fs.FileSystem.from_uri(uri)
     store.create_dir(path.rsplit("/", 1)[0], recursive=True)
     private = f"{path}.{uuid.uuid4().hex}"

@@ -26,21 +26,23 @@ def test_elias_fano_round_trip_and_select():
         held = elias_fano.Sequence(elias_fano.encode(values))
         assert held.all().tolist() == values.tolist()
         assert [held.select(i) for i in range(n)] == values.tolist()
+        assert [held.some(a, b).tolist() for a in (0, 1, 255, 700) for b in (1, 256, 257, n) if a < b <= n] == [values[a:b].tolist() for a in (0, 1, 255, 700) for b in (1, 256, 257, n) if a < b <= n]
 
 
 def test_token_output(spark, docs, none, rows):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    got = token_output.read_shards(token_output.write_shards(docs, path, public_tokenizers.PATTERN, storage.shared_dir(spark) + "/s")).collect()
+    got = token_output.read_shards(token_output.write_shards(docs, path, storage.shared_dir(spark) + "/s")).collect()
     library = Tokenizer.from_file(path)
     wanted, at = [], 0
-    for i, t in sorted(((r[0], r[1]) for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or "")):
+    hashes = {(r["doc_id"], r["text"]): r["h"] for r in docs.selectExpr("doc_id", "text", "xxhash64(text) AS h").collect()}
+    for i, t in sorted(((r[0], r[1]) for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, hashes[x])):
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
         wanted.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     assert sorted(map(tuple, got), key=lambda r: r[1]) == wanted
-    assert token_output.read_shards(token_output.write_shards(none, path, public_tokenizers.PATTERN, storage.shared_dir(spark) + "/s")).count() == 0
+    assert token_output.read_shards(token_output.write_shards(none, path, storage.shared_dir(spark) + "/s")).count() == 0
 
 
 def test_encoder_equals_library_on_odd_texts():
@@ -49,7 +51,36 @@ def test_encoder_equals_library_on_odd_texts():
     path = public_tokenizers.path("byte_bpe_50k.json")
     texts = ["", " ", "\x1c\x85 a", "don't  stop\r\n\n x", "<|endoftext|> b", "ʼtis 漢²½ é", "a" * 5000]
     ids = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
-    assert [np.frombuffer(b, "<u2").tolist() for b in token_output.Encoder(path, public_tokenizers.PATTERN).encode(texts)] == ids
+    import pyarrow as pa
+
+    flat, count = token_output.Encoder(path).encode(pa.array([None, *texts]))
+    assert [x.tolist() for x in np.split(flat, np.cumsum(count)[:-1])] == [[], *ids]
+
+
+def test_pieces_start_where_the_pattern_says():
+    import random
+
+    import regex
+    from corpusflow.llm import arrays
+
+    rng, pattern = random.Random(1), regex.compile(public_tokenizers.PATTERN)
+    for _ in range(5000):
+        text = "".join(rng.choices("abst'' \n\t.12é rvel", k=rng.randint(1, 14)))
+        _, code = arrays.code_points(np.frombuffer(text.encode(), np.uint8))
+        first = np.arange(len(code)) == 0
+        start = token_output.piece_starts(code, token_output.KIND[np.minimum(code, 0x250)], first)
+        assert np.flatnonzero(start).tolist() == [m.start() for m in pattern.finditer(text)]
+
+
+def test_cache_of_few_slots_finds_what_was_learned():
+    from corpusflow.llm.idcache import IdCache
+
+    cache, rng = IdCache(4), np.random.default_rng(1)
+    for _ in range(50):
+        full = rng.integers(0, 60, 200).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        at, n = cache.find(full, full, lambda i: (full[i] % np.uint64(5), np.repeat(full[i] % np.uint64(1000), (full[i] % np.uint64(5)).astype(int)).astype(np.int32)))  # noqa: B023
+        assert n.tolist() == (full % np.uint64(5)).tolist()
+        assert cache.gather(at, n).tolist() == np.repeat(full % np.uint64(1000), n).tolist()
 
 
 def test_sentencepiece_equals_library(spark, docs, none, rows):
@@ -158,6 +189,9 @@ def test_mpeg_round_trip(docs, none, rows):
         r = next(x for x in got if x["doc_id"] == i)
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(b), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
         assert r["samples"] == 1152 * len(payload) // 576 and r["sampling_rate"] == 48000
+        data = mpeg_audio.pack(payload, len(b))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(data), hashlib.sha256(data).hexdigest())
+        assert r["seek"] == [len(data) - 672 * k for k in range(len(payload) // 576 + 1, 0, -1)]
     assert mpeg_audio.store(none).count() == 0
 
 
@@ -187,6 +221,31 @@ def test_mpeg_text_that_looks_like_a_trailing_tag(units):
     assert (len(found["offset"]), found["skipped"]) == (units + 1, 0)
 
 
+def test_mpeg_damaged_and_foreign_streams():
+    import random
+    import struct
+
+    for mark in (b"Info", b"Xing"):  # an MPEG-2 frame of 24 bytes whose body starts with a table's mark
+        assert len(mpeg_audio.parse(b"\xff\xf3\x14\xc0" + bytes(9) + mark + bytes(7))["offset"]) == 1
+    assert mpeg_audio.parse(b"\xff\xf3\x18\xc0" + bytes(32) + b"VBRI" + bytes(8))["table"] is None
+    rng, whole = random.Random(2), mpeg_audio.pack(b"some text" * 64, 576)
+    for _ in range(400):
+        data = bytearray(whole[rng.randrange(60) : rng.randrange(60, len(whole))])
+        for _ in range(rng.randrange(8)):
+            data[rng.randrange(len(data))] ^= 1 << rng.randrange(8)
+        found = mpeg_audio.parse(bytes(data))
+        assert found["played"] <= found["samples"] and len(mpeg_audio.payload(bytes(data), found)) % 576 == 0
+    frame = b"\xff\xfb\x90\x00"
+    info = b"Xing" + struct.pack(">III", 15, 2, 1000) + bytes(range(100)) + struct.pack(">I", 5) + b"LAME" + bytes(17) + bytes((0x24, 0x03, 0x10))
+    stream = (frame + bytes(32) + info).ljust(417, b"\0") + 2 * frame.ljust(417, b"\0")
+    found = mpeg_audio.parse(stream)
+    assert found["table"] == {"kind": "Xing", "frames": 2, "bytes": 1000, "seek": [x * 1000 // 256 for x in range(100)], "trim": (576, 784)}
+    assert (found["samples"], found["played"], found["offset"].tolist()) == (2304, 2304 - 576 - 784, [0, 417, 834])
+    vbri = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 1105, 80, 1251, 2, 2, 10, 1, 1) + bytes((41, 42))
+    found = mpeg_audio.parse((frame + bytes(32) + vbri).ljust(417, b"\0") + 2 * frame.ljust(417, b"\0"))
+    assert found["table"]["seek"] == [0, 410, 830] and found["table"]["frames"] == 2
+
+
 def base(t):
     def luhn(s):
         return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
@@ -360,6 +419,42 @@ def test_language_profiles(spark, docs, none, rows):
     assert language_id.predict(none.select("doc_id", "text"), language_id.profiles(docs)).count() == 0
 
 
+def test_letters_of_all_planes(spark):
+    texts = ["𝟎𝟏𝟐 123", "\U00010100 \U0001d100 \U000e0041", "😀", "𐐀𐐁", "𝒳", "12 a", "…"]
+    learned = language_id.profiles(spark.createDataFrame([(1, "the cat and the dog", "en")], "doc_id long, text string, lang string"))
+    docs = spark.createDataFrame([(i, t, "x", 2.0) for i, t in enumerate(texts)], "doc_id long, text string, lang_pred string, score double")
+    got = language_id.predict(docs, learned)
+    assert got.columns == ["doc_id", "text", "lang_pred", "score"]
+    for r in got.collect():
+        assert r["lang_pred"] == ("en" if any(c.isalpha() for c in r["text"]) else "und")
+
+
+def test_distances_equal_brute_force_over_a_table(spark, docs, rows):
+    from collections import Counter
+
+    def ranked(texts):
+        count = Counter()
+        for text in texts:
+            letters = "".join(c if c.isalpha() else " " for c in text.lower())
+            run = " " + " ".join(letters.split()) + " "
+            for n in (1, 2, 3):
+                count.update(g for g in (run[i : i + n] for i in range(len(run) - n + 1)) if g.strip() and not (n == 3 and g[1] == " "))
+        key = lambda g: sum((1 if c == " " else ord(c)) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+        return [g for g, _ in sorted(count.items(), key=lambda x: (-x[1], key(x[0])))[:300]]
+
+    own = defaultdict(list)
+    for r in rows[:30]:
+        if r[2]:
+            own[r[2]].append(r[1])
+    profile = {k: {g: i for i, g in enumerate(ranked(v))} for k, v in own.items()}
+    got = {r["doc_id"]: r for r in language_id.predict(docs, language_id.profiles(docs.where("doc_id < 30"), sample=100_000)).where("doc_id < 30").collect()}
+    for i, text, *_ in rows[:30]:
+        mine = ranked([text])
+        far = {k: sum(abs(p[g] - j) if g in p else 300 for j, g in enumerate(mine)) for k, p in sorted(profile.items())}
+        best = min(far, key=far.get)
+        assert (got[i]["lang_pred"], got[i]["score"]) == (best, pytest.approx(1 - far[best] / (300 * len(mine))))
+
+
 def test_out_of_place_distance():
     rows = [("x", int(g), i) for i, g in enumerate(language_id.ranked(*language_id.grams("abc abd abe")))] + [("y", int(g), i) for i, g in enumerate(language_id.ranked(*language_id.grams("zyx zyw zyv")))]
     matcher = language_id.Matcher(rows)
