@@ -10,44 +10,41 @@ grouped by unit, and a fold with Spark's `aggregate` finds the segmentation:
   a model are merge ranks, and a path of the largest total isn't what the model's own encoder
   returns (the README has figures), so the fold follows the encoder.
 
-The segmented units form a dictionary in the shared folder, of units that occur LEAST times or more,
-the most frequent DICTIONARY of them. Each task looks its units up there; a unit that occurs once
-gains nothing from a dictionary, and is merged in the task by the same rule, as are units beyond
-it and those longer than LONGEST.
+The segmented units form a dictionary in the shared folder: files sorted by a hash of the unit, one
+a hash range, which workers map and search, and which hold each unit's first bytes as well. All
+distinct units of 2 to LONGEST characters go through the lattice, up to the DICTIONARY most
+frequent. Only what is left (single characters, longer units and those beyond the dictionary) is
+segmented in the task, by the same rule.
 
 Edge cases: null and empty texts have no ids; characters without a piece become bytes, or the
 unknown id where the model has no byte pieces; repeated rows are encoded alike; an empty table gives
-no rows; other columns are ignored. Decoding returns the text exactly, but for U+2581, which the
+no rows; other columns are ignored, and `ids` and `decoded` take the place of columns of that name. Decoding returns the text exactly, but for U+2581, which the
 model reads as a blank, and unknown ids.
 """
 
 from __future__ import annotations
 
 import heapq
-import io
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusflow.llm import arrays, storage
+from corpusflow.llm.idcache import IdCache
 
 BLANK = "▁"
-LONGEST = 32
-LEAST, DICTIONARY = 2, 6_000_000
-#: Distinct units that a task counts before it hands them on, and units whose ids a worker keeps.
-FLUSH, CACHE = 100_000, 150_000
-#: Bytes of text encoded at once.
-SLICE_BYTES = 1 << 19
+LONGEST = 63
+DICTIONARY = 32_000_000
+#: Distinct units that a task counts before it hands them on.
+FLUSH = 1_000_000
 #: Units that a task segments.
 UNITS_A_TASK = 50_000
 UNIGRAM, BPE = 1, 2
@@ -122,17 +119,37 @@ class Model:
         if any(BLANK in p.lstrip(BLANK) for p in longer):
             raise ValueError("a piece joins words")
         inner = "".join(sorted({c for p in longer for c in p} - {BLANK}))
-        self.split = re.compile(f"{BLANK}*[{re.escape(inner)}]+|{BLANK}+|.", re.DOTALL).findall if inner else re.compile(f"{BLANK}+|.", re.DOTALL).findall
+        self.inner = np.zeros(0x110000, bool)
+        self.inner[[ord(c) for c in inner]] = True
+        self.inner[[0x20, ord(BLANK)]] = False
         self.longest = max(map(len, self.ids), default=1)
         self.floor = min(self.scores, default=0.0) - 10
 
     def __reduce__(self):
         return Model, (self.pieces, self.scores, self.kinds, self.algorithm, self.prefix)
 
-    def units(self, text: str) -> list[str]:
-        if not text:
-            return []
-        return self.split((BLANK if self.prefix else "") + text.replace(" ", BLANK))
+    def prepared(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes, offsets) of texts as the model reads them: U+2581 is a blank, and a blank goes before a text."""
+        column = pc.fill_null(column.cast(pa.large_string()), "")
+        if pc.any(pc.match_substring(column, BLANK)).as_py():
+            column = pc.replace_substring(column, BLANK, " ")
+        if self.prefix:
+            blank, none = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
+            column = pc.if_else(pc.equal(pc.binary_length(column), 0), none, pc.binary_join_element_wise(blank, column, none))
+        return arrays.utf8(column)
+
+    def units(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, end) of units: blanks with the inner characters after them; any other character alone."""
+        at, code = arrays.code_points(data)
+        if not len(at):
+            return at, at
+        blank, inner = code == 0x20, self.inner[code]
+        start = np.ones(len(at), bool)
+        start[1:] = ~((blank[1:] & blank[:-1]) | (inner[1:] & (inner[:-1] | blank[:-1])))
+        edge = np.searchsorted(at, off[:-1])
+        start[edge[edge < len(at)]] = True
+        begin = at[start]
+        return begin, np.append(begin[1:], len(data))
 
     def fallback(self, char: str) -> list[int]:
         """Ids of a character without a piece."""
@@ -189,27 +206,49 @@ class Model:
         return [bytes([int(p[3:5], 16)]) if k == 6 else b"" if k == 3 else p.replace(BLANK, " ").encode() if k != 2 else " ⁇ ".encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
 
 
+def strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The pieces of data as an Arrow column, with BLANK for blanks."""
+    off = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)
+    own = np.ascontiguousarray(data[arrays.spread(start, end - start)])
+    return pc.replace_substring(pa.StringArray.from_buffers(len(start), pa.py_buffer(off), pa.py_buffer(own)), " ", BLANK)
+
+
 def counted_units(docs: DataFrame, model: Model) -> DataFrame:
-    """unit, n: how often each distinct unit occurs in all texts."""
+    """h (the unit's hash), unit, n: how often each distinct unit of 2 to LONGEST characters occurs in all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
+        known, times, found = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
 
         def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["unit", "n"])
+            units = pa.concat_arrays([f[1] for f in found])
+            h = np.concatenate([f[0] for f in found])
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), units, pa.array(times[np.searchsorted(known, h)])], ["h", "unit", "n"])
 
         for batch in arrays.sliced(batches):
-            for text in batch.column("text").to_pylist():
-                seen.update(model.units(text))
-            if len(seen) > FLUSH:
+            data, off = model.prepared(batch.column("text"))
+            start, end = model.units(data, off)
+            long = np.flatnonzero(end - start > 1)
+            start, end = start[long], end[long]
+            h, at, n = np.unique(arrays.word_hashes(data, start, end), return_index=True, return_counts=True)
+            place = np.searchsorted(known, h)
+            old = place < len(known)
+            old[old] = known[place[old]] == h[old]
+            times[place[old]] += n[old]
+            units = strings(data, start[at[~old]], end[at[~old]])
+            size = pc.utf8_length(units).to_numpy()
+            good = (size > 1) & (size <= LONGEST)
+            fresh = np.flatnonzero(~old)[good]
+            found.append((h[fresh], units.filter(pa.array(good))))
+            known, times = np.insert(known, place[fresh], h[fresh]), np.insert(times, place[fresh], n[fresh])
+            if len(known) > FLUSH:
                 yield row()
-                seen = Counter()
-        if seen:
+                known, times, found = known[:0], times[:0], []
+        if len(known):
             yield row()
-        seen = Counter()
+        known = times = found = None
         arrays.trim()
 
-    return docs.select("text").mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(count, "h long, unit string, n long").groupBy("h", "unit").agg(F.sum("n").alias("n"))
 
 
 def _merge_fold(edges: Column, size: Column) -> Column:
@@ -245,175 +284,194 @@ def _viterbi_fold(edges: Column, size: Column, floor: float) -> Column:
 
 
 def segmented(units: DataFrame, model: Model) -> DataFrame:
-    """unit, ids (array of int; -1 stands for a character without a piece) of distinct units of at most LONGEST characters."""
+    """unit, ids (array of int; -1 stands for a character without a piece) of distinct units of at most LONGEST characters.
+
+    Units are dealt once, by ranges of their hash h where they have one; the explode, the join and the grouping keep to that.
+    """
     spark = units.sparkSession
     order = {x: r for r, x in enumerate(sorted({-model.scores[i] for i in model.ids.values()}))}
     table = pa.table({"piece": list(model.ids), "id": pa.array(model.ids.values(), pa.int64()), "rank": pa.array([order[-model.scores[i]] for i in model.ids.values()], pa.int64()), "score": pa.array([model.scores[i] for i in model.ids.values()], pa.float64())})
     pieces = F.broadcast(spark.createDataFrame(table))  # the model's vocabulary: its size doesn't depend on the input
-    # Units are dealt once; the explode, the join and the grouping below keep to that.
-    each = units.select("unit").repartition(max(8, -(-units.count() // UNITS_A_TASK)), "unit").withColumn("size", F.length("unit"))
+    if "h" not in units.columns:
+        units = units.withColumn("h", F.xxhash64("unit"))
+    each = units.select("h", "unit").repartitionByRange(max(8, -(-units.count() // UNITS_A_TASK)), "h").withColumn("size", F.length("unit"))
     spans = each.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
     spans = spans.withColumn("l", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.col("size") - F.col("s")))))
     edges = spans.withColumn("piece", F.substring("unit", F.col("s") + 1, F.col("l"))).join(pieces, "piece")
     # An edge is one long: 12 bits of place, 24 of rank, 24 of id. A list of longs is light to group.
     place = (F.col("s") * 64 + F.col("s") + F.col("l")).cast("long")
     edge = F.shiftleft(place, 48).bitwiseOR(F.shiftleft("rank", 24)).bitwiseOR(F.col("id"))
-    found = edges.groupBy("unit").agg(F.collect_list(edge).alias("edges")).withColumn("size", F.length("unit"))
+    scored = [] if model.algorithm == BPE else [F.collect_list(F.struct(place.alias("place"), "score")).alias("scored")]
+    found = edges.groupBy("h", "unit").agg(F.collect_list(edge).alias("edges"), *scored).withColumn("size", F.length("unit"))
     low = F.lit((1 << 24) - 1)
     entry = F.transform("edges", lambda x: F.struct(F.shiftright(x, 48).alias("k"), F.struct(F.shiftright(x, 24).bitwiseAND(low).alias("rank"), x.bitwiseAND(low).alias("id")).alias("v")))
     found = found.withColumn("at", F.map_from_entries(entry))
     if model.algorithm == BPE:
         cuts = _merge_fold(F.col("at"), F.col("size"))
     else:
-        scores = F.array(*(F.lit(-x) for x in order))  # by rank
-        found = found.withColumn("scored", F.transform("edges", lambda x: F.struct((F.shiftright(x, 54)).cast("int").alias("s"), F.shiftright(x, 48).bitwiseAND(F.lit(63)).cast("int").alias("e"), F.element_at(scores, (F.shiftright(x, 24).bitwiseAND(low) + 1).cast("int")).alias("score"))))
+        found = found.withColumn("scored", F.transform("scored", lambda x: F.struct(F.shiftright(x["place"], 6).cast("int").alias("s"), x["place"].bitwiseAND(F.lit(63)).cast("int").alias("e"), x["score"].alias("score"))))
         cuts = _viterbi_fold(F.col("scored"), F.col("size"), model.floor)
     ids = F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), lambda i: F.coalesce(F.try_element_at("at", (F.element_at("cuts", i) * 64 + F.element_at("cuts", i + 1)).cast("long"))["id"], F.lit(-1)).cast("int"))
     return found.withColumn("cuts", cuts).select("unit", ids.alias("ids"))
 
 
-@contextmanager
-def grouped_in_memory(spark: SparkSession):
-    """Lists are grouped by hash, without a sort, for as many keys as a task gets; the session's own setting comes back after."""
-    name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(4 * UNITS_A_TASK))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
-def write_dictionary(docs: DataFrame, model: Model) -> list[str]:
-    """Segment the corpus' units; the paths of the dictionary's files, one a partition."""
-    units = storage.written(counted_units(docs, model), "units").where((F.length("unit") > 1) & (F.length("unit") <= LONGEST) & (F.col("n") >= LEAST))
+def write_dictionary(docs: DataFrame, model: Model) -> list[tuple[int, str]]:
+    """Segment the corpus' units; (smallest hash, path) of the dictionary's files, in order."""
+    units = storage.written(counted_units(docs, model), "units")
     if units.count() > DICTIONARY:
-        rows = units.groupBy("n").agg(F.count("*").alias("m")).orderBy(F.desc("n"))
-        from pyspark.sql import Window
-
+        rows = units.groupBy("n").agg(F.count("*").alias("m"))
         total = rows.withColumn("total", F.sum("m").over(Window.orderBy(F.desc("n"))))
         least = total.where(F.col("total") <= DICTIONARY).agg(F.min("n")).first()[0]
         units = units.where(F.col("n") >= F.lit(least))
     folder = f"{storage.shared_dir(docs.sparkSession)}/units"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sizes, ids = [], [], []
+        head, full, sizes, ids = [], [], [], []
         for batch in batches:
-            keys += [xxhash.xxh64_intdigest(u) for u in batch.column("unit").to_pylist()]
+            data, off = arrays.utf8(pc.replace_substring(batch.column("unit"), BLANK, " "))
+            head.append(arrays.heads(arrays.eights(data), off[:-1], np.diff(off)))
+            full.append(arrays.word_hashes(data, off[:-1], off[1:]))
             column = batch.column("ids")
             sizes.append(np.diff(column.offsets.to_numpy()))
             ids.append(column.flatten().to_numpy())
-        if keys:
-            path = f"{folder}/{TaskContext.get().partitionId()}.npz"
-            out = io.BytesIO()
-            np.savez(out, keys=np.array(keys, np.uint64), sizes=np.concatenate(sizes).astype(np.uint8), ids=np.concatenate(ids).astype(np.int32))
-            storage.write_file(path, [out.getvalue()])
-            yield pa.RecordBatch.from_pydict({"path": [path]})
-        del keys, sizes, ids
+        if head:
+            head, full, sizes, ids = map(np.concatenate, (head, full, sizes, ids))
+            order = np.argsort(full.view(np.int64), kind="stable")
+            starts = np.cumsum(sizes) - sizes
+            ids = ids[arrays.spread(starts[order], sizes[order])].astype("<i4")
+            ends = np.concatenate([[0], np.cumsum(sizes[order])]).astype("<u4")
+            path = f"{folder}/{TaskContext.get().partitionId()}.units"
+            storage.write_file(path, [np.array([len(full), len(ids)], "<u8").tobytes(), full[order].tobytes(), head[order].tobytes(), ends.tobytes(), ids.tobytes()])
+            yield pa.RecordBatch.from_pydict({"low": [int(full.view(np.int64).min())], "path": [path]})
+        head = full = sizes = ids = None
         arrays.trim()
 
-    with grouped_in_memory(docs.sparkSession):
-        return [r["path"] for r in segmented(units, model).mapInArrow(write, "path string").collect()]  # one row a file
+    return sorted(map(tuple, segmented(units, model).mapInArrow(write, "low long, path string").collect()))  # one row a file
 
 
 class Encoder:
-    """A worker's view of the dictionary: sorted hashes, and where each one's ids are."""
-
-    def __init__(self, model: Model, paths: list[str]) -> None:
-        self.model = model
-        files = [np.load(io.BytesIO(storage.read_file(p))) for p in paths]
-        keys = np.concatenate([np.zeros(0, np.uint64), *(f["keys"] for f in files)])
-        sizes = np.concatenate([np.zeros(0, np.uint8), *(f["sizes"] for f in files)])
-        self.ids = np.concatenate([np.zeros(0, np.int32), *(f["ids"] for f in files)]).astype(np.int32 if len(model.pieces) >= 1 << 15 else np.int16)
-        order = np.argsort(keys, kind="stable")
-        at = np.cumsum(sizes, dtype=np.int64) - sizes
-        self.keys, self.sizes, self.at = keys[order], sizes[order], at[order].astype(np.uint32 if len(self.ids) < 1 << 32 else np.uint64)
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, units: list[str]) -> dict[str, bytes]:
-        """Ids of new units; those of the dictionary are kept, as they come again, the others are for this once."""
-        keys = np.array([xxhash.xxh64_intdigest(u) for u in units], np.uint64)
-        place = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
-        hit = self.keys[place] == keys if len(self.keys) else np.zeros(len(keys), bool)
-        once: dict[str, bytes] = {}
-        for u, i, ok in zip(units, place.tolist(), hit.tolist(), strict=True):
-            own = self.ids[self.at[i] : self.at[i] + self.sizes[i]] if ok else None
-            if own is None or own.min() < 0:
-                once[u] = np.asarray(self.model.segment(u), "<i4").tobytes()
-            else:
-                self.known[u] = own.astype("<i4").tobytes()
-        return once
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        units = [self.model.units(t or "") for t in texts]
-        distinct = set().union(*units)
-        new = distinct.difference(self.known)
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = distinct
-        once = self._learn(list(new)) if new else {}
-        known = self.known
-        look = {u: known[u] if u in known else once[u] for u in distinct}.__getitem__
-        return [np.frombuffer(b"".join(map(look, own)), "<i4") for own in units]
+    """A worker's view of the dictionary, and the ids of what it has looked up there."""
+
+    def __init__(self, model: Model, files: list[tuple[int, str]]) -> None:
+        self.model, self.files = model, files
+        self.low = np.array([f[0] for f in files], np.int64)
+        self.open: dict[int, tuple[np.ndarray, ...]] = {}
+        self.known = IdCache()
+
+    def _file(self, i: int) -> tuple[np.ndarray, ...]:
+        if i not in self.open:
+            held = storage.read_file(self.files[i][1])
+            n, m = (int(x) for x in np.frombuffer(held, "<u8", 2))
+            self.open[i] = np.frombuffer(held, np.int64, n, 16), np.frombuffer(held, "<u8", n, 16 + 8 * n), np.frombuffer(held, "<u4", n + 1, 16 + 16 * n), np.frombuffer(held, "<i4", m, 20 + 20 * n)
+        return self.open[i]
+
+    def _learn(self, text: bytes, begin: np.ndarray, end: np.ndarray, head: np.ndarray, full: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids, all ids) of units: from the dictionary, or segmented here."""
+        key = full.view(np.int64)
+        order = np.argsort(key, kind="stable")
+        count = np.full(len(key), -1, np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        which = np.searchsorted(self.low, key[order], "right") - 1
+        cut = np.searchsorted(which, np.arange(len(self.files) + 1))
+        for i in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+            keys, heads, ends, ids = self._file(i)
+            own = order[cut[i] : cut[i + 1]]
+            at = np.minimum(np.searchsorted(keys, key[own]), len(keys) - 1)
+            hit = (keys[at] == key[own]) & (heads[at] == head[own])
+            own, at = own[hit], at[hit]
+            size = (ends[at + 1] - ends[at]).astype(np.int64)
+            got = ids[arrays.spread(ends[at].astype(np.int64), size)]
+            odd = np.zeros(len(own), bool)  # a character without a piece
+            odd[np.repeat(np.arange(len(own)), size)[got < 0]] = True
+            parts.append((own[~odd], got[np.repeat(~odd, size)]))
+            count[own[~odd]] = size[~odd]
+        left = np.flatnonzero(count < 0)
+        mine = [self.model.segment(text[a:b].decode("utf-8", "replace").replace(" ", BLANK)) for a, b in zip(begin[left].tolist(), end[left].tolist(), strict=True)]
+        count[left] = list(map(len, mine))
+        parts.append((left, np.array([i for x in mine for i in x], np.int32)))
+        out = np.empty(int(count.sum()), np.int32)
+        first = np.cumsum(count) - count
+        for own, ids in parts:
+            out[arrays.spread(first[own], count[own])] = ids
+        return count, out
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, offsets of each text's); data, off: `Model.prepared`."""
+        begin, end = self.model.units(data, off)
+        doc = np.searchsorted(off, begin, "right") - 1
+        text = data.tobytes()
+        head, full = arrays.heads(arrays.eights(data), begin, end - begin), arrays.word_hashes(data, begin, end)
+        at, n = self.known.find(head, full, lambda new: self._learn(text, begin[new], end[new], head[new], full[new]))
+        count = np.bincount(doc, n, len(off) - 1).astype(np.int64)
+        return self.known.gather(at, n), np.concatenate([[0], np.cumsum(count)])
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def _worker(model: Model, files: list[str]) -> Encoder:
+def _worker(model: Model, files: list[tuple[int, str]]) -> Encoder:
     """One encoder a worker process."""
-    key = files[0] if files else ""
+    key = files[0][1] if files else ""
     if key not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[key] = Encoder(model, files)
     return _ENCODERS[key]
 
 
+class Speller:
+    """From ids to bytes."""
+
+    def __init__(self, model: Model) -> None:
+        spelled = model.spelled()
+        self.prefix = model.prefix
+        self.size = np.array(list(map(len, spelled)), np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(spelled), np.uint8)
+
+    def spell(self, ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes, offsets) of texts whose ids lie between offsets, a prefixed blank included."""
+        size = self.size[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        return self.data[arrays.spread(self.first[ids], size)], ends[off]
+
+
 def encode(docs: DataFrame, path: str, keep_text: bool = True) -> DataFrame:
     """docs with ids: array of int, for the model file at path."""
     from pyspark.sql.types import ArrayType, IntegerType, StructType
 
     model = Model.read(path)
     files = write_dictionary(docs, model)
-    names = [c for c in docs.columns if keep_text or c != "text"]
+    names = [c for c in docs.columns if c != "ids" and (keep_text or c != "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _worker(model, files)
-        for batch in arrays.sliced(batches, limit=SLICE_BYTES):
-            ids = encoder.encode(batch.column("text").to_pylist())
-            off = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.ListArray.from_arrays(off, pa.array(np.concatenate([np.zeros(0, np.int32), *ids]), pa.int32()))], [*names, "ids"])
+        for batch in arrays.sliced(batches):
+            ids, off = encoder.encode(*model.prepared(batch.column("text")))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32()))], [*names, "ids"])
 
     return docs.mapInArrow(run, StructType([docs.schema[c] for c in names]).add("ids", ArrayType(IntegerType())))
 
 
-def decoder(model: Model):
-    """From an array of ids to text."""
-    spelled = model.spelled()
-
-    def decode(ids: np.ndarray) -> str:
-        text = b"".join(map(spelled.__getitem__, ids.tolist())).decode("utf-8", "replace")
-        return text[1:] if model.prefix and text[:1] == " " else text
-
-    return decode
-
-
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """encoded (ids: array of int) with decoded: the text its ids spell."""
+    """encoded (ids: array of int) with decoded, the text its ids spell, in place of a column of that name."""
     from pyspark.sql.types import StringType, StructType
 
     model = Model.read(path)
-    names = encoded.columns
+    names = [c for c in encoded.columns if c != "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spell = decoder(model)
-        for batch in batches:
-            column = batch.column("ids")
-            off, flat = column.offsets.to_numpy(), column.values.to_numpy()
-            texts = [spell(flat[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, "decoded"])
+        speller = Speller(model)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                column = batch.column("ids")
+                off = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())])
+                data, edge = speller.spell(column.flatten().to_numpy(), off)
+                texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+                texts = [t[1:] if speller.prefix and t[:1] == " " else t for t in texts]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string())], [*names, "decoded"])
 
-    return encoded.mapInArrow(run, StructType(list(encoded.schema.fields)).add("decoded", StringType()))
+    return encoded.mapInArrow(run, StructType([encoded.schema[c] for c in names]).add("decoded", StringType()))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -423,12 +481,17 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     files = write_dictionary(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, spell = _worker(model, files), decoder(model)
-        for batch in arrays.sliced(batches, limit=SLICE_BYTES):
-            texts = batch.column("text").to_pylist()
-            ids = encoder.encode(texts)
-            same = [spell(i) == (t or "") for i, t in zip(ids, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(len, ids)), pa.int64()), pa.array([zlib.crc32(i.astype("<i4").tobytes()) for i in ids], pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids_crc32", "round_trip"])
+        encoder, speller = _worker(model, files), Speller(model)
+        for batch in arrays.sliced(batches):
+            column = batch.column("text")
+            data, off = model.prepared(column)
+            ids, cut = encoder.encode(data, off)
+            told, edge = speller.spell(ids, cut)
+            same = [np.array_equal(told[a:b], data[c:d]) for a, b, c, d in zip(edge[:-1].tolist(), edge[1:].tolist(), off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            same = pc.and_(pa.array(same, pa.bool_()), pc.invert(pc.match_substring(pc.fill_null(column, ""), BLANK)))
+            own = ids.astype("<i4")
+            crc = [zlib.crc32(own[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(cut)), pa.array(crc, pa.int64()), same], ["doc_id", "n_tokens", "ids_crc32", "round_trip"])
 
     return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")
 
