@@ -6,8 +6,10 @@ counter, only whether it reached 2 is kept, one bit, so a window is estimated to
 all its counters did. Counts are never underestimated, so no repeated window is lost.
 
 A row has at least twice as many counters as there are windows, up to 2**MOST_BITS; beyond that the
-estimate grows looser, and the exact pass that follows it has more to do. A merged sketch thus
-takes at most DEPTH * 2**MOST_BITS / 8 bytes (512 MB) in a worker, whatever the input.
+estimate grows looser: of n windows that occur once, a share of about (1 - exp(-n / 2**31)) ** 2 is
+taken for repeated, and the exact pass that follows has them to do as well. A merged sketch thus
+takes at most DEPTH * 2**MOST_BITS / 8 bytes (512 MB), whatever the input, and a partition sends no
+more than two hits of a counter.
 """
 
 from __future__ import annotations
@@ -26,12 +28,12 @@ DEPTH = 2
 LEAST_BITS, MOST_BITS = 20, 31
 #: Windows that a partition sketches at once, and windows in a merged block at most (roughly).
 FLUSH, BLOCK = 1 << 21, 1 << 21
-_LOADED: dict[str, list[np.ndarray]] = {}
+_LOADED: dict[str, list[list[np.ndarray]]] = {}
 arrays.AT_END.append(_LOADED.clear)
 
 
 def counters(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return arrays.mix(hashes + np.uint64(row + 1) * arrays.BASES[1]) >> np.uint64(64 - bits)
+    return arrays.mix(hashes + np.array([row + 1], np.uint64) * arrays.BASES[1]) >> np.uint64(64 - bits)
 
 
 @dataclass
@@ -41,18 +43,31 @@ class Sketch:
     blocks: int
     depth: int = DEPTH
 
-    def _rows(self) -> list[np.ndarray]:
+    def _rows(self) -> list[list[np.ndarray]]:
+        """Each row's blocks, as they are in their files: workers of a machine share the pages of local ones."""
         if self.folder not in _LOADED:
             _LOADED.clear()
-            _LOADED[self.folder] = [np.concatenate([np.frombuffer(storage.read_file(f"{self.folder}/{row}-{b}.bits"), np.uint8) for b in range(self.blocks)]) for row in range(self.depth)]
+            _LOADED[self.folder] = [[np.frombuffer(storage.read_file(f"{self.folder}/{row}-{b}.bits"), np.uint8) for b in range(self.blocks)] for row in range(self.depth)]
         return _LOADED[self.folder]
 
     def repeated(self, hashes: np.ndarray) -> np.ndarray:
         """For each window, whether its estimated count is 2 or more."""
-        out = np.ones(len(hashes), bool)
-        for row, held in enumerate(self._rows()):
-            at = counters(hashes, row, self.bits)
-            out &= (held[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        left = np.arange(len(hashes))
+        width = np.uint64(self.bits) - np.uint64(self.blocks.bit_length() - 1)
+        for row, blocks in enumerate(self._rows()):
+            at = counters(hashes[left], row, self.bits)
+            order = np.argsort(at)
+            at = at[order]
+            cut = np.searchsorted(at, np.arange(self.blocks + 1, dtype=np.uint64) << width)
+            inner = at & ((np.uint64(1) << width) - np.uint64(1))
+            byte, bit = (inner >> np.uint64(3)).astype(np.int64), (inner & np.uint64(7)).astype(np.uint8)
+            seen = np.zeros(len(at), bool)
+            for b, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+                if i < j:
+                    seen[i:j] = blocks[b][byte[i:j]] >> bit[i:j] & 1
+            left = left[order[seen]]
+        out = np.zeros(len(hashes), bool)
+        out[left] = True
         return out
 
 
@@ -68,6 +83,9 @@ def build(docs: DataFrame, hasher: Callable[[pa.RecordBatch], np.ndarray], expec
         h = np.concatenate(hashes)
         for row in range(DEPTH):
             at = np.sort(counters(h, row, bits))
+            more = np.ones(len(at), bool)
+            more[2:] = at[2:] != at[:-2]  # two hits of a counter tell as much as a million
+            at = at[more]
             cut = np.searchsorted(at >> shift, np.arange((1 << block_bits) + 1, dtype=np.uint64))
             used = [b for b in range(1 << block_bits) if cut[b] < cut[b + 1]]
             coded = [elias_fano.encode(at[cut[b] : cut[b + 1]]) for b in used]

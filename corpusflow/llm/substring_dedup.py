@@ -5,8 +5,10 @@ may be repeated; only those are grouped, exactly, by a 128-bit hash of their wor
 smallest doc_id they start in. A word is removed when a window that covers it also starts in a
 document with a smaller doc_id. Windows are judged on the input.
 
-Windows are grouped in blocks of hash range, packed into arrays, so that a passage that a third of
-all documents share is some entries of one block.
+Windows are grouped in blocks of hash range, packed into arrays. A task sends a window to its block
+only as the smallest document that it has seen holds it; others are late whatever the block finds,
+and are dealt by document. So a passage that a third of all documents share is some entries of one
+block.
 
 Edge cases: null and empty texts have no words; a text of fewer than K words keeps all; a document
 without doc_id keeps all and removes nothing elsewhere; repeated rows of one doc_id don't remove
@@ -36,6 +38,15 @@ def _windows(batch: pa.RecordBatch, k: int) -> tuple:
     return h, at, doc, (data, start, end)
 
 
+def lateness(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an order that brings equal windows together, in that order: whether a smaller document has the window)."""
+    order = np.lexsort((doc, h2, h1))
+    h1, h2, doc = h1[order], h2[order], doc[order]
+    new = np.ones(len(h1), bool)
+    new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    return order, doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+
+
 def repeated_windows(docs: DataFrame, k: int = K) -> DataFrame:
     """doc_id, text_hash, starts: word positions of windows that also start in a smaller doc_id, as packed 32-bit integers; several rows a document."""
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
@@ -44,13 +55,18 @@ def repeated_windows(docs: DataFrame, k: int = K) -> DataFrame:
     shift = np.uint64(64 - max(6, int(expected // sketch.BLOCK).bit_length()))
 
     def pack(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        """Rows of windows by block. Of each window only what the smallest document has here goes to its block; all else is late for certain."""
         h1, h2, doc, text, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(h1 >> shift, kind="stable")
-        blocks, first = np.unique((h1 >> shift)[order], return_index=True)
+        order, late = lateness(h1, h2, doc)
+        h1, h2, doc, text, place = h1[order], h2[order], doc[order], text[order], place[order]
+        block = np.where(late, arrays.mix(doc.view(np.uint64)), h1) >> shift  # late ones are dealt by document
+        order = np.lexsort((late, block))
+        block, late = block[order], late[order]
+        first = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (late[1:] != late[:-1])]))
         edges = np.append(first, len(order))
         own = [order[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        columns = {name: pa.array([x[o].tobytes() for o in own], pa.binary()) for name, x in (("h1", h1), ("h2", h2), ("doc", doc), ("text_hash", text), ("place", place))}
-        yield pa.RecordBatch.from_pydict({"block": pa.array(blocks.astype(np.int64)), **columns})
+        columns = {name: pa.array([None if gone and name in ("h1", "h2") else x[o].tobytes() for o, gone in zip(own, late[first].tolist(), strict=True)], pa.binary()) for name, x in (("h1", h1), ("h2", h2), ("doc", doc), ("text_hash", text), ("place", place))}
+        yield pa.RecordBatch.from_pydict({"block": pa.array(block[first].astype(np.int64)), **columns})
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, ...]] = []
@@ -71,14 +87,12 @@ def repeated_windows(docs: DataFrame, k: int = K) -> DataFrame:
             yield from pack(parts)
 
     def group(table: pa.Table) -> pa.Table:
-        h1, h2, doc, text, place = (np.concatenate([np.frombuffer(b, t) for b in table.column(c).to_pylist()]) for c, t in (("h1", np.uint64), ("h2", np.uint64), ("doc", np.int64), ("text_hash", np.int64), ("place", np.uint32)))
-        order = np.lexsort((doc, h2, h1))
-        h1, h2, doc, text, place = h1[order], h2[order], doc[order], text[order], place[order]
-        new = np.ones(len(h1), bool)
-        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-        least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-        late = doc > least
-        doc, text, place = doc[late], text[late], place[late]
+        whole = {c: table.column(c).to_pylist() for c in ("h1", "h2", "doc", "text_hash", "place")}
+        read = lambda c, t, gone: np.concatenate([np.zeros(0, t), *(np.frombuffer(b, t) for b, h in zip(whole[c], whole["h1"], strict=True) if (h is None) == gone)])
+        h1, h2, doc, text, place = (read(c, t, False) for c, t in (("h1", np.uint64), ("h2", np.uint64), ("doc", np.int64), ("text_hash", np.int64), ("place", np.uint32)))
+        order, late = lateness(h1, h2, doc)
+        order = order[late]
+        doc, text, place = (np.concatenate([x[order], read(c, t, True)]) for x, c, t in ((doc, "doc", np.int64), (text, "text_hash", np.int64), (place, "place", np.uint32)))
         order = np.lexsort((place, text, doc))
         doc, text, place = doc[order], text[order], place[order]
         first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])])) if len(doc) else np.zeros(0, np.int64)
