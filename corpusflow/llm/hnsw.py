@@ -1,11 +1,12 @@
 """Near-duplicate embeddings by hierarchical navigable small-world graphs (operator 10).
 
 Vectors are dealt to shards by hash; each shard's graph is built in one task from at most
-SHARD_ROWS vectors and stored in the shared folder. Every vector queries every shard, in blocks. A shard's
-beam is widened until an audit against brute force passes; a query whose beam is full of links is widened
-to its whole shard. Links are verified by cosine in double precision. Identical
-vectors are one class and are searched once; links leave a task as a forest and as counts, never
-as all pairs.
+SHARD_BYTES of vectors and stored in the shared folder. Every vector queries every shard, in blocks. A
+shard's beam is widened until an audit against brute force passes, on links and on nearest neighbours
+alike, so that it tells something where links are rare; the index keeps what the audit wanted and
+found. A query whose beam is full of links gets a wider one, up to WIDEST, and is compared with its
+whole shard only beyond that. Links are verified by cosine in double precision. Identical vectors are
+one class and are searched once; links leave a task as a forest and as counts, never as all pairs.
 
 Edge cases: vectors that are null, all zero, or hold null or non-finite components link with
 nothing; vectors of different lengths aren't compared; repeated vec_ids count as separate vectors
@@ -28,9 +29,11 @@ from corpusflow.llm.components import components, forest
 COSINE = 0.9
 #: Neighbours of a node, candidates when it is linked, and beam at the start.
 LINKS, BUILD, BEAM = 24, 64, 48
-SHARDS, SHARD_ROWS, QUERY_ROWS = 8, 500_000, 1024
-#: Vectors of the audit, and the share of their links that it asks for.
-AUDIT_ROWS, AUDIT_RECALL = 1024, 0.99
+SHARDS, SHARD_BYTES, QUERY_ROWS = 4, 64 << 20, 1024
+#: The widest beam of a query whose beam is full of links.
+WIDEST = 8 * BEAM
+#: Vectors of the audit, the share of their links that it asks for, and the share of their NEAREST nearest neighbours.
+AUDIT_ROWS, AUDIT_RECALL, NEAREST, NEAR_RECALL = 1024, 0.99, 10, 0.9
 #: Single precision guides the search; what it puts this far below the threshold is still verified.
 SLACK = 1e-4
 _GRAPHS: dict[str, "Graph"] = {}
@@ -108,13 +111,19 @@ def diverse(vec: np.ndarray, ids: np.ndarray, sims: np.ndarray, m: int) -> np.nd
     return np.pad(out, ((0, 0), (0, m - out.shape[1])), constant_values=-1) if out.shape[1] < m else out
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows at unit length. The largest component is taken out first, so that no square over- or underflows."""
+    x = x / np.abs(x).max(1, keepdims=True, initial=0)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 class Graph:
     """Layers of a shard, from all nodes up to a handful; layer l holds the first `counts[l]` nodes."""
 
     def __init__(self, ids: np.ndarray, weight: np.ndarray, vectors: np.ndarray, layers: list[np.ndarray] | None = None, beam: int = BEAM) -> None:
         self.ids, self.weight, self.vectors, self.beam = ids, weight, vectors, beam
-        with np.errstate(over="ignore"):
-            self.vec = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
+        self.vec = unit(vectors).astype(np.float32)
+        self.audited = np.zeros(4, np.int64)  # links wanted and found, neighbours wanted and found
         self.layers = layers if layers is not None else self._build()
 
     def _build(self) -> list[np.ndarray]:
@@ -185,31 +194,45 @@ class Graph:
         pad = lambda x, v: np.pad(x, ((0, 0), (0, full - x.shape[1])), constant_values=v)
         return np.concatenate([pad(i, -1) for i, _ in parts]), np.concatenate([pad(s, -np.inf) for _, s in parts])
 
-    def audit(self, query: np.ndarray, cosine: float) -> None:
-        """Widen the beam until it finds AUDIT_RECALL of the links that brute force finds; rows with more links than the beam holds are scanned anyway."""
-        if not len(query):
-            return
-        wanted = query @ self.vec.T >= cosine
-        full = wanted.sum(1) >= self.beam
-        while self.beam < len(self.vec):
-            found = np.zeros((len(query), len(self.vec) + 1), bool)
-            found[np.arange(len(query))[:, None], self.search(query, self.beam)[0]] = True
-            if (found[:, :-1] & wanted)[~full].sum() >= AUDIT_RECALL * wanted[~full].sum():
+    def audit(self, query: np.ndarray, own: np.ndarray, cosine: float) -> None:
+        """Widen the beam until it finds AUDIT_RECALL of the links and NEAR_RECALL of the nearest neighbours that brute force finds.
+
+        own: the queries' ids; a query's own node doesn't count. Rows with more links than the beam holds are widened anyway.
+        """
+        wanted: list[tuple[np.ndarray, np.ndarray]] = []
+        step = max(1, (16 << 20) // max(1, len(self.vec)))
+        for a in range(0, len(query), step):
+            sims = query[a : a + step] @ self.vec.T
+            sims[own[a : a + step, None] == self.ids] = -2
+            near = np.argpartition(-sims, min(NEAREST, sims.shape[1]) - 1, axis=1)[:, :NEAREST]
+            wanted += [(np.flatnonzero(s >= cosine), n[s[n] > -2]) for s, n in zip(sims, near, strict=True)]
+        while len(query):
+            found, _ = self.search(query, self.beam)
+            counts = np.zeros(4, np.int64)
+            for row, (links, near) in zip(found, wanted, strict=True):
+                if len(links) < self.beam:
+                    counts[:2] += len(links), len(np.intersect1d(links, row))
+                counts[2:] += len(near), len(np.intersect1d(near, row))
+            self.audited = counts
+            if self.beam >= len(self.vec) or (counts[1] >= AUDIT_RECALL * counts[0] and counts[3] >= NEAR_RECALL * counts[2]):
                 break
             self.beam *= 2
 
     def links(self, query: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) of what the beams hold that may reach cosine. A beam whose last node still does is widened to the whole shard."""
-        ids, sims = self.search(query, self.beam)
-        least = cosine - SLACK
-        full = (ids[:, -1] >= 0) & (sims[:, -1] >= least) & (ids.shape[1] < len(self.vec))
-        q, k = np.nonzero((ids >= 0) & (sims >= least) & ~full[:, None])
-        pairs = [(q, ids[q, k])]
-        wide = np.flatnonzero(full)
-        step = max(1, min(256, (16 << 20) // max(1, len(self.vec))))
-        for a in range(0, len(wide), step):
-            row, node = np.nonzero(query[wide[a : a + step]] @ self.vec.T >= least)
-            pairs.append((wide[a : a + step][row], node))
+        """(query, node) of what the beams hold that may reach cosine. A beam whose last node still does is widened."""
+        least, width = cosine - SLACK, self.beam
+        left = np.arange(len(query))
+        pairs: list[tuple[np.ndarray, np.ndarray]] = [(left[:0], left[:0])]
+        while len(left) and width <= max(self.beam, WIDEST):
+            ids, sims = self.search(query[left], width)
+            full = (ids[:, -1] >= 0) & (sims[:, -1] >= least) & (ids.shape[1] < len(self.vec))
+            q, k = np.nonzero((ids >= 0) & (sims >= least) & ~full[:, None])
+            pairs.append((left[q], ids[q, k]))
+            left, width = left[full], 4 * width
+        step = max(1, (16 << 20) // max(1, len(self.vec)))
+        for a in range(0, len(left), step):
+            row, node = np.nonzero(query[left[a : a + step]] @ self.vec.T >= least)
+            pairs.append((left[a : a + step][row], node))
         return np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
 
     def dump(self) -> bytes:
@@ -240,33 +263,46 @@ def valid(column: str) -> Column:
     return F.coalesce(F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0), F.lit(False))
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding)."""
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("e"))
-    rows = rows.withColumn("k1", F.when(valid("e"), F.xxhash64("e"))).withColumn("k2", F.xxhash64(F.lit(1), "e"))
+def classes_of(rows: DataFrame) -> DataFrame:
+    """k1, k2, rep (smallest vec_id), m (members), e, dim of each distinct vector of rows (vec_id, e, k1, k2)."""
     classes = rows.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.first("e").alias("e"))
-    classes = storage.written(classes.where("rep IS NOT NULL").withColumn("dim", F.size("e")), "classes")
-    shards = max(SHARDS, -(-classes.count() // SHARD_ROWS))
-    sample = classes.orderBy(F.xxhash64("rep")).limit(AUDIT_ROWS).select("e").collect()  # a fixed number of vectors
-    audit: dict[int, np.ndarray] = {}
+    return storage.written(classes.where("rep IS NOT NULL").withColumn("dim", F.size("e")), "classes")
+
+
+def index_of(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """A row a shard: dim, shard, path, beam, and what its audit wanted and found of links and of nearest neighbours."""
+    spark = classes.sparkSession
+    size = classes.agg(F.sum(F.col("dim").cast("long") * 8)).first()[0] or 0
+    shards = max(SHARDS, -(-size // SHARD_BYTES))
+    sample = classes.orderBy(F.xxhash64("rep")).limit(AUDIT_ROWS).select("rep", "e").collect()  # a fixed number of vectors
+    audit: dict[int, list] = {}
     for r in sample:
-        v = np.array(r["e"])
-        audit.setdefault(len(v), []).append(v / np.linalg.norm(v))
-    audit = {k: np.array(v, np.float32) for k, v in audit.items()}
+        audit.setdefault(len(r["e"]), []).append((r["rep"], r["e"]))
+    held = {k: (np.array([x for x, _ in v], np.int64), unit(np.array([e for _, e in v])).astype(np.float32)) for k, v in audit.items()}
     folder = f"{storage.shared_dir(spark)}/hnsw"
+    counts = ("links_wanted", "links_found", "near_wanted", "near_found")
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
         dim, shard = (k.as_py() for k in key)
         order = np.argsort(table.column("order").to_numpy(), kind="stable")
         graph = Graph(table.column("rep").to_numpy()[order], table.column("m").to_numpy()[order], _matrix(table.column("e"))[order])
-        graph.audit(audit.get(dim, np.zeros((0, dim), np.float32)), cosine)
+        own, query = held.get(dim, (np.zeros(0, np.int64), np.zeros((0, dim), np.float32)))
+        graph.audit(query, own, cosine)
         path = f"{folder}/{dim}-{shard}.npz"
         storage.write_file(path, [graph.dump()])
-        return pa.table({"dim": [dim], "shard": [shard], "path": [path], "beam": pa.array([graph.beam], pa.int64())})
+        return pa.table({"dim": [dim], "shard": [shard], "path": [path], "beam": pa.array([graph.beam], pa.int64()), **{c: pa.array([int(n)], pa.int64()) for c, n in zip(counts, graph.audited, strict=True)}})
 
     dealt = classes.select(F.col("dim").cast("long"), F.pmod(F.xxhash64("rep"), F.lit(shards)).alias("shard"), F.xxhash64("rep", F.lit(5)).alias("order"), "rep", "m", "e")
-    index = storage.written(dealt.groupBy("dim", "shard").applyInArrow(build, "dim long, shard long, path string, beam long"), "index")
+    schema = "dim long, shard long, path string, beam long, " + ", ".join(f"{c} long" for c in counts)
+    return storage.written(dealt.groupBy("dim", "shard").applyInArrow(build, schema), "index")
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding)."""
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("e"))
+    rows = rows.withColumn("k1", F.when(valid("e"), F.xxhash64("e"))).withColumn("k2", F.xxhash64(F.lit(1), "e"))
+    classes = classes_of(rows)
+    index = index_of(classes, cosine)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple]] = {}
@@ -288,14 +324,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
             for dim, path, reps, data in zip(*(batch.column(c).to_pylist() for c in ("dim", "path", "reps", "vectors")), strict=True):
                 graph = Graph.load(path)
                 reps = np.frombuffer(reps, np.int64)
-                x = np.frombuffer(data, np.float64).reshape(-1, dim)
-                unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-                q, node = graph.links(unit.astype(np.float32), cosine)
+                x = unit(np.frombuffer(data, np.float64).reshape(-1, dim))
+                q, node = graph.links(x.astype(np.float32), cosine)
                 good = graph.ids[node] != reps[q]
                 for at in range(0, len(q), 1 << 16):
                     part = slice(at, at + (1 << 16))
-                    other = graph.vectors[node[part]]
-                    good[part] &= np.einsum("nd,nd->n", unit[q[part]], other / np.linalg.norm(other, axis=1, keepdims=True)) >= cosine
+                    good[part] &= np.einsum("nd,nd->n", x[q[part]], unit(graph.vectors[node[part]])) >= cosine
                 q, node = q[good], node[good]
                 n = np.bincount(q, graph.weight[node], len(reps)).astype(np.int64)
                 a, b = forest(reps[q], graph.ids[node])

@@ -553,6 +553,29 @@ def test_hnsw_equals_brute_force(spark):
     assert hnsw.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_hnsw_norms_beyond_single_and_double_squares(spark):
+    v = np.random.default_rng(1).normal(size=8)
+    docs = spark.createDataFrame([(i, (v * k).tolist()) for i, k in enumerate((1, 2, 1e-200, 2e-200, 1e200, 2e200))], "vec_id long, embedding array<double>")
+    assert {(r["n_links"], r["component_id"]) for r in hnsw.near_duplicates(docs).collect()} == {(5, 0)}
+
+
+def test_hnsw_audit_and_recall_on_planted_clusters(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=(30, 32))
+    x = np.concatenate([c + rng.normal(scale=0.15, size=(n, 32)) for c, n in zip(centre, [400, 200, *[60] * 28], strict=True)] + [rng.normal(size=(1000, 32))])
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    e = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = ((e @ e.T) >= 0.9).sum(1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in hnsw.near_duplicates(docs).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= true).all() and found.sum() >= 0.99 * true.sum()
+    rows = docs.select("vec_id", F.col("embedding").alias("e"), F.xxhash64("embedding").alias("k1"), F.lit(0).alias("k2"))
+    audit = hnsw.index_of(hnsw.classes_of(rows)).agg(*(F.sum(c) for c in ("links_wanted", "links_found", "near_wanted", "near_found"))).first()
+    assert audit[0] > 1000 and audit[1] >= 0.99 * audit[0] and audit[2] > 10_000 and audit[3] >= 0.9 * audit[2]
+
+
 def test_graph_recall():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(3000, 24))
