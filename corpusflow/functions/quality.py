@@ -14,7 +14,9 @@ HEADINGS = ("references", "bibliography", "index", "annex", "appendix")
 ARTEFACT = "h17040"
 HARD = ("who_form_artifact_h17040", "questionnaire_scale_options", "table_of_contents_page", "references_only_page")
 CITATION = r"\bet al\.|\bdoi\b|https?://|\bisbn\b|\bvol\.|\bpp\.|\([0-9]{4}\)"
-GARBAGE = (r"~\s*[a-z]{1,4}", r'"{2,}', r"[a-z]\s*[~<>]\s*[a-z]", r"\bfig\.?\s*(er|if|and|,)", r"\bcourtesy\s+dr\.")
+#: Patterns of garbage, with what a text must hold to match them.
+GARBAGE = {r"~\s*[a-z]{1,4}": ("~",), r'"{2,}': ('""',), r"[a-z]\s*[~<>]\s*[a-z]": ("~", "<", ">"), r"\bfig\.?\s*(er|if|and|,)": ("fig",), r"\bcourtesy\s+dr\.": ("courtesy",)}
+VOWELS = "aeiouAEIOU"
 SURVEY = (r"\bsurvey\b", r"\bquestionnaire\b", r"\bforms?\b", r"\bassessment\s+forms?\b", r"\boral\s+health\s+assessment\b", r"\btick\b", r"\bcross\b", r"\bwho\s+oral\s+health\s+survey\b")
 TOC_LINE = r"\.{3,}\s*[0-9]+$|^[0-9]+(\.[0-9]+)*\s+.+\s+[0-9]+$"
 OPTION_LINE = r"(?i)\b(yes|no|never|often|sometimes|male|female|tick|cross)\b"
@@ -22,38 +24,48 @@ NUMERIC_LINE = r"(^|\s)[A-Z]?[0-9]+([.)]|\s)"
 HEADING_AT_END = r"\b(references|bibliography|index|annex|appendix)\b\s*([0-9]+)?\s*$"
 
 
-def letters_missing(c: Column) -> Column:
-    """Share of characters, white space aside, that aren't letters; 1 for a blank text."""
-    size = F.regexp_count(c, F.lit(T.NOT_SPACE))
-    return F.when(size == 0, F.lit(1.0)).otherwise(1 - F.regexp_count(c, F.lit(r"\p{L}")) / size)
+def letters_missing(compact: Column) -> Column:
+    """Share of characters that aren't letters, of a text without white space; 1 for an empty one."""
+    letters = F.length(F.regexp_replace(compact, r"\P{L}+", ""))
+    return F.when(compact == "", F.lit(1.0)).otherwise(1 - letters / F.length(compact))
+
+
+def holds(c: Column, *needles: str) -> Column:
+    """Whether any of the needles occurs: what a pattern needs, found without a regular expression."""
+    out = F.contains(c, F.lit(needles[0]))
+    for n in needles[1:]:
+        out = out | F.contains(c, F.lit(n))
+    return out
 
 
 def ends_with_heading(lower: Column) -> Column:
-    return F.regexp_replace(lower, "^[ .:-]+|[ .:-]+$", "").rlike(HEADING_AT_END)
+    return holds(lower, *HEADINGS) & F.regexp_replace(lower, "^[ .:-]+|[ .:-]+$", "").rlike(HEADING_AT_END)
 
 
-def garbage(c: Column) -> Column:
-    lower = F.lower(c)
+def garbage(lower: Column, lengths: Column) -> Column:
+    """lengths: of the text's Latin words, minus the length for one without a vowel."""
     found = F.lit(False)
-    for p in GARBAGE:
-        found = found | lower.rlike(p)
+    for p, needles in GARBAGE.items():
+        found = found | (holds(lower, *needles) & lower.rlike(p))
+    short, hard = F.size(F.filter(lengths, lambda n: F.abs(n) <= 2)), F.size(F.filter(lengths, lambda n: n <= -5))
+    return found | ((F.size(lengths) >= 30) & ((100 * short > 35 * F.size(lengths)) | (hard >= 4)))
+
+
+def word_lengths(c: Column) -> Column:
     ws = F.regexp_extract_all(c, F.lit(f"({T.LATIN_WORD_OR_LETTER})"), 1)
-    short = F.size(F.filter(ws, lambda w: F.length(w) <= 2))
-    hard = F.size(F.filter(ws, lambda w: (F.length(w) >= 5) & ~w.rlike("[aeiouAEIOU]")))
-    return found | ((F.size(ws) >= 30) & ((100 * short > 35 * F.size(ws)) | (hard >= 4)))
+    return F.transform(ws, lambda w: F.when((F.length(w) < 5) | (F.translate(w, VOWELS, "") != w), F.length(w)).otherwise(-F.length(w)))
 
 
-def repeated_words(c: Column) -> Column:
+def repeated_words(lower: Column) -> Column:
     """(repetitions of the word before, words)"""
-    ws = F.regexp_extract_all(F.lower(c), F.lit(f"({T.LATIN_WORD})"), 1)
-    again = F.size(F.filter(F.zip_with(ws, F.slice(ws, 2, F.greatest(F.size(ws), F.lit(1))), lambda a, b: a == b), lambda x: x))
-    return F.struct(again.alias("again"), F.size(ws).alias("n"))
+    ws = F.regexp_extract_all(lower, F.lit(f"({T.LATIN_WORD})"), 1)
+    return F.transform(F.array(ws), lambda w: F.struct(F.size(F.filter(w, lambda x, i: (i > 0) & (x == F.get(w, i - 1)))).alias("again"), F.size(w).alias("n")))[0]
 
 
-def repeated_lines(raw: Column) -> Column:
-    """(repeated short lines, short lines) of the text as it is."""
-    ls = F.filter(F.transform(T.lines(raw), F.lower), lambda x: (F.length(x) >= 4) & (F.length(x) <= 80))
-    return F.struct((F.size(ls) - F.size(F.array_distinct(ls))).alias("again"), F.size(ls).alias("n"))
+def repeated_lines(ls: Column) -> Column:
+    """(repeated short lines, short lines) of a text's lines."""
+    short = F.filter(F.transform(ls, F.lower), lambda x: (F.length(x) >= 4) & (F.length(x) <= 80))
+    return F.transform(F.array(short), lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).alias("again"), F.size(x).alias("n")))[0]
 
 
 def table_of_contents(ls: Column) -> Column:
@@ -68,9 +80,8 @@ def table_or_form(ls: Column) -> Column:
     return (F.size(ls) >= 3) & (((100 * short > 65 * F.size(ls)) & (options >= 2)) | (numeric >= 4))
 
 
-def references_only(c: Column) -> Column:
-    hits = F.regexp_count(F.lower(c), F.lit(CITATION))
-    return (hits >= 8) & (F.regexp_count(c, F.lit(T.LATIN_WORD)) < 240)
+def references_only(c: Column, lower: Column) -> Column:
+    return holds(lower, "et al.", "doi", "http", "isbn", "vol.", "pp.", "(") & (F.regexp_count(lower, F.lit(CITATION)) >= 8) & (F.regexp_count(c, F.lit(T.LATIN_WORD)) < 240)
 
 
 def survey_question(c: Column) -> Column:
@@ -81,24 +92,25 @@ def survey_question(c: Column) -> Column:
     return found
 
 
-def fired_rules(c: Column, lower: Column, raw: Column, line_aware: bool = False) -> Column:
-    """array of (reason, cost) of the rules that a squeezed text, its lower case and the text itself break.
+def fired_rules(c: Column, lower: Column, compact: Column, lengths: Column, rw: Column, ls: Column, rl: Column, line_aware: bool = False) -> Column:
+    """array of (reason, cost) of the rules that a text breaks.
 
-    White space is squeezed first, so rules on lines see one line; line_aware lets them see the text's own.
+    c, lower, compact: the text squeezed, in lower case, without blanks; lengths: `word_lengths`; rw: `repeated_words`;
+    ls, rl: the text's own lines and their `repeated_lines`. White space is squeezed before the rules on lines, so they
+    see one line; line_aware lets them see the text's own.
     """
     form, scale = T.count_of(lower, FORM_TERMS), T.count_of(lower, SCALE_TERMS)
-    rw, rl = repeated_words(c), repeated_lines(raw)
     rules = [
-        ("very_short_text", F.regexp_count(c, F.lit(T.WORD)) < 35, F.lit(35)),
+        ("very_short_text", T.fewer_words(c, 35), F.lit(35)),
         ("who_form_artifact_h17040", F.contains(lower, F.lit(ARTEFACT)), F.lit(55)),
         ("questionnaire_or_form_text", form > 0, 35 + 8 * F.least(form, F.lit(3))),
         ("questionnaire_scale_options", scale >= 3, F.lit(35)),
         ("reference_index_or_bibliography", ends_with_heading(lower), F.lit(30)),
-        ("table_of_contents_page", table_of_contents(T.lines(raw)) if line_aware else F.lit(False), F.lit(45)),
-        ("references_only_page", references_only(c), F.lit(45)),
-        ("mostly_symbols_numbers_or_table_artifacts", letters_missing(c) > 0.38, F.lit(40)),
-        ("table_or_form_layout", table_or_form(T.lines(raw)) if line_aware else F.lit(False), F.lit(30)),
-        ("ocr_or_layout_garbage", garbage(c), F.lit(45)),
+        ("table_of_contents_page", table_of_contents(ls) if line_aware else F.lit(False), F.lit(45)),
+        ("references_only_page", references_only(c, lower), F.lit(45)),
+        ("mostly_symbols_numbers_or_table_artifacts", letters_missing(compact) > 0.38, F.lit(40)),
+        ("table_or_form_layout", table_or_form(ls) if line_aware else F.lit(False), F.lit(30)),
+        ("ocr_or_layout_garbage", garbage(lower, lengths), F.lit(45)),
         ("repeated_text", (rw["n"] >= 30) & (100 * rw["again"] > 18 * rw["n"]), F.lit(25)),
         ("repeated_headers_or_footers", (rl["n"] >= 4) & (100 * rl["again"] > 35 * rl["n"]), F.lit(25)),
     ]

@@ -7,22 +7,27 @@ from pyspark.sql import functions as F
 
 #: White space and line ends as Python's str methods and \s have them.
 SPACE = r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+SPACES = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 NOT_SPACE = SPACE.replace("[", "[^", 1)
 LINE_END = r"\r\n|[\n-\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 WORD_CHAR = r"[\p{L}\p{N}_]"
 #: A word of letters, digits, apostrophes and hyphens.
 WORD = r"[\p{L}\p{N}_'-]*[\p{L}\p{N}_][\p{L}\p{N}_'-]*"
+#: The same words, for engines with possessive repetition.
+WORD_RUN = r"['-]*+[\p{L}\p{N}_][\p{L}\p{N}_'-]*+"
+#: What lies between such words.
+_BETWEEN = r"(?:[^\p{L}\p{N}_'-]|['-]++(?![\p{L}\p{N}_]))*+"
 LATIN_WORD = "[A-Za-z][A-Za-z'-]+"
 LATIN_WORD_OR_LETTER = "[A-Za-z][A-Za-z'-]*"
 
 
 def squeezed(c: Column) -> Column:
     """Every run of white space as one blank, none at the ends; null as empty."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), f"(\\x00|{SPACE})+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), SPACE.replace("[", r"[\x00", 1) + "+", " "))
 
 
 def stripped(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def lines(c: Column) -> Column:
@@ -39,6 +44,11 @@ def n_words(c: Column) -> Column:
     return F.regexp_count(F.coalesce(c, F.lit("")), F.lit(f"{NOT_SPACE}+"))
 
 
+def fewer_words(c: Column, n: int) -> Column:
+    """Whether a text has fewer than n words (WORD); reads no more of it than that takes."""
+    return ~c.rlike(f"^(?:{_BETWEEN}{WORD_RUN}){{{n}}}")
+
+
 def content_hash(c: Column) -> Column:
     """Equal for texts that differ in white space and case only."""
     return F.sha2(F.lower(squeezed(c)), 256)

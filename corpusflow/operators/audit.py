@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusflow import sqltext as S
 from corpusflow.functions import text as T
 from corpusflow.operators.quality import SCORED_SQL, scored
+from corpusflow.shared import numbered, written
 from corpusflow.tables import quoted as q
 from corpusflow.tables import table
 
@@ -23,15 +23,20 @@ def chunks(docs):
     return scored(docs).withColumns({"hash": T.content_hash(F.col("text")), "n_words": T.n_words(F.col("text"))})
 
 
-def best_first(keys):
-    """The best member of a group: most points, then longest, then smallest id."""
-    return Window.partitionBy(*keys).orderBy(F.desc("points"), F.desc("n_chars"), "doc_id")
+def light_chunks(docs):
+    """`chunks` without texts, scored once for the branches that follow."""
+    return written(chunks(docs).drop("text", "lang", "reasons"), "chunks")
+
+
+def best():
+    """The best member of a group: most points, then longest, then smallest id. An aggregate: a group isn't gathered in one task."""
+    return F.min_by("doc_id", F.struct(-F.col("points"), -F.col("n_chars"), F.col("doc_id")))
 
 
 def d1_exact_groups(spark, sf):
     """Groups of equal content, with the member to keep."""
     c = chunks(table(spark, sf, "documents"))
-    g = c.groupBy("hash").agg(F.count("*").alias("n"), F.min_by("doc_id", F.struct(-F.col("points"), -F.col("n_chars"), F.col("doc_id"))).alias("keep"))
+    g = c.groupBy("hash").agg(F.count("*").alias("n"), best().alias("keep"))
     return g.where("n >= 2")
 
 
@@ -47,7 +52,7 @@ def d2_candidate_pairs(spark, sf):
 
 def d4_fingerprint(spark, sf):
     """Hash of the start, middle and end of a source's documents in order."""
-    d = table(spark, sf, "documents").withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
+    d = numbered(table(spark, sf, "documents").select("doc_id", "source", F.substring("text", 1, 700).alias("text")), "source", "doc_id", "r").withColumn("r", F.col("r") + 1)
     n = d.groupBy("source").agg(F.count("*").alias("n"))
     mid = F.floor(F.col("n") / 2)
     picked = d.join(n, "source").where((F.col("r") <= 2) | ((F.col("r") >= mid) & (F.col("r") <= mid + 1)) | (F.col("r") > F.col("n") - 2))
@@ -56,8 +61,7 @@ def d4_fingerprint(spark, sf):
 
 
 def d5_best_document(spark, sf):
-    c = scored(table(spark, sf, "documents")).withColumn("r", F.row_number().over(best_first(["source"])))
-    return c.where("r = 1").select("source", "doc_id")
+    return scored(table(spark, sf, "documents")).groupBy("source").agg(best().alias("doc_id"))
 
 
 def d6_average_quality(spark, sf):
@@ -67,15 +71,20 @@ def d6_average_quality(spark, sf):
 
 def d7_duplicate_chunks(spark, sf, least=LEAST_WORDS):
     """Members of groups of equal content of at least 20 words, with the one to keep."""
-    c = chunks(table(spark, sf, "documents")).where(F.col("n_words") >= least)
-    n, first = Window.partitionBy("hash"), F.first("doc_id").over(best_first(["hash"]))
-    return c.select("doc_id", first.alias("keep"), F.count("*").over(n).alias("n")).where("n > 1")
+    c = light_chunks(table(spark, sf, "documents")).where(F.col("n_words") >= least)
+    groups = c.groupBy("hash").agg(best().alias("keep"), F.count("*").alias("n")).where("n > 1")
+    return c.select("doc_id", "hash").join(groups, "hash").select("doc_id", "keep", "n")
 
 
 def d8_lineage(spark, sf):
     """Canonical and duplicate, of texts of at least 35 words that aren't noisy."""
-    c = chunks(table(spark, sf, "documents")).where("n_words >= 35 AND NOT is_noisy")
-    return c.select("doc_id", F.first("doc_id").over(best_first(["hash"])).alias("keep")).where("doc_id <> keep")
+    return lineage(light_chunks(table(spark, sf, "documents")).where("n_words >= 35 AND NOT is_noisy"))
+
+
+def lineage(c):
+    """doc_id, keep: every chunk that isn't the best of its content, with the one that is."""
+    groups = c.groupBy("hash").agg(best().alias("keep"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return c.select("doc_id", "hash").join(groups, "hash").where("doc_id <> keep").select("doc_id", "keep")
 
 
 def d10_language(spark, sf):
@@ -116,9 +125,9 @@ def d14_issues(spark, sf):
 
 def d17_summary(spark, sf):
     """Counts of a cleanup, in one pass over the scored chunks."""
-    c = chunks(table(spark, sf, "documents"))
-    dup = F.row_number().over(best_first(["hash"])) > 1
-    c = c.withColumn("dup", dup & (F.col("n_words") >= LEAST_WORDS))
+    c = light_chunks(table(spark, sf, "documents"))
+    late = lineage(c).select("doc_id", F.lit(True).alias("late"))
+    c = c.join(late, "doc_id", "left").withColumn("dup", F.coalesce("late", F.lit(False)) & (F.col("n_words") >= LEAST_WORDS))
     return c.agg(F.count("*").alias("total"), F.count_if("is_noisy").alias("noisy"), F.count_if("dup").alias("duplicates"), F.count_if(F.col("dup") | F.col("is_noisy")).alias("removed"), F.countDistinct("hash").alias("distinct_texts"))
 
 
@@ -143,11 +152,11 @@ def d22_completeness(spark, sf):
 
 def d23_clean_selection(spark, sf):
     """Documents for a clean index: good, and first of their content; with the reason why others are skipped."""
-    c = chunks(table(spark, sf, "documents"))
-    reason = F.when(F.col("is_noisy"), "noisy").when(F.col("points") < 60, "low_quality")
-    c = c.withColumn("reason", reason)
-    r = F.row_number().over(Window.partitionBy("hash", F.col("reason").isNull()).orderBy("doc_id"))
-    c = c.withColumn("reason", F.when(F.col("reason").isNull() & (r > 1), "duplicate").otherwise(F.coalesce("reason", F.lit("kept"))))
+    c = light_chunks(table(spark, sf, "documents"))
+    c = c.withColumn("reason", F.when(F.col("is_noisy"), "noisy").when(F.col("points") < 60, "low_quality"))
+    first = c.where("reason IS NULL").groupBy("hash").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(True).alias("first"))
+    c = c.join(first, "doc_id", "left")
+    c = c.withColumn("reason", F.when(F.col("first"), "kept").otherwise(F.coalesce("reason", F.lit("duplicate"))))
     return c.groupBy("reason").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
@@ -165,10 +174,9 @@ def d25_known_rejected(spark, sf):
 
 def slice_retained_share(spark, sf):
     """Per source: documents, those that pass the quality gate, and those left after first-wins deduplication."""
-    c = chunks(table(spark, sf, "documents"))
-    good = ~F.col("is_noisy")
-    first = F.row_number().over(Window.partitionBy("hash", good).orderBy("doc_id")) == 1
-    c = c.withColumns({"good": good, "kept": good & first})
+    c = light_chunks(table(spark, sf, "documents")).withColumn("good", ~F.col("is_noisy"))
+    first = c.where("good").groupBy("hash").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(True).alias("kept"))
+    c = c.join(first, "doc_id", "left")
     return c.groupBy("source").agg(F.count("*").alias("n_docs"), F.count_if("good").alias("n_good"), F.count_if("kept").alias("n_kept"))
 
 

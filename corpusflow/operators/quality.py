@@ -12,11 +12,13 @@ from corpusflow.tables import table
 
 
 def scored(docs, line_aware=False):
-    """docs with points (0 to 100), is_noisy and reasons. Each step is a projection of its own, so nothing is evaluated twice."""
-    d = docs.withColumn("_c", T.squeezed(F.col("text"))).withColumn("_lc", F.lower("_c"))
-    d = d.withColumn("_fired", Q.fired_rules(F.col("_c"), F.col("_lc"), F.col("text"), line_aware))
+    """docs with points (0 to 100), is_noisy and reasons. What several rules need is a projection of its own, so nothing is evaluated twice."""
+    d = docs.withColumn("_c", T.squeezed(F.col("text"))).withColumns({"_lc": F.lower("_c"), "_ls": T.lines(F.col("text"))})
+    d = d.withColumns({"_compact": F.replace("_c", F.lit(" "), F.lit("")), "_lengths": Q.word_lengths(F.col("_c")), "_rw": Q.repeated_words(F.col("_lc")), "_rl": Q.repeated_lines(F.col("_ls"))})
+    parts = [F.col(x) for x in ("_c", "_lc", "_compact", "_lengths", "_rw", "_ls", "_rl")]
+    d = d.withColumn("_fired", Q.fired_rules(*parts, line_aware))
     d = d.withColumns({"points": F.greatest(F.lit(0), 100 - F.aggregate("_fired", F.lit(0), lambda a, x: a + x["cost"])), "reasons": F.transform("_fired", lambda x: x["reason"])})
-    return d.withColumn("is_noisy", (F.col("points") < 60) | F.arrays_overlap("reasons", F.array(*map(F.lit, Q.HARD)))).drop("_c", "_lc", "_fired")
+    return d.withColumn("is_noisy", (F.col("points") < 60) | F.arrays_overlap("reasons", F.array(*map(F.lit, Q.HARD)))).drop("_c", "_lc", "_compact", "_lengths", "_rw", "_ls", "_rl", "_fired")
 
 
 def c1_quality_score(spark, sf):
@@ -44,7 +46,7 @@ def second_points(raw):
     rules = [
         ("very_short_text", T.n_words(c) < 35, 35),
         ("administrative_text", lower.rlike(ADMIN), 35),
-        ("symbol_density", Q.letters_missing(c) > 0.42, 40),
+        ("symbol_density", Q.letters_missing(F.replace(c, F.lit(" "), F.lit(""))) > 0.42, 40),
         ("short_word_garbage", (F.size(ws) > 40) & (100 * short > 45 * F.size(ws)), 30),
     ]
     fired = F.filter(F.array(*(F.when(cond, F.struct(F.lit(n).alias("reason"), F.lit(cost).alias("cost"))) for n, cond, cost in rules)), lambda x: x.isNotNull())
@@ -69,7 +71,7 @@ def c16_effective_score(spark, sf):
 
 def c17_symbol_density(spark, sf):
     d = table(spark, sf, "documents")
-    return d.select("doc_id", F.floor(1000 * Q.letters_missing(F.col("text"))).alias("per_mille"))
+    return d.select("doc_id", F.floor(1000 * Q.letters_missing(F.regexp_replace("text", f"{T.SPACE}+", ""))).alias("per_mille"))
 
 
 QUERIES = {"c1_quality_score": c1_quality_score, "c10_line_rules": c10_line_rules, "c14_survey_question": c14_survey_question, "c15_cleanup_score": c15_cleanup_score, "c16_effective_score": c16_effective_score, "c17_symbol_density": c17_symbol_density}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusflow import sqltext as S
 from corpusflow.functions import text as T
+from corpusflow.shared import numbered, written
 from corpusflow.tables import quoted as q
 from corpusflow.tables import table
 
@@ -46,15 +47,15 @@ def keywords(c):
 def bm25(queries, chunks, k1=K1, b=B):
     """query_id, chunk_id, score (as integer ten-thousandths) for chunks with a query term; statistics over `chunks`.
 
-    Postings are aggregated by term before they meet the queries' terms; nothing is collected.
+    Texts are cut into tokens once. Only postings of terms that some query asks for are shuffled and counted.
     """
-    term = chunks.select("chunk_id", F.explode(tokens(F.col("text"))).alias("term"))
-    size = chunks.select("chunk_id", F.greatest(F.size(tokens(F.col("text"))), F.lit(1)).alias("dl"), F.size(tokens(F.col("text"))).alias("raw"))
-    stats = size.agg(F.count("*").alias("n"), F.greatest(F.avg("raw"), F.lit(1.0)).alias("avg"))
-    tf = term.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
+    cut = written(chunks.select("chunk_id", tokens(F.col("text")).alias("ts")), "tokens").withColumn("raw", F.size("ts"))
+    stats = cut.agg(F.count("*").alias("n"), F.greatest(F.avg("raw"), F.lit(1.0)).alias("avg"))
+    asked = written(queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn")), "asked")
+    term = cut.select("chunk_id", F.greatest("raw", F.lit(1)).alias("dl"), F.explode("ts").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    tf = written(term.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf")), "postings")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
-    hits = asked.join(df, "term").join(tf, "term").join(size, "chunk_id").join(F.broadcast(stats))  # one row
+    hits = asked.join(df, "term").join(tf, "term").join(F.broadcast(stats))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg"))) * F.col("qn")
     return hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
@@ -228,7 +229,7 @@ def g2_merge(spark, sf):
 def g8_neighbours(spark, sf):
     """The neighbours of the three best chunks of a query, in their source; selected ones first."""
     best = top(bm25(_queries(spark, sf), _chunks(spark, sf)), 3)
-    place = _chunks(spark, sf).select("chunk_id", "source", (F.row_number().over(Window.partitionBy("source").orderBy("chunk_id")) - 1).alias("pos"))
+    place = numbered(_chunks(spark, sf).select("chunk_id", "source"), "source", "chunk_id", "pos")
     own = best.select("query_id", "chunk_id", "rank").join(place, "chunk_id")
     near = own.select("query_id", "source", F.explode(F.array(F.col("pos") - 1, F.col("pos"), F.col("pos") + 1)).alias("pos"), (F.col("rank") + 0).alias("rank"))
     return near.join(place, ["source", "pos"]).groupBy("query_id", "chunk_id").agg(F.min("rank").alias("rank"))

@@ -9,6 +9,7 @@ from corpusflow import sqltext as S
 from corpusflow.functions import text as T
 from corpusflow.operators import cleaning, retrieval as R
 from corpusflow.operators.quality import SCORED_SQL, scored
+from corpusflow.shared import written
 from corpusflow.tables import quoted as q
 from corpusflow.tables import table
 
@@ -26,8 +27,9 @@ def lexical_score(text, terms):
 
 def candidates(spark, sf, k=20):
     """query_id, chunk_id, bm25, rank, low (chunk text), terms (of the query), points, is_noisy, approved: usable rows only."""
-    best = R.top(R.bm25(R._queries(spark, sf), R._chunks(spark, sf)), k).select("query_id", "chunk_id", F.col("score").alias("bm25"), "rank")
-    chunk = scored(table(spark, sf, "documents")).select(F.col("doc_id").alias("chunk_id"), "source", F.lower("text").alias("low"), "points", "is_noisy")
+    best = written(R.top(R.bm25(R._queries(spark, sf), R._chunks(spark, sf)), k).select("query_id", "chunk_id", F.col("score").alias("bm25"), "rank"), "best")
+    wanted = table(spark, sf, "documents").join(best.select(F.col("chunk_id").alias("doc_id")), "doc_id", "left_semi")  # only candidates are scored
+    chunk = scored(wanted).select(F.col("doc_id").alias("chunk_id"), "source", F.lower("text").alias("low"), "points", "is_noisy")
     good = table(spark, sf, "labels").select(F.col("doc_id").alias("chunk_id"), (F.col("quality") == 1).alias("approved"))
     asked = R._queries(spark, sf).select("query_id", R.keywords(F.col("text")).alias("terms"))
     rows = best.join(chunk, "chunk_id").join(good, "chunk_id", "left").join(asked, "query_id")

@@ -2,26 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow import sqltext as S
 from corpusflow.functions import text as T
 from corpusflow.operators.quality import SCORED_SQL, scored
+from corpusflow.shared import folder, numbered
 from corpusflow.tables import table
 
 APPROVED = ("approved", "approve", "yes", "y", "1", "true")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corpusflow-files-")
-    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
-
-
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; blank and malformed ones are dropped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
@@ -53,18 +45,13 @@ def a1_load(spark, sf):
     """Chunks of known documents, in order, with defaults for what is missing; orphans are dropped."""
     d = table(spark, sf, "documents")
     known = table(spark, sf, "labels").select("doc_id", "quality")
-    return d.join(known, "doc_id").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("quality", F.lit(0)).alias("quality"), (F.row_number().over(_by_source()) - 1).alias("place"))
-
-
-def _by_source():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("source").orderBy("doc_id")
+    rows = d.join(known, "doc_id").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("quality", F.lit(0)).alias("quality"))
+    return numbered(rows, "source", "doc_id", "place")
 
 
 def a3_jsonl(spark, sf):
     """Turns written as JSON lines among broken lines, and read back."""
-    path = scratch(spark)
+    path = folder(spark)
     c = table(spark, sf, "conversations").select("conv_id", "turn", "role")
     good = c.select(F.to_json(F.struct("conv_id", "turn", "role")).alias("value"))
     bad = c.where("turn = 0").select(F.lit("{broken").alias("value")).unionByName(c.where("turn = 1").select(F.lit("").alias("value")))
@@ -74,15 +61,15 @@ def a3_jsonl(spark, sf):
 
 def a4_clean_export(spark, sf):
     """Clean chunks as JSON lines, with the score as a fraction."""
-    path = scratch(spark)
+    path = folder(spark)
     scored(table(spark, sf, "documents")).where("NOT is_noisy AND points >= 60").select("doc_id", "source", F.round(F.col("points") / 100, 3).alias("quality")).write.json(path)
     return read_jsonl(spark, path, "doc_id long, source string, quality double")
 
 
 def a5_review_csv(spark, sf):
     """A review sheet with a fixed list of fields; what is missing is empty."""
-    path = scratch(spark)
-    c = table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", F.substring(T.squeezed(F.col("text")), 1, 50).alias("question"), F.lit(None).cast("string").alias("review"))
+    path = folder(spark)
+    c = table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", T.squeezed(F.col("text")).alias("question"), F.lit(None).cast("string").alias("review"))
     c.na.fill("").write.option("header", True).option("ignoreTrailingWhiteSpace", False).option("ignoreLeadingWhiteSpace", False).option("quoteAll", True).option("escape", '"').csv(path)
     return spark.read.schema("conv_id long, turn long, question string, review string").option("header", True).option("escape", '"').csv(path).select("conv_id", "turn", "question", F.coalesce("review", F.lit("")).alias("review"))
 
@@ -167,7 +154,7 @@ ORACLES = {
     "a1_load": "SELECT doc_id, coalesce(source, '') AS source, coalesce(quality, 0) AS quality, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place FROM documents JOIN labels USING (doc_id)",
     "a3_jsonl": "SELECT conv_id, turn, role FROM conversations",
     "a4_clean_export": f"WITH {SCORED_SQL} SELECT doc_id, source, round(points / 100.0::DOUBLE, 3) AS quality FROM quality JOIN (SELECT doc_id, source FROM documents) USING (doc_id) WHERE NOT is_noisy AND points >= 60",
-    "a5_review_csv": f"SELECT conv_id, turn, substr({S.squeezed('text')}, 1, 50) AS question, '' AS review FROM conversations WHERE role = 'user'",
+    "a5_review_csv": f"SELECT conv_id, turn, {S.squeezed('text')} AS question, '' AS review FROM conversations WHERE role = 'user'",
     "a6_approved": "SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND trim(coalesce(text, '')) <> '' AND trim(coalesce(source, '')) <> ''",
     "a9_copy": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'kept' ELSE source END AS source FROM documents",
     "a10_personal_export": "WITH o AS (SELECT o_custkey, count(*) AS n_orders, round(sum(o_totalprice), 2) AS spent FROM orders GROUP BY 1), l AS (SELECT o_custkey, count(*) AS n_lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1) SELECT c_custkey, c_name, coalesce(n_orders, 0) AS n_orders, coalesce(spent, 0) AS spent, coalesce(n_lines, 0) AS n_lines FROM customer LEFT JOIN o ON o.o_custkey = c_custkey LEFT JOIN l ON l.o_custkey = c_custkey",

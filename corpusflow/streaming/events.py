@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusflow import shared
 from corpusflow.operators import tagging
 from corpusflow.tables import table
 
@@ -91,10 +91,7 @@ def tagged(conversations: DataFrame) -> DataFrame:
 
 def streamed(spark, sf, name: str, transform, mode: str = "append", late: str | None = None) -> DataFrame:
     """The result of a stream over a table's file, run until all is read; kept in the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corpusflow-stream-")
-    import uuid
-
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = shared.folder(spark)
     source = table(spark, sf, name)
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(_folder(spark, source, folder))
     if late:
@@ -103,9 +100,13 @@ def streamed(spark, sf, name: str, transform, mode: str = "append", late: str |
     if mode == "append":
         q = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     else:
-        q = out.writeStream.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{folder}/out")).option("checkpointLocation", f"{folder}/state").outputMode("complete").trigger(availableNow=True).start()
+        q = out.writeStream.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{folder}/out/batch={i:08d}")).option("checkpointLocation", f"{folder}/state").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+    if mode == "append":
+        return spark.read.schema(out.schema).parquet(f"{folder}/out")
+    # In complete mode each batch is a whole result of its own, and the last one counts; a batch that fails leaves those before it.
+    last = q.lastProgress["batchId"] if q.lastProgress else 0
+    return spark.read.schema(out.schema).parquet(f"{folder}/out/batch={last:08d}")
 
 
 def _folder(spark, source: DataFrame, folder: str) -> str:
@@ -149,7 +150,10 @@ def s4_rate_limit_stream(spark, sf):
 
 
 def s5_idempotent(spark, sf):
-    return streamed(spark, sf, "events", first_requests).groupBy("event_type").agg(F.countDistinct("user_id").alias("users"))
+    """One event a user and type: the first in the file's order may be any, so it is known by its key; and how many were refused."""
+    kept = streamed(spark, sf, "events", first_requests).groupBy("user_id", "event_type").agg(F.count("*").alias("kept"))
+    seen = _events(spark, sf).groupBy("user_id", "event_type").agg(F.count("*").alias("seen"))
+    return seen.join(kept, ["user_id", "event_type"], "left").select("user_id", "event_type", "seen", F.coalesce("kept", F.lit(0)).alias("kept"))
 
 
 def s6_sessions(spark, sf):
@@ -183,7 +187,7 @@ ORACLES = {
     "s2_ratio_alerts": f"WITH {_R} SELECT *, 20 * errors > n AS alert FROM r",
     "s2_sustained": f"WITH {_R}, a AS (SELECT epoch(start)::BIGINT // 300 AS slot FROM r WHERE 20 * errors > n), i AS (SELECT slot, slot - row_number() OVER (ORDER BY slot) AS island FROM a) SELECT min(slot) AS first_slot, count(*) AS n FROM i GROUP BY island HAVING count(*) >= 2",
     "s3_counts": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
-    "s5_idempotent": "SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY event_type",
+    "s5_idempotent": "SELECT user_id, event_type, count(*) AS seen, 1 AS kept FROM events GROUP BY ALL",
     "s6_sessions": "WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS s FROM e) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, s",
     "s7_topic_counters": tagging.ORACLES["i13_topics"],
     "s10_tagging": f"SELECT conv_id, turn, verdict, intent FROM ({tagging.ORACLES['i2_verdict']}) JOIN ({tagging.ORACLES['i4_intent']}) USING (conv_id, turn)",
