@@ -41,7 +41,7 @@ from corpusflow.llm import arrays, storage
 from corpusflow.llm.idcache import IdCache
 
 BLANK = "▁"
-LONGEST = 63
+LONGEST = 62
 DICTIONARY = 32_000_000
 #: Distinct units that a task counts before it hands them on.
 FLUSH = 1_000_000
@@ -251,17 +251,33 @@ def counted_units(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("text").mapInArrow(count, "h long, unit string, n long").groupBy("h", "unit").agg(F.sum("n").alias("n"))
 
 
-def _merge_fold(edges: Column, size: Column) -> Column:
-    """Cuts of a unit after merging neighbours in the order of ranks; edges: map of start * 64 + end to (rank, id)."""
-    none = F.lit(1 << 30).cast("long")
+def _wide(edges: Column) -> Column:
+    """Each edge with bitmaps of the boundaries from its start to its end, of the two alone, and of all but those between them."""
 
-    def step(cuts: Column, _: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), F.size(cuts) - 2), lambda i: F.struct(F.coalesce(F.try_element_at(edges, (F.element_at(cuts, i) * 64 + F.element_at(cuts, i + 2)).cast("long"))["rank"], none).alias("rank"), i.alias("i")))
-        # A transform of one element names the least pair, which a plain expression would find anew for every cut.
-        merged = F.transform(F.array(F.array_min(pairs)), lambda least: F.when(least["rank"] == none, cuts).otherwise(F.filter(cuts, lambda x, k: k != least["i"])))
-        return F.when(F.size(cuts) < 3, cuts).otherwise(F.element_at(merged, 1))
+    def one(x: Column) -> Column:
+        start, end = F.shiftright(x, 30).bitwiseAND(F.lit(63)).cast("int"), F.shiftright(x, 24).bitwiseAND(F.lit(63)).cast("int")
+        bit = lambda n, at: F.call_function("shiftleft", F.lit(n).cast("long"), at)
+        full, ends = bit(2, end) - bit(1, start), bit(1, start).bitwiseOR(bit(1, end))
+        return F.struct(x.alias("x"), full.alias("full"), ends.alias("ends"), F.bitwise_not(full).bitwiseOR(ends).alias("keep"))
 
-    return F.aggregate(F.sequence(F.lit(1), size), F.sequence(F.lit(0), size), step)
+    return F.transform(edges, one)
+
+
+def _merge_fold(wide: Column, size: Column) -> Column:
+    """Starts of a unit's pieces, and its end, after merging neighbours in the order of ranks, the leftmost among equals.
+
+    The state is a bitmap of boundaries, at first all. An edge is a possible merge while its two ends are boundaries and one
+    boundary lies between them; the least possible edge takes that one away. When no edge is possible, the state is negated
+    and stays.
+    """
+
+    def step(now: Column, _: Column) -> Column:
+        merges = F.filter(wide, lambda x: (F.bit_count(now.bitwiseAND(x["full"])) == 3) & (now.bitwiseAND(x["ends"]) == x["ends"]))
+        return F.when(now < 0, now).otherwise(F.coalesce(now.bitwiseAND(F.array_min(merges)["keep"]), F.bitwise_not(now)))
+
+    every = F.call_function("shiftleft", F.lit(2).cast("long"), size) - 1
+    left = F.aggregate(F.sequence(F.lit(2), size), every, step, lambda now: F.when(now < 0, F.bitwise_not(now)).otherwise(now))
+    return F.transform(F.array(left), lambda now: F.filter(F.sequence(F.lit(0), size), lambda i: F.call_function("getbit", now, i) == 1))[0]
 
 
 def _viterbi_fold(edges: Column, size: Column, floor: float) -> Column:
@@ -284,7 +300,10 @@ def _viterbi_fold(edges: Column, size: Column, floor: float) -> Column:
 
 
 def segmented(units: DataFrame, model: Model) -> DataFrame:
-    """unit, ids (array of int; -1 stands for a character without a piece) of distinct units of at most LONGEST characters.
+    """unit, cuts, ids (array of int) of distinct units of at most LONGEST characters; cuts are pieces' starts and the end.
+
+    -1 stands for a character that is no edge. In a BPE model single characters are pieces anyhow, whatever their rank, so
+    they need no edge; `single` has their ids.
 
     Units are dealt once, by ranges of their hash h where they have one; the explode, the join and the grouping keep to that.
     """
@@ -296,23 +315,34 @@ def segmented(units: DataFrame, model: Model) -> DataFrame:
         units = units.withColumn("h", F.xxhash64("unit"))
     each = units.select("h", "unit").repartitionByRange(max(8, -(-units.count() // UNITS_A_TASK)), "h").withColumn("size", F.length("unit"))
     spans = each.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
-    spans = spans.withColumn("l", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.col("size") - F.col("s")))))
+    shortest = 2 if model.algorithm == BPE else 1
+    spans = spans.where(F.col("s") + shortest <= F.col("size")).withColumn("l", F.explode(F.sequence(F.lit(shortest), F.least(F.lit(max(shortest, model.longest)), F.col("size") - F.col("s")))))
     edges = spans.withColumn("piece", F.substring("unit", F.col("s") + 1, F.col("l"))).join(pieces, "piece")
-    # An edge is one long: 12 bits of place, 24 of rank, 24 of id. A list of longs is light to group.
+    # An edge is one long: 24 bits of rank, 12 of place (start * 64 + end), 24 of id. A list of longs is light to group.
     place = (F.col("s") * 64 + F.col("s") + F.col("l")).cast("long")
-    edge = F.shiftleft(place, 48).bitwiseOR(F.shiftleft("rank", 24)).bitwiseOR(F.col("id"))
+    edge = F.shiftleft("rank", 36).bitwiseOR(F.shiftleft(place, 24)).bitwiseOR(F.col("id"))
     scored = [] if model.algorithm == BPE else [F.collect_list(F.struct(place.alias("place"), "score")).alias("scored")]
     found = edges.groupBy("h", "unit").agg(F.collect_list(edge).alias("edges"), *scored).withColumn("size", F.length("unit"))
-    low = F.lit((1 << 24) - 1)
-    entry = F.transform("edges", lambda x: F.struct(F.shiftright(x, 48).alias("k"), F.struct(F.shiftright(x, 24).bitwiseAND(low).alias("rank"), x.bitwiseAND(low).alias("id")).alias("v")))
-    found = found.withColumn("at", F.map_from_entries(entry))
     if model.algorithm == BPE:
-        cuts = _merge_fold(F.col("at"), F.col("size"))
+        # A transform of one element holds the value; a column that is used once would be found anew in every step.
+        cuts = F.transform(F.array(_wide(F.col("edges"))), lambda wide: _merge_fold(wide, F.col("size")))[0]
     else:
         found = found.withColumn("scored", F.transform("scored", lambda x: F.struct(F.shiftright(x["place"], 6).cast("int").alias("s"), x["place"].bitwiseAND(F.lit(63)).cast("int").alias("e"), x["score"].alias("score"))))
         cuts = _viterbi_fold(F.col("scored"), F.col("size"), model.floor)
-    ids = F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), lambda i: F.coalesce(F.try_element_at("at", (F.element_at("cuts", i) * 64 + F.element_at("cuts", i + 1)).cast("long"))["id"], F.lit(-1)).cast("int"))
-    return found.withColumn("cuts", cuts).select("unit", ids.alias("ids"))
+    found = found.withColumn("cuts", cuts)
+    wanted = F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), lambda i: (F.element_at("cuts", i) * 64 + F.element_at("cuts", i + 1)).cast("long"))
+    at = lambda x: F.shiftright(x, 24).bitwiseAND(F.lit(4095).cast("long"))
+    ids = F.transform(wanted, lambda w: F.coalesce(F.get(F.filter("edges", lambda x: at(x) == w), F.lit(0)).bitwiseAND(F.lit((1 << 24) - 1)), F.lit(-1)).cast("int"))
+    return found.select("unit", "cuts", ids.alias("ids"))
+
+
+def single(model: Model) -> np.ndarray:
+    """The id of each character that is a piece, or -1."""
+    out = np.full(0x110000, -1, np.int32)
+    for p, i in model.ids.items():
+        if len(p) == 1:
+            out[ord(p)] = i
+    return out
 
 
 def write_dictionary(docs: DataFrame, model: Model) -> list[tuple[int, str]]:
@@ -326,14 +356,21 @@ def write_dictionary(docs: DataFrame, model: Model) -> list[tuple[int, str]]:
     folder = f"{storage.shared_dir(docs.sparkSession)}/units"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, full, sizes, ids = [], [], [], []
+        head, full, sizes, ids, chars = [], [], [], [], single(model)
         for batch in batches:
             data, off = arrays.utf8(pc.replace_substring(batch.column("unit"), BLANK, " "))
             head.append(arrays.heads(arrays.eights(data), off[:-1], np.diff(off)))
             full.append(arrays.word_hashes(data, off[:-1], off[1:]))
-            column = batch.column("ids")
-            sizes.append(np.diff(column.offsets.to_numpy()))
-            ids.append(column.flatten().to_numpy())
+            size = pc.list_value_length(batch.column("ids")).to_numpy().astype(np.int64)
+            own = batch.column("ids").flatten().to_numpy().copy()
+            cuts = batch.column("cuts").flatten().to_numpy()
+            at, code = arrays.code_points(data)
+            first = np.searchsorted(at, off[:-1])
+            begin = np.delete(cuts, np.cumsum(size + 1) - 1) + np.repeat(first, size)
+            none = np.flatnonzero(own < 0)
+            own[none] = chars[np.where(code[begin[none]] == 0x20, ord(BLANK), code[begin[none]])]
+            sizes.append(size)
+            ids.append(own)
         if head:
             head, full, sizes, ids = map(np.concatenate, (head, full, sizes, ids))
             order = np.argsort(full.view(np.int64), kind="stable")
