@@ -1,17 +1,20 @@
 """Licence scan: a trained passage classifier, confirmed by comparison with templates (operator 3).
 
-Texts are cut into passages (sentences of a line). A softmax regression over sparse word 1- and
-2-grams gives each passage a family or `unknown`. It is trained in the driver on the templates
-below, with words dropped, changed and added, against ordinary passages; a temperature fitted on
-examples kept aside calibrates its probabilities. A family is reported if its probability reaches
-ACCEPT and a template of it shares enough of its word 2-grams with the passage.
+Texts are cut into passages at sentence ends and blank lines; a line end alone cuts nothing, as notices
+are wrapped. A passage of over LONG words is looked at in overlapping windows of WINDOW words, and
+windows of one family that touch are one finding. A softmax regression over sparse word 1- and 2-grams
+gives each window a family or `unknown`. It is trained in the driver on the templates below, with
+words dropped, changed and added, against ordinary passages. Its probabilities are calibrated by a
+temperature that is fitted out of fold, on templates whose copies the fold's model hasn't seen. A family
+is reported if its probability reaches ACCEPT and a template of it shares enough of its word 2-grams with
+the window; a template of few words must be there in full.
 
 Words are hashed on the UTF-8 bytes of a whole slice of texts; only hashes of the vocabulary are
 looked at one by one.
 
-Edge cases: null and empty texts have no passages; a text without line or sentence ends is one
-passage, however long; equal texts give equal rows; an empty table gives no rows; other columns
-are ignored.
+Edge cases: null and empty texts have no passages; a text without sentence ends is one passage, however
+long, in many windows; equal texts give equal rows; of families that are equally likely the first in
+order is taken; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,24 +30,27 @@ from pyspark.sql import functions as F
 from corpusflow.llm import arrays
 
 UNKNOWN = "unknown"
-ACCEPT, SIMILAR = 0.5, 0.6
+ACCEPT, SIMILAR = 0.4, 0.6
 #: 2-grams that a similarity is taken of at least, so that a few common words are no licence.
 LEAST_GRAMS = 4
+#: Words of a passage that is looked at whole, words of a window otherwise, and words between windows' starts.
+LONG, WINDOW, STEP = 64, 48, 16
+FOLDS = 3
 
 # Public licence notices and characteristic sentences, by family.
 TEMPLATES = {
-    "apache": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.", "See the License for the specific language governing permissions and limitations under the License.", "This project is released under the Apache 2.0 license."),
-    "mit": ("Released under the MIT License.", "Licensed under the MIT license.", "This software is distributed under the terms of the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
-    "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "Use of this source code is governed by a BSD-style license.", "Released under the BSD 3-Clause License."),
-    "gpl": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "You should have received a copy of the GNU General Public License along with this program.", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.", "Licensed under the GPL version 2 or later.", "Released under the GNU GPL v3."),
-    "lgpl": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.", "Licensed under the GNU Lesser General Public License, version 2.1.", "You should have received a copy of the GNU Lesser General Public License along with this library.", "Released under the LGPL version 3."),
-    "agpl": ("This work is licensed under the GNU Affero General Public License, version 3.", "You can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.", "Licensed under the AGPL version 3."),
-    "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "Licensed under the Mozilla Public License, version 2.0."),
-    "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Licensed under the ISC License."),
+    "apache": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.", "See the License for the specific language governing permissions and limitations under the License.", "This project is released under the Apache 2.0 license.", "Apache License 2.0", "SPDX-License-Identifier: Apache-2.0", "License: Apache-2.0"),
+    "mit": ("Released under the MIT License.", "Licensed under the MIT license.", "This software is distributed under the terms of the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "MIT License", "License: MIT", "SPDX-License-Identifier: MIT", "The MIT License (MIT)"),
+    "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "Use of this source code is governed by a BSD-style license.", "Released under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause", "License: BSD-3-Clause"),
+    "gpl": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "You should have received a copy of the GNU General Public License along with this program.", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.", "Licensed under the GPL version 2 or later.", "Released under the GNU GPL v3.", "SPDX-License-Identifier: GPL-3.0-or-later", "License: GPL-3.0"),
+    "lgpl": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.", "Licensed under the GNU Lesser General Public License, version 2.1.", "You should have received a copy of the GNU Lesser General Public License along with this library.", "Released under the LGPL version 3.", "SPDX-License-Identifier: LGPL-2.1"),
+    "agpl": ("This work is licensed under the GNU Affero General Public License, version 3.", "You can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.", "Licensed under the AGPL version 3.", "SPDX-License-Identifier: AGPL-3.0"),
+    "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0", "License: MPL-2.0"),
+    "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Licensed under the ISC License.", "SPDX-License-Identifier: ISC"),
     "cc-by": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Published under the Creative Commons Attribution license."),
     "cc-by-sa": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Text is available under the Creative Commons Attribution-ShareAlike License."),
     "cc-by-nc": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Free for non-commercial use under CC BY-NC 4.0."),
-    "cc0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0.", "This work is dedicated to the public domain under CC0.", "Released under CC0 1.0 Universal."),
+    "cc0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0.", "This work is dedicated to the public domain under CC0.", "Released under CC0 1.0 Universal.", "SPDX-License-Identifier: CC0-1.0"),
     "unlicense": ("This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     "proprietary": ("All rights reserved; no part of this publication may be reproduced, distributed, or transmitted in any form without the prior written permission of the publisher.", "This software is proprietary and confidential; unauthorized copying of this file is strictly prohibited.", "Copyright the company, all rights reserved."),
 }
@@ -68,7 +74,7 @@ def _passages(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
         return start, end, doc, start, np.zeros(0, np.uint64)
     newline = np.concatenate([[0], np.cumsum(data == ord("\n"))])
     cut = np.ones(len(start), bool)
-    cut[1:] = (doc[1:] != doc[:-1]) | (newline[start[1:]] > newline[end[:-1]]) | ENDS[data[end[:-1] - 1]]
+    cut[1:] = (doc[1:] != doc[:-1]) | (newline[start[1:]] > newline[end[:-1]] + 1) | ENDS[data[end[:-1] - 1]]
     a, b = start.copy(), end.copy()
     for _ in range(4):
         b -= (b - a > 1) & STRIP[data[b - 1]]
@@ -89,55 +95,77 @@ def _hashed(text: str) -> tuple[np.ndarray, np.ndarray]:
     return word, _bigrams(word, np.zeros(len(word), np.int64))[0]
 
 
+def windows(passage: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, one past the last) of each window, in order."""
+    first = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]])) if len(passage) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(passage)))
+    count = np.where(size > LONG, -(-(size - WINDOW) // STEP) + 1, 1)
+    which = np.repeat(np.arange(len(first)), count)
+    step = arrays.spread(np.zeros(len(first), np.int64), count)
+    begin = first[which] + step * STEP
+    return begin, np.where(size[which] > LONG, np.minimum(begin + WINDOW, first[which] + size[which]), first[which] + size[which])
+
+
 class Scanner:
     """The trained classifier and the templates' 2-grams."""
 
-    def __init__(self, seed: int = 3, copies: int = 12, rounds: int = 300) -> None:
+    def __init__(self, seed: int = 3, copies: int = 8, rounds: int = 150) -> None:
         rng = random.Random(seed)
         self.families = [UNKNOWN, *TEMPLATES]
         ordinary = [w for t in ORDINARY for w in t.split()]
-        rows: list[tuple[str, int]] = []
+        rows: list[tuple[str, int, int]] = []  # text, family, fold: all copies of a template are of one fold
         for y, family in enumerate(self.families):
-            for t in ORDINARY if y == 0 else TEMPLATES[family]:
-                rows.append((t, y))
+            for place, t in enumerate(ORDINARY if y == 0 else TEMPLATES[family]):
+                rows.append((t, y, place % FOLDS))
                 for _ in range(copies):
                     w = [x for x in t.split() if rng.random() > 0.08]
-                    for _ in range(rng.randrange(3)):
+                    for _ in range(rng.choice((0, 0, 1, 2, 4, 8))):
                         w.insert(rng.choice((0, len(w))), rng.choice(ordinary))
-                    rows.append((" ".join(w), y))
-        for t, n in [(t, len(t.split())) for ts in TEMPLATES.values() for t in ts]:  # loose words of a licence are no licence
+                    rows.append((" ".join(w), y, place % FOLDS))
+        for place, t in enumerate(t for ts in TEMPLATES.values() for t in ts):  # loose words of a licence are no licence
             w = t.split()
-            rows.append((" ".join(rng.sample(w, max(1, n // 4)) + rng.sample(ordinary, 8)), 0))
-        rng.shuffle(rows)
-        hashed = [np.concatenate(_hashed(t)) for t, _ in rows]
+            rows.append((" ".join(rng.sample(w, max(1, len(w) // 4)) + rng.sample(ordinary, 8)), 0, place % FOLDS))
+        hashed = [np.concatenate(_hashed(t)) for t, _, _ in rows]
         of_templates = [np.concatenate(_hashed(t)) for ts in (*TEMPLATES.values(), ORDINARY) for t in ts]
         self.vocabulary = np.unique(np.concatenate(of_templates))
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[(self.vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
-        n, m, k = len(rows), len(self.vocabulary) + 2, len(self.families)
-        x = np.zeros((n, m))
-        for i, (h, (t, _)) in enumerate(zip(hashed, rows, strict=True)):
-            at = np.searchsorted(self.vocabulary, h)
-            ok = at < len(self.vocabulary)
-            ok[ok] = self.vocabulary[at[ok]] == h[ok]
-            np.add.at(x[i], at[ok], 1.0)
-            x[i, -2:] = self.dense(np.array([ok.sum()]), np.array([len(h)]))[0]
+        x = np.zeros((len(rows), len(self.vocabulary) + 2), np.float32)  # a fixed number of rows
+        for i, h in enumerate(hashed):
+            at = self.place(h)
+            known = at[at >= 0]
+            np.add.at(x[i], known, 1.0)
+            x[i, -2:] = self.dense(np.array([len(known)]), np.array([len(h)]))[0]
             x[i, :-2] /= np.sqrt(max(1, len(h)))
-        y = np.array([c for _, c in rows])
-        held = np.arange(n) % 5 == 0
-        fit, gold = x[~held], np.eye(k)[y[~held]]
-        self.weight = np.zeros((m, k))
-        moment = np.zeros((m, k))
-        for _ in range(rounds):
-            p = self._softmax(fit @ self.weight)
-            moment = 0.9 * moment + fit.T @ (gold - p) / len(fit) - 1e-4 * self.weight
-            self.weight += 2.0 * moment
-        logits, scale = x[held] @ self.weight, np.geomspace(0.25, 4, 33)
-        loss = [-np.log(self._softmax(logits * s)[np.arange(held.sum()), y[held]] + 1e-12).mean() for s in scale]
+        y, fold = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+        logits = np.zeros((len(rows), len(self.families)))
+        for f in range(FOLDS):
+            logits[fold == f] = x[fold == f] @ self.fit(x[fold != f], y[fold != f], rounds)
+        scale = np.geomspace(0.1, 4, 49)
+        loss = [-np.log(self._softmax(logits * s)[np.arange(len(y)), y] + 1e-12).mean() for s in scale]
         self.scale = float(scale[int(np.argmin(loss))])
-        self.held_accuracy = float((logits.argmax(1) == y[held]).mean())
+        self.held_accuracy = float((logits.argmax(1) == y).mean())
+        self.weight = self.fit(x, y, rounds)
         self.templates = {f: [np.unique(_hashed(t)[1]) for t in ts] for f, ts in TEMPLATES.items()}
 
+    def fit(self, x: np.ndarray, y: np.ndarray, rounds: int) -> np.ndarray:
+        """Weights of a softmax regression, by gradient ascent with momentum."""
+        gold = np.eye(len(self.families), dtype=np.float32)[y]
+        weight, moment = np.zeros((x.shape[1], gold.shape[1]), np.float32), np.float32(0)
+        for _ in range(rounds):
+            moment = 0.9 * moment + x.T @ (gold - self._softmax(x @ weight)) / len(x) - 1e-4 * weight
+            weight = weight + 2.0 * moment
+        return weight
+
+    def place(self, h: np.ndarray) -> np.ndarray:
+        """Each hash's place in the vocabulary, or -1."""
+        out = np.full(len(h), -1, np.int64)
+        likely = np.flatnonzero(self.maybe[(h & np.uint64(0xFFFF)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.vocabulary, h[likely]), len(self.vocabulary) - 1)
+        ok = self.vocabulary[at] == h[likely]
+        out[likely[ok]] = at[ok]
+        return out
+
     @staticmethod
     def dense(known: np.ndarray, total: np.ndarray) -> np.ndarray:
         return np.stack([known / np.maximum(1, total), np.ones(len(total))], 1)
@@ -148,9 +176,12 @@ class Scanner:
         return e / e.sum(1, keepdims=True)
 
     def similarity(self, family: str, grams: np.ndarray) -> float:
-        """The largest share of the shorter's 2-grams that a template of the family has in common with a passage."""
-        grams = np.unique(grams)
-        return max(len(np.intersect1d(grams, t, assume_unique=True)) / max(LEAST_GRAMS, min(len(grams), len(t))) for t in self.templates[family])
+        """The largest share of the shorter's 2-grams that a template of the family has in common with a window."""
+        grams, out = np.unique(grams), 0.0
+        for t in self.templates[family]:
+            shared = len(np.intersect1d(grams, t, assume_unique=True))
+            out = max(out, float(shared == len(t)) if len(t) < LEAST_GRAMS else shared / max(LEAST_GRAMS, min(len(grams), len(t))))
+        return out
 
     def scan(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, list[tuple[int, str, int, int, float, float]]]:
         """(passages of each document, findings: document, family, start, end in bytes, probability, similarity)."""
@@ -158,31 +189,36 @@ class Scanner:
         docs = len(off) - 1
         if not len(word):
             return np.zeros(docs, np.int64), []
-        count = int(passage[-1]) + 1
-        first = np.searchsorted(passage, np.arange(count + 1))
-        per_doc = np.bincount(doc[first[:-1]], minlength=docs)
-        two, where = _bigrams(word, passage)
-        h, of = np.concatenate([word, two]), np.concatenate([passage, where])
-        likely = np.flatnonzero(self.maybe[(h & np.uint64(0xFFFF)).astype(np.int64)])
-        at = np.searchsorted(self.vocabulary, h[likely])
-        ok = at < len(self.vocabulary)
-        ok[ok] = self.vocabulary[at[ok]] == h[likely[ok]]
-        at, of_known = at[ok], of[likely[ok]]
-        words = np.diff(first)
-        grams = 2 * words - 1
-        known = np.bincount(of_known, minlength=count)
-        logits = self.dense(known, grams) @ self.weight[-2:]
-        # passages without a known word have one and the same small score; add sparse terms to the others
-        np.add.at(logits, of_known, self.weight[at] / np.sqrt(grams[of_known])[:, None])
-        p = self._softmax(logits * self.scale)
+        opens = np.concatenate([[True], passage[1:] != passage[:-1]])
+        per_doc = np.bincount(doc[opens], minlength=docs)
+        begin, stop = windows(passage)
+        same = np.append(passage[1:] == passage[:-1], False)
+        two = np.zeros(len(word), np.uint64)
+        two[:-1] = arrays.mix(word[:-1] * arrays.BASES[0] + word[1:])
+        grams = 2 * (stop - begin) - 1
+        known, logits = np.zeros(len(begin), np.int64), np.zeros((len(begin), len(self.families)))
+        for at, last in ((self.place(word), 0), (np.where(same, self.place(two), -1), 1)):  # words, then 2-grams, which need the next word too
+            hit = np.flatnonzero(at >= 0)
+            lo, hi = np.searchsorted(hit, begin), np.searchsorted(hit, stop - last)
+            count = np.maximum(0, hi - lo)
+            of = np.repeat(np.arange(len(begin)), count)
+            np.add.at(logits, of, self.weight[at[hit[arrays.spread(lo, count)]]] / np.sqrt(grams[of])[:, None])
+            known += count
+        p = self._softmax((logits + self.dense(known, grams) @ self.weight[-2:]) * self.scale)
         best = p[:, 1:].argmax(1) + 1
-        out = []
-        for i in np.flatnonzero(p[np.arange(count), best] >= ACCEPT).tolist():
-            a, b = first[i], first[i + 1]
-            family = self.families[best[i]]
-            near = self.similarity(family, _bigrams(word[a:b], passage[a:b])[0])
+        out: list[tuple[int, str, int, int, float, float]] = []
+        before = (-1, "")
+        for i in np.flatnonzero(p[np.arange(len(begin)), best] >= ACCEPT).tolist():
+            a, b = int(begin[i]), int(stop[i])
+            family, sure = self.families[best[i]], float(p[i, best[i]])
+            near = self.similarity(family, two[a:b][same[a:b]][: b - a - 1])
             if near >= SIMILAR:
-                out.append((int(doc[a]), family, int(start[a]), int(end[b - 1]), float(p[i, best[i]]), near))
+                if before == (int(passage[a]), family) and start[a] <= out[-1][3]:  # a window that touches the last
+                    d, f, s, e, q, m = out[-1]
+                    out[-1] = d, f, s, int(end[b - 1]), max(q, sure), max(m, near)
+                else:
+                    out.append((int(doc[a]), family, int(start[a]), int(end[b - 1]), sure, near))
+                before = (int(passage[a]), family)
         return per_doc, out
 
 
