@@ -45,6 +45,8 @@ LONGEST = 62
 DICTIONARY = 32_000_000
 #: Distinct units that a task counts before it hands them on.
 FLUSH = 1_000_000
+#: Bytes of text that a worker handles at once.
+SLICE_BYTES = 1 << 19
 #: Units that a task segments.
 UNITS_A_TASK = 50_000
 UNIGRAM, BPE = 1, 2
@@ -224,7 +226,7 @@ def counted_units(docs: DataFrame, model: Model) -> DataFrame:
             h = np.concatenate([f[0] for f in found])
             return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), units, pa.array(times[np.searchsorted(known, h)])], ["h", "unit", "n"])
 
-        for batch in arrays.sliced(batches):
+        for batch in arrays.sliced(batches, limit=SLICE_BYTES):
             data, off = model.prepared(batch.column("text"))
             start, end = model.units(data, off)
             long = np.flatnonzero(end - start > 1)
@@ -482,7 +484,7 @@ def encode(docs: DataFrame, path: str, keep_text: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _worker(model, files)
-        for batch in arrays.sliced(batches):
+        for batch in arrays.sliced(batches, limit=SLICE_BYTES):
             ids, off = encoder.encode(*model.prepared(batch.column("text")))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32()))], [*names, "ids"])
 
@@ -519,7 +521,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, speller = _worker(model, files), Speller(model)
-        for batch in arrays.sliced(batches):
+        for batch in arrays.sliced(batches, limit=SLICE_BYTES):
             column = batch.column("text")
             data, off = model.prepared(column)
             ids, cut = encoder.encode(data, off)
