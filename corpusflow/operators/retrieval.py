@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from corpusflow import sqltext as S
 from corpusflow.functions import text as T
-from corpusflow.shared import numbered, written
+from corpusflow.operators.quality import SCORED_SQL, scored
+from corpusflow.shared import folder, numbered, written
 from corpusflow.tables import quoted as q
 from corpusflow.tables import table
 
@@ -75,6 +76,54 @@ def hashed_embedding(docs, dim=384):
     return t.groupBy("doc_id", "place").agg(F.sum("n").alias("n")).where("n <> 0")
 
 
+EDGES = ".,;:!?()[]\"'"
+
+
+def hashing_model(dim=384):
+    """A model for `encoded`: `hashed_embedding`, of unit length, in Python; words are hashed once a batch."""
+    import hashlib
+
+    def model(texts: list[str]) -> np.ndarray:
+        known: dict[str, tuple[int, int]] = {}
+        out = np.zeros((len(texts), dim))
+        for row, text in zip(out, texts, strict=True):
+            for w in text.lower().split():
+                w = w.strip(EDGES)
+                if w and w not in known:
+                    h = hashlib.sha256(w.encode()).hexdigest()
+                    known[w] = int(h[:8], 16) % dim, 1 - 2 * (int(h[8:10], 16) % 2)
+                if w:
+                    place, sign = known[w]
+                    row[place] += sign
+        return out
+
+    return model
+
+
+def encoded(rows, model=None, dim=384, batch=256):
+    """id, embedding of rows (id, text) by a model from a list of texts to an array; raises where its shape isn't (texts, dim)."""
+    model = model or hashing_model(dim)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for at in range(0, len(f), batch):
+                part = f.iloc[at : at + batch]
+                got = np.asarray(model([t or "" for t in part["text"]]))
+                if got.shape != (len(part), dim):
+                    raise ValueError(f"the model returned {got.shape}, expected {(len(part), dim)}")
+                yield pd.DataFrame({"id": part["id"], "embedding": list(got)})
+
+    return rows.select("id", "text").mapInPandas(run, "id long, embedding array<double>")
+
+
+def vector_arm(queries, chunks, k=20):
+    """query_id, chunk_id, vector: the k chunks nearest to each query by the cosine of their embeddings; texts without words have none."""
+    some = F.exists("embedding", lambda x: x != 0)
+    asked = encoded(queries.select(F.col("query_id").alias("id"), "text")).where(some).select(F.col("id").alias("query_id"), "embedding")
+    held = encoded(chunks.select(F.col("chunk_id").alias("id"), "text")).where(some).select(F.col("id").alias("vec_id"), "embedding")
+    return cosine_top(asked, held, k).select("query_id", F.col("vec_id").alias("chunk_id"), F.round("score", 9).alias("vector"))
+
+
 #: Rows of a block, and blocks of queries whose best a task holds at once.
 BLOCK_ROWS, HELD_BLOCKS = 1024, 16
 
@@ -221,11 +270,62 @@ def f12_query_type(spark, sf):
 
 def g2_merge(spark, sf):
     """Candidates of two arms, one row a key with the larger of each score."""
-    a = top(bm25(_queries(spark, sf), _chunks(spark, sf)), 20).select("query_id", "chunk_id", F.col("rank").alias("lexical"), F.lit(None).cast("int").alias("other"))
-    b = _queries(spark, sf).select("query_id").withColumn("chunk_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: (F.col("query_id") * 7 + i * 3).cast("long")))).select("query_id", "chunk_id", F.lit(None).cast("int").alias("lexical"), F.lit(1).alias("other"))
-    return a.unionByName(b).groupBy("query_id", "chunk_id").agg(F.max("lexical").alias("lexical"), F.max("other").alias("other"))
+    m = merged(_queries(spark, sf), _chunks(spark, sf))
+    return m.select("query_id", "chunk_id", F.round("bm25", 5).alias("bm25"), F.round("vector", 6).alias("vector"))
+
+
+def merged(queries, chunks, k=20):
+    """query_id, chunk_id, bm25, vector: the candidates of both arms; a score that an arm doesn't give is 0."""
+    lexical = top(bm25(queries, chunks), k).select("query_id", "chunk_id", F.col("score").alias("bm25"))
+    both = lexical.unionByName(vector_arm(queries, chunks, k), allowMissingColumns=True)
+    return both.groupBy("query_id", "chunk_id").agg(F.coalesce(F.max("bm25"), F.lit(0.0)).alias("bm25"), F.coalesce(F.max("vector"), F.lit(0.0)).alias("vector"))
+
+
+def e2_encode(spark, sf):
+    """Embeddings by the batch encoder, as sums that SQL can check."""
+    d = encoded(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return d.select(F.col("id").alias("doc_id"), F.size(F.filter("embedding", lambda x: x != 0)).alias("n_places"), F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x).cast("long").alias("squares"), F.aggregate(F.transform("embedding", lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x).cast("long").alias("moment"))
 
 
+def e5_index(spark, sf):
+    """Index points of texts and of pages: payload with fallbacks, written by kind and read back."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit("text").alias("kind"), F.coalesce("source", F.lit("unknown")).alias("document"), F.coalesce("lang", F.lit("xx")).alias("lang"), "text")
+    pages = table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.lit("visual").alias("kind"), F.coalesce(F.nullif(F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1), F.lit("")), F.lit("unknown")).alias("document"), F.lit("xx").alias("lang"), F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("text"))
+    points = docs.unionByName(pages)
+    vectors = encoded(docs).withColumn("kind", F.lit("text")).unionByName(encoded(pages).withColumn("kind", F.lit("visual")))
+    index = points.withColumn("n_chars", F.length(F.coalesce("text", F.lit("")))).drop("text").join(vectors, ["kind", "id"])
+    path = folder(spark)
+    index.write.partitionBy("kind").parquet(path)
+    held = spark.read.parquet(path)
+    return held.select("kind", "id", "document", "lang", "n_chars", F.size(F.filter("embedding", lambda x: x != 0)).alias("n_places"))
+
+
+def page_text(pages):
+    """page_id, text: what a page is searched by: title, host and path, those that it has."""
+    fields = [F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1), F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1), F.translate(F.regexp_extract("url", r"^[a-z]+://[^/]+/([^?#]*)", 1), "/-_", "   ")]
+    return pages.select("page_id", F.concat_ws(" ", *(F.nullif(F.trim(f), F.lit("")) for f in fields)).alias("text"))
+
+
+def e7_profile_search(spark, sf):
+    """The five pages nearest to each query, among pages of even id (the active ones), with a name-based point id."""
+    pages = page_text(table(spark, sf, "pages").where("page_id % 2 = 0"))
+    found = vector_arm(_queries(spark, sf), pages.select(F.col("page_id").alias("chunk_id"), "text"), 5)
+    h = F.md5(F.concat(F.lit("page:"), F.col("chunk_id").cast("string")))
+    point = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("3"), F.substring(h, 14, 3)), F.concat(F.lit("8"), F.substring(h, 18, 3)), F.substring(h, 21, 12))
+    return found.select("query_id", F.col("chunk_id").alias("page_id"), point.alias("point_id"))
+
+
+def f4_candidates(spark, sf, limit=50):
+    """For each query, the chunks that hold one of its first ten tokens, best first: usable ones only.
+
+    Tokens meet tokens by an equi-join on the parts of them that a text holds; a token counts as held if a text's token starts with it.
+    """
+    q_ = _queries(spark, sf).select("query_id", F.explode(F.slice(tokens(F.col("text")), 1, 10)).alias("term")).distinct()
+    d = scored(table(spark, sf, "documents")).where("NOT is_noisy AND points >= 55").select(F.col("doc_id").alias("chunk_id"), "points", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    hits = d.join(q_, "term").groupBy("query_id", "chunk_id").agg(F.max("points").alias("points"), F.count("*").alias("n_terms"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("points"), "chunk_id"))
+    return hits.withColumn("place", place).where(F.col("place") <= limit)
+
 def g8_neighbours(spark, sf):
     """The neighbours of the three best chunks of a query, in their source; selected ones first."""
     best = top(bm25(_queries(spark, sf), _chunks(spark, sf)), 3)
@@ -261,7 +361,7 @@ def g22_cache_key(spark, sf):
     return table(spark, sf, "conversations").where("role = 'user'").groupBy(key.alias("cache_key")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (e1_hashing_embedding, e3_cosine_top, e4_filtered, e6_upsert, f1_stems, f2_tokens, f3_bm25, f5_keyword_search, f6_keywords, f7_lexical_score, f8_rewrite, f9_variants, f11_question_flags, f12_query_type, g2_merge, g8_neighbours, g14_sufficiency, g17_memory, g18_citations, g22_cache_key)}
+QUERIES = {f.__name__: f for f in (e2_encode, e5_index, e7_profile_search, f4_candidates, e1_hashing_embedding, e3_cosine_top, e4_filtered, e6_upsert, f1_stems, f2_tokens, f3_bm25, f5_keyword_search, f6_keywords, f7_lexical_score, f8_rewrite, f9_variants, f11_question_flags, f12_query_type, g2_merge, g8_neighbours, g14_sufficiency, g17_memory, g18_citations, g22_cache_key)}
 
 _STOP = "(" + ", ".join(map(q, STOPWORDS)) + ")"
 
@@ -286,6 +386,23 @@ bm AS (SELECT query_id, chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM bm)"""
 _EDGE = r"^[.,;:!?()\[\]\"'']+|[.,;:!?()\[\]\"'']+$"
 
+
+
+def _places(name: str, key: str, source: str, text: str) -> str:
+    """CTEs that end in `name` (id, place, n): the hashed embedding of source's texts."""
+    return f"""{name}_t AS (SELECT {key} AS id, unnest(list_filter(list_transform({S.words(f'lower({text})')}, lambda w: regexp_replace(w, '{_EDGE}', '', 'g')), lambda w: w <> '')) AS t FROM {source}), {name}_h AS (SELECT id, t, count(*) AS n, sha256(t) AS h FROM {name}_t GROUP BY ALL),
+{name} AS (SELECT id, ('0x' || substr(h, 1, 8))::BIGINT % 384 AS place, sum(CASE WHEN ('0x' || substr(h, 9, 2))::BIGINT % 2 = 0 THEN n ELSE -n END) AS n FROM {name}_h GROUP BY ALL HAVING sum(CASE WHEN ('0x' || substr(h, 9, 2))::BIGINT % 2 = 0 THEN n ELSE -n END) <> 0)"""
+
+
+def _nearest(asked: str, held: str, k: int) -> str:
+    """CTEs that end in vr (query_id, chunk_id, vector): the k nearest of held to each of asked."""
+    return f"""na AS (SELECT id, sqrt(sum(n * n)::DOUBLE) AS len FROM {asked} GROUP BY id), nh AS (SELECT id, sqrt(sum(n * n)::DOUBLE) AS len FROM {held} GROUP BY id), dots AS (SELECT a.id AS qi, b.id AS ci, sum(a.n * b.n)::DOUBLE AS dot FROM {asked} a JOIN {held} b USING (place) GROUP BY ALL),
+vs AS (SELECT na.id AS query_id, nh.id AS chunk_id, round(coalesce(dot, 0) / (na.len * nh.len), 9) AS vector FROM na CROSS JOIN nh LEFT JOIN dots ON qi = na.id AND ci = nh.id), vr AS (SELECT * FROM vs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY vector DESC, chunk_id) <= {k})"""
+
+
+_MERGED = f"""{_BM25}, {_places('pd', 'doc_id', 'documents', 'text')}, {_places('pq', 'item_id', 'benchmark', 'text')}, {_nearest('pq', 'pd', 20)},
+mg AS (SELECT query_id, chunk_id, coalesce(max(bm25), 0)::DOUBLE AS bm25, coalesce(max(vector), 0)::DOUBLE AS vector FROM (SELECT query_id, chunk_id, score AS bm25, NULL AS vector FROM rk WHERE rank <= 20 UNION ALL SELECT query_id, chunk_id, NULL, vector FROM vr) GROUP BY ALL)"""
+
 ORACLES = {
     "e1_hashing_embedding": f"""WITH t AS (SELECT doc_id, unnest(list_filter(list_transform({S.words('lower(text)')}, lambda w: regexp_replace(w, '{_EDGE}', '', 'g')), lambda w: w <> '')) AS t FROM documents), h AS (SELECT doc_id, t, count(*) AS n, sha256(t) AS h FROM t GROUP BY ALL),
 p AS (SELECT doc_id, ('0x' || substr(h, 1, 8))::BIGINT % 384 AS place, CASE WHEN ('0x' || substr(h, 9, 2))::BIGINT % 2 = 0 THEN n ELSE -n END AS n FROM h) SELECT doc_id, place, sum(n) AS n FROM p GROUP BY ALL HAVING sum(n) <> 0""",
@@ -304,7 +421,14 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9
 SELECT * FROM (SELECT conv_id, turn, 0 AS variant, a AS query FROM a UNION ALL SELECT conv_id, turn, 1, b FROM a WHERE lower(a) <> lower(b)) WHERE query <> ''""",
     "f11_question_flags": "SELECT conv_id, turn, regexp_matches(lower(text), '^(what (is|are)|define|meaning of)') AS definition, regexp_matches(lower(text), " + q(EVIDENCE) + ") AS evidence, regexp_matches(lower(text), " + q(CURRENT) + ") AS current, regexp_matches(lower(text), " + q(SOURCES) + ") AS sources, regexp_matches(lower(text), '^(and|also|what about|why|how so)') AS followup FROM conversations",
     "f12_query_type": f"SELECT conv_id, turn, {S.first_pattern('lower(text)', TYPES, q('simple'))} AS kind FROM conversations",
-    "g2_merge": f"WITH {_BM25}, u AS (SELECT query_id, chunk_id, rank AS lexical, NULL AS other FROM rk WHERE rank <= 20 UNION ALL SELECT item_id, item_id * 7 + i * 3, NULL, 1 FROM benchmark, range(10) t(i)) SELECT query_id, chunk_id, max(lexical) AS lexical, max(other) AS other FROM u GROUP BY ALL",
+    "g2_merge": f"WITH {_MERGED} SELECT query_id, chunk_id, round(bm25, 5) AS bm25, round(vector, 6) AS vector FROM mg",
+    "e2_encode": f"WITH {_places('pd', 'doc_id', 'documents', 'text')} SELECT d.doc_id, count(place) AS n_places, coalesce(sum(n * n), 0)::BIGINT AS squares, coalesce(sum(n * place), 0)::BIGINT AS moment FROM documents d LEFT JOIN pd ON pd.id = d.doc_id GROUP BY d.doc_id",
+    "e5_index": f"""WITH {_places('pd', 'doc_id', 'documents', 'text')}, pt AS (SELECT page_id, url, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS t FROM pages), {_places('pp', 'page_id', 'pt', 't')},
+nd AS (SELECT id, count(*) AS n FROM pd GROUP BY id), np AS (SELECT id, count(*) AS n FROM pp GROUP BY id) SELECT 'text' AS kind, doc_id AS id, coalesce(source, 'unknown') AS document, coalesce(lang, 'xx') AS lang, length(coalesce(text, '')) AS n_chars, coalesce(n, 0) AS n_places FROM documents LEFT JOIN nd ON id = doc_id
+UNION ALL SELECT 'visual', page_id, coalesce(nullif(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), ''), 'unknown'), 'xx', length(t), coalesce(n, 0) FROM pt LEFT JOIN np ON id = page_id""",
+    "e7_profile_search": f"""WITH pt AS (SELECT page_id, concat_ws(' ', nullif(trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)), ''), nullif(trim(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), ''), nullif(trim(translate(regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1), '/-_', '   ')), '')) AS t FROM pages WHERE page_id % 2 = 0),
+{_places('pp', 'page_id', 'pt', 't')}, {_places('pq', 'item_id', 'benchmark', 'text')}, {_nearest('pq', 'pp', 5)}, h AS (SELECT query_id, chunk_id, md5('page:' || chunk_id) AS h FROM vr) SELECT query_id, chunk_id AS page_id, h[1:8] || '-' || h[9:12] || '-3' || h[14:16] || '-8' || h[18:20] || '-' || h[21:32] AS point_id FROM h""",
+    "f4_candidates": f"WITH {SCORED_SQL}, qt AS (SELECT DISTINCT item_id AS query_id, unnest(({_tokens('text')})[:10]) AS term FROM benchmark), dt AS (SELECT DISTINCT doc_id AS chunk_id, points, unnest({_tokens('text')}) AS term FROM quality WHERE NOT is_noisy AND points >= 55), hi AS (SELECT query_id, chunk_id, max(points) AS points, count(*) AS n_terms FROM dt JOIN qt USING (term) GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY points DESC, chunk_id) AS place FROM hi QUALIFY place <= 50",
     "g8_neighbours": f"WITH {_BM25}, p AS (SELECT chunk_id, source, row_number() OVER (PARTITION BY source ORDER BY chunk_id) AS pos FROM ct), o AS (SELECT query_id, rank, source, pos + d AS pos FROM rk JOIN p USING (chunk_id), (VALUES (-1), (0), (1)) t(d) WHERE rank <= 3) SELECT query_id, chunk_id, min(rank) AS rank FROM o JOIN p USING (source, pos) GROUP BY ALL",
     "g14_sufficiency": f"WITH {_BM25} SELECT query_id, count(*) FILTER (score >= 8) >= 2 OR count(*) >= 3 AS enough FROM bm GROUP BY query_id",
     "g17_memory": f"""WITH c AS (SELECT *, {_keywords('text')} AS ks FROM conversations WHERE role <> 'system'), l AS (SELECT conv_id, max(turn) AS asked, arg_max(ks, turn) AS want FROM c WHERE role = 'user' GROUP BY conv_id),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,11 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow import shared
-from corpusflow.operators import tagging
+from corpusflow.operators import ingest, tagging
 from corpusflow.tables import table
 
 BUCKETS = (10, 25, 50, 75, 100, 250, 500)
 LIMIT, PERIOD = 3, 3600
+SLOW, BURST, QUIET = 100, 1, 2
 
 
 def latency(events: DataFrame) -> DataFrame:
@@ -63,6 +65,9 @@ def limited_stream(events: DataFrame) -> DataFrame:
     """The stream's form of `limited`, with a state a user."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # the counter's period is over: nothing is kept of the user
+            state.remove()
+            return
         start, n = state.get if state.exists else (None, 0)
         frame = pd.concat(list(frames)).sort_values(["ts", "event_id"])
         out = []
@@ -73,9 +78,11 @@ def limited_stream(events: DataFrame) -> DataFrame:
             n += 1
             out.append(n > LIMIT)
         state.update((start, n))
+        state.setTimeoutTimestamp(max(int((start + PERIOD) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"event_id": frame["event_id"].to_numpy(), "limited": out})
 
-    return events.select("event_id", "user_id", "ts").groupBy("user_id").applyInPandasWithState(step, "event_id long, limited boolean", "start double, n long", "append", "NoTimeout")
+    timed = events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", "1 hour")
+    return timed.groupBy("user_id").applyInPandasWithState(step, "event_id long, limited boolean", "start double, n long", "append", "EventTimeTimeout")
 
 
 def first_requests(events: DataFrame) -> DataFrame:
@@ -149,6 +156,59 @@ def s4_rate_limit_stream(spark, sf):
     return streamed(spark, sf, "events", limited_stream)
 
 
+def alerts(events: DataFrame) -> DataFrame:
+    """start, kind: the alerts of five minutes: errors over a twentieth, a slow 95th percentile, a burst of purchases, little traffic."""
+    is_ = lambda t: F.count_if(F.col("event_type") == t)
+    g = events.groupBy(F.window("ts", "5 minutes").alias("w")).agg(F.count("*").alias("n"), is_("error").alias("errors"), is_("purchase").alias("sold"), F.percentile("value", F.lit(0.95)).alias("p95"))
+    kinds = F.array_compact(F.array(F.when(20 * F.col("errors") > F.col("n"), F.lit("errors")), F.when(F.col("p95") > SLOW, F.lit("slow")), F.when(F.col("sold") >= BURST, F.lit("burst")), F.when(F.col("n") < QUIET, F.lit("quiet"))))
+    return g.select(F.col("w.start").alias("start"), F.explode(kinds).alias("kind"))
+
+
+def s2_alerts(spark, sf):
+    return alerts(_events(spark, sf))
+
+
+def late_counts(events: DataFrame) -> DataFrame:
+    """Hourly counts of a stream that may be a day late: a window is handed on once it is closed, and rows that come after that are dropped."""
+    g = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day").groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"))
+    return g.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+def s9_late_data(spark, sf):
+    """Every tenth event comes in a third file, after all others; what its windows' closing leaves out is told by the batch's count.
+
+    A batch drops what is late by the watermark of the batch before, so the third drops by the first one's times.
+    """
+    at, e = shared.folder(spark), _events(spark, sf).select("event_id", "ts")
+    for part in ("event_id % 10 BETWEEN 1 AND 5", "event_id % 10 > 5", "event_id % 10 = 0"):
+        e.where(part).coalesce(1).write.mode("append").parquet(f"{at}/in")
+        time.sleep(1.1)  # files are read in the order of their times
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(f"{at}/in")
+    late_counts(stream).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    closed = spark.read.schema("start timestamp_ntz, n long").parquet(f"{at}/out")
+    whole = e.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("total")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "total")
+    return closed.join(whole, "start").select("start", "n", (F.col("total") - F.col("n")).alias("dropped"))
+
+
+def s8_continuous_ingest(spark, sf):
+    """Documents that come in two files, the second with every fifth of the first's again; each batch runs the whole ingest, and a document's chunks are those of its last batch."""
+    at, d = shared.folder(spark), table(spark, sf, "documents").select("doc_id", "source", "text")
+    for i, part in enumerate((d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1 OR doc_id % 10 = 0"))):
+        part.coalesce(1).write.mode("append").parquet(f"{at}/in")
+        if not i:
+            time.sleep(1.1)
+    stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(f"{at}/in")
+
+    def replace(batch: DataFrame, i: int) -> None:
+        rows = shared.written(batch, "batch")
+        ingest.ingested(rows).write.mode("overwrite").parquet(f"{at}/chunks/batch={i}")
+        rows.select("doc_id").distinct().write.mode("overwrite").parquet(f"{at}/seen/batch={i}")
+
+    stream.writeStream.foreachBatch(replace).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(f"{at}/seen").groupBy("doc_id").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{at}/chunks").join(last, ["doc_id", "batch"])
+
+
 def s5_idempotent(spark, sf):
     """One event a user and type: the first in the file's order may be any, so it is known by its key; and how many were refused."""
     kept = streamed(spark, sf, "events", first_requests).groupBy("user_id", "event_type").agg(F.count("*").alias("kept"))
@@ -168,7 +228,7 @@ def s10_tagging(spark, sf):
     return streamed(spark, sf, "conversations", tagged)
 
 
-QUERIES = {f.__name__: f for f in (s1_latency, s2_ratio_alerts, s2_sustained, s3_counts, s4_rate_limit, s4_rate_limit_stream, s5_idempotent, s6_sessions, s7_topic_counters, s10_tagging)}
+QUERIES = {f.__name__: f for f in (s1_latency, s2_alerts, s8_continuous_ingest, s9_late_data, s2_ratio_alerts, s2_sustained, s3_counts, s4_rate_limit, s4_rate_limit_stream, s5_idempotent, s6_sessions, s7_topic_counters, s10_tagging)}
 
 _B = ", ".join(f"count(*) FILTER (value <= {b}) AS le_{b}" for b in BUCKETS)
 
@@ -186,6 +246,8 @@ ORACLES = {
     "s1_latency": f"WITH g AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, event_type, count(*) AS n, {_B} FROM events GROUP BY ALL) SELECT *, round({_p95()}, 6) AS p95 FROM g",
     "s2_ratio_alerts": f"WITH {_R} SELECT *, 20 * errors > n AS alert FROM r",
     "s2_sustained": f"WITH {_R}, a AS (SELECT epoch(start)::BIGINT // 300 AS slot FROM r WHERE 20 * errors > n), i AS (SELECT slot, slot - row_number() OVER (ORDER BY slot) AS island FROM a) SELECT min(slot) AS first_slot, count(*) AS n FROM i GROUP BY island HAVING count(*) >= 2",
+    "s2_alerts": f"WITH g AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'purchase') AS sold, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY 1), k AS (SELECT start, unnest([CASE WHEN 20 * errors > n THEN 'errors' END, CASE WHEN p95 > {SLOW} THEN 'slow' END, CASE WHEN sold >= {BURST} THEN 'burst' END, CASE WHEN n < {QUIET} THEN 'quiet' END]) AS kind FROM g) SELECT * FROM k WHERE kind IS NOT NULL",
+    "s9_late_data": "WITH e AS (SELECT event_id % 10 = 0 AS late, ts, time_bucket(INTERVAL 1 HOUR, ts) AS start FROM events), w AS (SELECT max(ts) FILTER (event_id % 10 BETWEEN 1 AND 5) - INTERVAL 1 DAY AS w1, max(ts) - INTERVAL 1 DAY AS w2 FROM events), g AS (SELECT start, count(*) AS total, count(*) FILTER (NOT late OR start + INTERVAL 1 HOUR > w1) AS n, max(w2) AS w2 FROM e, w GROUP BY start) SELECT start, n, total - n AS dropped FROM g WHERE n > 0 AND start + INTERVAL 1 HOUR <= w2",
     "s3_counts": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "s5_idempotent": "SELECT user_id, event_type, count(*) AS seen, 1 AS kept FROM events GROUP BY ALL",
     "s6_sessions": "WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS s FROM e) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, s",
