@@ -2,9 +2,10 @@
 
 Vectors are dealt to shards by hash; each shard's graph is built in one task from at most
 SHARD_BYTES of vectors and stored in the shared folder. Every vector queries every shard, in blocks. A
-shard's beam is widened until an audit against brute force passes, on links and on nearest neighbours
-alike, so that it tells something where links are rare; the index keeps what the audit wanted and
-found. A query whose beam is full of links gets a wider one, up to WIDEST, and is compared with its
+shard's beam is widened until an audit against brute force passes. It asks for the links of a sample of
+all vectors, and, as links may be rare, for those of planted probes: nodes of the shard turned away until
+their cosine with themselves is between the threshold and 0.97. The index keeps what the audit wanted
+and found. A query whose beam is full of links gets a wider one, up to WIDEST, and is compared with its
 whole shard only beyond that. Links are verified by cosine in double precision. Identical vectors are
 one class and are searched once; links leave a task as a forest and as counts, never as all pairs.
 
@@ -32,8 +33,8 @@ LINKS, BUILD, BEAM = 24, 64, 48
 SHARDS, SHARD_BYTES, QUERY_ROWS = 4, 64 << 20, 1024
 #: The widest beam of a query whose beam is full of links.
 WIDEST = 8 * BEAM
-#: Vectors of the audit, the share of their links that it asks for, and the share of their NEAREST nearest neighbours.
-AUDIT_ROWS, AUDIT_RECALL, NEAREST, NEAR_RECALL = 1024, 0.99, 10, 0.9
+#: Vectors of the audit, planted probes in a shard, and the share of their links that it asks for.
+AUDIT_ROWS, PROBES, AUDIT_RECALL = 1024, 512, 0.99
 #: Single precision guides the search; what it puts this far below the threshold is still verified.
 SLACK = 1e-4
 _GRAPHS: dict[str, "Graph"] = {}
@@ -123,7 +124,7 @@ class Graph:
     def __init__(self, ids: np.ndarray, weight: np.ndarray, vectors: np.ndarray, layers: list[np.ndarray] | None = None, beam: int = BEAM) -> None:
         self.ids, self.weight, self.vectors, self.beam = ids, weight, vectors, beam
         self.vec = unit(vectors).astype(np.float32)
-        self.audited = np.zeros(4, np.int64)  # links wanted and found, neighbours wanted and found
+        self.audited = np.zeros(4, np.int64)  # links wanted and found, of the sample and of probes
         self.layers = layers if layers is not None else self._build()
 
     def _build(self) -> list[np.ndarray]:
@@ -194,27 +195,43 @@ class Graph:
         pad = lambda x, v: np.pad(x, ((0, 0), (0, full - x.shape[1])), constant_values=v)
         return np.concatenate([pad(i, -1) for i, _ in parts]), np.concatenate([pad(s, -np.inf) for _, s in parts])
 
+    def probes(self, cosine: float) -> np.ndarray:
+        """Some nodes, each turned away in a random direction."""
+        rng = np.random.default_rng(len(self.vec))
+        v = self.vec[rng.permutation(len(self.vec))[:PROBES]].astype(np.float64)
+        away = rng.normal(size=v.shape)
+        away -= (away * v).sum(1, keepdims=True) * v
+        length = np.linalg.norm(away, axis=1, keepdims=True)
+        c = rng.uniform(cosine + SLACK, max(0.97, cosine + 2 * SLACK), (len(v), 1))
+        return np.where(length > 1e-9, c * v + np.sqrt(1 - c * c) * away / np.maximum(length, 1e-9), v).astype(np.float32)
+
+    def wanted(self, query: np.ndarray, own: np.ndarray | None, cosine: float) -> list[np.ndarray]:
+        """Each query's links by brute force, a slice of queries at a time; own: ids that don't count."""
+        out, step = [], max(1, (16 << 20) // max(1, len(self.vec)))
+        for a in range(0, len(query), step):
+            sims = query[a : a + step] @ self.vec.T
+            if own is not None:
+                sims[own[a : a + step, None] == self.ids] = -2
+            out += [np.flatnonzero(row >= cosine) for row in sims]
+        return out
+
     def audit(self, query: np.ndarray, own: np.ndarray, cosine: float) -> None:
-        """Widen the beam until it finds AUDIT_RECALL of the links and NEAR_RECALL of the nearest neighbours that brute force finds.
+        """Widen the beam until it finds AUDIT_RECALL of the links that brute force finds, of the sample and of probes. own: the sample's ids.
 
-        own: the queries' ids; a query's own node doesn't count. Rows with more links than the beam holds are widened anyway.
+        Rows with more links than the beam holds are widened when they are searched.
         """
-        wanted: list[tuple[np.ndarray, np.ndarray]] = []
-        step = max(1, (16 << 20) // max(1, len(self.vec)))
-        for a in range(0, len(query), step):
-            sims = query[a : a + step] @ self.vec.T
-            sims[own[a : a + step, None] == self.ids] = -2
-            near = np.argpartition(-sims, min(NEAREST, sims.shape[1]) - 1, axis=1)[:, :NEAREST]
-            wanted += [(np.flatnonzero(s >= cosine), n[s[n] > -2]) for s, n in zip(sims, near, strict=True)]
-        while len(query):
-            found, _ = self.search(query, self.beam)
-            counts = np.zeros(4, np.int64)
-            for row, (links, near) in zip(found, wanted, strict=True):
-                if len(links) < self.beam:
-                    counts[:2] += len(links), len(np.intersect1d(links, row))
-                counts[2:] += len(near), len(np.intersect1d(near, row))
-            self.audited = counts
-            if self.beam >= len(self.vec) or (counts[1] >= AUDIT_RECALL * counts[0] and counts[3] >= NEAR_RECALL * counts[2]):
+        sets = [(query, self.wanted(query, own, cosine))]
+        probes = self.probes(cosine)
+        sets.append((probes, self.wanted(probes, None, cosine)))
+        while True:
+            self.audited[:] = 0
+            for i, (rows, wanted) in enumerate(sets):
+                ask = np.array([k for k, links in enumerate(wanted) if 0 < len(links) < self.beam], np.int64)
+                if len(ask):
+                    found, _ = self.search(rows[ask], self.beam)
+                    self.audited[2 * i] = sum(len(wanted[k]) for k in ask)
+                    self.audited[2 * i + 1] = sum(len(np.intersect1d(wanted[k], row)) for k, row in zip(ask, found, strict=True))
+            if self.beam >= len(self.vec) or (self.audited[1::2] >= AUDIT_RECALL * self.audited[::2]).all():
                 break
             self.beam *= 2
 
@@ -270,7 +287,7 @@ def classes_of(rows: DataFrame) -> DataFrame:
 
 
 def index_of(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """A row a shard: dim, shard, path, beam, and what its audit wanted and found of links and of nearest neighbours."""
+    """A row a shard: dim, shard, path, beam, and what its audit wanted and found of the sample's links and of the probes'."""
     spark = classes.sparkSession
     size = classes.agg(F.sum(F.col("dim").cast("long") * 8)).first()[0] or 0
     shards = max(SHARDS, -(-size // SHARD_BYTES))
@@ -280,7 +297,7 @@ def index_of(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
         audit.setdefault(len(r["e"]), []).append((r["rep"], r["e"]))
     held = {k: (np.array([x for x, _ in v], np.int64), unit(np.array([e for _, e in v])).astype(np.float32)) for k, v in audit.items()}
     folder = f"{storage.shared_dir(spark)}/hnsw"
-    counts = ("links_wanted", "links_found", "near_wanted", "near_found")
+    counts = ("links_wanted", "links_found", "probes_wanted", "probes_found")
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
         dim, shard = (k.as_py() for k in key)
