@@ -23,7 +23,7 @@ ANSWERS = [
 ]
 DOCUMENTS = [
     "Contents\nOne .... 1\nTwo .... 2\nThree .... 3\nFour .... 4", "References\nSmith et al. 2001 doi 10.1 vol. 3 pp. 4\nJones et al. 2002 doi 10.2 vol. 4 pp. 5\n(1999) (2000)", "Put a tick: never very often fairly often sometimes don't know. H17040 questionnaire survey interviewer", "~ab \"\" fig. er courtesy dr. x ~ y", "yes no often\nnever male 1)\nsometimes 2) female\ntick 3) cross 4)", "word word word word word word the the the the the " * 6,
-    "line of text\n" * 12, PROSE, PROSE + " A guideline of the journal for patients, a textbook.", PROSE.upper(), "Figure 1 shows enamel\nTable 2 lists teeth\nplain line", "An orthodontic handbook on cephalometric surgery. " * 12, "Endodontic trial and consensus leaflet 1998 2021. " * 12, "中文 chinese text", "نص عربي", "漢字 かな",
+    "line of text\n" * 12, PROSE, PROSE + " A guideline of the journal for patients, a textbook.", PROSE.upper(), *[f"The running head of the book\n{PROSE}{i}\nfoot note" for i in range(4) for _ in range(8)], "Figure 1 shows enamel\nTable 2 lists teeth\nplain line", "An orthodontic handbook on cephalometric surgery. " * 12, "Endodontic trial and consensus leaflet 1998 2021. " * 12, "中文 chinese text", "نص عربي", "漢字 かな",
     None, "", "   \t ", "one", "12 34 ?? !!", "é à ü ñ É", "soft­hyphen zero​width", "a\r\nb\fc d", "same line\nsame line\nsame line\nother", "Equal  Text here", "equal text HERE", "Annual Report_final.pdf\nbody line", "3rd Edition (copy) [scan] of Títle-Book\nmore", " ".join(f"w{i}" for i in range(3000)),
     "# Heading\nsee [link](http://x.y) and http://z.example/a Back to top\nChapter 4\nTHE LOUD HEADING\nSome text follows here, and ends.\n\n" + PROSE,
 ]
