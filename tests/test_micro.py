@@ -204,6 +204,18 @@ def test_context_assembly_equals_a_plain_fold(spark, micro):
         assert got[k] == (len(out), hybrid.SEPARATOR.join(out))
 
 
+def test_profiles_equal_patterns(spark):
+    """On the given pages, whose markup is regular."""
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = {r["page_id"]: r for r in entry.queries()["l1_profiles"](spark, SF).collect()}
+    assert set(got) == set(pages)
+    for i, html in pages.items():
+        assert got[i]["n_links"] == len(re.findall(r'<a [^>]*href="[^"]+"', html))
+        assert got[i]["n_images"] == len(re.findall(r"<img\b", html))
+        title = re.search(r"(?s)<title>(.*?)</title>", html)
+        assert got[i]["title"].startswith(title[1][:5].split("&")[0].strip()) if title else got[i]["title"] == ""
+
+
 def test_rate_limit_equals_a_plain_loop(spark):
     import pandas as pd
 
