@@ -176,6 +176,27 @@ def j4_visual_accuracy(spark, sf):
     return table(spark, sf, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.round(F.coalesce(share, F.lit(0.0)), 6).alias("accuracy"))
 
 
+def j6_overall(spark, sf):
+    """Six scores of an answer over its context, and their mean: faithfulness, groundedness, citations, visuals, no invention, relevance."""
+    ws = lambda c: F.array_distinct(T.words(F.lower(c)))
+    p = _pairs(spark, sf).withColumns({"a": ws("answer"), "c": ws("context"), "w": ws("question")})
+    n, none = F.greatest(F.size("a"), F.lit(1)), F.col("context") == ""
+    cited = F.regexp_count("answer", F.lit(r"\[Source [0-9]+\]"))
+    p = p.withColumns({
+        "faithfulness": F.when(none, 0.5).otherwise(F.size(F.array_intersect("a", "c")) / n), "grounded": F.when(none, 0.5).otherwise(groundedness(F.col("answer"), F.col("c"))), "citations": F.when(cited == 0, 0.5).otherwise(F.least(F.lit(1.0), 1.0 / F.greatest(cited, F.lit(1)))),
+        "visuals": F.when(F.contains(F.lower("answer"), F.lit("en")), 1.0).otherwise(0.0), "known": F.when(none, 0.5).otherwise(1 - F.size(F.filter(F.array_except("a", "c"), lambda x: F.length(x) > 4)) / n), "relevance": F.size(F.array_intersect("w", "a")) / F.greatest(F.size("w"), F.lit(1)),
+    })
+    six = ("faithfulness", "grounded", "citations", "visuals", "known", "relevance")
+    return p.select("conv_id", "turn", *(F.round(c, 6).alias(c) for c in six), F.round(sum(F.col(c) for c in six) / 6, 6).alias("overall"))
+
+
+def j10_case_summary(spark, sf):
+    """Cases by kind of question and in all: how many, how many passed, their mean recall."""
+    c = j8_answer_cases(spark, sf).join(_pairs(spark, sf).select("conv_id", "turn", tagging.intent(F.col("question")).alias("kind")), ["conv_id", "turn"])
+    g = c.rollup("kind").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed"), F.round(F.avg("recall"), 4).alias("recall"))
+    return g.select(F.coalesce("kind", F.lit("all")).alias("kind"), "n", "passed", "recall")
+
+
 def j8_answer_cases(spark, sf):
     """A case a pair: expected terms are the question's first four keywords; recall in the answer, source match, passed."""
     p = _pairs(spark, sf).withColumn("terms", F.slice(F.array_sort(R.keywords(F.col("question"))), 1, 4))
@@ -312,7 +333,7 @@ def h11_caption_match(spark, sf):
     return r.select("query_id", "page_id", match.alias("matched"), F.round(F.least(F.lit(1.0), score), 5).alias("confidence"))
 
 
-QUERIES = {f.__name__: f for f in (f10_lay_terms, f13_modes, g20_codes, h3_captions, h6_visual_search, h9_rerank, h10_threshold, h11_caption_match, i5_red_flags, i10_citation_support, i12_suggestions, i15_polished, j2_groundedness, j4_visual_accuracy, j8_answer_cases, j14_good_chunks, j15_questions, j16_cases)}
+QUERIES = {f.__name__: f for f in (f10_lay_terms, f13_modes, g20_codes, h3_captions, h6_visual_search, h9_rerank, h10_threshold, h11_caption_match, i5_red_flags, i10_citation_support, i12_suggestions, i15_polished, j2_groundedness, j4_visual_accuracy, j6_overall, j10_case_summary, j8_answer_cases, j14_good_chunks, j15_questions, j16_cases)}
 
 _CTX = """cx0 AS (SELECT conv_id, turn, role, text, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER w AS question, string_agg(text, ' ') OVER w AS context FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 cx AS (SELECT conv_id, turn, coalesce(question, '') AS question, coalesce(text, '') AS answer, coalesce(context, '') AS context FROM cx0 WHERE role = 'assistant')"""
@@ -374,10 +395,15 @@ ORACLES = {
     "j2_groundedness": f"WITH {_CTX}, s AS (SELECT *, list_distinct({S.words('lower(context)')}) AS cw, list_filter(list_transform(string_split(answer, '.'), lambda x: {S.stripped('x')}), lambda x: x <> '') AS ss FROM cx) SELECT conv_id, turn, round(CASE WHEN context = '' THEN 0.5::DOUBLE ELSE len(list_filter(ss, lambda s: len(list_intersect({_GW}, cw)) >= {GROUNDED} * len({_GW}))) / greatest(len(ss), 1)::DOUBLE END, 6) AS groundedness FROM s",
     "j4_visual_accuracy": "SELECT conv_id, turn, round(coalesce((contains(lower(text), 'en')::INT + contains(lower(text), 'de')::INT + contains(lower(text), 'ththre')::INT) / 3.0::DOUBLE, 0), 6) AS accuracy FROM conversations WHERE role = 'assistant'",
     "j8_answer_cases": f"WITH {_CTX}, t AS (SELECT *, (list_sort({R._keywords('question')}))[:4] AS terms, list_has_any({R._keywords('answer')}, {R._keywords('context')}) AS source_match FROM cx), r AS (SELECT *, CASE WHEN len(terms) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(terms, lambda t: contains(lower(answer), t))) / len(terms)::DOUBLE END AS recall FROM t) SELECT conv_id, turn, round(recall, 4) AS recall, source_match, recall >= 0.8 AND source_match AS passed FROM r",
+    "j6_overall": f"""WITH {_CTX}, s AS (SELECT *, list_distinct({S.words('lower(answer)')}) AS a, list_distinct({S.words('lower(context)')}) AS cw, list_distinct({S.words('lower(question)')}) AS w, list_filter(list_transform(string_split(answer, '.'), lambda x: {S.stripped('x')}), lambda x: x <> '') AS ss, {S.count('answer', '[[]Source [0-9]+[]]')} AS cited FROM cx),
+x AS (SELECT conv_id, turn, CASE WHEN context = '' THEN 0.5::DOUBLE ELSE len(list_intersect(a, cw)) / greatest(len(a), 1)::DOUBLE END AS faithfulness, CASE WHEN context = '' THEN 0.5::DOUBLE ELSE len(list_filter(ss, lambda s: len(list_intersect({_GW}, cw)) >= {GROUNDED} * len({_GW}))) / greatest(len(ss), 1)::DOUBLE END AS grounded,
+ CASE WHEN cited = 0 THEN 0.5::DOUBLE ELSE least(1.0::DOUBLE, 1.0::DOUBLE / cited) END AS citations, CASE WHEN contains(lower(answer), 'en') THEN 1.0::DOUBLE ELSE 0 END AS visuals, CASE WHEN context = '' THEN 0.5::DOUBLE ELSE 1 - len(list_filter(a, lambda x: length(x) > 4 AND NOT list_contains(cw, x))) / greatest(len(a), 1)::DOUBLE END AS known, len(list_intersect(w, a)) / greatest(len(w), 1)::DOUBLE AS relevance FROM s)
+SELECT conv_id, turn, round(faithfulness, 6) AS faithfulness, round(grounded, 6) AS grounded, round(citations, 6) AS citations, visuals, round(known, 6) AS known, round(relevance, 6) AS relevance, round((faithfulness + grounded + citations + visuals + known + relevance) / 6, 6) AS overall FROM x""",
     "j14_good_chunks": f"WITH {_GOODCASE} SELECT doc_id, good FROM gc",
     "j15_questions": f"WITH {_CASES} SELECT chunk_id, topic, terms, question FROM cs",
     "j16_cases": f"""WITH {_CASES}, tb AS (SELECT doc_id AS chunk_id FROM documents WHERE len(list_filter({S.lines('text')}, lambda x: regexp_matches(x, '\\|.*\\|') OR {S.matches('x', directory.CAPTION)})) > 0),
 ev AS (SELECT chunk_id, question, 0 AS priority FROM cs UNION ALL SELECT chunk_id, question, 1 FROM cs JOIN tb USING (chunk_id) UNION ALL SELECT doc_id, 'What does no document say about ' || doc_id || '?', 2 FROM gc WHERE NOT good),
 oc AS (SELECT question, priority, chunk_id FROM ev QUALIFY row_number() OVER (PARTITION BY question ORDER BY priority, chunk_id) = 1) SELECT priority, chunk_id, question, row_number() OVER (PARTITION BY priority ORDER BY chunk_id, question) AS r FROM oc QUALIFY r <= [30, 10, 5][priority + 1]""",
 }
+ORACLES["j10_case_summary"] = f"WITH c AS ({ORACLES['j8_answer_cases']}), {_CTX.replace('cx0', 'cy0').replace('cx AS', 'cy AS')}, k AS (SELECT c.*, {S.first_match('lower(question)', tagging.INTENTS, q('general'))} AS kind FROM c JOIN cy USING (conv_id, turn)) SELECT coalesce(kind, 'all') AS kind, count(*) AS n, count(*) FILTER (passed) AS passed, round(avg(recall), 4) AS recall FROM k GROUP BY ROLLUP (kind)"
 ORACLES["i5_red_flags"] = ORACLES["i5_red_flags"].replace("END), CASE", "END) AS words, CASE")

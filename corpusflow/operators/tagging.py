@@ -135,7 +135,7 @@ def j3_citations(spark, sf):
 
 
 def j7_ranking(spark, sf, k=10):
-    """precision, reciprocal rank and nDCG at k for every twentieth vector; relevant: the same label. The discount is the bit length of the rank."""
+    """precision, recall, reciprocal rank, DCG and its ratio to the best at k for every twentieth vector; relevant: the same label. The discount is the bit length of the rank."""
     from corpusflow.operators.retrieval import cosine_top
 
     v = table(spark, sf, "embeddings")
@@ -144,7 +144,13 @@ def j7_ranking(spark, sf, k=10):
     r = cosine_top(asked, v, k + 1).where("vec_id <> query_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("rank") <= k)
     r = r.join(label, "vec_id").join(label.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id").withColumn("hit", (F.col("label") == F.col("own")).cast("int"))
     gain = F.col("hit") / F.length(F.bin(F.col("rank").cast("long")))
-    return r.groupBy("query_id").agg((F.sum("hit") / k).alias("precision"), F.coalesce(F.max(F.when(F.col("hit") == 1, 1 / F.col("rank"))), F.lit(0.0)).alias("reciprocal_rank"), F.sum(gain).alias("dcg"))
+    every = label.groupBy("label").agg((F.count("*") - 1).alias("relevant"))
+    g = r.groupBy("query_id", "own").agg(F.sum("hit").alias("hits"), F.coalesce(F.max(F.when(F.col("hit") == 1, 1 / F.col("rank"))), F.lit(0.0)).alias("reciprocal_rank"), F.sum(gain).alias("dcg"))
+    g = g.join(every, F.col("own") == F.col("label"))
+    best = F.aggregate(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(k), F.col("relevant").cast("int")))), lambda i: 1 / F.length(F.bin(i.cast("long")))), F.lit(0.0), lambda a, x: a + x)
+    recall = F.when(F.col("relevant") > 0, F.col("hits") / F.col("relevant")).otherwise(0.0)
+    ndcg = F.when(F.col("relevant") > 0, F.col("dcg") / best).otherwise(0.0)
+    return g.select("query_id", (F.col("hits") / k).alias("precision"), F.round(recall, 6).alias("recall"), "reciprocal_rank", "dcg", F.round(ndcg, 6).alias("ndcg"))
 
 
 def j10_summary(spark, sf):
@@ -195,8 +201,10 @@ ORACLES = {
     "j1_answer_scores": f"WITH {_PAIRS} SELECT conv_id, turn, CASE WHEN len(b) = 0 THEN 0.5 ELSE len(list_intersect(a, b)) / greatest(len(a), 1)::DOUBLE END AS faithfulness, 1 - len(list_filter(a, lambda w: length(w) > 4 AND NOT list_contains(b, w))) / greatest(len(a), 1)::DOUBLE AS supported, len(list_intersect(a, b)) / greatest(len(b), 1)::DOUBLE AS relevance FROM ab",
     "j3_citations": "SELECT conv_id, turn, least(1.0::DOUBLE, len(regexp_extract_all(text, '(?i)source [0-9]+')) / 3.0::DOUBLE) AS accuracy FROM conversations WHERE role = 'assistant'",
     "j7_ranking": """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[64] AS e FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id, a.label = b.label AS hit, array_cosine_similarity(a.e, b.e) AS score FROM v a, v b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s QUALIFY rank <= 10)
-SELECT query_id, sum(hit::INT) / 10.0 AS precision, coalesce(max(CASE WHEN hit THEN 1.0::DOUBLE / rank END), 0.0) AS reciprocal_rank, sum(hit::INT / length(bin(rank))::DOUBLE) AS dcg FROM r GROUP BY query_id""",
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s QUALIFY rank <= 10),
+g AS (SELECT query_id, sum(hit::INT) AS hits, coalesce(max(CASE WHEN hit THEN 1.0::DOUBLE / rank END), 0.0) AS reciprocal_rank, sum(hit::INT / length(bin(rank))::DOUBLE) AS dcg FROM r GROUP BY query_id),
+l AS (SELECT vec_id AS query_id, count(*) OVER (PARTITION BY label) - 1 AS relevant FROM v)
+SELECT query_id, hits / 10.0 AS precision, round(CASE WHEN relevant > 0 THEN hits / relevant::DOUBLE ELSE 0 END, 6) AS recall, reciprocal_rank, dcg, round(CASE WHEN relevant > 0 THEN dcg / list_sum(list_transform(range(1, least(10, relevant) + 1), lambda i: 1.0::DOUBLE / length(bin(i)))) ELSE 0 END, 6) AS ndcg FROM g JOIN l USING (query_id)""",
     "j10_summary": f"SELECT coalesce(role, 'all') AS role, count(*) AS n, sum(({S.n_words('text')} >= 10)::INT) AS passed FROM conversations GROUP BY ROLLUP (role)",
     "j12_gate": f"SELECT sum(({S.n_words('text')} >= 10)::INT) >= 0.7 * count(*) AS pass_rate_ok, count(*) > 0 AS has_cases FROM conversations",
     "j13_balanced": "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents QUALIFY r <= 12",

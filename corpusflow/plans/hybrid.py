@@ -250,6 +250,12 @@ def j9_retrieval_cases(spark, sf):
     return g.select("query_id", "hit", F.round("accuracy", 4).alias("accuracy"), F.round("recall", 4).alias("recall"), (F.col("hit") & (F.col("recall") >= 0.6)).alias("passed"))
 
 
+def j12_case_gate(spark, sf):
+    """Whether enough retrieval cases pass (70 %) and cite their source (80 %)."""
+    g = j9_retrieval_cases(spark, sf).agg(F.avg(F.col("passed").cast("int")).alias("passed"), F.avg(F.col("hit").cast("int")).alias("cited"))
+    return g.select(F.round("passed", 4).alias("passed"), F.round("cited", 4).alias("cited"), ((F.col("passed") >= 0.7) & (F.col("cited") >= 0.8)).alias("gate_open"))
+
+
 def j11_failures(spark, sf):
     """A failed case's record: its ten best chunks with their scores, in order."""
     r = ranked(candidates(spark, sf)).where("place <= 10")
@@ -271,7 +277,7 @@ def i11_confidence(spark, sf):
     return g.join(intent, "query_id").select("query_id", F.round(c, 4).alias("confidence"), F.when(c >= 0.75, "high").when(c >= 0.4, "medium").otherwise("low").alias("label"))
 
 
-QUERIES = {f.__name__: f for f in (g1_hybrid, g3_usable, g4_relevance, g5_rerank, g6_scaled, g7_gate, g9_compression, g10_multi_query, g11_second_pass, g12_lexical_fallback, g13_prune, g15_retry, g16_context, g19_extractive_answer, g21_evidence, j9_retrieval_cases, j11_failures, i11_confidence)}
+QUERIES = {f.__name__: f for f in (g1_hybrid, g3_usable, g4_relevance, g5_rerank, g6_scaled, g7_gate, g9_compression, g10_multi_query, g11_second_pass, g12_lexical_fallback, g13_prune, g15_retry, g16_context, g19_extractive_answer, g21_evidence, j9_retrieval_cases, j12_case_gate, j11_failures, i11_confidence)}
 
 _LEX = """(coalesce(list_sum(list_transform(list_filter(terms, lambda t: contains(low, t)), lambda t: 1 + 0.25::DOUBLE * least((length(low) - length(replace(low, t, ''))) / length(t)::DOUBLE, 5))), 0)
   + CASE WHEN length(array_to_string(list_sort(terms), ' ')) > 4 AND contains(low, array_to_string(list_sort(terms), ' ')) THEN 3 ELSE 0 END)::DOUBLE"""
@@ -334,3 +340,4 @@ ORACLES = {
     "j11_failures": f"WITH {_BASE}, b AS (SELECT query_id FROM cp WHERE place <= 3 GROUP BY query_id HAVING avg(relevance) < 2.5) SELECT query_id, string_agg(chunk_id || ':' || format('{{:.3f}}', relevance), ',' ORDER BY place) AS chunks FROM cp WHERE place <= 10 AND query_id IN (SELECT query_id FROM b) GROUP BY query_id",
     "i11_confidence": f"WITH {_BASE}, g AS (SELECT query_id, avg(relevance) AS a, count(DISTINCT source) AS s, avg((points >= 60)::INT) AS q FROM cp WHERE place <= 5 GROUP BY query_id), i AS (SELECT item_id AS query_id, {S.first_match('lower(text)', tagging.INTENTS, q('general'))} AS intent FROM benchmark), c AS (SELECT query_id, coalesce(nullif({_case('intent', FACTORS)}, 0), 1) * (0.4::DOUBLE * least(1, a / 3) + 0.25::DOUBLE * least(1, s / 3.0::DOUBLE) + 0.25::DOUBLE * q) AS c FROM g JOIN i USING (query_id)) SELECT query_id, round(c, 4) AS confidence, CASE WHEN c >= 0.75 THEN 'high' WHEN c >= 0.4 THEN 'medium' ELSE 'low' END AS label FROM c",
 }
+ORACLES["j12_case_gate"] = f"WITH c AS ({ORACLES['j9_retrieval_cases']}), g AS (SELECT avg(passed::INT) AS passed, avg(hit::INT) AS cited FROM c) SELECT round(passed, 4) AS passed, round(cited, 4) AS cited, passed >= 0.7 AND cited >= 0.8 AS gate_open FROM g"
