@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from corpusflow.llm import arrays, sketch, storage
 
 K = 13
+#: Windows of the corpus to a block, about; only those that may be repeated come to it.
+GROUP = 1 << 18
 
 
 def _windows(batch: pa.RecordBatch, k: int) -> tuple:
@@ -52,7 +54,7 @@ def repeated_windows(docs: DataFrame, k: int = K) -> DataFrame:
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
     expected = sketch.characters(docs) // 6
     held = sketch.build(docs.select("text"), lambda batch: _windows(batch, k)[0], expected)
-    shift = np.uint64(64 - max(6, int(expected // sketch.BLOCK).bit_length()))
+    shift = np.uint64(64 - max(6, int(expected // GROUP).bit_length()))
 
     def pack(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         """Rows of windows by block. Of each window only what the smallest document has here goes to its block; all else is late for certain."""

@@ -658,6 +658,7 @@ def test_hnsw_audit_and_recall_on_planted_clusters(spark):
     true = ((e @ e.T) >= 0.9).sum(1) - 1
     got = {r["vec_id"]: r["n_links"] for r in hnsw.near_duplicates(docs).collect()}
     found = np.array([got[i] for i in range(len(x))])
+    print(f"links found {found.sum()} of {true.sum()}")
     assert (found <= true).all() and found.sum() >= 0.99 * true.sum()
     rows = docs.select("vec_id", F.col("embedding").alias("e"), F.xxhash64("embedding").alias("k1"), F.lit(0).alias("k2"))
     audit = hnsw.index_of(hnsw.classes_of(rows)).agg(*(F.sum(c) for c in ("links_wanted", "links_found", "probes_wanted", "probes_found"))).first()
