@@ -68,7 +68,7 @@ def duck(micro):
 #: Query, and a column that must take more than one value on the micro rows.
 NAMES = {
     "b6_running_lines": "key", "b8_headings": "is_heading", "b20_retained_cleaning": "digest", "b22_enrichment": "level", "b31_source_list": "answer", "b30_transcript_scrub": "answer", "b7_low_value": "low_value", "b32_web_evidence": "pattern",
-    "c1_quality_score": "reasons", "c10_line_rules": "contents_page", "c14_survey_question": "is_survey", "c15_cleanup_score": "reasons", "d7_duplicate_chunks": None, "d9_titles": "title", "d10_language": "language", "d11_types": "kind", "d15_audit_rows": "issues", "d16_chunk_cleaning": "reasons", "d23_clean_selection": "reason",
+    "c1_quality_score": "reasons", "c10_line_rules": "contents_page", "c14_survey_question": "is_survey", "c15_cleanup_score": "reasons", "d7_duplicate_chunks": None, "d9_titles": "title", "d2_blocked_pairs": "left_id", "d10_language": "language", "d11_types": "kind", "d15_audit_rows": "issues", "d16_chunk_cleaning": "reasons", "d23_clean_selection": "reason",
     "f10_lay_terms": "variant", "f11_question_flags": "definition", "f12_query_type": "kind", "f13_modes": "mode", "g1_hybrid": "place", "g7_gate": "query_id", "g12_lexical_fallback": "gated", "g20_codes": None, "h1_captions": "n_captions", "h2_visual_type": "kind", "h3_captions": "of_table", "h11_caption_match": None,
     "i1_safety_flags": "injection", "i2_verdict": "verdict", "i3_redaction": "digest", "i4_intent": "intent", "i5_red_flags": "injection", "i6_direct_answer": "direct", "i9_leaks": "leaked", "i10_citation_support": "state", "i12_suggestions": "suggestions", "i15_polished": "answer", "j2_groundedness": "groundedness", "j3_citations": "accuracy", "j8_answer_cases": "recall", "j14_good_chunks": "good", "l2_contacts": "mail", "l3_page_count": "n_pages",
 }
