@@ -242,7 +242,11 @@ def _p95() -> str:
 
 
 _R = "r AS (SELECT start, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM (SELECT time_bucket(INTERVAL 5 MINUTE, ts) - d * INTERVAL 5 MINUTE AS start, event_type FROM events, (VALUES (0), (1)) t(d)) GROUP BY start)"
+_LIMITED = f"""WITH RECURSIVE e AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events), r AS (SELECT event_id, user_id, rn, ts AS start, 1 AS n FROM e WHERE rn = 1
+UNION ALL SELECT e.event_id, e.user_id, e.rn, CASE WHEN e.ts >= r.start + INTERVAL {PERIOD} SECOND THEN e.ts ELSE r.start END, CASE WHEN e.ts >= r.start + INTERVAL {PERIOD} SECOND THEN 1 ELSE r.n + 1 END FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1) SELECT event_id, n > {LIMIT} AS limited FROM r"""
 ORACLES = {
+    "s4_rate_limit": _LIMITED,
+    "s4_rate_limit_stream": _LIMITED,
     "s1_latency": f"WITH g AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, event_type, count(*) AS n, {_B} FROM events GROUP BY ALL) SELECT *, round({_p95()}, 6) AS p95 FROM g",
     "s2_ratio_alerts": f"WITH {_R} SELECT *, 20 * errors > n AS alert FROM r",
     "s2_sustained": f"WITH {_R}, a AS (SELECT epoch(start)::BIGINT // 300 AS slot FROM r WHERE 20 * errors > n), i AS (SELECT slot, slot - row_number() OVER (ORDER BY slot) AS island FROM a) SELECT min(slot) AS first_slot, count(*) AS n FROM i GROUP BY island HAVING count(*) >= 2",
