@@ -1,8 +1,9 @@
 """Licence scan: a trained passage classifier, confirmed by comparison with templates (operator 3).
 
 Texts are cut into passages at sentence ends and blank lines; a line end alone cuts nothing, as notices
-are wrapped. A passage of over LONG words is looked at in overlapping windows of WINDOW words, and
-windows of one family that touch are one finding. A softmax regression over sparse word 1- and 2-grams
+are wrapped. A passage is looked at whole, if it isn't over LONG words, and in overlapping windows of the
+sizes in SCALES; windows of one family that touch are one finding. Only windows that hold a 2-gram of some
+template are judged, as no other could be confirmed. A softmax regression over sparse word 1- and 2-grams
 gives each window a family or `unknown`. It is trained in the driver on the templates below, with
 words dropped, changed and added, against ordinary passages. Its probabilities are calibrated by a
 temperature that is fitted out of fold, on templates whose copies the fold's model hasn't seen. A family
@@ -33,8 +34,9 @@ UNKNOWN = "unknown"
 ACCEPT, SIMILAR = 0.4, 0.6
 #: 2-grams that a similarity is taken of at least, so that a few common words are no licence.
 LEAST_GRAMS = 4
-#: Words of a passage that is looked at whole, words of a window otherwise, and words between windows' starts.
-LONG, WINDOW, STEP = 64, 48, 16
+#: Words of a passage that is looked at whole; sizes of windows, words between their starts, and words that a passage must exceed.
+LONG = 64
+SCALES = ((48, 16, 64), (12, 4, 16), (5, 2, 8))
 FOLDS = 3
 
 # Public licence notices and characteristic sentences, by family.
@@ -99,11 +101,15 @@ def windows(passage: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first word, one past the last) of each window, in order."""
     first = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]])) if len(passage) else np.zeros(0, np.int64)
     size = np.diff(np.append(first, len(passage)))
-    count = np.where(size > LONG, -(-(size - WINDOW) // STEP) + 1, 1)
-    which = np.repeat(np.arange(len(first)), count)
-    step = arrays.spread(np.zeros(len(first), np.int64), count)
-    begin = first[which] + step * STEP
-    return begin, np.where(size[which] > LONG, np.minimum(begin + WINDOW, first[which] + size[which]), first[which] + size[which])
+    begins, stops = [first[size <= LONG]], [(first + size)[size <= LONG]]
+    for width, step, over in SCALES:
+        count = np.where(size > over, -(-(size - width) // step) + 1, 0)
+        begin = np.repeat(first, count) + step * arrays.spread(np.zeros(len(first), np.int64), count)
+        begins.append(begin)
+        stops.append(np.minimum(begin + width, np.repeat(first + size, count)))
+    begin, stop = np.concatenate(begins), np.concatenate(stops)
+    order = np.lexsort((-stop, begin))
+    return begin[order], stop[order]
 
 
 class Scanner:
@@ -147,6 +153,8 @@ class Scanner:
         self.held_accuracy = float((logits.argmax(1) == y).mean())
         self.weight = self.fit(x, y, rounds)
         self.templates = {f: [np.unique(_hashed(t)[1]) for t in ts] for f, ts in TEMPLATES.items()}
+        self.telling = np.zeros(len(self.vocabulary), bool)  # 2-grams of templates
+        self.telling[self.place(np.unique(np.concatenate([t for ts in self.templates.values() for t in ts])))] = True
 
     def fit(self, x: np.ndarray, y: np.ndarray, rounds: int) -> np.ndarray:
         """Weights of a softmax regression, by gradient ascent with momentum."""
@@ -191,13 +199,19 @@ class Scanner:
             return np.zeros(docs, np.int64), []
         opens = np.concatenate([[True], passage[1:] != passage[:-1]])
         per_doc = np.bincount(doc[opens], minlength=docs)
-        begin, stop = windows(passage)
         same = np.append(passage[1:] == passage[:-1], False)
         two = np.zeros(len(word), np.uint64)
         two[:-1] = arrays.mix(word[:-1] * arrays.BASES[0] + word[1:])
+        at_two = np.where(same, self.place(two), -1)
+        hit = np.flatnonzero((at_two >= 0) & self.telling[at_two])
+        begin, stop = windows(passage)
+        some = np.searchsorted(hit, begin) < np.searchsorted(hit, stop - 1)
+        begin, stop = begin[some], stop[some]
+        if not len(begin):
+            return per_doc, []
         grams = 2 * (stop - begin) - 1
         known, logits = np.zeros(len(begin), np.int64), np.zeros((len(begin), len(self.families)))
-        for at, last in ((self.place(word), 0), (np.where(same, self.place(two), -1), 1)):  # words, then 2-grams, which need the next word too
+        for at, last in ((self.place(word), 0), (at_two, 1)):  # words, then 2-grams, which need the next word too
             hit = np.flatnonzero(at >= 0)
             lo, hi = np.searchsorted(hit, begin), np.searchsorted(hit, stop - last)
             count = np.maximum(0, hi - lo)
@@ -215,7 +229,7 @@ class Scanner:
             if near >= SIMILAR:
                 if before == (int(passage[a]), family) and start[a] <= out[-1][3]:  # a window that touches the last
                     d, f, s, e, q, m = out[-1]
-                    out[-1] = d, f, s, int(end[b - 1]), max(q, sure), max(m, near)
+                    out[-1] = d, f, s, max(e, int(end[b - 1])), max(q, sure), max(m, near)
                 else:
                     out.append((int(doc[a]), family, int(start[a]), int(end[b - 1]), sure, near))
                 before = (int(passage[a]), family)

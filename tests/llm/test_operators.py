@@ -217,9 +217,11 @@ def test_licence_scan_equals_plain_loops(docs):
         out = []
         passages = re.split(r"\n[\x20\x09-\x0D]*\n[\x20\x09-\x0D]*|(?<=[.!?])[\x20\x09-\x0D]+", text)
         for w in map(words, passages):
-            starts = range(0, len(w) - licences.WINDOW + licences.STEP, licences.STEP) if len(w) > licences.LONG else [0]
-            for a in starts if w else []:
-                part = " ".join(w[a : a + licences.WINDOW] if len(w) > licences.LONG else w).rstrip()
+            parts = [w] if 0 < len(w) <= licences.LONG else []
+            for size, step, over in licences.SCALES:
+                parts += [w[a : a + size] for a in range(0, len(w) - size + step, step)] if len(w) > over else []
+            for own in parts:
+                part = " ".join(own)
                 one, two = licences._hashed(part.replace("! ", "!").replace("? ", "?"))
                 h = [*one.tolist(), *two.tolist()]
                 known = [place[x] for x in h if x in place]
