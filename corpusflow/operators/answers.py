@@ -17,7 +17,7 @@ from corpusflow.tables import table
 # Terms, templates and limits that results depend on.
 LAY_TERMS = ((r"\btooth\s+ache\b", "dental pain pulpitis"), (r"\bbad\s+breath\b", "halitosis oral odor"), (r"\bhole\s+in\s+tooth\b", "dental caries cavity"), (r"\bgum\s+bleeding\b", "gingival bleeding periodontal"), (r"\bswollen\s+gums\b", "gingival swelling inflammation"), (r"\bloose\s+tooth\b", "tooth mobility periodontal"), (r"\bsensitive\s+teeth\b", "dental sensitivity dentin hypersensitivity"), (r"\byellow\s+teeth\b", "tooth discoloration staining"), (r"\bwisdom\s+tooth\b", "third molar"), (r"\bbraces\b", "orthodontic appliance fixed appliance"), (r"\bpull\s+out\b", "extraction dental extraction"))
 #: Terms of the synthetic vocabulary, so that expansion takes place on it.
-OWN_TERMS = ((r"\bthe\s+the\b", "the double"), (r"\bde\s+la\b", "of the"), (r"\bder\s+die\b", "article"))
+OWN_TERMS = ((r" the +the ", " the double "), (r" de +la ", " of the "), (r" der +die ", " article "))
 MODES = ("simple", "memory", "multi_query", "hyde", "adaptive", "corrective", "self_rag", "agentic")
 SUPPORT, GROUNDED = 0.4, 0.3
 DISCLAIMERS = ("dental ai", "medical disclaimer", "does not replace", "consult", "professional", "disclaimer")
