@@ -78,7 +78,7 @@ def f13_modes(spark, sf):
 
 def code_findings(question, context, word="code", sign=" *:"):
     """Up to five distinct phrases after the code that the question names: alone, first or second of two."""
-    code = F.regexp_extract(F.lower(question), rf"\b{word} +([a-z0-9]+)\b", 1)
+    code = F.regexp_extract(F.lower(question), rf"(?:^|[^\p{{L}}\p{{N}}]){word} +([a-z0-9]+)(?:$|[^\p{{L}}\p{{N}}])", 1)
     shapes = (F.concat(F.lit(f"(?i){word} +"), code, F.lit(rf"{sign} *([^.;]+)")), F.concat(F.lit(f"(?i){word} +"), code, F.lit(rf" +and +{word} +[a-z0-9]+{sign} *([^.;]+)")), F.concat(F.lit(rf"(?i){word} +[a-z0-9]+ +and +{word} +"), code, F.lit(rf"{sign} *([^.;]+)")))
     found = F.flatten(F.array(*(F.regexp_extract_all(context, s, F.lit(1)) for s in shapes)))
     cut = F.filter(F.transform(found, lambda x: F.regexp_replace(x, "^[ ,:-]+|[ ,:-]+$", "")), lambda x: x != "")
@@ -343,7 +343,7 @@ for _pattern, _by in LAY_TERMS + OWN_TERMS:
 
 
 def _codes(word: str, sign: str) -> str:
-    code = f"regexp_extract(lower(question), '\\b{word} +([a-z0-9]+)\\b', 1)"
+    code = f"regexp_extract(lower(question), '(?:^|[^\\p{{L}}\\p{{N}}]){word} +([a-z0-9]+)(?:$|[^\\p{{L}}\\p{{N}}])', 1)"
     shapes = (f"'(?i){word} +' || {code} || '{sign} *([^.;]+)'", f"'(?i){word} +' || {code} || ' +and +{word} +[a-z0-9]+{sign} *([^.;]+)'", f"'(?i){word} +[a-z0-9]+ +and +{word} +' || {code} || '{sign} *([^.;]+)'")
     found = f"list_filter(list_transform(list_concat({', '.join(f'regexp_extract_all(context, {s}, 1)' for s in shapes)}), lambda x: regexp_replace(x, '^[ ,:-]+|[ ,:-]+$', '', 'g')), lambda x: x <> '')"
     return f"CASE WHEN {code} <> '' THEN array_to_string(list_filter({found}, lambda x, i: list_position(list_transform({found}, lambda y: lower(y)), lower(x)) = i)[:5], '; ') ELSE '' END"
