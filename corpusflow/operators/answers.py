@@ -356,11 +356,10 @@ _POL = "trim(answer)"
 for _pattern, _by in ((r"(?im)^[ \t]*(?:#+ *)?Direct +Answer *: *", ""), (r"(?im)^[ \t]*(?:#+ *)?Explanation *: *", "## Key points\n\n"), (r"\n{3,}", "\n\n"), (r"(?im)^[ \t]*(?:#+ *)?Safety +Note *: *", "\x01")):
     _POL = f"regexp_replace({_POL}, {q(_pattern)}, {q(_by)}, 'g')"
 _GW = f"list_distinct({S.words('lower(s)')})"
-_GOODCASE = f"""gc0 AS (SELECT doc_id, source, text, {S.squeezed('text')} AS t FROM documents), gc1 AS (SELECT *, lower(t) AS low, regexp_extract_all(lower(t), '[A-Za-z][A-Za-z-]{{3,}}') AS ws FROM gc0),
+_GOODCASE = f"""gc0 AS (SELECT doc_id, source, text, {S.squeezed('text')} AS t FROM documents), gc1 AS (SELECT *, lower(t) AS low, regexp_extract_all(lower(t), '[A-Za-z][A-Za-z-]{{3,}}') AS ws, regexp_extract_all(lower(t), '[a-z][a-z-]+') AS tw FROM gc0),
 gc AS (SELECT *, {S.n_words('t')} >= 55 AND NOT {S.any_of('substr(low, 1, 220)', HEADS)} AND {S.count('low', CITED)} < 4 AND len(ws) > 0 AND len(list_filter(ws, lambda w: regexp_matches(w, {q(BROKEN)}))) <= 0.12 * len(ws) AND {S.any_of('low', KEY_TERMS + OWN_KEYS)} AS good FROM gc1)"""
-_TERMS = f"list_filter(list_distinct(regexp_extract_all(low, '[a-z][a-z-]+')), lambda w: length(w) BETWEEN 4 AND 24 AND NOT ends_with(w, '-') AND w NOT IN ({', '.join(map(q, BAD_TERMS))}) AND regexp_matches(w, '[aeiou]'))"
-# DuckDB's list_distinct keeps no order: the first of equal words is told by its position.
-_TERMS = f"(list_filter(regexp_extract_all(low, '[a-z][a-z-]+'), lambda w, i: list_position(regexp_extract_all(low, '[a-z][a-z-]+'), w) = i AND length(w) BETWEEN 4 AND 24 AND NOT ends_with(w, '-') AND w NOT IN ({', '.join(map(q, BAD_TERMS))}) AND regexp_matches(w, '[aeiou]')))[:4]"
+# The first of equal words is told by its position, as DuckDB's list_distinct keeps no order.
+_TERMS = f"(list_filter(tw, lambda w, i: length(w) BETWEEN 4 AND 24 AND NOT ends_with(w, '-') AND w NOT IN ({', '.join(map(q, BAD_TERMS))}) AND regexp_matches(w, '[aeiou]') AND list_position(tw, w) = i))[:4]"
 _CASES = f"""{_GOODCASE}, ct0 AS (SELECT source, doc_id AS chunk_id, {_TERMS} AS terms FROM gc WHERE good), ct1 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY chunk_id) - 1 AS place, terms[1] || ' ' || terms[2] AS topic, substr(array_to_string(terms, ' '), 1, 90) AS detail FROM ct0 WHERE len(terms) >= 3),
 cs AS (SELECT source, chunk_id, topic, array_to_string(terms, ',') AS terms, replace([{', '.join(map(q, TEMPLATES))}][place % {len(TEMPLATES)} + 1], '{{}}', topic) || CASE WHEN contains(topic, detail) THEN '' ELSE ' Focus on ' || detail || '.' END AS question FROM ct1)"""
 _PTAG = lambda c: S.squeezed(f"regexp_replace({c}, '<[^>]*>', ' ', 'g')")
