@@ -60,7 +60,9 @@ def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
 
     rows: about how many edges there are, if it is known.
     """
-    now = storage.written(edges.select("a", "b").where("a <> b").mapInArrow(shrink, "a long, b long"), "edges") if rows is None else _written(edges.where("a <> b"), rows)
+    # Edges often come out of Python. They are written before they are shrunk, so that no task holds two Python workers.
+    plain = storage.written(edges.select("a", "b").where("a <> b"), "found")
+    now = _written(plain, plain.count() if rows is None else rows)
     while True:
         n = now.count()
         up = now.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("up"))
