@@ -26,23 +26,31 @@ TRUST = {"high": 0.25, "medium": 0.1, "low": -0.25}
 
 def stem(token):
     """A light stemmer: the first suffix that fits."""
-    t = F.regexp_replace(F.lower(token), "^-+|-+$", "")
+    return _stemmed(F.btrim(F.lower(token), F.lit("-")))
+
+
+def _stemmed(t):
+    """The ladder of suffixes over a lower-case token without hyphens at its ends; in a lambda, t has to be its variable."""
     out = t
     for suffix, least, cut, add in reversed(SUFFIXES):
         out = F.when((F.length(t) > least) & F.endswith(t, F.lit(suffix)), F.concat(F.left(t, F.length(t) - cut), F.lit(add))).otherwise(out)
     return out
 
 
+def _stems(found):
+    return F.transform(F.transform(found, lambda t: F.btrim(t, F.lit("-"))), _stemmed)
+
+
 def tokens(c):
     """Stemmed tokens without stop words, in order."""
-    found = F.transform(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(f"({TOKEN})"), 1), stem)
-    return F.filter(found, lambda t: (t != "") & ~t.isin(*STOPWORDS))
+    found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(f"({TOKEN})"), 1)
+    return F.filter(_stems(found), lambda t: (t != "") & ~t.isin(*STOPWORDS))
 
 
 def keywords(c):
     """Distinct stemmed letter-only tokens; stop words go before stemming."""
     found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([a-zA-Z][a-zA-Z-]{2,})"), 1)
-    return F.array_distinct(F.transform(F.filter(found, lambda t: ~t.isin(*STOPWORDS)), stem))
+    return F.array_distinct(_stems(F.filter(found, lambda t: ~t.isin(*STOPWORDS))))
 
 
 def bm25(queries, chunks, k1=K1, b=B):

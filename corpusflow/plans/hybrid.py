@@ -40,12 +40,12 @@ def detailed(spark, sf, found, queries=None):
     """found (query_id, chunk_id, bm25, vector) with what ranking needs of chunk and query; only chunks that were found are scored."""
     queries = R._queries(spark, sf) if queries is None else queries
     wanted = table(spark, sf, "documents").join(found.select(F.col("chunk_id").alias("doc_id")), "doc_id", "left_semi")
-    chunk = scored(wanted).select(F.col("doc_id").alias("chunk_id"), "source", F.col("text").alias("chunk"), F.lower("text").alias("low"), "points", "is_noisy")
-    chunk = chunk.withColumn("kind", T.first_match(F.col("low"), audit.TYPES, F.lit("other"))).withColumn("noisy_block", cleaning.noisy_block(F.col("chunk")))
+    chunk = scored(spread(wanted)).select(F.col("doc_id").alias("chunk_id"), "source", F.col("text").alias("chunk"), F.lower("text").alias("low"), "points", "is_noisy")
+    chunk = written(chunk.withColumn("kind", T.first_match(F.col("low"), audit.TYPES, F.lit("other"))).withColumn("noisy_block", cleaning.noisy_block(F.col("chunk"))), "chunks")
     label = table(spark, sf, "labels").select(F.col("doc_id").alias("chunk_id"), "quality")
     low = F.lower("text")
     asked = queries.select("query_id", R.keywords(F.col("text")).alias("terms"), F.regexp_extract_all(low, F.lit("([a-zA-Z][a-zA-Z-]{2,})"), 1).alias("said"), F.trim(F.regexp_extract(low, DEFINITION, 2)).alias("subject"))
-    rows = found.join(chunk, "chunk_id").join(label, "chunk_id", "left").join(asked, "query_id")
+    rows = spread(found.join(chunk, "chunk_id").join(label, "chunk_id", "left").join(asked, "query_id"))
     trust = F.when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low").otherwise("medium")
     return rows.withColumns({"approved": F.coalesce(F.col("quality") == 1, F.lit(False)), "trust": trust}).drop("quality")
 
@@ -55,6 +55,16 @@ def candidates(spark, sf, k=20):
     return detailed(spark, sf, written(R.merged(R._queries(spark, sf), R._chunks(spark, sf), k), "merged"))
 
 
+def spread(rows):
+    """Rows dealt evenly over the cluster's cores: scoring a row costs far more than its bytes suggest, by which small tables are put in one task."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def ranking(spark, sf, role="patient"):
+    """The candidates' ranks as a table, so that no filter above computes them anew."""
+    return written(ranked(candidates(spark, sf), role), "ranked")
+
+
 def ladder(column, values):
     out = F.lit(0.0)
     for name, value in values.items():
@@ -75,11 +85,15 @@ def ranked(rows, role="patient"):
 
 def relevant(rows, least=GATE):
     """Enough relevance and enough of the terms; a definition's subject of several words must be there whole; no noisy block."""
+    return rows.where(gate(least))
+
+
+def gate(least=GATE):
     n, m = F.size("terms"), F.col("matches")
     whole = (F.col("subject") == "") | (F.instr("subject", " ") == 0) | F.contains("low", F.col("subject"))
     core = F.when(n == 0, True).otherwise(whole & F.when(n <= 2, m > 0).otherwise(m >= 0.4 * n))
     enough = (m >= F.when(n >= 3, 2).otherwise(1)) | (2 * m >= n)
-    return rows.where(F.when(n == 0, F.col("rerank") >= least).otherwise(core & enough & (F.col("relevance") >= least) & ~F.col("noisy_block")))
+    return F.when(n == 0, F.col("rerank") >= least).otherwise(core & enough & (F.col("relevance") >= least) & ~F.col("noisy_block"))
 
 
 def usable(rows):
@@ -128,12 +142,15 @@ def assembled(rows, k=5):
 
 def g1_hybrid(spark, sf):
     """The whole plan: the five best relevant, usable chunks of each query; where none is relevant, the best of all usable ones."""
-    rows = usable(ranked(candidates(spark, sf)))
-    good = relevant(rows).select("query_id", "chunk_id", F.lit(1).alias("good"))
-    rows = rows.join(good, ["query_id", "chunk_id"], "left").withColumn("good", F.coalesce("good", F.lit(0)))
-    some = F.max("good").over(Window.partitionBy("query_id"))
+    return _gated_best(usable(ranking(spark, sf)), GATE).select("query_id", "chunk_id", "place")
+
+
+def _gated_best(rows, least, k=5):
+    """The k best rows of each query that pass the gate, or, where none does (gated: 0), of all."""
+    rows = rows.select("query_id", "chunk_id", "rerank", F.coalesce(gate(least), F.lit(False)).cast("int").alias("good"))
+    rows = rows.withColumn("gated", F.max("good").over(Window.partitionBy("query_id"))).where("good = gated")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rerank"), "chunk_id"))
-    return rows.withColumn("some", some).where("good = some").withColumn("place", place).where("place <= 5").select("query_id", "chunk_id", "place")
+    return rows.withColumn("place", place).where(F.col("place") <= k)
 
 
 def g3_usable(spark, sf):
@@ -141,28 +158,28 @@ def g3_usable(spark, sf):
 
 
 def g4_relevance(spark, sf):
-    return ranked(candidates(spark, sf)).select("query_id", "chunk_id", "matches", "relevance")
+    return ranking(spark, sf).select("query_id", "chunk_id", "matches", "relevance")
 
 
 def g5_rerank(spark, sf):
-    return ranked(candidates(spark, sf), "dentist").select("query_id", "chunk_id", "place")
+    return ranking(spark, sf, "dentist").select("query_id", "chunk_id", "place")
 
 
 def g6_scaled(spark, sf):
     """A raw score of the forty first candidates, here the vector's, scaled to 0 to 1.25 within a query."""
-    r = ranked(candidates(spark, sf)).where("place <= 40")
+    r = ranking(spark, sf).where("place <= 40")
     w = Window.partitionBy("query_id")
     low, high = F.min("vector").over(w), F.max("vector").over(w)
     return r.select("query_id", "chunk_id", F.round(CROSS * (F.col("vector") - low) / F.greatest(high - low, F.lit(1e-6)), 5).alias("scaled"))
 
 
 def g7_gate(spark, sf):
-    return relevant(ranked(candidates(spark, sf))).select("query_id", "chunk_id")
+    return relevant(ranking(spark, sf)).select("query_id", "chunk_id")
 
 
 def g9_compression(spark, sf):
     """The best sentences of each query's best chunk."""
-    return compressed(ranked(candidates(spark, sf)).where("place = 1")).select("query_id", F.md5("context").alias("context"), F.length("context").alias("n"))
+    return compressed(ranking(spark, sf).where("place = 1")).select("query_id", F.md5("context").alias("context"), F.length("context").alias("n"))
 
 
 def variants(queries):
@@ -177,12 +194,12 @@ def g10_multi_query(spark, sf):
     v = written(variants(R._queries(spark, sf)), "variants")
     found = R.top(R.bm25(v, R._chunks(spark, sf)), 20).join(v.select("query_id", "parent"), "query_id")
     found = found.groupBy(F.col("parent").alias("query_id"), "chunk_id").agg(F.max("score").alias("bm25")).withColumn("vector", F.lit(0.0))
-    return relevant(ranked(detailed(spark, sf, written(found, "found")))).select("query_id", "chunk_id")
+    return relevant(written(ranked(detailed(spark, sf, written(found, "found"))), "ranked")).select("query_id", "chunk_id")
 
 
 def g11_second_pass(spark, sf):
     """Confidence of a query's three best chunks; one below the least is asked again, for twice as many candidates, and adds those that are new."""
-    r = ranked(candidates(spark, sf))
+    r = ranking(spark, sf)
     c = r.where("place <= 3").groupBy("query_id").agg(F.avg("relevance").alias("c"))
     c = written(c.select("query_id", F.round("c", 4).alias("confidence"), (F.col("c") < AGAIN).alias("again")), "confidence")
     low = R._queries(spark, sf).join(c.where("again").select("query_id"), "query_id", "left_semi")
@@ -193,17 +210,13 @@ def g11_second_pass(spark, sf):
 def g12_lexical_fallback(spark, sf):
     """The lexical arm alone: what passes the gate at 70 %, else the five best as they are."""
     best = written(R.top(R.bm25(R._queries(spark, sf), R._chunks(spark, sf)), 20).select("query_id", "chunk_id", F.col("score").alias("bm25"), F.lit(0.0).alias("vector")), "best")
-    rows = ranked(detailed(spark, sf, best))
-    good = relevant(rows, FALLBACK * GATE).select("query_id", "chunk_id", F.lit(1).alias("good"))
-    rows = rows.join(good, ["query_id", "chunk_id"], "left").withColumn("good", F.coalesce("good", F.lit(0)))
-    rows = rows.withColumn("gated", F.max("good").over(Window.partitionBy("query_id"))).where("good = gated")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rerank"), "chunk_id"))
-    return rows.withColumn("place", place).where("place <= 5").select("query_id", "chunk_id", "place", "gated")
+    rows = written(ranked(detailed(spark, sf, best)), "ranked")
+    return _gated_best(rows, FALLBACK * GATE).select("query_id", "chunk_id", "place", "gated")
 
 
 def g13_prune(spark, sf):
     """Ordered anew by rerank, vector and lexical score; kept with half of the gate's least score or a vector score of 0.3."""
-    r = ranked(candidates(spark, sf)).where((F.col("rerank") >= GATE / 2) | (F.col("vector") >= 0.3))
+    r = ranking(spark, sf).where((F.col("rerank") >= GATE / 2) | (F.col("vector") >= 0.3))
     score = F.round(0.4 * F.col("rerank") + 0.35 * F.col("vector") + 0.25 * F.col("bm25"), 7)
     return r.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score), "chunk_id"))).where("place <= 10").select("query_id", "chunk_id", "place")
 
@@ -216,13 +229,13 @@ def g15_retry(spark, sf):
 
 
 def g16_context(spark, sf):
-    c = assembled(usable(ranked(candidates(spark, sf))))
+    c = assembled(usable(ranking(spark, sf)))
     return c.select("query_id", "n_blocks", F.length("context").alias("n"), F.md5("context").alias("context"))
 
 
 def g19_extractive_answer(spark, sf):
     """The four best sentences of a query's three best chunks, up to 1200 characters; of a definition's, those with a sign of one."""
-    rows = ranked(candidates(spark, sf)).where("place <= 3")
+    rows = ranking(spark, sf).where("place <= 3")
     s = sentence_ranks(rows).join(rows.select("query_id", "place", "subject"), ["query_id", "place"])
     s = s.where((F.col("subject") == "") | F.lower("sentence").rlike(r"\b(is|are|means|refers to|defined as|called)\b"))
     s = s.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.length("sentence"), "place", "pos"))).where("r <= 4")
@@ -235,14 +248,14 @@ EVIDENCE = (("guideline", "guideline"), ("consensus", "guideline"), ("systematic
 
 def g21_evidence(spark, sf):
     """A label by the first two chunks' text. The last needles fit the synthetic texts."""
-    r = ranked(candidates(spark, sf)).where("place <= 2")
+    r = ranking(spark, sf).where("place <= 2")
     text = r.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "low"))), lambda x: x["low"]), " ").alias("t"))
     return text.select("query_id", T.first_match(F.col("t"), EVIDENCE, F.lit("other")).alias("evidence"))
 
 
 def j9_retrieval_cases(spark, sf):
     """A case is a query whose expected source is that of its best lexical hit: hits among the five first, share of its terms, whether it passes."""
-    r = ranked(candidates(spark, sf))
+    r = ranking(spark, sf)
     expected = r.groupBy("query_id").agg(F.max_by("source", F.struct("bm25", -F.col("chunk_id"))).alias("expected"))
     r = r.where("place <= 5").join(expected, "query_id")
     found = F.size(F.array_distinct(F.flatten(F.collect_list(F.filter("terms", lambda t: F.contains(F.col("low"), t))))))
@@ -258,7 +271,7 @@ def j12_case_gate(spark, sf):
 
 def j11_failures(spark, sf):
     """A failed case's record: its ten best chunks with their scores, in order."""
-    r = ranked(candidates(spark, sf)).where("place <= 10")
+    r = ranking(spark, sf).where("place <= 10")
     failed = r.where("place <= 3").groupBy("query_id").agg(F.avg("relevance").alias("c")).where(F.col("c") < 2.5).select("query_id")
     one = F.struct("place", F.concat_ws(":", F.col("chunk_id").cast("string"), F.format_string("%.3f", "relevance")).alias("t"))
     return r.join(failed, "query_id").groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["t"]), ",").alias("chunks"))
@@ -269,7 +282,7 @@ FACTORS = {"emergency": 0.8, "symptom": 0.9, "general": 0.95}
 
 def i11_confidence(spark, sf):
     """0.4 of mean relevance over three, a quarter each of distinct sources and of good chunks, by the intent's factor; a label."""
-    r = ranked(candidates(spark, sf)).where("place <= 5")
+    r = ranking(spark, sf).where("place <= 5")
     g = r.groupBy("query_id").agg(F.avg("relevance").alias("a"), F.countDistinct("source").alias("s"), F.avg((F.col("points") >= 60).cast("int")).alias("q"))
     intent = R._queries(spark, sf).select("query_id", tagging.intent(F.col("text")).alias("intent"))
     factor = F.coalesce(F.nullif(ladder(F.col("intent"), FACTORS), F.lit(0.0)), F.lit(1.0))

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from corpusflow import shared
 from corpusflow.operators import ingest, tagging
+from corpusflow.sources import versions
 from corpusflow.tables import table
 
 BUCKETS = (10, 25, 50, 75, 100, 250, 500)
-LIMIT, PERIOD = 3, 3600
+#: Events a user in PERIOD seconds, seconds that a first answer is kept, and how late a stream's rows may come.
+LIMIT, PERIOD, LIFETIME, LATE = 3, 86_400, 86_400, "1 hour"
 SLOW, BURST, QUIET = 100, 1, 2
 
 
@@ -46,48 +48,103 @@ def sessions(events: DataFrame) -> DataFrame:
 
 
 def limited(events: DataFrame) -> DataFrame:
-    """Batch form: a user's counter starts at an event and ends PERIOD seconds later; events beyond LIMIT are limited."""
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["ts", "event_id"])
-        start, n, out = None, 0, []
-        for ts in frame["ts"]:
-            if start is None or (ts - start).total_seconds() >= PERIOD:
-                start, n = ts, 0
-            n += 1
-            out.append(n > LIMIT)
-        return pd.DataFrame({"event_id": frame["event_id"], "limited": out})
+    """Batch form: a user's counter starts at an event and ends PERIOD seconds later; events beyond LIMIT are limited.
 
-    return events.select("event_id", "user_id", "ts").groupBy("user_id").applyInPandas(fold, "event_id long, limited boolean")
+    Rows are sorted by user and time, and a task passes over them with one counter in hand. Rows without user count as
+    one user's; equal times go by event_id; rows without time come first in a period of their own; an empty table gives no rows.
+    """
 
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, start, n = None, None, 0
+        for frame in frames:
+            out = []
+            for who, at in zip(frame["user"], frame["at"], strict=True):
+                if who != user or start is None or not at - start < PERIOD:
+                    user, start, n = who, at, 0
+                n += 1
+                out.append(n > LIMIT)
+            yield pd.DataFrame({"event_id": frame["event_id"], "limited": out})
 
-def limited_stream(events: DataFrame) -> DataFrame:
-    """The stream's form of `limited`, with a state a user."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:  # the counter's period is over: nothing is kept of the user
-            state.remove()
-            return
-        start, n = state.get if state.exists else (None, 0)
-        frame = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+    keyed = events.select("event_id", F.coalesce(F.col("user_id").cast("string"), F.lit("")).alias("user"), F.expr("unix_micros(CAST(ts AS TIMESTAMP)) / 1e6D").alias("at"))
+    return keyed.repartition("user").sortWithinPartitions("user", "at", "event_id").mapInPandas(fold, "event_id long, limited boolean")
+
+
+class Limiter(StatefulProcessor):
+    """A counter a user, with a timer at its period's end that clears it. What a batch holds of a user is taken in the order of time."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counter = handle.getValueState("counter", "start double, n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        start, n = self.counter.get() if self.counter.exists() else (None, 0)
+        frame = pd.concat(list(rows)).sort_values(["at", "event_id"])
         out = []
-        for ts in frame["ts"]:
-            now = ts.timestamp()
-            if start is None or now - start >= PERIOD:
-                start, n = now, 0
+        for at in frame["at"]:
+            if start is None or at - start >= PERIOD:
+                start, n = at, 0
             n += 1
             out.append(n > LIMIT)
-        state.update((start, n))
-        state.setTimeoutTimestamp(max(int((start + PERIOD) * 1000), state.getCurrentWatermarkMs() + 1))
+        self.counter.update((float(start), int(n)))
+        _only_timer(self.handle, start + PERIOD)
         yield pd.DataFrame({"event_id": frame["event_id"].to_numpy(), "limited": out})
 
-    timed = events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", "1 hour")
-    return timed.groupBy("user_id").applyInPandasWithState(step, "event_id long, limited boolean", "start double, n long", "append", "EventTimeTimeout")
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        self.counter.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class Replayer(StatefulProcessor):
+    """The event that first used a key, for LIFETIME seconds; events of that time are answered by it, the next one after it is a first one again."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.first = handle.getValueState("first", "event_id long, start double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        first, start = self.first.get() if self.first.exists() else (None, None)
+        frame = pd.concat(list(rows)).sort_values(["at", "event_id"])
+        out = []
+        for event, at in zip(frame["event_id"], frame["at"], strict=True):
+            if first is None or at - start >= LIFETIME:
+                first, start = event, at
+            out.append(first)
+        self.first.update((int(first), float(start)))
+        _only_timer(self.handle, start + LIFETIME)
+        event = frame["event_id"].to_numpy()
+        yield pd.DataFrame({"event_id": event, "answered_by": out, "replayed": event != out})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        self.first.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _only_timer(handle: StatefulProcessorHandle, at: float) -> None:
+    for old in list(handle.listTimers()):
+        handle.deleteTimer(old)
+    handle.registerTimer(int(at * 1000))
 
 
-def first_requests(events: DataFrame) -> DataFrame:
-    """One event a user and type within a day of event time."""
-    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["user_id", "event_type"])
+def _stateful(events: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:
+    timed = events.select("event_id", *keys, F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", LATE)
+    timed = timed.withColumn("at", F.expr("unix_micros(ts) / 1e6D"))
+    return timed.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+
+
+def limited_stream(events: DataFrame) -> DataFrame:
+    """The stream's form of `limited`. Batches come in the order of time, up to LATE; what is later than that is dropped."""
+    return _stateful(events, ["user_id"], Limiter(), "event_id long, limited boolean")
+
+
+def replayed_stream(events: DataFrame) -> DataFrame:
+    """event_id, answered_by, replayed: an event is answered by the first of its user and type within LIFETIME; batches as for `limited_stream`."""
+    return _stateful(events, ["user_id", "event_type"], Replayer(), "event_id long, answered_by long, replayed boolean")
 
 
 def tagged(conversations: DataFrame) -> DataFrame:
@@ -122,6 +179,38 @@ def _folder(spark, source: DataFrame, folder: str) -> str:
     return f"{folder}/in"
 
 
+def fed(spark, parts: list[DataFrame], transform: Callable[[DataFrame], DataFrame], start: Callable | None = None) -> tuple[DataFrame, list[dict]]:
+    """(result, progress reports) of a stream that gets `parts` one after the other, each as a micro-batch.
+
+    After each part the query stops, and the next one resumes from its checkpoint. start: writes the stream to a sink of its
+    own, (writer) -> writer; else rows are appended to a table of the shared folder.
+    """
+    at, reports, name = shared.folder(spark), [], "spark.sql.streaming.stateStore.providerClass"
+    held = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for part in parts:
+            part.write.mode("append").parquet(f"{at}/in")
+            out = transform(spark.readStream.schema(parts[0].schema).parquet(f"{at}/in"))
+            writer = out.writeStream.option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True)
+            writer = start(writer) if start else writer.format("parquet").option("path", f"{at}/out")
+            query = writer.start()
+            query.awaitTermination()
+            reports += query.recentProgress
+    finally:
+        spark.conf.unset(name) if held is None else spark.conf.set(name, held)
+    return (out if start else spark.read.schema(out.schema).parquet(f"{at}/out")), reports
+
+
+def by_time(events: DataFrame, n: int = 4) -> list[DataFrame]:
+    """events in n parts of equal spans of time, in order; rows without time are in the first."""
+    first, last = events.agg(F.min(F.unix_seconds(F.col("ts").cast("timestamp"))), F.max(F.unix_seconds(F.col("ts").cast("timestamp")))).first()
+    if first is None:
+        return [events]
+    part = F.coalesce(F.floor((F.unix_seconds(F.col("ts").cast("timestamp")) - first) * n / (last - first + 1)), F.lit(0))
+    return [events.where(part == i) for i in range(n)]
+
+
 def _events(spark, sf):
     return table(spark, sf, "events")
 
@@ -152,8 +241,8 @@ def s4_rate_limit(spark, sf):
 
 
 def s4_rate_limit_stream(spark, sf):
-    """All events come in one batch here, so the states see them in order."""
-    return streamed(spark, sf, "events", limited_stream)
+    """Four batches in the order of time; the counters go from one to the next in the checkpoint."""
+    return fed(spark, by_time(_events(spark, sf)), limited_stream)[0]
 
 
 def alerts(events: DataFrame) -> DataFrame:
@@ -169,51 +258,49 @@ def s2_alerts(spark, sf):
 
 
 def late_counts(events: DataFrame) -> DataFrame:
-    """Hourly counts of a stream that may be a day late: a window is handed on once it is closed, and rows that come after that are dropped."""
-    g = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day").groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"))
-    return g.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+    """Hourly counts of a stream that may be a day late: a window is handed on once it is closed, and rows that come after that are dropped.
 
+    Events are grouped one by one first, so that the first state's report of dropped rows counts events.
+    """
+    each = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day").groupBy(F.window("ts", "1 hour").alias("w"), "event_id").agg(F.count("*").alias("n"))
+    return each.groupBy("w").agg(F.sum("n").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
-def s9_late_data(spark, sf):
-    """Every tenth event comes in a third file, after all others; what its windows' closing leaves out is told by the batch's count.
 
-    A batch drops what is late by the watermark of the batch before, so the third drops by the first one's times.
-    """
-    at, e = shared.folder(spark), _events(spark, sf).select("event_id", "ts")
-    for part in ("event_id % 10 BETWEEN 1 AND 5", "event_id % 10 > 5", "event_id % 10 = 0"):
-        e.where(part).coalesce(1).write.mode("append").parquet(f"{at}/in")
-        time.sleep(1.1)  # files are read in the order of their times
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(f"{at}/in")
-    late_counts(stream).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    closed = spark.read.schema("start timestamp_ntz, n long").parquet(f"{at}/out")
-    whole = e.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("total")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "total")
+def _thirds(spark, sf) -> list[DataFrame]:
+    """Events out of order: half, four tenths and a tenth of them, each over the whole time."""
+    e = _events(spark, sf).select("event_id", "ts")
+    return [e.where(x) for x in ("event_id % 10 BETWEEN 1 AND 5", "event_id % 10 > 5", "event_id % 10 = 0")]
+
+
+def s9_late_data(spark, sf):
+    """Windows that closed, their counts, and what came too late for them, by the batch's count of all events."""
+    closed, _ = fed(spark, _thirds(spark, sf), late_counts)
+    whole = _events(spark, sf).groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("total")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "total")
     return closed.join(whole, "start").select("start", "n", (F.col("total") - F.col("n")).alias("dropped"))
 
 
+def s9_dropped_metric(spark, sf):
+    """What the stream's own progress reports say of each batch with rows: rows read, and rows dropped as too late."""
+    _, reports = fed(spark, _thirds(spark, sf), late_counts)
+    rows = [(int(r["numInputRows"]), sum(int(x["numRowsDroppedByWatermark"]) for x in r["stateOperators"])) for r in reports if r["numInputRows"]]
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "part int, n_read long, n_dropped long")  # a row a batch
+
+
 def s8_continuous_ingest(spark, sf):
-    """Documents that come in two files, the second with every fifth of the first's again; each batch runs the whole ingest, and a document's chunks are those of its last batch."""
-    at, d = shared.folder(spark), table(spark, sf, "documents").select("doc_id", "source", "text")
-    for i, part in enumerate((d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1 OR doc_id % 10 = 0"))):
-        part.coalesce(1).write.mode("append").parquet(f"{at}/in")
-        if not i:
-            time.sleep(1.1)
-    stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(f"{at}/in")
+    """Documents that come in two batches, the second with every fifth of the first's again: each batch runs the whole ingest and replaces its documents' chunks in a versioned table."""
+    d, at = table(spark, sf, "documents").select("doc_id", "source", "text"), shared.folder(spark)
 
     def replace(batch: DataFrame, i: int) -> None:
         rows = shared.written(batch, "batch")
-        ingest.ingested(rows).write.mode("overwrite").parquet(f"{at}/chunks/batch={i}")
-        rows.select("doc_id").distinct().write.mode("overwrite").parquet(f"{at}/seen/batch={i}")
+        versions.replace(f"{at}/chunks", ingest.ingested(rows), rows.select("doc_id"), "doc_id")
 
-    stream.writeStream.foreachBatch(replace).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    last = spark.read.parquet(f"{at}/seen").groupBy("doc_id").agg(F.max("batch").alias("batch"))
-    return spark.read.parquet(f"{at}/chunks").join(last, ["doc_id", "batch"])
+    fed(spark, [d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1 OR doc_id % 10 = 0")], lambda s: s, lambda w: w.foreachBatch(replace))
+    return versions.current(spark, f"{at}/chunks")
 
 
 def s5_idempotent(spark, sf):
-    """One event a user and type: the first in the file's order may be any, so it is known by its key; and how many were refused."""
-    kept = streamed(spark, sf, "events", first_requests).groupBy("user_id", "event_type").agg(F.count("*").alias("kept"))
-    seen = _events(spark, sf).groupBy("user_id", "event_type").agg(F.count("*").alias("seen"))
-    return seen.join(kept, ["user_id", "event_type"], "left").select("user_id", "event_type", "seen", F.coalesce("kept", F.lit(0)).alias("kept"))
+    """Every event with the one that answers it, and whether that is a replay; four batches in the order of time."""
+    return fed(spark, by_time(_events(spark, sf)), replayed_stream)[0]
 
 
 def s6_sessions(spark, sf):
@@ -228,7 +315,7 @@ def s10_tagging(spark, sf):
     return streamed(spark, sf, "conversations", tagged)
 
 
-QUERIES = {f.__name__: f for f in (s1_latency, s2_alerts, s8_continuous_ingest, s9_late_data, s2_ratio_alerts, s2_sustained, s3_counts, s4_rate_limit, s4_rate_limit_stream, s5_idempotent, s6_sessions, s7_topic_counters, s10_tagging)}
+QUERIES = {f.__name__: f for f in (s1_latency, s2_alerts, s8_continuous_ingest, s9_late_data, s9_dropped_metric, s2_ratio_alerts, s2_sustained, s3_counts, s4_rate_limit, s4_rate_limit_stream, s5_idempotent, s6_sessions, s7_topic_counters, s10_tagging)}
 
 _B = ", ".join(f"count(*) FILTER (value <= {b}) AS le_{b}" for b in BUCKETS)
 
@@ -244,6 +331,8 @@ def _p95() -> str:
 _R = "r AS (SELECT start, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM (SELECT time_bucket(INTERVAL 5 MINUTE, ts) - d * INTERVAL 5 MINUTE AS start, event_type FROM events, (VALUES (0), (1)) t(d)) GROUP BY start)"
 _LIMITED = f"""WITH RECURSIVE e AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events), r AS (SELECT event_id, user_id, rn, ts AS start, 1 AS n FROM e WHERE rn = 1
 UNION ALL SELECT e.event_id, e.user_id, e.rn, CASE WHEN e.ts >= r.start + INTERVAL {PERIOD} SECOND THEN e.ts ELSE r.start END, CASE WHEN e.ts >= r.start + INTERVAL {PERIOD} SECOND THEN 1 ELSE r.n + 1 END FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1) SELECT event_id, n > {LIMIT} AS limited FROM r"""
+_LATE = """e AS (SELECT ts, time_bucket(INTERVAL 1 HOUR, ts) AS start, CASE WHEN event_id % 10 BETWEEN 1 AND 5 THEN 0 WHEN event_id % 10 > 5 THEN 1 ELSE 2 END AS part FROM events),
+c AS (SELECT max(ts) FILTER (part = 0) - INTERVAL 1 DAY AS w1, max(ts) FILTER (part < 2) - INTERVAL 1 DAY AS w2, max(ts) - INTERVAL 1 DAY AS w3 FROM e), l AS (SELECT e.*, (part = 1 AND start + INTERVAL 1 HOUR <= w1) OR (part = 2 AND start + INTERVAL 1 HOUR <= w2) AS late FROM e, c)"""
 ORACLES = {
     "s4_rate_limit": _LIMITED,
     "s4_rate_limit_stream": _LIMITED,
@@ -251,9 +340,12 @@ ORACLES = {
     "s2_ratio_alerts": f"WITH {_R} SELECT *, 20 * errors > n AS alert FROM r",
     "s2_sustained": f"WITH {_R}, a AS (SELECT epoch(start)::BIGINT // 300 AS slot FROM r WHERE 20 * errors > n), i AS (SELECT slot, slot - row_number() OVER (ORDER BY slot) AS island FROM a) SELECT min(slot) AS first_slot, count(*) AS n FROM i GROUP BY island HAVING count(*) >= 2",
     "s2_alerts": f"WITH g AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'purchase') AS sold, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY 1), k AS (SELECT start, unnest([CASE WHEN 20 * errors > n THEN 'errors' END, CASE WHEN p95 > {SLOW} THEN 'slow' END, CASE WHEN sold >= {BURST} THEN 'burst' END, CASE WHEN n < {QUIET} THEN 'quiet' END]) AS kind FROM g) SELECT * FROM k WHERE kind IS NOT NULL",
-    "s9_late_data": "WITH e AS (SELECT event_id % 10 = 0 AS late, ts, time_bucket(INTERVAL 1 HOUR, ts) AS start FROM events), w AS (SELECT max(ts) FILTER (event_id % 10 BETWEEN 1 AND 5) - INTERVAL 1 DAY AS w1, max(ts) - INTERVAL 1 DAY AS w2 FROM events), g AS (SELECT start, count(*) AS total, count(*) FILTER (NOT late OR start + INTERVAL 1 HOUR > w1) AS n, max(w2) AS w2 FROM e, w GROUP BY start) SELECT start, n, total - n AS dropped FROM g WHERE n > 0 AND start + INTERVAL 1 HOUR <= w2",
+    "s9_late_data": f"WITH {_LATE}, g AS (SELECT start, count(*) AS total, count(*) FILTER (NOT late) AS n FROM l GROUP BY start) SELECT start, n, total - n AS dropped FROM g, c WHERE n > 0 AND start + INTERVAL 1 HOUR <= c.w3",
+    "s9_dropped_metric": f"WITH {_LATE} SELECT part, count(*) AS n_read, count(*) FILTER (late) AS n_dropped FROM l GROUP BY part",
     "s3_counts": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
-    "s5_idempotent": "SELECT user_id, event_type, count(*) AS seen, 1 AS kept FROM events GROUP BY ALL",
+    "s5_idempotent": f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events), r AS (SELECT event_id, user_id, event_type, rn, ts AS start, event_id AS answered_by FROM e WHERE rn = 1
+UNION ALL SELECT e.event_id, e.user_id, e.event_type, e.rn, CASE WHEN e.ts >= r.start + INTERVAL {LIFETIME} SECOND THEN e.ts ELSE r.start END, CASE WHEN e.ts >= r.start + INTERVAL {LIFETIME} SECOND THEN e.event_id ELSE r.answered_by END FROM r JOIN e ON e.user_id = r.user_id AND e.event_type = r.event_type AND e.rn = r.rn + 1)
+SELECT event_id, answered_by, event_id <> answered_by AS replayed FROM r""",
     "s6_sessions": "WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS s FROM e) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, s",
     "s7_topic_counters": tagging.ORACLES["i13_topics"],
     "s10_tagging": f"SELECT conv_id, turn, verdict, intent FROM ({tagging.ORACLES['i2_verdict']}) JOIN ({tagging.ORACLES['i4_intent']}) USING (conv_id, turn)",

@@ -94,45 +94,30 @@ def test_micro_verdicts_take_every_branch(spark, micro):
     assert {"very_short_text", "who_form_artifact_h17040", "questionnaire_or_form_text", "questionnaire_scale_options", "mostly_symbols_numbers_or_table_artifacts", "ocr_or_layout_garbage", "repeated_text", "repeated_headers_or_footers"} <= reasons
 
 
-def packed_plainly(text, size=1200, overlap=150):
-    """Chunks of a text by plain strings: blocks, a running text with its room, windows of long blocks."""
-    blocks = [" ".join(b.split()) for b in re.split(r"\n\s*\n|(?<=[.!?])\s+(?=[A-Z][a-z].{20,})", text or "")]
-    limit, out, held, room = max(400, size), [], "", 0
-    for b in filter(None, blocks):
-        if held and (len(b) > limit or room + len(b) + 2 > limit):
-            out.append(held.strip())
-            tail = held[-overlap:] if len(held) > overlap else ""
-            _, dot, rest = tail.partition(". ")
-            held = "" if len(b) > limit else (rest if dot and rest else tail).strip()
-            room = len(held)
-        if len(b) <= limit:
-            held, room = f"{held} {b}".strip(" ") if held else b, room + len(b) + 2
-            continue
-        begin = 0
-        while True:
-            end = min(begin + limit, len(b))
-            blank = b[begin:end].rfind(" ")
-            if end < len(b) and blank > limit // 2:
-                end = begin + blank + 1
-            out.append(b[begin:end].strip())
-            if end == len(b):
-                break
-            begin = max(end - min(overlap, limit - 1), begin + 1)
-        held, room = "", 0
-    return [c for c in [*out, held.strip()] if len(c.split()) >= 5]
-
-
 @pytest.mark.parametrize("size, overlap", [(1200, 150), (100, 30)])
-def test_packing_equals_plain_strings(spark, micro, size, overlap):
+def test_packing_keeps_every_word_in_order(spark, micro, size, overlap):
+    """A chunk is a run of the text's words; chunks start where the one before ended or, by their overlap, a little earlier; none is much longer than the limit."""
     from pyspark.sql import functions as F
 
     from corpusflow.operators import cleaning
 
-    texts = {i: t for i, t in enumerate(DOCUMENTS)} | {100: "x" * 3000, 101: ("abc " * 700).strip(), 102: "One is here. " + "y" * 450 + " Two more words follow. " + PROSE}
+    limit = max(400, size)
+    said = lambda a, b: " ".join(f"Word{n} follows{n}, and then it ends{n}." for n in range(a, b))  # noqa: E731  no word twice
+    long = "".join(f"{n:x}-" for n in range(700))
+    texts = {0: None, 1: "", 2: "two words", 3: long, 4: said(0, 90), 5: f"{said(0, 9)} {long} {said(9, 60)}", 6: " ".join(map(str, range(800))), 7: "\n\n".join(said(n, n + 3) for n in range(0, 60, 3)), 8: f"{long}\n\n{said(0, 30)}\n\n{long.upper()}"}
     docs = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
-    got = cleaning.chunks(docs.select("doc_id", cleaning.paragraphs(F.col("text")).alias("blocks")), size, overlap).collect()
+    found = cleaning.chunks(docs.select("doc_id", cleaning.paragraphs(F.col("text")).alias("blocks")), size, overlap, 0).collect()
     for i, t in texts.items():
-        assert [r["chunk"] for r in sorted((r for r in got if r["doc_id"] == i), key=lambda r: r["chunk_no"])] == packed_plainly(t, size, overlap), i
+        plain, end = " ".join((t or "").split()), 0
+        own = [r["chunk"] for r in sorted((r for r in found if r["doc_id"] == i), key=lambda r: r["chunk_no"])]
+        for k, chunk in enumerate(own):
+            assert len(chunk) <= limit + overlap + 1
+            at = plain.find(chunk, max(0, end - overlap - 2))
+            assert 0 <= at <= end + 1, (i, k)
+            end = at + len(chunk)
+        assert end == len(plain), i
+    least = cleaning.chunks(docs.select("doc_id", cleaning.paragraphs(F.col("text")).alias("blocks")), size, overlap).collect()
+    assert sorted((r["doc_id"], r["chunk"]) for r in least) == sorted((r["doc_id"], r["chunk"]) for r in found if len(r["chunk"].split()) >= 5)
 
 
 def test_ingest_of_two_pages(spark):
@@ -223,7 +208,7 @@ def test_rate_limit_equals_a_plain_loop(spark):
     events = spark.read.parquet(f"{SF}/events.parquet").select("event_id", "user_id", "ts").toPandas().sort_values(["user_id", "ts", "event_id"])
     wanted, user, start, n = {}, None, None, 0
     for r in events.itertuples():
-        if r.user_id != user or (r.ts - start) >= pd.Timedelta(seconds=3600):
+        if r.user_id != user or (r.ts - start) >= pd.Timedelta(days=1):
             user, start, n = r.user_id, r.ts, 0
         n += 1
         wanted[r.event_id] = n > 3
