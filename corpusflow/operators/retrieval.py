@@ -129,57 +129,166 @@ def vector_arm(queries, chunks, k=20):
     some = F.exists("embedding", lambda x: x != 0)
     asked = encoded(queries.select(F.col("query_id").alias("id"), "text")).where(some).select(F.col("id").alias("query_id"), "embedding")
     held = encoded(chunks.select(F.col("chunk_id").alias("id"), "text")).where(some).select(F.col("id").alias("vec_id"), "embedding")
-    return cosine_top(asked, held, k).select("query_id", F.col("vec_id").alias("chunk_id"), F.round("score", 9).alias("vector"))
+    return VectorIndex(written(held, "vectors")).search(asked, k).select("query_id", F.col("vec_id").alias("chunk_id"), F.round("score", 9).alias("vector"))
 
 
-#: Rows of a block, and blocks of queries whose best a task holds at once.
-BLOCK_ROWS, HELD_BLOCKS = 1024, 16
+#: Rows of a block, blocks of queries whose best a task holds at once, vectors to a cell, cells at most, and vectors that cells are fitted on.
+BLOCK_ROWS, HELD_BLOCKS, CELL_ROWS, MOST_CELLS, SAMPLE = 1024, 16, 4096, 1024, 8192
+#: Cells that a query probes first, and by how much a cell's bound may miss the k-th score for the cell to be left out.
+PROBES, MARGIN = 4, 1e-7
 
 
-def _blocks(rows, key, name):
-    """Rows of (key, embedding) packed into blocks: `name`_ids and `name`_units, the vectors at unit length."""
+def _units(column):
+    x = np.array(column.tolist(), np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for at in range(0, len(f), BLOCK_ROWS):
-                part = f.iloc[at : at + BLOCK_ROWS].sort_values(key)
-                x = np.array(part["embedding"].tolist(), np.float64)
-                yield pd.DataFrame({f"{name}_ids": [part[key].to_numpy(np.int64).tobytes()], f"{name}_units": [(x / np.linalg.norm(x, axis=1, keepdims=True)).tobytes()]})
-
-    return rows.select(key, "embedding").mapInPandas(pack, f"{name}_ids binary, {name}_units binary")
 
+def _centres(sample: np.ndarray, cells: int) -> np.ndarray:
+    """Unit centres of a sample: some rounds of spherical k-means."""
+    rng = np.random.default_rng(1)
+    centres = sample[rng.permutation(len(sample))[:cells]]
+    for _ in range(6):
+        own = (sample @ centres.T).argmax(1)
+        total = np.zeros_like(centres)
+        np.add.at(total, own, sample)
+        length = np.linalg.norm(total, axis=1, keepdims=True)
+        centres = np.where(length > 1e-9, total / np.maximum(length, 1e-9), centres)
+    return centres
 
-def cosine_top(queries, vectors, k=10):
-    """query_id, vec_id, rank of the k nearest by cosine. Every block of queries meets every block of vectors; a task keeps k a query of the blocks that it holds."""
 
-    def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[bytes, bytes], tuple[np.ndarray, np.ndarray]] = {}
+class VectorIndex:
+    """Vectors at unit length in blocks of one cell each (in the shared folder), and the cells' centres and radii.
 
-        def best(block: tuple[bytes, bytes]) -> pd.DataFrame:
-            score, vec = held.pop(block)
-            return pd.DataFrame({"query_id": np.repeat(np.frombuffer(block[0], np.int64), score.shape[1]), "vec_id": vec.ravel(), "score": score.ravel()})
+    Centres are fitted on at most SAMPLE vectors. Every vector lies in the cell of its nearest centre, and no farther from it than the cell's radius
+    (an angle), which bounds the cosine of anything in the cell with a query. One cell where there are fewer than two cells' vectors.
+    """
 
-        for f in frames:
-            for asked, q_, ids, x in zip(f["q_ids"], f["q_units"], f["v_ids"], f["v_units"], strict=True):
-                n, m = len(asked) // 8, len(ids) // 8
-                score = np.frombuffer(q_, np.float64).reshape(n, -1) @ np.frombuffer(x, np.float64).reshape(m, -1).T
-                vec = np.broadcast_to(np.frombuffer(ids, np.int64), (n, m))
-                block = asked, q_
-                if block in held:
-                    score, vec = (np.concatenate(p, 1) for p in zip(held.pop(block), (score, vec), strict=True))
-                elif len(held) == HELD_BLOCKS:
-                    yield best(next(iter(held)))
-                order = np.lexsort((vec, -np.round(score, 9)), axis=1)[:, :k]
-                held[block] = np.take_along_axis(score, order, 1), np.take_along_axis(vec, order, 1)
-        for block in list(held):
-            yield best(block)
-
-    pairs = _blocks(queries, "query_id", "q").crossJoin(_blocks(vectors, "vec_id", "v"))
-    found = pairs.mapInPandas(nearest, "query_id long, vec_id long, score double")
+    def __init__(self, rows, cells=None):
+        """rows: vec_id, embedding, which isn't zero."""
+        spark = rows.sparkSession
+        if cells is None:
+            cells = max(1, min(MOST_CELLS, rows.count() // CELL_ROWS))
+        self.centres = None
+        if cells > 1:
+            sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()  # a fixed number of vectors
+            self.centres = _centres(_units(sample["embedding"]), cells) if len(sample) else None
+        self.blocks = self._packed(rows, "vec_id", "v")
+        self.radius = None
+        if self.centres is not None:
+            self.blocks = written(self.blocks, "cells")
+            far = {r["cell"]: r["far"] for r in self.blocks.groupBy("cell").agg(F.max("far").alias("far")).collect()}  # a row a cell
+            self.radius = np.array([far.get(c, -np.inf) for c in range(len(self.centres))])
+        self.spark = spark
+
+    def _packed(self, rows, key, name):
+        """Blocks of rows by cell: cell, far (the largest angle with its centre), `name`_ids, `name`_units."""
+        centres = self.centres
+
+        def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+            def block(cell: int, rest: bool = False) -> Iterator[pd.DataFrame]:
+                ids, x = (np.concatenate(p) for p in zip(*held.pop(cell), strict=True))
+                whole = len(ids) if rest else len(ids) // BLOCK_ROWS * BLOCK_ROWS
+                for at in range(0, whole, BLOCK_ROWS):
+                    part = slice(at, min(whole, at + BLOCK_ROWS))
+                    far = 0.0 if centres is None else float(np.arccos(np.clip(x[part] @ centres[cell], -1, 1)).max())
+                    order = np.argsort(ids[part], kind="stable")
+                    yield pd.DataFrame({"cell": [cell], "far": [far], f"{name}_ids": [ids[part][order].tobytes()], f"{name}_units": [x[part][order].tobytes()]})
+                if whole < len(ids):
+                    held[cell] = [(ids[whole:], x[whole:])]
+
+            for f in frames:
+                if not len(f):
+                    continue
+                x, ids = _units(f["embedding"]), f[key].to_numpy(np.int64)
+                own = np.zeros(len(f), np.int64) if centres is None else (x @ centres.T).argmax(1)
+                for cell in np.unique(own).tolist():
+                    held.setdefault(cell, []).append((ids[own == cell], x[own == cell]))
+                    if sum(len(i) for i, _ in held[cell]) >= BLOCK_ROWS:
+                        yield from block(cell)
+            for cell in list(held):
+                yield from block(cell, True)
+
+        return rows.select(key, "embedding").mapInPandas(pack, f"cell long, far double, {name}_ids binary, {name}_units binary")
+
+    def _asked(self, queries, first):
+        """Blocks of queries for each cell that they probe: the PROBES best by bound (first), or all others whose bound reaches the query's `least`."""
+        centres, radius = self.centres, self.radius
+
+        def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                if not len(f):
+                    continue
+                x, ids = _units(f["embedding"]), f["query_id"].to_numpy(np.int64)
+                bound = np.cos(np.maximum(0, np.arccos(np.clip(x @ centres.T, -1, 1)) - radius))
+                bound[:, np.isinf(radius)] = -np.inf  # cells without vectors
+                order = np.argsort(-bound, axis=1, kind="stable")[:, :PROBES]
+                wanted = np.zeros(bound.shape, bool)
+                np.put_along_axis(wanted, order, True, 1)
+                if not first:
+                    wanted = ~wanted & (bound >= f["least"].to_numpy()[:, None] - MARGIN)
+                wanted &= bound > -np.inf
+                for cell in np.flatnonzero(wanted.any(0)).tolist():
+                    own = np.flatnonzero(wanted[:, cell])
+                    for at in range(0, len(own), BLOCK_ROWS):
+                        part = own[at : at + BLOCK_ROWS]
+                        yield pd.DataFrame({"cell": [cell], "q_ids": [ids[part].tobytes()], "q_units": [x[part].tobytes()]})
+
+        columns = ["query_id", "embedding"] if first else ["query_id", "embedding", "least"]
+        return queries.select(*columns).mapInPandas(probe, "cell long, q_ids binary, q_units binary")
+
+    def _met(self, asked, k):
+        """query_id, vec_id, score: for each block of queries, the k best of the blocks of its cell that a task meets."""
+
+        def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: dict[tuple[bytes, bytes], tuple[np.ndarray, np.ndarray]] = {}
+
+            def best(block: tuple[bytes, bytes]) -> pd.DataFrame:
+                score, vec = held.pop(block)
+                return pd.DataFrame({"query_id": np.repeat(np.frombuffer(block[0], np.int64), score.shape[1]), "vec_id": vec.ravel(), "score": score.ravel()})
+
+            for f in frames:
+                for q_ids, q_, ids, x in zip(f["q_ids"], f["q_units"], f["v_ids"], f["v_units"], strict=True):
+                    n, m = len(q_ids) // 8, len(ids) // 8
+                    score = np.frombuffer(q_, np.float64).reshape(n, -1) @ np.frombuffer(x, np.float64).reshape(m, -1).T
+                    vec = np.broadcast_to(np.frombuffer(ids, np.int64), (n, m))
+                    block = q_ids, q_
+                    if block in held:
+                        score, vec = (np.concatenate(p, 1) for p in zip(held.pop(block), (score, vec), strict=True))
+                    elif len(held) == HELD_BLOCKS:
+                        yield best(next(iter(held)))
+                    order = np.lexsort((vec, -np.round(score, 9)), axis=1)[:, :k]
+                    held[block] = np.take_along_axis(score, order, 1), np.take_along_axis(vec, order, 1)
+            for block in list(held):
+                yield best(block)
+
+        return asked.join(self.blocks.drop("far"), "cell").mapInPandas(nearest, "query_id long, vec_id long, score double")
+
+    def search(self, queries, k=10):
+        """query_id, vec_id, score, rank of the k nearest of every query (query_id, embedding; not zero); ties go to the smaller vec_id.
+
+        Exact: after its first cells a query goes on to every cell whose bound still reaches its k-th score.
+        """
+        if self.centres is None:
+            return _ranked(self._met(self._packed(queries, "query_id", "q").drop("far"), k), k)
+        queries = written(queries.select("query_id", "embedding"), "asked")
+        found = written(self._met(self._asked(queries, True), k), "found")
+        least = _ranked(found, k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).otherwise(F.lit(-2.0)).alias("least"))
+        more = self._met(self._asked(queries.join(least, "query_id"), False), k)
+        return _ranked(found.unionByName(more), k)
+
+
+def _ranked(found, k):
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def cosine_top(queries, vectors, k=10, cells=None):
+    """query_id, vec_id, score, rank of the k nearest by cosine; repeated query_ids with different vectors aren't told apart."""
+    return VectorIndex(vectors, cells).search(queries, k)
+
+
 def _queries(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 

@@ -117,3 +117,24 @@ def test_cosine_top_collects_no_queries(spark, monkeypatch, block):
     score = np.round(unit @ unit.T, 9)
     wanted = {(i, j, r + 1) for i in range(0, 90, 2) for r, j in enumerate(sorted(range(90), key=lambda j: (-score[i, j], j))[:4])}
     assert {(r["query_id"], r["vec_id"], r["rank"]) for r in found.collect()} == wanted
+
+
+@pytest.mark.parametrize("spread", [0.05, 1.0])
+def test_cells_find_the_same(spark, monkeypatch, spread):
+    """Clustered vectors, whose cells prune, and vectors without clusters, for which every cell is probed in the end."""
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(retrieval, "PROBES", 2)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(12, 10))[rng.integers(0, 12, 400)] + spread * rng.normal(size=(400, 10))
+    x[:40] = x[0]  # a third of a cell is one vector
+    v = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    asked = v.where("vec_id % 5 = 0").withColumnRenamed("vec_id", "query_id")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    score = np.round(unit @ unit.T, 9)
+    wanted = {(i, j, r + 1) for i in range(0, 400, 5) for r, j in enumerate(sorted(range(400), key=lambda j: (-score[i, j], j))[:7])}
+    index = retrieval.VectorIndex(v, 9)
+    assert {(r["query_id"], r["vec_id"], r["rank"]) for r in index.search(asked, 7).collect()} == wanted
+    probed = sum(len(r["q_ids"]) // 8 for r in index._asked(asked.withColumn("least", retrieval.F.lit(0.99)), False).collect())
+    assert (probed < 20) == (spread < 0.1)
+    none = v.limit(0)
+    assert retrieval.cosine_top(asked, none, 7, 9).count() == 0 and retrieval.cosine_top(none.withColumnRenamed("vec_id", "query_id"), v, 7, 9).count() == 0
