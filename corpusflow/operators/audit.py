@@ -13,8 +13,6 @@ from corpusflow.tables import table
 
 # Fixed values.
 TYPES = (("guideline", "guideline"), ("consensus", "guideline"), ("journal", "research_article"), ("article", "research_article"), ("trial", "research_article"), ("patient", "patient_education"), ("leaflet", "patient_education"), ("textbook", "textbook"), ("handbook", "textbook"), ("manual", "textbook"))
-#: The domain's terms are a parameter; these occur in the synthetic texts.
-DOMAIN_TERMS = ("tion", "ing")
 LEAST_WORDS = 20
 
 
@@ -93,36 +91,6 @@ def d10_language(spark, sf):
     return d.select("doc_id", lang.alias("language"))
 
 
-def d11_types(spark, sf):
-    d = table(spark, sf, "documents")
-    return d.select("doc_id", T.first_match(F.lower(F.substring("text", 1, 500)), TYPES, F.lit("other")).alias("kind"))
-
-
-def source_facts(spark, sf):
-    """A row a source: documents, noisy share, whether a domain term occurs."""
-    d = scored(table(spark, sf, "documents"))
-    signal = T.count_of(F.lower(F.substring("text", 1, 500)), DOMAIN_TERMS) > 0
-    return d.groupBy("source").agg(F.count("*").alias("n_docs"), F.count_if("is_noisy").alias("n_noisy"), F.bool_or(signal).alias("has_signal"), F.avg("points").alias("points"))
-
-
-def d12_trust(spark, sf):
-    f = source_facts(spark, sf)
-    return f.select("source", F.when(2 * F.col("n_noisy") > F.col("n_docs"), "low").when(F.col("has_signal"), "medium").otherwise("low").alias("trust"))
-
-
-def d13_verdict(spark, sf):
-    f = source_facts(spark, sf)
-    v = F.when(F.col("n_docs") == 0, "REMOVE_CANDIDATE").when(~F.col("has_signal"), "REVIEW").when(2 * F.col("n_noisy") > F.col("n_docs"), "REVIEW").otherwise("KEEP")
-    return f.select("source", v.alias("verdict"))
-
-
-def d14_issues(spark, sf):
-    """Share of noisy documents, and what metadata lacks."""
-    f = source_facts(spark, sf)
-    issues = F.array_compact(F.array(F.when(~F.col("has_signal"), F.lit("weak_signal")), F.when(F.col("n_docs") < 5, F.lit("few_documents")), F.when(F.col("points") < 60, F.lit("low_quality"))))
-    return f.select("source", (F.col("n_noisy") / F.col("n_docs")).alias("noisy_share"), F.array_join(issues, ",").alias("issues"))
-
-
 def d17_summary(spark, sf):
     """Counts of a cleanup, in one pass over the scored chunks."""
     c = light_chunks(table(spark, sf, "documents"))
@@ -180,11 +148,10 @@ def slice_retained_share(spark, sf):
     return c.groupBy("source").agg(F.count("*").alias("n_docs"), F.count_if("good").alias("n_good"), F.count_if("kept").alias("n_kept"))
 
 
-QUERIES = {f.__name__: f for f in (d1_exact_groups, d2_candidate_pairs, d4_fingerprint, d5_best_document, d6_average_quality, d7_duplicate_chunks, d8_lineage, d10_language, d11_types, d12_trust, d13_verdict, d14_issues, d17_summary, d18_apply, d20_years, d22_completeness, d23_clean_selection, d24_vector_deletion, d25_known_rejected, slice_retained_share)}
+QUERIES = {f.__name__: f for f in (d1_exact_groups, d2_candidate_pairs, d4_fingerprint, d5_best_document, d6_average_quality, d7_duplicate_chunks, d8_lineage, d10_language, d17_summary, d18_apply, d20_years, d22_completeness, d23_clean_selection, d24_vector_deletion, d25_known_rejected, slice_retained_share)}
 
 _C = f"{SCORED_SQL}, c AS (SELECT q.*, d.source, d.n_chars, {S.content_hash('q.text')} AS hash, {S.n_words('q.text')} AS n_words FROM quality q JOIN (SELECT doc_id, source, n_chars FROM documents) d USING (doc_id))"
 _BEST = "ORDER BY points DESC, n_chars DESC, doc_id"
-_F = f"{_C}, f AS (SELECT source, count(*) AS n_docs, count(*) FILTER (is_noisy) AS n_noisy, bool_or({S.any_of('lower(substr(text, 1, 500))', DOMAIN_TERMS)}) AS has_signal, avg(points) AS points FROM c GROUP BY source)"
 
 ORACLES = {
     "d1_exact_groups": f"WITH {_C} SELECT hash, count(*) AS n, first(doc_id {_BEST}) AS keep FROM c GROUP BY hash HAVING count(*) >= 2",
@@ -196,10 +163,6 @@ s AS (SELECT key FROM k GROUP BY key HAVING count(*) BETWEEN 2 AND 24), j AS (SE
     "d7_duplicate_chunks": f"WITH {_C} SELECT doc_id, first_value(doc_id) OVER (PARTITION BY hash {_BEST}) AS keep, count(*) OVER (PARTITION BY hash) AS n FROM c WHERE n_words >= 20 QUALIFY n > 1",
     "d8_lineage": f"WITH {_C}, k AS (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY hash {_BEST}) AS keep FROM c WHERE n_words >= 35 AND NOT is_noisy) SELECT * FROM k WHERE doc_id <> keep",
     "d10_language": r"SELECT doc_id, CASE WHEN contains(lower(text), 'chinese') OR regexp_matches(text, '[\x{4E00}-\x{9FFF}]') THEN 'Chinese' WHEN regexp_matches(text, '[\x{600}-\x{6FF}]') THEN 'Urdu/Arabic' WHEN lower(lang) IN ('english', 'en') THEN 'English' ELSE lang END AS language FROM documents",
-    "d11_types": f"SELECT doc_id, {S.first_match('lower(substr(text, 1, 500))', TYPES, q('other'))} AS kind FROM documents",
-    "d12_trust": f"WITH {_F} SELECT source, CASE WHEN 2 * n_noisy > n_docs THEN 'low' WHEN has_signal THEN 'medium' ELSE 'low' END AS trust FROM f",
-    "d13_verdict": f"WITH {_F} SELECT source, CASE WHEN NOT has_signal OR 2 * n_noisy > n_docs THEN 'REVIEW' ELSE 'KEEP' END AS verdict FROM f",
-    "d14_issues": f"WITH {_F} SELECT source, n_noisy / n_docs::DOUBLE AS noisy_share, concat_ws(',', CASE WHEN NOT has_signal THEN 'weak_signal' END, CASE WHEN n_docs < 5 THEN 'few_documents' END, CASE WHEN points < 60 THEN 'low_quality' END) AS issues FROM f",
     "d17_summary": f"WITH {_C}, k AS (SELECT *, row_number() OVER (PARTITION BY hash {_BEST}) > 1 AND n_words >= 20 AS dup FROM c) SELECT count(*) AS total, count(*) FILTER (is_noisy) AS noisy, count(*) FILTER (dup) AS duplicates, count(*) FILTER (dup OR is_noisy) AS removed, count(DISTINCT hash) AS distinct_texts FROM k",
     "d18_apply": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 OR (quality = 0 AND doc_id % 2 = 0))",
     "d20_years": "SELECT page_id, list_max(list_transform(regexp_extract_all(html, '(?:19|20)[0-9]{2}'), lambda y: y::INT)) AS year FROM pages",

@@ -25,6 +25,7 @@ DOCUMENTS = [
     "Contents\nOne .... 1\nTwo .... 2\nThree .... 3\nFour .... 4", "References\nSmith et al. 2001 doi 10.1 vol. 3 pp. 4\nJones et al. 2002 doi 10.2 vol. 4 pp. 5\n(1999) (2000)", "Put a tick: never very often fairly often sometimes don't know. H17040 questionnaire survey interviewer", "~ab \"\" fig. er courtesy dr. x ~ y", "yes no often\nnever male 1)\nsometimes 2) female\ntick 3) cross 4)", "word word word word word word the the the the the " * 6,
     "line of text\n" * 12, PROSE, PROSE + " A guideline of the journal for patients, a textbook.", PROSE.upper(), *[f"The running head of the book\n{PROSE}{i}\nfoot note" for i in range(4) for _ in range(8)], "Figure 1 shows enamel\nTable 2 lists teeth\nplain line", "An orthodontic handbook on cephalometric surgery. " * 12, "Endodontic trial and consensus leaflet 1998 2021. " * 12, "中文 chinese text", "نص عربي", "漢字 かな",
     None, "", "   \t ", "one", "12 34 ?? !!", "é à ü ñ É", "soft­hyphen zero​width", "a\r\nb\fc d", "same line\nsame line\nsame line\nother", "Equal  Text here", "equal text HERE", "Annual Report_final.pdf\nbody line", "3rd Edition (copy) [scan] of Títle-Book\nmore", " ".join(f"w{i}" for i in range(3000)),
+    "SPSS conference table of contents\n" + PROSE, "Smith - Textbook of caries implants (Jones, 2001) elsevier 2019.pdf\n" + PROSE + "3rd edition", "Guideline 2010 for trauma\n" + PROSE, "Guideline 2010 for trauma\n" + PROSE, "Clinical trial 1999 of teeth\n" + "tick yes no H17040 questionnaire survey interviewer " * 60, "中文 1999 tooth\n" + PROSE, "Advanced orthodontics (Lee, 2003) wiley\n" + PROSE, "A study of 2005\nplain words without the domain " * 20,
     "# Heading\nsee [link](http://x.y) and http://z.example/a Back to top\nChapter 4\nTHE LOUD HEADING\nSome text follows here, and ends.\n\n" + PROSE,
 ]
 PAGES = [
@@ -42,7 +43,7 @@ def micro(spark, tmp_path_factory):
         "conversations": [(i % 7, 2 * (i // 7) + j, role, t) for i in range(20) for j, (role, t) in enumerate((("user", TURNS[i]), ("assistant", ANSWERS[i % 10])))] + [(7, 0, "system", "rules")],
         "pages": [(i, u, h) for i, (u, h) in enumerate(PAGES)],
         "benchmark": list(enumerate(QUESTIONS)),
-        "labels": [(i, i % 2, i % 3 // 2) for i in range(0, 30, 2)],
+        "labels": [(i, i // 2 % 2, i % 3 // 2) for i in range(0, len(DOCUMENTS), 2)],
     }
     for t in TABLES:
         if t in rows:
@@ -68,7 +69,7 @@ def duck(micro):
 #: Query, and a column that must take more than one value on the micro rows.
 NAMES = {
     "b6_running_lines": "key", "b8_headings": "is_heading", "b20_retained_cleaning": "digest", "b22_enrichment": "level", "b31_source_list": "answer", "b30_transcript_scrub": "answer", "b7_low_value": "low_value", "b32_web_evidence": "pattern",
-    "c1_quality_score": "reasons", "c10_line_rules": "contents_page", "c14_survey_question": "is_survey", "c15_cleanup_score": "reasons", "d7_duplicate_chunks": None, "d9_titles": "title", "d2_blocked_pairs": "left_id", "d10_language": "language", "d11_types": "kind", "d15_audit_rows": "issues", "d16_chunk_cleaning": "reasons", "d23_clean_selection": "reason",
+    "c1_quality_score": "reasons", "c10_line_rules": "contents_page", "c14_survey_question": "is_survey", "c15_cleanup_score": "reasons", "d7_duplicate_chunks": None, "d9_titles": "title", "d2_blocked_pairs": "left_id", "d10_language": "language", "d11_types": "specialty", "d12_trust": "trust", "d13_verdict": "verdict", "d14_issues": "issues", "d15_audit_rows": "classification", "d15_removal_rows": "classification", "d15_issue_rows": "issues", "d19_cleanup_job": "n_retained", "d20_inferred": "author", "d21_metadata": "topic", "a8_audit_bundle": "n", "d16_chunk_cleaning": "reasons", "d23_clean_selection": "reason",
     "f10_lay_terms": "variant", "f11_question_flags": "definition", "f12_query_type": "kind", "f13_modes": "mode", "g1_hybrid": "place", "g7_gate": "query_id", "g12_lexical_fallback": "gated", "g20_codes": None, "h1_captions": "n_captions", "h2_visual_type": "kind", "h3_captions": "of_table", "h11_caption_match": None,
     "i1_safety_flags": "injection", "i2_verdict": "verdict", "i3_redaction": "digest", "i4_intent": "intent", "i5_red_flags": "injection", "i6_direct_answer": "direct", "i9_leaks": "leaked", "i10_citation_support": "state", "i12_suggestions": "suggestions", "i15_polished": "answer", "j2_groundedness": "groundedness", "j3_citations": "accuracy", "j8_answer_cases": "recall", "j14_good_chunks": "good", "l2_contacts": "mail", "l3_page_count": "n_pages",
 }
@@ -87,6 +88,14 @@ def test_micro_rows_equal_sql(spark, duck, micro, name):
     assert rows and (NAMES[name] is None or len({r[NAMES[name]] for r in rows}) > 1)
 
 
+def test_micro_audit_takes_every_branch(spark, micro):
+    rows = entry.queries()["d15_audit_rows"](spark, micro).collect()
+    assert {r["classification"] for r in rows} == {"DUPLICATE", "REMOVE_CANDIDATE", "QUARANTINE", "REVIEW", "KEEP"}
+    assert {r["recommended_trust_level"] for r in rows} == {"low", "medium", "high"} and {r["author"] for r in rows} >= {"Smith", "Lee", "Unknown"}
+    reasons = {x.split(":")[0] for r in rows for x in r["reasons"].split("; ")}
+    assert reasons >= {"title_matches", "weak_dental_signal", "high_noisy_chunk_ratio", "language_mismatch", "missing_publication_year", "useful_dental_content", "failed_or_empty_document", "duplicate_of_better_copy"}
+
+
 def test_micro_verdicts_take_every_branch(spark, micro):
     got = {r["verdict"] for r in entry.queries()["i2_verdict"](spark, micro).collect()}
     assert got == {"emergency", "injection", "misuse", "unsafe", "pass"}
