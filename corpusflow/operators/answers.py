@@ -16,8 +16,6 @@ from corpusflow.tables import table
 
 # Terms, templates and limits that results depend on.
 LAY_TERMS = ((r"\btooth\s+ache\b", "dental pain pulpitis"), (r"\bbad\s+breath\b", "halitosis oral odor"), (r"\bhole\s+in\s+tooth\b", "dental caries cavity"), (r"\bgum\s+bleeding\b", "gingival bleeding periodontal"), (r"\bswollen\s+gums\b", "gingival swelling inflammation"), (r"\bloose\s+tooth\b", "tooth mobility periodontal"), (r"\bsensitive\s+teeth\b", "dental sensitivity dentin hypersensitivity"), (r"\byellow\s+teeth\b", "tooth discoloration staining"), (r"\bwisdom\s+tooth\b", "third molar"), (r"\bbraces\b", "orthodontic appliance fixed appliance"), (r"\bpull\s+out\b", "extraction dental extraction"))
-#: Terms of the synthetic vocabulary, so that expansion takes place on it.
-OWN_TERMS = ((r" the +the ", " the double "), (r" de +la ", " of the "), (r" der +die ", " article "))
 MODES = ("simple", "memory", "multi_query", "hyde", "adaptive", "corrective", "self_rag", "agentic")
 SUPPORT, GROUNDED = 0.4, 0.3
 DISCLAIMERS = ("dental ai", "medical disclaimer", "does not replace", "consult", "professional", "disclaimer")
@@ -34,6 +32,8 @@ BAD_TERMS = ("tion", "ment", "ive", "cial", "ated", "ology", "ferences", "pdfdri
 KEY_TERMS = ("tooth", "teeth", "dental", "oral", "caries", "enamel", "gum")
 #: Key terms that occur in the synthetic texts.
 OWN_KEYS = ("the", "de", "der", "que")
+#: Quality of a visual that a case may ask for.
+VISUAL_POINTS = 55
 TEMPLATES = ("What is known about {}?", "How is {} described?", "Explain {} briefly.", "Which points matter for {}?")
 
 
@@ -56,7 +56,7 @@ def expanded(c, terms=LAY_TERMS):
 
 def f10_lay_terms(spark, sf):
     """The question, and with lay terms replaced where any occurs."""
-    d = table(spark, sf, "conversations").where("role = 'user'").withColumn("e", expanded(F.trim("text"), LAY_TERMS + OWN_TERMS))
+    d = table(spark, sf, "conversations").where("role = 'user'").withColumn("e", expanded(F.trim("text")))
     v = d.select("conv_id", "turn", F.posexplode(F.when(F.col("e") != F.trim("text"), F.array(F.trim("text"), "e")).otherwise(F.array(F.trim("text")))).alias("variant", "query"))
     return v.select("conv_id", "turn", "variant", F.md5("query").alias("query"))
 
@@ -87,16 +87,15 @@ def code_findings(question, context, word="code", sign=" *:"):
 
 
 def g20_codes(spark, sf):
-    """Findings for codes, and for the word after `de`, which the synthetic questions hold."""
+    """What the turns before say of the code that a question names."""
     p = _pairs(spark, sf).where("question <> ''")
-    two = p.select("conv_id", "turn", F.array_join(code_findings(F.col("question"), F.col("context")), "; ").alias("findings"), F.array_join(code_findings(F.col("question"), F.col("context"), "de", " +"), "; ").alias("other"))
-    return two.where("findings <> '' OR other <> ''").select("conv_id", "turn", "findings", F.md5("other").alias("other"))
+    return p.select("conv_id", "turn", F.array_join(code_findings(F.col("question"), F.col("context")), "; ").alias("findings"))
 
 
 def i5_red_flags(spark, sf):
-    """Emergency words as substrings, and whether any injection pattern fits. `the` stands for an emergency word of the synthetic texts."""
+    """Emergency words as substrings, and whether any injection pattern fits."""
     low = F.lower(F.coalesce("text", F.lit("")))
-    words = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in ("bleeding", "swelling", "can't breathe", "unconscious", "heon"))))
+    words = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in ("bleeding", "swelling", "can't breathe", "unconscious"))))
     return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(words, ",").alias("words"), F.element_at(F.concat(F.array_compact(F.array(*(F.when(low.rlike(f"(?i){p}"), F.lit(i)) for i, p in enumerate(tagging.INJECTION)))), F.array(F.lit(-1))), 1).alias("injection"))
 
 
@@ -169,11 +168,17 @@ def j2_groundedness(spark, sf):
 
 
 def j4_visual_accuracy(spark, sf):
-    """Share of three visuals whose name an answer holds; the names are a page's path words."""
-    names = F.array(*map(F.lit, ("en", "de", "ththre")))
-    low = F.lower("text")
-    share = F.size(F.filter(names, lambda n: F.contains(low, n))) / F.size(names)
-    return table(spark, sf, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.round(F.coalesce(share, F.lit(0.0)), 6).alias("accuracy"))
+    """Share of the visuals of an answer that it names."""
+    return named_visuals(spark, sf).select("conv_id", "turn", F.round("accuracy", 6).alias("accuracy"))
+
+
+def named_visuals(spark, sf):
+    """conv_id, turn, accuracy of each answer: the share of its visuals whose title it holds, 0 without visuals. The pages whose ids follow the conversation's stand for its visuals."""
+    titles = visuals(table(spark, sf, "pages")).where("title <> ''").select("page_id", F.lower("title").alias("name"))
+    own = table(spark, sf, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    near = own.select("conv_id", "turn", "low", F.explode(F.sequence(F.col("conv_id"), F.col("conv_id") + 2)).alias("page_id")).join(titles, "page_id")
+    share = near.groupBy("conv_id", "turn").agg(F.avg(F.contains("low", F.col("name")).cast("int")).alias("share"))
+    return own.join(share, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("share", F.lit(0.0)).alias("accuracy"))
 
 
 def j6_overall(spark, sf):
@@ -184,8 +189,9 @@ def j6_overall(spark, sf):
     cited = F.regexp_count("answer", F.lit(r"\[Source [0-9]+\]"))
     p = p.withColumns({
         "faithfulness": F.when(none, 0.5).otherwise(F.size(F.array_intersect("a", "c")) / n), "grounded": F.when(none, 0.5).otherwise(groundedness(F.col("answer"), F.col("c"))), "citations": F.when(cited == 0, 0.5).otherwise(F.least(F.lit(1.0), 1.0 / F.greatest(cited, F.lit(1)))),
-        "visuals": F.when(F.contains(F.lower("answer"), F.lit("en")), 1.0).otherwise(0.0), "known": F.when(none, 0.5).otherwise(1 - F.size(F.filter(F.array_except("a", "c"), lambda x: F.length(x) > 4)) / n), "relevance": F.size(F.array_intersect("w", "a")) / F.greatest(F.size("w"), F.lit(1)),
+        "known": F.when(none, 0.5).otherwise(1 - F.size(F.filter(F.array_except("a", "c"), lambda x: F.length(x) > 4)) / n), "relevance": F.size(F.array_intersect("w", "a")) / F.greatest(F.size("w"), F.lit(1)),
     })
+    p = p.join(named_visuals(spark, sf).withColumnRenamed("accuracy", "visuals"), ["conv_id", "turn"])
     six = ("faithfulness", "grounded", "citations", "visuals", "known", "relevance")
     return p.select("conv_id", "turn", *(F.round(c, 6).alias(c) for c in six), F.round(sum(F.col(c) for c in six) / 6, 6).alias("overall"))
 
@@ -243,17 +249,19 @@ def j15_questions(spark, sf):
     return case_rows(table(spark, sf, "documents")).select("chunk_id", "topic", "terms", "question")
 
 
-def j16_cases(spark, sf, text=30, table_=10, negative=5):
-    """Cases by quota: of texts, of chunks with a table-like line, and negatives; a question is used once, by the kind that comes first."""
+def j16_cases(spark, sf, text=30, visual=8, table_=10, negative=5):
+    """Cases by quota: of texts, of visuals, of chunks with a table-like line, and negatives. A question is used once, by the kind that comes first; a quota takes the next in its place."""
     docs = table(spark, sf, "documents")
     rows = case_rows(docs)
     tabled = docs.where(F.exists(T.lines(F.col("text")), lambda x: x.rlike(r"\|.*\|") | x.rlike(directory.CAPTION))).select(F.col("doc_id").alias("chunk_id"))
-    kinds = rows.withColumn("priority", F.lit(0)).unionByName(rows.join(tabled, "chunk_id", "left_semi").withColumn("priority", F.lit(1)))
-    none = docs.where(~good_case_chunk(F.col("text"), KEY_TERMS + OWN_KEYS)).select("source", F.col("doc_id").alias("chunk_id"), F.concat(F.lit("What does no document say about "), F.col("doc_id").cast("string"), F.lit("?")).alias("question"), F.lit(2).alias("priority"))
-    every = kinds.select("source", "chunk_id", "question", "priority").unionByName(none)
+    kinds = rows.withColumn("priority", F.lit(0)).unionByName(rows.join(tabled, "chunk_id", "left_semi").withColumn("priority", F.lit(2)))
+    none = docs.where(~good_case_chunk(F.col("text"), KEY_TERMS + OWN_KEYS)).select("source", F.col("doc_id").alias("chunk_id"), F.concat(F.lit("What does no document say about "), F.col("doc_id").cast("string"), F.lit("?")).alias("question"), F.lit(3).alias("priority"))
+    shown = visuals(table(spark, sf, "pages")).where((F.col("points") >= VISUAL_POINTS) & (F.col("title") != ""))
+    shown = shown.select(F.col("host").alias("source"), F.col("page_id").alias("chunk_id"), F.concat(F.lit("What does the "), "kind", F.lit(" of "), "title", F.lit(" show?")).alias("question"), F.lit(1).alias("priority"))
+    every = kinds.select("source", "chunk_id", "question", "priority").unionByName(none).unionByName(shown)
     once = every.groupBy("question").agg(F.min(F.struct("priority", "chunk_id")).alias("k")).select("question", "k.priority", "k.chunk_id")
     # A quota's first rows by chunk_id: each range gives its own first ones, then those few are numbered.
-    quota = F.element_at(F.array(F.lit(text), F.lit(table_), F.lit(negative)), F.col("priority") + 1)
+    quota = F.element_at(F.array(F.lit(text), F.lit(visual), F.lit(table_), F.lit(negative)), F.col("priority") + 1)
     some = once.withColumn("r", F.row_number().over(Window.partitionBy("priority", F.pmod(F.xxhash64("question"), F.lit(64))).orderBy("chunk_id", "question"))).where(F.col("r") <= quota)
     r = F.row_number().over(Window.partitionBy("priority").orderBy("chunk_id", "question"))
     return some.withColumn("r", r).where(F.col("r") <= quota).select("priority", "chunk_id", "question", "r")
@@ -277,9 +285,9 @@ def chosen_captions(captions, kind, index):
 
 
 def h3_captions(spark, sf):
-    """Paragraphs of a page as captions; the kind is a word that some of them hold."""
-    p = table(spark, sf, "pages").select("page_id", F.transform(F.regexp_extract_all("html", F.lit("(?s)<p>(.*?)</p>"), 1), lambda c: T.squeezed(F.regexp_replace(c, "<[^>]*>", " "))).alias("cs"))
-    c = chosen_captions(F.col("cs"), F.lit("tion"), (F.col("page_id") % 5 + 1).cast("int"))
+    """Paragraphs of a page as captions, chosen for the page's kind of visual."""
+    p = table(spark, sf, "pages").select("page_id", T.first_match(F.lower("html"), directory.VISUALS, F.lit("figure")).alias("kind"), F.transform(F.regexp_extract_all("html", F.lit("(?s)<p>(.*?)</p>"), 1), lambda c: T.squeezed(F.regexp_replace(c, "<[^>]*>", " "))).alias("cs"))
+    c = chosen_captions(F.col("cs"), F.col("kind"), (F.col("page_id") % 5 + 1).cast("int"))
     return p.withColumn("c", c).select("page_id", F.md5("c.best").alias("best"), F.md5("c.nearest").alias("nearest"), F.md5("c.of_table").alias("of_table"))
 
 
@@ -297,7 +305,7 @@ def reranked_visuals(spark, sf):
     """query_id, page_id, score, wants: visuals found, with lexical, page, caption and quality parts."""
     found = R.top(visual_hits(spark, sf), 12).select("query_id", F.col("chunk_id").alias("page_id"), F.col("score").alias("found"))
     v = visuals(table(spark, sf, "pages")).select("page_id", "caption", "points", F.lower(F.concat_ws(" ", "title", "caption")).alias("low"))
-    asked = R._queries(spark, sf).select("query_id", R.keywords(F.col("text")).alias("terms"), F.lower("text").rlike("(figure|table|image|photo|ering|tion)").alias("wants"))
+    asked = R._queries(spark, sf).select("query_id", R.keywords(F.col("text")).alias("terms"), F.lower("text").rlike("(figure|table|image|photo)").alias("wants"))
     best = R.top(R.bm25(R._queries(spark, sf), R._chunks(spark, sf)), 3).select("query_id", F.col("chunk_id").alias("page_id"), F.lit(1).alias("same_page"))
     r = found.join(v, "page_id").join(asked, "query_id").join(best, ["query_id", "page_id"], "left")
     lexical = F.size(F.filter("terms", lambda t: F.contains(F.col("low"), t)))
@@ -338,7 +346,7 @@ QUERIES = {f.__name__: f for f in (f10_lay_terms, f13_modes, g20_codes, h3_capti
 _CTX = """cx0 AS (SELECT conv_id, turn, role, text, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER w AS question, string_agg(text, ' ') OVER w AS context FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 cx AS (SELECT conv_id, turn, coalesce(question, '') AS question, coalesce(text, '') AS answer, coalesce(context, '') AS context FROM cx0 WHERE role = 'assistant')"""
 _EXP = "trim(text)"
-for _pattern, _by in LAY_TERMS + OWN_TERMS:
+for _pattern, _by in LAY_TERMS:
     _EXP = f"regexp_replace({_EXP}, {q('(?i)' + _pattern)}, {q(_by)}, 'g')"
 
 
@@ -364,7 +372,7 @@ _CASES = f"""{_GOODCASE}, ct0 AS (SELECT source, doc_id AS chunk_id, {_TERMS} AS
 cs AS (SELECT source, chunk_id, topic, array_to_string(terms, ',') AS terms, replace([{', '.join(map(q, TEMPLATES))}][place % {len(TEMPLATES)} + 1], '{{}}', topic) || CASE WHEN contains(topic, detail) THEN '' ELSE ' Focus on ' || detail || '.' END AS question FROM ct1)"""
 _PTAG = lambda c: S.squeezed(f"regexp_replace({c}, '<[^>]*>', ' ', 'g')")
 _VIS = f"""vi AS (SELECT page_id, {_PTAG("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title, {_PTAG("regexp_extract(html, '(?s)<p>(.*?)</p>', 1)")} AS caption,
- 25 + 10 * contains(lower(html), '<h1')::INT + 15 * contains(lower(html), '<p')::INT + 10 * contains(lower(html), '<img')::INT + 15 * ({S.count('html', '<p[ >]')} >= 5)::INT AS points FROM pages), vd AS (SELECT page_id AS doc_id, concat_ws(' ', title, caption) AS text, '' AS source FROM vi WHERE points >= 45)"""
+ {S.first_match('lower(html)', directory.VISUALS, q('figure'))} AS kind, 25 + 10 * contains(lower(html), '<h1')::INT + 15 * contains(lower(html), '<p')::INT + 10 * contains(lower(html), '<img')::INT + 15 * ({S.count('html', '<p[ >]')} >= 5)::INT AS points FROM pages), vd AS (SELECT page_id AS doc_id, concat_ws(' ', title, caption) AS text, '' AS source FROM vi WHERE points >= 45)"""
 _VBM = f"{_VIS}, {R._BM25.replace('FROM documents', 'FROM vd')}"
 _DBM = R._BM25
 for _n in ("ct", "term", "tf", "df", "st", "qt", "qn", "bm", "rk"):
@@ -373,36 +381,40 @@ for _n in ("ct", "term", "tf", "df", "st", "qt", "qn", "bm", "rk"):
     _DBM = _re.sub(rf"(?<![\w.']){_n} AS \(", f"d_{_n} AS (", _DBM)
     _DBM = _re.sub(rf"(FROM|JOIN) {_n}(?![\w])", rf"\1 d_{_n}", _DBM)
 _DBM = _DBM.replace(", st GROUP", ", d_st GROUP").replace("FROM d_qn JOIN", "FROM d_qn JOIN")
-_RV = f"""{_VBM}, {_DBM}, rv AS (SELECT rk.query_id, rk.chunk_id AS page_id, regexp_matches(lower(be.text), '(figure|table|image|photo|ering|tion)') AS wants,
+_RV = f"""{_VBM}, {_DBM}, rv AS (SELECT rk.query_id, rk.chunk_id AS page_id, regexp_matches(lower(be.text), '(figure|table|image|photo)') AS wants,
  round(rk.score + 0.18::DOUBLE * len(list_filter({R._keywords('be.text')}, lambda t: contains(lower(concat_ws(' ', vi.title, vi.caption)), t))) + CASE WHEN wants THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN d.chunk_id IS NOT NULL THEN 0.45::DOUBLE ELSE 0 END + CASE WHEN vi.caption <> '' THEN 0.25::DOUBLE ELSE 0 END + 0.45::DOUBLE * greatest(0, vi.points / 100.0::DOUBLE - 0.45::DOUBLE), 5) AS score
  FROM rk JOIN vi ON vi.page_id = rk.chunk_id JOIN benchmark be ON be.item_id = rk.query_id LEFT JOIN (SELECT query_id, chunk_id FROM d_rk WHERE rank <= 3) d ON d.query_id = rk.query_id AND d.chunk_id = rk.chunk_id WHERE rk.rank <= 12)"""
 _CAPS = f"list_transform(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1), lambda c: {_PTAG('c')})"
 
+_NAMED = f"""{_VIS}, na AS (SELECT conv_id, turn, lower(coalesce(text, '')) AS low, conv_id + d AS page_id FROM conversations, (VALUES (0), (1), (2)) t(d) WHERE role = 'assistant'),
+nv AS (SELECT conv_id, turn, coalesce(avg(contains(low, lower(title))::INT), 0) AS accuracy FROM na LEFT JOIN (SELECT page_id, title FROM vi WHERE title <> '') USING (page_id) GROUP BY ALL)"""
+
 ORACLES = {
     "f10_lay_terms": f"WITH e AS (SELECT conv_id, turn, trim(text) AS t, {_EXP} AS e FROM conversations WHERE role = 'user') SELECT conv_id, turn, 0 AS variant, md5(t) AS query FROM e UNION ALL SELECT conv_id, turn, 1, md5(e) FROM e WHERE e <> t",
     "f13_modes": f"WITH k AS (SELECT conv_id, turn, conv_id % 4 AS m, {S.first_pattern('lower(text)', R.TYPES, q('simple'))} AS kind FROM conversations WHERE role = 'user') SELECT conv_id, turn, CASE m WHEN 0 THEN CASE WHEN kind = 'emergency' THEN 'simple' WHEN kind IN ('symptom', 'treatment', 'document') THEN 'corrective' ELSE 'multi_query' END WHEN 2 THEN 'hyde' ELSE 'memory' END AS mode FROM k",
-    "g20_codes": f"WITH {_CTX}, f AS (SELECT conv_id, turn, {_codes('code', ' *:')} AS findings, {_codes('de', ' +')} AS other FROM cx WHERE question <> '') SELECT conv_id, turn, findings, md5(other) AS other FROM f WHERE findings <> '' OR other <> ''",
-    "h3_captions": f"WITH c AS (SELECT page_id, {_CAPS} AS cs, page_id % 5 + 1 AS i FROM pages), t AS (SELECT *, list_filter(cs, lambda c: contains(lower(c), 'tion')) AS fit, list_filter(cs, lambda c: contains(lower(c), 'table')) AS tb FROM c) SELECT page_id, md5(coalesce(fit[1], cs[1], '')) AS best, md5(coalesce(cs[least(i, len(cs))], '')) AS nearest, md5(CASE WHEN len(tb) > 0 THEN tb[least(i, len(tb))] ELSE 'Table ' || i END) AS of_table FROM t",
+    "g20_codes": f"WITH {_CTX}, f AS (SELECT conv_id, turn, {_codes('code', ' *:')} AS findings FROM cx WHERE question <> '') SELECT * FROM f",
+    "h3_captions": f"WITH c AS (SELECT page_id, {_CAPS} AS cs, {S.first_match('lower(html)', directory.VISUALS, q('figure'))} AS kind, page_id % 5 + 1 AS i FROM pages), t AS (SELECT *, list_filter(cs, lambda c: contains(lower(c), kind)) AS fit, list_filter(cs, lambda c: contains(lower(c), 'table')) AS tb FROM c) SELECT page_id, md5(coalesce(fit[1], cs[1], '')) AS best, md5(coalesce(cs[least(i, len(cs))], '')) AS nearest, md5(CASE WHEN len(tb) > 0 THEN tb[least(i, len(tb))] ELSE 'Table ' || i END) AS of_table FROM t",
     "h6_visual_search": f"WITH {_VBM} SELECT query_id, chunk_id AS page_id, rank FROM rk WHERE rank <= 12",
     "h9_rerank": f"WITH {_RV} SELECT query_id, page_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id) AS place FROM rv",
     "h10_threshold": f"WITH {_RV}, t AS (SELECT *, CASE WHEN wants THEN 6.0 ELSE 8.0 END AS t FROM rv), u AS (SELECT *, CASE WHEN max((score >= t)::INT) OVER (PARTITION BY query_id) = 1 THEN 1 ELSE 2 END AS tier FROM t) SELECT query_id, page_id, tier, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id) AS place FROM u WHERE score >= CASE WHEN tier = 1 THEN t ELSE 0.7 * t END QUALIFY place <= 4",
     "h11_caption_match": f"WITH {_VBM}, b AS (SELECT query_id, chunk_id AS page_id, caption, title, list_distinct({S.words('lower(be.text)')}) AS qw, list_distinct({S.words('lower(caption)')}) AS cw, list_distinct({S.words('lower(title)')}) AS tw FROM rk JOIN vi ON vi.page_id = chunk_id JOIN benchmark be ON be.item_id = query_id WHERE rank = 1), m AS (SELECT *, len(list_intersect(qw, list_distinct(list_concat(cw, tw)))) >= greatest(2.0, 0.3 * len(qw)) AS matched FROM b) SELECT query_id, page_id, matched, round(least(1.0::DOUBLE, CASE WHEN length(caption) > 20 THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN matched THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN length(title) > 10 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN len(qw) > 0 AND len(cw) > 0 THEN least(0.2::DOUBLE, 0.2::DOUBLE * len(list_intersect(qw, cw)) / len(qw)) ELSE 0 END), 5) AS confidence FROM m",
-    "i5_red_flags": "SELECT conv_id, turn, concat_ws(',', " + ", ".join(f"CASE WHEN contains(lower(coalesce(text, '')), {q(w)}) THEN {q(w)} END" for w in ("bleeding", "swelling", "can't breathe", "unconscious", "heon")) + "), CASE " + " ".join(f"WHEN {S.matches('lower(text)', '(?i)' + p)} THEN {i}" for i, p in enumerate(tagging.INJECTION)) + " ELSE -1 END AS injection FROM conversations",
+    "i5_red_flags": "SELECT conv_id, turn, concat_ws(',', " + ", ".join(f"CASE WHEN contains(lower(coalesce(text, '')), {q(w)}) THEN {q(w)} END" for w in ("bleeding", "swelling", "can't breathe", "unconscious")) + "), CASE " + " ".join(f"WHEN {S.matches('lower(text)', '(?i)' + p)} THEN {i}" for i, p in enumerate(tagging.INJECTION)) + " ELSE -1 END AS injection FROM conversations",
     "i10_citation_support": f"WITH {_CTX}, s AS (SELECT *, lower(context) AS low, {_SS} AS ss FROM cx), k AS (SELECT *, list_filter(ss, lambda s: {_FREE} OR len({_LONG}) = 0 OR len(list_filter({_LONG}, lambda w: contains(low, w))) >= {SUPPORT} * len({_LONG})) AS kept FROM s), t AS (SELECT *, len(ss) - len(kept) AS removed, CASE WHEN len(ss) = len(kept) THEN 'passed' WHEN len(kept) > 3 THEN 'trimmed' ELSE 'flagged_but_kept' END AS state FROM k) SELECT conv_id, turn, removed, state, md5(CASE WHEN state = 'trimmed' THEN array_to_string(kept, ' ') ELSE answer END) AS answer FROM t",
     "i12_suggestions": f"WITH i AS (SELECT conv_id, turn, {S.first_match('lower(text)', tagging.INTENTS, q('general'))} AS intent FROM conversations WHERE role = 'user') SELECT conv_id, turn, CASE WHEN conv_id % 11 = 0 THEN '' WHEN conv_id % 3 = 0 THEN {q('|'.join(PATIENT[:3]))} " + " ".join(f"WHEN intent = '{k}' THEN {q('|'.join(v[:3]))}" for k, v in SUGGESTIONS.items()) + f" ELSE {q('|'.join(SUGGESTIONS['general']))} END AS suggestions FROM i",
     "i15_polished": f"WITH {_CTX}, r AS (SELECT *, ['dentist', 'dental_student', 'patient'][conv_id % 3 + 1] AS role, {_POL} AS p FROM cx), h AS (SELECT *, replace(p, chr(1), '## ' || CASE role " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in HEADINGS.items()) + f" END || chr(10) || chr(10)) AS o FROM r), k AS (SELECT *, CASE WHEN {S.any_of('lower(answer)', tagging.LEAKS)} THEN {q(LEAKED)} WHEN starts_with(o, '- ') THEN '## Key points' || chr(10) || chr(10) || o ELSE o END AS f FROM h) SELECT conv_id, turn, md5(CASE WHEN regexp_matches(lower(question), {q(NEEDS_NOTE)}) AND NOT (contains(lower(f), 'consult') AND contains(lower(f), 'dentist')) THEN f || {q(SAFETY_NOTE)} ELSE f END) AS answer FROM k",
     "j2_groundedness": f"WITH {_CTX}, s AS (SELECT *, list_distinct({S.words('lower(context)')}) AS cw, list_filter(list_transform(string_split(answer, '.'), lambda x: {S.stripped('x')}), lambda x: x <> '') AS ss FROM cx) SELECT conv_id, turn, round(CASE WHEN context = '' THEN 0.5::DOUBLE ELSE len(list_filter(ss, lambda s: len(list_intersect({_GW}, cw)) >= {GROUNDED} * len({_GW}))) / greatest(len(ss), 1)::DOUBLE END, 6) AS groundedness FROM s",
-    "j4_visual_accuracy": "SELECT conv_id, turn, round(coalesce((contains(lower(text), 'en')::INT + contains(lower(text), 'de')::INT + contains(lower(text), 'ththre')::INT) / 3.0::DOUBLE, 0), 6) AS accuracy FROM conversations WHERE role = 'assistant'",
+    "j4_visual_accuracy": f"WITH {_NAMED} SELECT conv_id, turn, round(accuracy, 6) AS accuracy FROM nv",
     "j8_answer_cases": f"WITH {_CTX}, t AS (SELECT *, (list_sort({R._keywords('question')}))[:4] AS terms, list_has_any({R._keywords('answer')}, {R._keywords('context')}) AS source_match FROM cx), r AS (SELECT *, CASE WHEN len(terms) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(terms, lambda t: contains(lower(answer), t))) / len(terms)::DOUBLE END AS recall FROM t) SELECT conv_id, turn, round(recall, 4) AS recall, source_match, recall >= 0.8 AND source_match AS passed FROM r",
-    "j6_overall": f"""WITH {_CTX}, s AS (SELECT *, list_distinct({S.words('lower(answer)')}) AS a, list_distinct({S.words('lower(context)')}) AS cw, list_distinct({S.words('lower(question)')}) AS w, list_filter(list_transform(string_split(answer, '.'), lambda x: {S.stripped('x')}), lambda x: x <> '') AS ss, {S.count('answer', '[[]Source [0-9]+[]]')} AS cited FROM cx),
+    "j6_overall": f"""WITH {_CTX}, {_NAMED}, s AS (SELECT *, list_distinct({S.words('lower(answer)')}) AS a, list_distinct({S.words('lower(context)')}) AS cw, list_distinct({S.words('lower(question)')}) AS w, list_filter(list_transform(string_split(answer, '.'), lambda x: {S.stripped('x')}), lambda x: x <> '') AS ss, {S.count('answer', '[[]Source [0-9]+[]]')} AS cited FROM cx),
 x AS (SELECT conv_id, turn, CASE WHEN context = '' THEN 0.5::DOUBLE ELSE len(list_intersect(a, cw)) / greatest(len(a), 1)::DOUBLE END AS faithfulness, CASE WHEN context = '' THEN 0.5::DOUBLE ELSE len(list_filter(ss, lambda s: len(list_intersect({_GW}, cw)) >= {GROUNDED} * len({_GW}))) / greatest(len(ss), 1)::DOUBLE END AS grounded,
- CASE WHEN cited = 0 THEN 0.5::DOUBLE ELSE least(1.0::DOUBLE, 1.0::DOUBLE / cited) END AS citations, CASE WHEN contains(lower(answer), 'en') THEN 1.0::DOUBLE ELSE 0 END AS visuals, CASE WHEN context = '' THEN 0.5::DOUBLE ELSE 1 - len(list_filter(a, lambda x: length(x) > 4 AND NOT list_contains(cw, x))) / greatest(len(a), 1)::DOUBLE END AS known, len(list_intersect(w, a)) / greatest(len(w), 1)::DOUBLE AS relevance FROM s)
-SELECT conv_id, turn, round(faithfulness, 6) AS faithfulness, round(grounded, 6) AS grounded, round(citations, 6) AS citations, visuals, round(known, 6) AS known, round(relevance, 6) AS relevance, round((faithfulness + grounded + citations + visuals + known + relevance) / 6, 6) AS overall FROM x""",
+ CASE WHEN cited = 0 THEN 0.5::DOUBLE ELSE least(1.0::DOUBLE, 1.0::DOUBLE / cited) END AS citations, CASE WHEN context = '' THEN 0.5::DOUBLE ELSE 1 - len(list_filter(a, lambda x: length(x) > 4 AND NOT list_contains(cw, x))) / greatest(len(a), 1)::DOUBLE END AS known, len(list_intersect(w, a)) / greatest(len(w), 1)::DOUBLE AS relevance FROM s), y AS (SELECT x.*, nv.accuracy AS visuals FROM x JOIN nv USING (conv_id, turn))
+SELECT conv_id, turn, round(faithfulness, 6) AS faithfulness, round(grounded, 6) AS grounded, round(citations, 6) AS citations, round(visuals, 6) AS visuals, round(known, 6) AS known, round(relevance, 6) AS relevance, round((faithfulness + grounded + citations + visuals + known + relevance) / 6, 6) AS overall FROM y""",
     "j14_good_chunks": f"WITH {_GOODCASE} SELECT doc_id, good FROM gc",
     "j15_questions": f"WITH {_CASES} SELECT chunk_id, topic, terms, question FROM cs",
-    "j16_cases": f"""WITH {_CASES}, tb AS (SELECT doc_id AS chunk_id FROM documents WHERE len(list_filter({S.lines('text')}, lambda x: regexp_matches(x, '\\|.*\\|') OR {S.matches('x', directory.CAPTION)})) > 0),
-ev AS (SELECT chunk_id, question, 0 AS priority FROM cs UNION ALL SELECT chunk_id, question, 1 FROM cs JOIN tb USING (chunk_id) UNION ALL SELECT doc_id, 'What does no document say about ' || doc_id || '?', 2 FROM gc WHERE NOT good),
-oc AS (SELECT question, priority, chunk_id FROM ev QUALIFY row_number() OVER (PARTITION BY question ORDER BY priority, chunk_id) = 1) SELECT priority, chunk_id, question, row_number() OVER (PARTITION BY priority ORDER BY chunk_id, question) AS r FROM oc QUALIFY r <= [30, 10, 5][priority + 1]""",
+    "j16_cases": f"""WITH {_CASES}, {_VIS}, tb AS (SELECT doc_id AS chunk_id FROM documents WHERE len(list_filter({S.lines('text')}, lambda x: regexp_matches(x, '\\|.*\\|') OR {S.matches('x', directory.CAPTION)})) > 0),
+ev AS (SELECT chunk_id, question, 0 AS priority FROM cs UNION ALL SELECT chunk_id, question, 2 FROM cs JOIN tb USING (chunk_id) UNION ALL SELECT doc_id, 'What does no document say about ' || doc_id || '?', 3 FROM gc WHERE NOT good
+  UNION ALL SELECT page_id, 'What does the ' || kind || ' of ' || title || ' show?', 1 FROM vi WHERE points >= {VISUAL_POINTS} AND title <> ''),
+oc AS (SELECT question, priority, chunk_id FROM ev QUALIFY row_number() OVER (PARTITION BY question ORDER BY priority, chunk_id) = 1) SELECT priority, chunk_id, question, row_number() OVER (PARTITION BY priority ORDER BY chunk_id, question) AS r FROM oc QUALIFY r <= [30, 8, 10, 5][priority + 1]""",
 }
 ORACLES["j10_case_summary"] = f"WITH c AS ({ORACLES['j8_answer_cases']}), {_CTX.replace('cx0', 'cy0').replace('cx AS', 'cy AS')}, k AS (SELECT c.*, {S.first_match('lower(question)', tagging.INTENTS, q('general'))} AS kind FROM c JOIN cy USING (conv_id, turn)) SELECT coalesce(kind, 'all') AS kind, count(*) AS n, count(*) FILTER (passed) AS passed, round(avg(recall), 4) AS recall FROM k GROUP BY ROLLUP (kind)"
 ORACLES["i5_red_flags"] = ORACLES["i5_red_flags"].replace("END), CASE", "END) AS words, CASE")

@@ -93,10 +93,32 @@ def i7_roles(spark, sf):
     return table(spark, sf, "conversations").groupBy(T.first_match(F.lower("role"), ROLES, F.lit("patient")).alias("user_role")).agg(F.count("*").alias("n"))
 
 
+PRESCRIBING = (r"(^|[^a-z0-9_])take +[0-9]+", r"(^|[^a-z0-9_])mg([^a-z0-9_]|$)", r"(^|[^a-z0-9_])tablet([^a-z0-9_]|$)", r"(^|[^a-z0-9_])prescribe([^a-z0-9_]|$)", r"(^|[^a-z0-9_])antibiotic[^a-z0-9_\n](.*[^a-z0-9_\n])?(days?|daily|twice)([^a-z0-9_]|$)")
+CAREFUL = ("pain", "dard", "swelling", "fever", "bleeding", "pus", "trauma", "pregnancy", "child", "children", "medicine", "medication", "antibiotic", "dose", "infection")
+ROMAN, NOT_ROMAN = ("roman urdu", "hinglish", "in roman"), r"[\x{600}-\x{6FF}\x{750}-\x{77F}\x{8A0}-\x{8FF}\x{900}-\x{97F}]"
+GROUNDED_TERMS = 0.25
+
+
+def self_check(question, answer, context, role):
+    """Array of what an answer fails: grounding in context or question, prescribing (but to dentists), a missing safety note, another script than asked for. question, answer, context: lower case."""
+    terms = F.array_distinct(F.regexp_extract_all(answer, F.lit("([a-z][a-z-]{2,})"), 1))
+    good = F.size(F.filter(terms, lambda t: F.contains(context, t) | F.contains(question, t)))
+    prescribes = F.lit(False)
+    for p in PRESCRIBING:
+        prescribes = prescribes | answer.rlike(p)
+    noted = F.contains(answer, F.lit("consult")) | F.contains(answer, F.lit("dentist"))
+    return F.array_compact(F.array(
+        F.when((context != "") & (F.size(terms) > 0) & (good < GROUNDED_TERMS * F.size(terms)), F.lit("ungrounded")), F.when((role != "dentist") & prescribes, F.lit("prescribing_language")),
+        F.when((T.count_of(question, CAREFUL) > 0) & ~noted, F.lit("missing_safety_note")), F.when((T.count_of(question, ROMAN) > 0) & answer.rlike(NOT_ROMAN), F.lit("language_mismatch"))))
+
+
 def i8_self_check(spark, sf):
-    """Answers with under a quarter of their words in the question."""
-    p = pairs(table(spark, sf, "conversations")).withColumns({"a": word_set(F.col("answer")), "b": word_set(F.col("question"))})
-    return p.select("conv_id", "turn", (4 * F.size(F.array_intersect("a", "b")) < F.size("a")).alias("ungrounded"))
+    """The four checks of each answer, over the turns before it; every third conversation is a dentist's."""
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    low = F.lower(F.coalesce("text", F.lit("")))
+    c = table(spark, sf, "conversations").withColumns({"low": low, "question": F.coalesce(F.last(F.when(F.col("role") == "user", low), ignorenulls=True).over(w), F.lit("")), "context": F.array_join(F.collect_list(low).over(w), " ")})
+    role = F.when(F.col("conv_id") % 3 == 0, "dentist").otherwise("patient")
+    return c.where("role = 'assistant'").select("conv_id", "turn", F.array_join(self_check(F.col("question"), F.col("low"), F.col("context"), role), ",").alias("reasons"))
 
 
 LEAKS = ("as an ai", "system prompt", "[insert", "{{", "lorem ipsum")
@@ -194,7 +216,9 @@ ORACLES = {
     "i4_intent": f"SELECT conv_id, turn, {S.first_match('lower(text)', INTENTS, q('general'))} AS intent FROM conversations",
     "i6_direct_answer": f"SELECT conv_id, turn, {S.matches('trim(lower(text))', GREETING)} AS direct FROM conversations",
     "i7_roles": f"SELECT {S.first_match('lower(role)', ROLES, q('patient'))} AS user_role, count(*) AS n FROM conversations GROUP BY 1",
-    "i8_self_check": f"WITH {_PAIRS} SELECT conv_id, turn, 4 * len(list_intersect(a, b)) < len(a) AS ungrounded FROM ab",
+    "i8_self_check": f"""WITH l AS (SELECT *, lower(coalesce(text, '')) AS low FROM conversations), c AS (SELECT conv_id, turn, role, low, coalesce(last_value(CASE WHEN role = 'user' THEN low END IGNORE NULLS) OVER w, '') AS question, coalesce(string_agg(low, ' ') OVER w, '') AS context FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT *, list_distinct(regexp_extract_all(low, '[a-z][a-z-]{{2,}}')) AS terms FROM c WHERE role = 'assistant') SELECT conv_id, turn, concat_ws(',', CASE WHEN context <> '' AND len(terms) > 0 AND len(list_filter(terms, lambda t: contains(context, t) OR contains(question, t))) < {GROUNDED_TERMS} * len(terms) THEN 'ungrounded' END,
+ CASE WHEN conv_id % 3 <> 0 AND ({' OR '.join(S.matches('low', p) for p in PRESCRIBING)}) THEN 'prescribing_language' END, CASE WHEN {S.any_of('question', CAREFUL)} AND NOT contains(low, 'consult') AND NOT contains(low, 'dentist') THEN 'missing_safety_note' END, CASE WHEN {S.any_of('question', ROMAN)} AND {S.matches('low', NOT_ROMAN)} THEN 'language_mismatch' END) AS reasons FROM t""",
     "i9_leaks": f"SELECT conv_id, turn, {S.any_of('lower(text)', LEAKS)} AS leaked FROM conversations WHERE role = 'assistant'",
     "i13_topics": f"WITH t AS (SELECT conv_id, unnest([{_TOPICS}]) AS topic FROM conversations WHERE role = 'user') SELECT conv_id, topic, count(*) AS n FROM t WHERE topic IS NOT NULL GROUP BY ALL",
     "i14_memory_titles": "WITH c AS (SELECT conv_id, arg_min(substr(text, 1, 40), turn) AS title, conv_id % 7 AS user_id FROM conversations WHERE role = 'user' GROUP BY conv_id), l AS (SELECT user_id, title, max(conv_id) AS conv_id FROM c GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY conv_id DESC) AS r FROM l QUALIFY r <= 5",
