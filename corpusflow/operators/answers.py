@@ -268,12 +268,16 @@ def j16_cases(spark, sf, text=30, visual=8, table_=10, negative=5):
 
 
 # Visuals: pages stand for them, their headings and paragraphs for captions and nearby text.
+def visuals_points():
+    h = F.lower("html")
+    return 25 + 10 * F.contains(h, F.lit("<h1")).cast("int") + 15 * F.contains(h, F.lit("<p")).cast("int") + 10 * F.contains(h, F.lit("<img")).cast("int") + 15 * (F.regexp_count("html", F.lit("<p[ >]")) >= 5).cast("int")
+
+
 def visuals(pages):
     """page_id, title, caption (first paragraph), kind, quality (points), host."""
     h = F.lower("html")
-    points = 25 + 10 * F.contains(h, F.lit("<h1")).cast("int") + 15 * F.contains(h, F.lit("<p")).cast("int") + 10 * F.contains(h, F.lit("<img")).cast("int") + 15 * (F.regexp_count("html", F.lit("<p[ >]")) >= 5).cast("int")
     clean = lambda c: T.squeezed(F.regexp_replace(c, "<[^>]*>", " "))
-    return pages.select("page_id", F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1).alias("host"), clean(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)).alias("title"), clean(F.regexp_extract("html", r"(?s)<p>(.*?)</p>", 1)).alias("caption"), T.first_match(h, directory.VISUALS, F.lit("figure")).alias("kind"), points.alias("points"))
+    return pages.select("page_id", F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1).alias("host"), clean(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)).alias("title"), clean(F.regexp_extract("html", r"(?s)<p>(.*?)</p>", 1)).alias("caption"), T.first_match(h, directory.VISUALS, F.lit("figure")).alias("kind"), visuals_points().alias("points"))
 
 
 def chosen_captions(captions, kind, index):
@@ -291,6 +295,36 @@ def h3_captions(spark, sf):
     return p.withColumn("c", c).select("page_id", F.md5("c.best").alias("best"), F.md5("c.nearest").alias("nearest"), F.md5("c.of_table").alias("of_table"))
 
 
+#: Visuals a query that are looked at, best first, and those that are kept.
+LOOKED_AT, KEPT_VISUALS = 250, 8
+
+
+def related_ids(pages):
+    """page_id, chunk_id: the chunks that a page is related to: every number of its address and of its links, once."""
+    ids = F.regexp_extract_all(F.concat_ws(" ", "url", F.array_join(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1), " ")), F.lit("(?:^|[^0-9])([0-9]{1,15})(?![0-9])"), 1)
+    return pages.select("page_id", F.explode(F.array_distinct(F.transform(ids, lambda x: x.cast("long")))).alias("chunk_id"))
+
+
+def linked_visuals(chunks, pages, looked=LOOKED_AT, k=KEPT_VISUALS):
+    """query_id, page_id, n_related, same_page, place: of the best visuals by quality that share a related id with a query's chunks, or stand on one's page, the first k.
+
+    chunks: query_id, chunk_id. Sets meet by their exploded ids; what they share is counted.
+    """
+    rows = pages.select("page_id", visuals_points().alias("points"))
+    shared = chunks.join(related_ids(pages), "chunk_id").groupBy("query_id", "page_id").agg(F.count("*").alias("n_related"))
+    same = chunks.select("query_id", F.col("chunk_id").alias("page_id"), F.lit(1).alias("own")).join(pages.select("page_id"), "page_id", "left_semi")
+    both = shared.join(same, ["query_id", "page_id"], "full").select("query_id", "page_id", F.coalesce("n_related", F.lit(0)).alias("n_related"), F.col("own").isNotNull().alias("same_page")).join(rows, "page_id")
+    w = Window.partitionBy("query_id").orderBy(F.desc("points"), "page_id")
+    best = both.withColumn("place", F.row_number().over(w)).where(F.col("place") <= looked)
+    return best.where(F.col("place") <= k).select("query_id", "page_id", "n_related", "same_page", "place")
+
+
+def h7_linked(spark, sf):
+    """Visuals linked with the five best chunks of each query."""
+    best = R.top(R.bm25(R._queries(spark, sf), R._chunks(spark, sf)), 5).select("query_id", "chunk_id")
+    return linked_visuals(best, table(spark, sf, "pages"))
+
+
 def visual_hits(spark, sf, least=45):
     """query_id, chunk_id (the page), score: BM25 over titles and captions of visuals of some quality."""
     v = visuals(table(spark, sf, "pages")).where(F.col("points") >= least)
@@ -341,7 +375,7 @@ def h11_caption_match(spark, sf):
     return r.select("query_id", "page_id", match.alias("matched"), F.round(F.least(F.lit(1.0), score), 5).alias("confidence"))
 
 
-QUERIES = {f.__name__: f for f in (f10_lay_terms, f13_modes, g20_codes, h3_captions, h6_visual_search, h9_rerank, h10_threshold, h11_caption_match, i5_red_flags, i10_citation_support, i12_suggestions, i15_polished, j2_groundedness, j4_visual_accuracy, j6_overall, j10_case_summary, j8_answer_cases, j14_good_chunks, j15_questions, j16_cases)}
+QUERIES = {f.__name__: f for f in (f10_lay_terms, f13_modes, g20_codes, h3_captions, h6_visual_search, h7_linked, h9_rerank, h10_threshold, h11_caption_match, i5_red_flags, i10_citation_support, i12_suggestions, i15_polished, j2_groundedness, j4_visual_accuracy, j6_overall, j10_case_summary, j8_answer_cases, j14_good_chunks, j15_questions, j16_cases)}
 
 _CTX = """cx0 AS (SELECT conv_id, turn, role, text, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER w AS question, string_agg(text, ' ') OVER w AS context FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 cx AS (SELECT conv_id, turn, coalesce(question, '') AS question, coalesce(text, '') AS answer, coalesce(context, '') AS context FROM cx0 WHERE role = 'assistant')"""
@@ -395,6 +429,9 @@ ORACLES = {
     "g20_codes": f"WITH {_CTX}, f AS (SELECT conv_id, turn, {_codes('code', ' *:')} AS findings FROM cx WHERE question <> '') SELECT * FROM f",
     "h3_captions": f"WITH c AS (SELECT page_id, {_CAPS} AS cs, {S.first_match('lower(html)', directory.VISUALS, q('figure'))} AS kind, page_id % 5 + 1 AS i FROM pages), t AS (SELECT *, list_filter(cs, lambda c: contains(lower(c), kind)) AS fit, list_filter(cs, lambda c: contains(lower(c), 'table')) AS tb FROM c) SELECT page_id, md5(coalesce(fit[1], cs[1], '')) AS best, md5(coalesce(cs[least(i, len(cs))], '')) AS nearest, md5(CASE WHEN len(tb) > 0 THEN tb[least(i, len(tb))] ELSE 'Table ' || i END) AS of_table FROM t",
     "h6_visual_search": f"WITH {_VBM} SELECT query_id, chunk_id AS page_id, rank FROM rk WHERE rank <= 12",
+    "h7_linked": f"""WITH {R._BM25}, {_VIS}, ch AS (SELECT query_id, chunk_id FROM rk WHERE rank <= 5), ids AS (SELECT page_id, list_distinct(list_transform(regexp_extract_all(concat_ws(' ', url, array_to_string(regexp_extract_all(html, 'href="([^"]*)"', 1), ' ')), '[0-9]+'), lambda x: try_cast(x AS BIGINT))) AS ids FROM pages),
+qc AS (SELECT query_id, list(chunk_id) AS cs FROM ch GROUP BY query_id), li AS (SELECT query_id, page_id, len(list_intersect(cs, ids)) AS n_related, list_contains(cs, page_id) AS same_page FROM qc JOIN ids ON list_has_any(cs, ids) OR list_contains(cs, page_id))
+SELECT query_id, page_id, n_related, same_page, row_number() OVER (PARTITION BY query_id ORDER BY points DESC, page_id) AS place FROM li JOIN vi USING (page_id) QUALIFY place <= {KEPT_VISUALS}""",
     "h9_rerank": f"WITH {_RV} SELECT query_id, page_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id) AS place FROM rv",
     "h10_threshold": f"WITH {_RV}, t AS (SELECT *, CASE WHEN wants THEN 6.0 ELSE 8.0 END AS t FROM rv), u AS (SELECT *, CASE WHEN max((score >= t)::INT) OVER (PARTITION BY query_id) = 1 THEN 1 ELSE 2 END AS tier FROM t) SELECT query_id, page_id, tier, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id) AS place FROM u WHERE score >= CASE WHEN tier = 1 THEN t ELSE 0.7 * t END QUALIFY place <= 4",
     "h11_caption_match": f"WITH {_VBM}, b AS (SELECT query_id, chunk_id AS page_id, caption, title, list_distinct({S.words('lower(be.text)')}) AS qw, list_distinct({S.words('lower(caption)')}) AS cw, list_distinct({S.words('lower(title)')}) AS tw FROM rk JOIN vi ON vi.page_id = chunk_id JOIN benchmark be ON be.item_id = query_id WHERE rank = 1), m AS (SELECT *, len(list_intersect(qw, list_distinct(list_concat(cw, tw)))) >= greatest(2.0, 0.3 * len(qw)) AS matched FROM b) SELECT query_id, page_id, matched, round(least(1.0::DOUBLE, CASE WHEN length(caption) > 20 THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN matched THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN length(title) > 10 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN len(qw) > 0 AND len(cw) > 0 THEN least(0.2::DOUBLE, 0.2::DOUBLE * len(list_intersect(qw, cw)) / len(qw)) ELSE 0 END), 5) AS confidence FROM m",

@@ -114,14 +114,6 @@ def h5_visual_dedupe(spark, sf):
     return p.groupBy("hash").agg(F.min("page_id").alias("page_id"), F.count("*").alias("n"))
 
 
-def h7_linked(spark, sf):
-    """For each document, the first three pages of its number's group, by quality."""
-    h = F.lower("html")
-    p = table(spark, sf, "pages").select("page_id", (F.col("page_id") % 20).alias("g"), (45 + 30 * F.contains(h, F.lit("<h1")).cast("int")).alias("points"))
-    p = p.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("points"), "page_id"))).where("r <= 3")
-    return table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 20).alias("g")).join(p, "g").select("doc_id", "page_id", "r")
-
-
 def h8_merge(spark, sf):
     """Pages of one host: the largest score, the union of their sections, the first title."""
     p = table(spark, sf, "pages").withColumn("host", F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1)).withColumn("path", F.regexp_extract("url", r"^[a-z]+://[^/]+/([^/?#]*)", 1))
@@ -134,7 +126,7 @@ def h12_new_only(spark, sf):
     return table(spark, sf, "pages").join(gone, "page_id", "left_anti").select("page_id", "url")
 
 
-QUERIES = {f.__name__: f for f in (l1_profiles, l2_contacts, l3_page_count, l5_schedule, l6_specialisation, h1_captions, h2_visual_type, h4_visual_quality, h5_visual_dedupe, h7_linked, h8_merge, h12_new_only)}
+QUERIES = {f.__name__: f for f in (l1_profiles, l2_contacts, l3_page_count, l5_schedule, l6_specialisation, h1_captions, h2_visual_type, h4_visual_quality, h5_visual_dedupe, h8_merge, h12_new_only)}
 
 _POINTS = "45 + 30 * contains(lower(html), '<h1')::INT"
 ORACLES = {
@@ -146,7 +138,6 @@ ORACLES = {
     "h2_visual_type": f"SELECT page_id, {S.first_match('lower(html)', VISUALS, q('figure'))} AS kind FROM pages",
     "h4_visual_quality": f"SELECT page_id, {_POINTS} + 15 * contains(lower(html), '<p')::INT + 10 * contains(lower(html), '<img')::INT AS points FROM pages",
     "h5_visual_dedupe": f"SELECT sha256({S.squeezed('html')}) AS hash, min(page_id) AS page_id, count(*) AS n FROM pages GROUP BY 1",
-    "h7_linked": f"WITH p AS (SELECT page_id, page_id % 20 AS g, row_number() OVER (PARTITION BY page_id % 20 ORDER BY {_POINTS} DESC, page_id) AS r FROM pages QUALIFY r <= 3) SELECT doc_id, page_id, r FROM documents JOIN p ON doc_id % 20 = g",
     "h8_merge": "WITH p AS (SELECT *, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/]+/([^/?#]*)', 1) AS path FROM pages) SELECT host, count(*) AS n, array_to_string(list_sort(list(DISTINCT path)), ',') AS paths, arg_min(url, page_id) AS first_url FROM p GROUP BY host",
     "h12_new_only": "SELECT page_id, url FROM pages WHERE page_id NOT IN (SELECT doc_id FROM labels)",
 }

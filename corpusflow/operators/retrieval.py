@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from corpusflow import sqltext as S
 from corpusflow.functions import text as T
+from corpusflow.operators.audit import TYPES as KINDS
+from corpusflow.operators.cleaning import SPECIALTIES, TOPICS
 from corpusflow.operators.quality import SCORED_SQL, scored
 from corpusflow.shared import folder, numbered, written
 from corpusflow.tables import quoted as q
@@ -432,16 +434,46 @@ def e7_profile_search(spark, sf):
     return found.select("query_id", F.col("chunk_id").alias("page_id"), point.alias("point_id"))
 
 
-def f4_candidates(spark, sf, limit=50):
-    """For each query, the chunks that hold one of its first ten tokens, best first: usable ones only.
+#: Terms of a query, letters of a term at least, and chunks a query of the candidate fetch.
+TERMS, LETTERS, FETCHED = 10, 3, 4000
 
-    Tokens meet tokens by an equi-join on the parts of them that a text holds; a token counts as held if a text's token starts with it.
+
+def trigrams(c):
+    """Every three characters side by side of a text, distinct."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit("(?s)(?=(...))"), 1))
+
+
+def substring_candidates(queries, chunks, k=FETCHED):
+    """query_id, chunk_id, points, place: for each query the k best chunks (points, then chunk_id) that hold one of its first tokens anywhere in them.
+
+    queries: query_id, text. chunks: chunk_id, points, body (lower case). A term's chunks are looked up by its rarest three characters and then
+    verified. Only postings of characters that are some term's rarest are joined, and a term hands on k chunks at most, as no query can take more.
     """
-    q_ = _queries(spark, sf).select("query_id", F.explode(F.slice(tokens(F.col("text")), 1, 10)).alias("term")).distinct()
-    d = scored(table(spark, sf, "documents")).where("NOT is_noisy AND points >= 55").select(F.col("doc_id").alias("chunk_id"), "points", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    hits = d.join(q_, "term").groupBy("query_id", "chunk_id").agg(F.max("points").alias("points"), F.count("*").alias("n_terms"))
+    terms = F.slice(F.filter(tokens(F.col("text")), lambda t: F.length(t) >= LETTERS), 1, TERMS)
+    asked = written(queries.select("query_id", F.explode(F.array_distinct(terms)).alias("term")), "asked")
+    parts = written(asked.select("term").distinct().select("term", F.explode(trigrams(F.col("term"))).alias("gram")), "grams")
+    held = written(chunks.select("chunk_id", "points", "body"), "bodies")
+    postings = held.select("chunk_id", F.explode(trigrams(F.col("body"))).alias("gram")).join(parts.select("gram").distinct(), "gram", "left_semi")
+    postings = written(postings, "postings")
+    size = postings.groupBy("gram").agg(F.count("*").alias("n"))
+    rare = parts.join(size, "gram", "left").groupBy("term").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))).alias("gram"))
+    met = rare.join(postings, "gram").select("term", "chunk_id").join(held, "chunk_id").where(F.contains("body", F.col("term"))).select("term", "chunk_id", "points")
+    best = Window.partitionBy("term").orderBy(F.desc("points"), "chunk_id")
+    met = met.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+    hits = asked.join(met, "term").select("query_id", "chunk_id", "points").distinct()
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("points"), "chunk_id"))
-    return hits.withColumn("place", place).where(F.col("place") <= limit)
+    return hits.withColumn("place", place).where(F.col("place") <= k)
+
+
+def f4_candidates(spark, sf):
+    """The candidate fetch over usable chunks: text, title, source, language, type, specialty and topic are searched."""
+    # Written before it is filtered and searched: a filter would score each text again, a ladder would cut it into lines again for every needle.
+    d = scored(table(spark, sf, "documents")).select("doc_id", "points", "is_noisy", "text", "source", "lang", F.coalesce(F.get(T.lines(F.col("text")), F.lit(0)), F.lit("")).alias("title"), F.lower("text").alias("low"))
+    d = written(d, "scored").where("NOT is_noisy AND points >= 55")
+    d = d.withColumns({"topic": T.first_match(F.col("low"), TOPICS, F.lit("other")), "specialty": T.first_match(F.col("low"), SPECIALTIES, F.lit("general_dentistry")), "kind": T.first_match(F.lower("title"), KINDS, F.lit("other"))})
+    body = F.lower(F.concat_ws("\x01", "text", "title", "source", "lang", "kind", "specialty", "topic"))
+    return substring_candidates(_queries(spark, sf), d.select(F.col("doc_id").alias("chunk_id"), "points", body.alias("body")))
+
 
 def g8_neighbours(spark, sf):
     """The neighbours of the three best chunks of a query, in their source; selected ones first."""
@@ -545,7 +577,10 @@ nd AS (SELECT id, count(*) AS n FROM pd GROUP BY id), np AS (SELECT id, count(*)
 UNION ALL SELECT 'visual', page_id, coalesce(nullif(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), ''), 'unknown'), 'xx', length(t), coalesce(n, 0) FROM pt LEFT JOIN np ON id = page_id""",
     "e7_profile_search": f"""WITH pt AS (SELECT page_id, concat_ws(' ', nullif(trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)), ''), nullif(trim(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), ''), nullif(trim(translate(regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1), '/-_', '   ')), '')) AS t FROM pages WHERE page_id % 2 = 0),
 {_places('pp', 'page_id', 'pt', 't')}, {_places('pq', 'item_id', 'benchmark', 'text')}, {_nearest('pq', 'pp', 5)}, h AS (SELECT query_id, chunk_id, md5('page:' || chunk_id) AS h FROM vr) SELECT query_id, chunk_id AS page_id, h[1:8] || '-' || h[9:12] || '-3' || h[14:16] || '-8' || h[18:20] || '-' || h[21:32] AS point_id FROM h""",
-    "f4_candidates": f"WITH {SCORED_SQL}, qt AS (SELECT DISTINCT item_id AS query_id, unnest(({_tokens('text')})[:10]) AS term FROM benchmark), dt AS (SELECT DISTINCT doc_id AS chunk_id, points, unnest({_tokens('text')}) AS term FROM quality WHERE NOT is_noisy AND points >= 55), hi AS (SELECT query_id, chunk_id, max(points) AS points, count(*) AS n_terms FROM dt JOIN qt USING (term) GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY points DESC, chunk_id) AS place FROM hi QUALIFY place <= 50",
+    "f4_candidates": f"""WITH {SCORED_SQL}, bo0 AS (SELECT doc_id AS chunk_id, points, q.text, d.source, d.lang, coalesce({S.lines('q.text')}[1], '') AS title FROM quality q JOIN (SELECT doc_id, source, lang FROM documents) d USING (doc_id) WHERE NOT is_noisy AND points >= 55),
+bo AS (SELECT chunk_id, points, lower(concat_ws(chr(1), text, title, source, lang, {S.first_match('lower(title)', KINDS, q('other'))}, {S.first_match('lower(text)', SPECIALTIES, q('general_dentistry'))}, {S.first_match('lower(text)', TOPICS, q('other'))})) AS body FROM bo0),
+qt AS (SELECT DISTINCT item_id AS query_id, unnest((list_filter({_tokens('text')}, lambda t: length(t) >= {LETTERS}))[:{TERMS}]) AS term FROM benchmark), hi AS (SELECT DISTINCT query_id, chunk_id, points FROM qt JOIN bo ON contains(body, term))
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY points DESC, chunk_id) AS place FROM hi QUALIFY place <= {FETCHED}""",
     "g8_neighbours": f"WITH {_BM25}, p AS (SELECT chunk_id, source, row_number() OVER (PARTITION BY source ORDER BY chunk_id) AS pos FROM ct), o AS (SELECT query_id, rank, source, pos + d AS pos FROM rk JOIN p USING (chunk_id), (VALUES (-1), (0), (1)) t(d) WHERE rank <= 3) SELECT query_id, chunk_id, min(rank) AS rank FROM o JOIN p USING (source, pos) GROUP BY ALL",
     "g14_sufficiency": f"WITH {_BM25} SELECT query_id, count(*) FILTER (score >= 8) >= 2 OR count(*) >= 3 AS enough FROM bm GROUP BY query_id",
     "g17_memory": f"""WITH c AS (SELECT *, {_keywords('text')} AS ks FROM conversations WHERE role <> 'system'), l AS (SELECT conv_id, max(turn) AS asked, arg_max(ks, turn) AS want FROM c WHERE role = 'user' GROUP BY conv_id),

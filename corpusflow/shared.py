@@ -42,3 +42,21 @@ def numbered(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
     own = F.row_number().over(Window.partitionBy(group, "_part").orderBy(order)) - 1
     joined = ranged.withColumn("_own", own).join(count, F.col(group).eqNullSafe(F.col("_of")) & (F.col("_part") == F.col("_in")))
     return joined.withColumn(name, F.col("_before") + F.col("_own")).drop("_part", "_own", "_of", "_in", "_before")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """id, component: every node of edges (a, b) with the smallest node that it is connected with.
+
+    Each round a node takes the smallest label among its neighbours' and then its label's label, until none changes. Labels go to the shared folder between rounds.
+    """
+    e = edges.select("a", "b").where("a <> b")
+    e = written(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    now = written(e.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).select(F.col("a").alias("id"), "c"), "labels")
+    while True:
+        near = e.join(now, F.col("b") == F.col("id")).groupBy("a").agg(F.min("c").alias("near"))
+        step = now.join(near, F.col("id") == F.col("a")).select("id", F.col("c").alias("old"), F.least("c", "near").alias("c"))
+        up = now.select(F.col("id").alias("u"), F.col("c").alias("top"))
+        step = written(step.join(up, F.col("c") == F.col("u"), "left").select("id", "old", F.least("c", F.coalesce("top", "c")).alias("c")), "labels")
+        if step.where("c <> old").isEmpty():
+            return step.select("id", F.col("c").alias("component"))
+        now = step.select("id", "c")
