@@ -7,8 +7,8 @@ template are judged, as no other could be confirmed. A softmax regression over s
 gives each window a family or `unknown`. It is trained in the driver on the templates below, with
 words dropped, changed and added, against ordinary passages. Its probabilities are calibrated by a
 temperature that is fitted out of fold, on templates whose copies the fold's model hasn't seen. A family
-is reported if its probability reaches ACCEPT and a template of it shares enough of its word 2-grams with
-the window; a template of few words must be there in full.
+is reported if its probability reaches ACCEPT, a template of it shares enough of its word 2-grams with
+the window, and no other family's template shares more; a template of few words must be there in full, and one of two words asks for more probability.
 
 Words are hashed on the UTF-8 bytes of a whole slice of texts; only hashes of the vocabulary are
 looked at one by one.
@@ -32,6 +32,8 @@ from corpusflow.llm import arrays
 
 UNKNOWN = "unknown"
 ACCEPT, SIMILAR = 0.4, 0.6
+#: The probability that a template of one 2-gram asks for, as two words may stand side by side by chance.
+SURE = 0.9
 #: 2-grams that a similarity is taken of at least, so that a few common words are no licence.
 LEAST_GRAMS = 4
 #: Words of a passage that is looked at whole; sizes of windows, words between their starts, and words that a passage must exceed.
@@ -41,20 +43,26 @@ FOLDS = 3
 
 # Public licence notices and characteristic sentences, by family.
 TEMPLATES = {
-    "apache": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.", "See the License for the specific language governing permissions and limitations under the License.", "This project is released under the Apache 2.0 license.", "Apache License 2.0", "SPDX-License-Identifier: Apache-2.0", "License: Apache-2.0"),
-    "mit": ("Released under the MIT License.", "Licensed under the MIT license.", "This software is distributed under the terms of the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "MIT License", "License: MIT", "SPDX-License-Identifier: MIT", "The MIT License (MIT)"),
-    "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "Use of this source code is governed by a BSD-style license.", "Released under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause", "License: BSD-3-Clause"),
-    "gpl": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "You should have received a copy of the GNU General Public License along with this program.", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.", "Licensed under the GPL version 2 or later.", "Released under the GNU GPL v3.", "SPDX-License-Identifier: GPL-3.0-or-later", "License: GPL-3.0"),
-    "lgpl": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.", "Licensed under the GNU Lesser General Public License, version 2.1.", "You should have received a copy of the GNU Lesser General Public License along with this library.", "Released under the LGPL version 3.", "SPDX-License-Identifier: LGPL-2.1"),
+    "apache": ("Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.", "You may reproduce and distribute copies of the Work or Derivative Works thereof in any medium, with or without modifications, and in Source or Object form, provided that You meet the following conditions.", "Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.", "See the License for the specific language governing permissions and limitations under the License.", "This project is released under the Apache 2.0 license.", "Apache License 2.0", "SPDX-License-Identifier: Apache-2.0", "License: Apache-2.0"),
+    "mit": ("The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.", "In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software.", "Released under the MIT License.", "Licensed under the MIT license.", "This software is distributed under the terms of the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "MIT License", "License: MIT", "SPDX-License-Identifier: MIT", "The MIT License (MIT)"),
+    "bsd": ("This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed.", "In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages, including, but not limited to, procurement of substitute goods or services, loss of use, data, or profits, or business interruption, however caused and on any theory of liability.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "Use of this source code is governed by a BSD-style license.", "Released under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause", "License: BSD-3-Clause"),
+    "gpl": ("The GNU General Public License is a free, copyleft license for software and other kinds of works.", "You may convey verbatim copies of the Program's source code as you receive it, in any medium, provided that you conspicuously and appropriately publish on each copy an appropriate copyright notice.", "SPDX-License-Identifier: GPL-2.0-or-later", "License: GPL-2.0", "This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "You should have received a copy of the GNU General Public License along with this program.", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.", "Licensed under the GPL version 2 or later.", "Released under the GNU GPL v3.", "SPDX-License-Identifier: GPL-3.0-or-later", "License: GPL-3.0"),
+    "lgpl": ("This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.", "SPDX-License-Identifier: LGPL-3.0-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.", "Licensed under the GNU Lesser General Public License, version 2.1.", "You should have received a copy of the GNU Lesser General Public License along with this library.", "Released under the LGPL version 3.", "SPDX-License-Identifier: LGPL-2.1"),
     "agpl": ("This work is licensed under the GNU Affero General Public License, version 3.", "You can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.", "Licensed under the AGPL version 3.", "SPDX-License-Identifier: AGPL-3.0"),
     "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0", "License: MPL-2.0"),
     "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Licensed under the ISC License.", "SPDX-License-Identifier: ISC"),
     "cc-by": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Published under the Creative Commons Attribution license."),
     "cc-by-sa": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Text is available under the Creative Commons Attribution-ShareAlike License."),
+    "cc-by-nd": ("Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "Published under the Creative Commons Attribution-NoDerivatives license."),
+    "cc-by-nc-nd": ("Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "Published under the Creative Commons Attribution-NonCommercial-NoDerivatives license."),
+    "cc-by-nc-sa": ("Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "Published under the Creative Commons Attribution-NonCommercial-ShareAlike license."),
+    "epl": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/.", "Licensed under the Eclipse Public License, version 1.0.", "The accompanying program is provided under the terms of this Eclipse Public License.", "SPDX-License-Identifier: EPL-2.0", "License: EPL-2.0"),
+    "zlib": ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions.", "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.", "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.", "Licensed under the zlib License.", "SPDX-License-Identifier: Zlib"),
+    "boost": ("Distributed under the Boost Software License, Version 1.0.", "Boost Software License - Version 1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software.", "SPDX-License-Identifier: BSL-1.0"),
     "cc-by-nc": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Free for non-commercial use under CC BY-NC 4.0."),
     "cc0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0.", "This work is dedicated to the public domain under CC0.", "Released under CC0 1.0 Universal.", "SPDX-License-Identifier: CC0-1.0"),
     "unlicense": ("This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
-    "proprietary": ("All rights reserved; no part of this publication may be reproduced, distributed, or transmitted in any form without the prior written permission of the publisher.", "This software is proprietary and confidential; unauthorized copying of this file is strictly prohibited.", "Copyright the company, all rights reserved."),
+    "proprietary": ("All rights reserved; no part of this publication may be reproduced, distributed, or transmitted in any form without the prior written permission of the publisher.", "This software is proprietary and confidential; unauthorized copying of this file is strictly prohibited.", "Copyright the company, all rights reserved.", "All rights reserved."),
 }
 ORDINARY = (
     "The driver renewed her license at the office on Monday.", "A fishing licence costs ten pounds a year.", "The committee granted permission to build on the land.", "He was free to copy the notes from the board.", "The general public was not admitted to the hearing.", "Version 3 of the plan was published last week.",
@@ -183,14 +191,20 @@ class Scanner:
         e = np.exp(x - x.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
-    def similarity(self, family: str, grams: np.ndarray) -> float:
-        """The largest share of the shorter's 2-grams that a template of the family has in common with a window."""
+    def similarity(self, family: str, grams: np.ndarray, sure: float = 1.0) -> float:
+        """The largest share of the shorter's 2-grams that a template of the family has in common with a window of the family's probability `sure`."""
         grams, out = np.unique(grams), 0.0
         for t in self.templates[family]:
+            if len(t) == 1 and sure < SURE:
+                continue
             shared = len(np.intersect1d(grams, t, assume_unique=True))
             out = max(out, float(shared == len(t)) if len(t) < LEAST_GRAMS else shared / max(LEAST_GRAMS, min(len(grams), len(t))))
         return out
 
+    def contradicted(self, family: str, near: float, grams: np.ndarray) -> bool:
+        """Whether a template of another family fits better, as a licence's name often stands within another's."""
+        return any(self.similarity(f, grams, 0.0) > near for f in self.families[1:] if f != family)
+
     def scan(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, list[tuple[int, str, int, int, float, float]]]:
         """(passages of each document, findings: document, family, start, end in bytes, probability, similarity)."""
         start, end, doc, passage, word = _passages(data, off)
@@ -225,15 +239,25 @@ class Scanner:
         for i in np.flatnonzero(p[np.arange(len(begin)), best] >= ACCEPT).tolist():
             a, b = int(begin[i]), int(stop[i])
             family, sure = self.families[best[i]], float(p[i, best[i]])
-            near = self.similarity(family, two[a:b][same[a:b]][: b - a - 1])
-            if near >= SIMILAR:
+            own = two[a:b][same[a:b]][: b - a - 1]
+            near = self.similarity(family, own, sure)
+            if near >= SIMILAR and not self.contradicted(family, near, own):
                 if before == (int(passage[a]), family) and start[a] <= out[-1][3]:  # a window that touches the last
                     d, f, s, e, q, m = out[-1]
                     out[-1] = d, f, s, max(e, int(end[b - 1])), max(q, sure), max(m, near)
                 else:
                     out.append((int(doc[a]), family, int(start[a]), int(end[b - 1]), sure, near))
                 before = (int(passage[a]), family)
-        return per_doc, out
+        return per_doc, _outermost(out)
+
+
+def _outermost(found: list[tuple[int, str, int, int, float, float]]) -> list[tuple[int, str, int, int, float, float]]:
+    """Findings but those that overlap a likelier one of another family that fits as well: a licence's name within another's."""
+    of: dict[int, list] = {}
+    for x in found:
+        of.setdefault(x[0], []).append(x)
+    within = lambda x, y: y[1] != x[1] and y[2] < x[3] and x[2] < y[3] and y[4] > x[4] and y[5] >= x[5]
+    return [x for x in found if not any(within(x, y) for y in of[x[0]])]
 
 
 def scan(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
