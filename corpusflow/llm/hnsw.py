@@ -31,8 +31,8 @@ COSINE = 0.9
 #: Neighbours of a node, candidates when it is linked, and beam at the start.
 LINKS, BUILD, BEAM = 24, 64, 48
 SHARDS, SHARD_BYTES, QUERY_ROWS = 4, 64 << 20, 1024
-#: The widest beam of a query whose beam is full of links.
-WIDEST = 8 * BEAM
+#: The widest beam of a query whose beam is full of links: the first one is widened once.
+WIDEST = 4 * BEAM
 #: Vectors of the audit, planted probes in a shard, and the share of their links that it asks for.
 AUDIT_ROWS, PROBES, AUDIT_RECALL = 1024, 512, 0.99
 #: Single precision guides the search; what it puts this far below the threshold is still verified.
@@ -216,21 +216,23 @@ class Graph:
         return out
 
     def audit(self, query: np.ndarray, own: np.ndarray, cosine: float) -> None:
-        """Widen the beam until it finds AUDIT_RECALL of the links that brute force finds, of the sample and of probes. own: the sample's ids.
+        """Widen the beam until a search as it is done finds AUDIT_RECALL of the links that brute force finds, of the sample and of probes. own: the sample's ids.
 
-        Rows with more links than the beam holds are widened when they are searched.
+        A row with more links than the beam holds counts as any other: its search widens the beam, too.
         """
         sets = [(query, self.wanted(query, own, cosine))]
         probes = self.probes(cosine)
         sets.append((probes, self.wanted(probes, None, cosine)))
+        size = np.int64(len(self.vec))
         while True:
             self.audited[:] = 0
             for i, (rows, wanted) in enumerate(sets):
-                ask = np.array([k for k, links in enumerate(wanted) if 0 < len(links) < self.beam], np.int64)
+                ask = np.array([k for k, links in enumerate(wanted) if len(links)], np.int64)
                 if len(ask):
-                    found, _ = self.search(rows[ask], self.beam)
-                    self.audited[2 * i] = sum(len(wanted[k]) for k in ask)
-                    self.audited[2 * i + 1] = sum(len(np.intersect1d(wanted[k], row)) for k, row in zip(ask, found, strict=True))
+                    q, node = self.links(rows[ask], cosine)
+                    asked = np.repeat(np.arange(len(ask)), [len(wanted[k]) for k in ask]) * size + np.concatenate([wanted[k] for k in ask])
+                    self.audited[2 * i] = len(asked)
+                    self.audited[2 * i + 1] = len(np.intersect1d(asked, q * size + node))
             if self.beam >= len(self.vec) or (self.audited[1::2] >= AUDIT_RECALL * self.audited[::2]).all():
                 break
             self.beam *= 2
