@@ -25,13 +25,6 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/corpusflow-{uuid.uuid4().hex}"
 
 
-def light_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hand Python at most so many rows at once, for the rest of the session: whole texts fill Arrow buffers outside the JVM's heap."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, str(rows))
-
-
 def written(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
     """df as a Parquet table in a fresh shared folder, read back: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}"
