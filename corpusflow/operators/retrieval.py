@@ -425,13 +425,29 @@ def page_text(pages):
     return pages.select("page_id", F.concat_ws(" ", *(F.nullif(F.trim(f), F.lit("")) for f in fields)).alias("text"))
 
 
+#: The namespace of names that are addresses, of name-based UUIDs (version 5).
+URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
+
+
+def name_uuid(name):
+    """The version 5 UUID of a name that is an address."""
+    h = F.sha1(F.concat(F.unhex(F.lit(URL_NAMESPACE)), F.encode(name, "UTF-8")))
+    variant = F.substr(F.lit("89ab"), F.lit(1) + (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4), F.lit(1))
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+def active_pages(pages):
+    """The last page of each address (host and path); pages without address are all active."""
+    address = F.regexp_extract("url", r"^[a-z]+://([^?#]+)", 1)
+    keyed = pages.select("page_id", F.when(address != "", address).otherwise(F.col("page_id").cast("string")).alias("address"))
+    return pages.join(keyed.groupBy("address").agg(F.max("page_id").alias("page_id")).select("page_id"), "page_id", "left_semi")
+
+
 def e7_profile_search(spark, sf):
-    """The five pages nearest to each query, among pages of even id (the active ones), with a name-based point id."""
-    pages = page_text(table(spark, sf, "pages").where("page_id % 2 = 0"))
+    """The five active pages nearest to each query, with a point id made from the page's name."""
+    pages = page_text(active_pages(table(spark, sf, "pages")))
     found = vector_arm(_queries(spark, sf), pages.select(F.col("page_id").alias("chunk_id"), "text"), 5)
-    h = F.md5(F.concat(F.lit("page:"), F.col("chunk_id").cast("string")))
-    point = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("3"), F.substring(h, 14, 3)), F.concat(F.lit("8"), F.substring(h, 18, 3)), F.substring(h, 21, 12))
-    return found.select("query_id", F.col("chunk_id").alias("page_id"), point.alias("point_id"))
+    return found.select("query_id", F.col("chunk_id").alias("page_id"), name_uuid(F.concat(F.lit("page:"), F.col("chunk_id").cast("string"))).alias("point_id"))
 
 
 #: Terms of a query, letters of a term at least, and chunks a query of the candidate fetch.
@@ -575,8 +591,10 @@ SELECT * FROM (SELECT conv_id, turn, 0 AS variant, a AS query FROM a UNION ALL S
     "e5_index": f"""WITH {_places('pd', 'doc_id', 'documents', 'text')}, pt AS (SELECT page_id, url, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS t FROM pages), {_places('pp', 'page_id', 'pt', 't')},
 nd AS (SELECT id, count(*) AS n FROM pd GROUP BY id), np AS (SELECT id, count(*) AS n FROM pp GROUP BY id) SELECT 'text' AS kind, doc_id AS id, coalesce(source, 'unknown') AS document, coalesce(lang, 'xx') AS lang, length(coalesce(text, '')) AS n_chars, coalesce(n, 0) AS n_places FROM documents LEFT JOIN nd ON id = doc_id
 UNION ALL SELECT 'visual', page_id, coalesce(nullif(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), ''), 'unknown'), 'xx', length(t), coalesce(n, 0) FROM pt LEFT JOIN np ON id = page_id""",
-    "e7_profile_search": f"""WITH pt AS (SELECT page_id, concat_ws(' ', nullif(trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)), ''), nullif(trim(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), ''), nullif(trim(translate(regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1), '/-_', '   ')), '')) AS t FROM pages WHERE page_id % 2 = 0),
-{_places('pp', 'page_id', 'pt', 't')}, {_places('pq', 'item_id', 'benchmark', 'text')}, {_nearest('pq', 'pp', 5)}, h AS (SELECT query_id, chunk_id, md5('page:' || chunk_id) AS h FROM vr) SELECT query_id, chunk_id AS page_id, h[1:8] || '-' || h[9:12] || '-3' || h[14:16] || '-8' || h[18:20] || '-' || h[21:32] AS point_id FROM h""",
+    "e7_profile_search": f"""WITH ac AS (SELECT * FROM pages QUALIFY row_number() OVER (PARTITION BY coalesce(nullif(regexp_extract(url, '^[a-z]+://([^?#]+)', 1), ''), page_id::VARCHAR) ORDER BY page_id DESC) = 1),
+pt AS (SELECT page_id, concat_ws(' ', nullif(trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)), ''), nullif(trim(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), ''), nullif(trim(translate(regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1), '/-_', '   ')), '')) AS t FROM ac),
+{_places('pp', 'page_id', 'pt', 't')}, {_places('pq', 'item_id', 'benchmark', 'text')}, {_nearest('pq', 'pp', 5)}, h AS (SELECT query_id, chunk_id, sha1(unhex('{URL_NAMESPACE}') || encode('page:' || chunk_id)) AS h FROM vr)
+SELECT query_id, chunk_id AS page_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || '89ab'[('0x' || h[17])::INT % 4 + 1] || h[18:20] || '-' || h[21:32] AS point_id FROM h""",
     "f4_candidates": f"""WITH {SCORED_SQL}, bo0 AS (SELECT doc_id AS chunk_id, points, q.text, d.source, d.lang, coalesce({S.lines('q.text')}[1], '') AS title FROM quality q JOIN (SELECT doc_id, source, lang FROM documents) d USING (doc_id) WHERE NOT is_noisy AND points >= 55),
 bo AS (SELECT chunk_id, points, lower(concat_ws(chr(1), text, title, source, lang, {S.first_match('lower(title)', KINDS, q('other'))}, {S.first_match('lower(text)', SPECIALTIES, q('general_dentistry'))}, {S.first_match('lower(text)', TOPICS, q('other'))})) AS body FROM bo0),
 qt AS (SELECT DISTINCT item_id AS query_id, unnest((list_filter({_tokens('text')}, lambda t: length(t) >= {LETTERS}))[:{TERMS}]) AS term FROM benchmark), hi AS (SELECT DISTINCT query_id, chunk_id, points FROM qt JOIN bo ON contains(body, term))

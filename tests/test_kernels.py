@@ -138,3 +138,11 @@ def test_cells_find_the_same(spark, monkeypatch, spread):
     assert (probed < 20) == (spread < 0.1)
     none = v.limit(0)
     assert retrieval.cosine_top(asked, none, 7, 9).count() == 0 and retrieval.cosine_top(none.withColumnRenamed("vec_id", "query_id"), v, 7, 9).count() == 0
+
+
+def test_point_ids_are_name_based_uuids(spark):
+    import uuid
+
+    names = ["page:0", "page:17", "", "é漢"] + [f"n{i}" for i in range(20)]
+    df = spark.createDataFrame([(n,) for n in names], "n string").select("n", retrieval.name_uuid(retrieval.F.col("n")).alias("u"))
+    assert {r["n"]: r["u"] for r in df.collect()} == {n: str(uuid.uuid5(uuid.NAMESPACE_URL, n)) for n in names}
