@@ -8,7 +8,7 @@ document with a smaller doc_id. Windows are judged on the input.
 Windows are grouped in blocks of hash range, packed into arrays. A task sends a window to its block
 only as the smallest document that it has seen holds it; others are late whatever the block finds,
 and are dealt by document. So a passage that a third of all documents share is some entries of one
-block.
+block. What a block finds late goes on in arrays by buckets of documents, not in rows a document.
 
 Edge cases: null and empty texts have no words; a text of fewer than K words keeps all; a document
 without doc_id keeps all and removes nothing elsewhere; repeated rows of one doc_id don't remove
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from corpusflow.llm import arrays, sketch, storage
 
 K = 13
-#: Windows of the corpus to a block, about; only those that may be repeated come to it.
-GROUP = 1 << 18
+#: Windows of the corpus to a block, about; only those that may be repeated come to it. Documents are dealt to as many buckets.
+GROUP = 1 << 20
 
 
 def _windows(batch: pa.RecordBatch, k: int) -> tuple:
@@ -50,7 +50,7 @@ def lateness(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> tuple[np.ndarra
 
 
 def repeated_windows(docs: DataFrame, k: int = K) -> DataFrame:
-    """doc_id, text_hash, starts: word positions of windows that also start in a smaller doc_id, as packed 32-bit integers; several rows a document."""
+    """doc_id, text_hash, starts: word positions of windows that also start in a smaller doc_id, as packed 32-bit integers; a row a document and text."""
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
     expected = sketch.characters(docs) // 6
     held = sketch.build(docs.select("text"), lambda batch: _windows(batch, k)[0], expected)
@@ -95,20 +95,30 @@ def repeated_windows(docs: DataFrame, k: int = K) -> DataFrame:
         order, late = lateness(h1, h2, doc)
         order = order[late]
         doc, text, place = (np.concatenate([x[order], read(c, t, True)]) for x, c, t in ((doc, "doc", np.int64), (text, "text_hash", np.int64), (place, "place", np.uint32)))
+        bucket = arrays.mix(doc.view(np.uint64)) >> shift
+        order = np.argsort(bucket, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]])) if len(doc) else np.zeros(0, np.int64)
+        own = np.split(order, first[1:]) if len(first) else []
+        columns = {name: pa.array([x[o].tobytes() for o in own], pa.binary()) for name, x in (("doc", doc), ("text_hash", text), ("place", place))}
+        return pa.table({"bucket": pa.array(bucket[order][first].astype(np.int64)), **columns})
+
+    def gather(table: pa.Table) -> pa.Table:
+        doc, text, place = (np.concatenate([np.frombuffer(b, t) for b in table.column(c).to_pylist()]) for c, t in (("doc", np.int64), ("text_hash", np.int64), ("place", np.uint32)))
         order = np.lexsort((place, text, doc))
         doc, text, place = doc[order], text[order], place[order]
-        first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])])) if len(doc) else np.zeros(0, np.int64)
+        first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])]))
         edges = np.append(first, len(doc))
         return pa.table({"doc_id": pa.array(doc[first]), "text_hash": pa.array(text[first]), "starts": pa.array([place[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())})
 
     hashed = docs.withColumn("text_hash", F.xxhash64("text"))
     packed = hashed.mapInArrow(probe, "block long, h1 binary, h2 binary, doc binary, text_hash binary, place binary")
-    return packed.groupBy("block").applyInArrow(group, "doc_id long, text_hash long, starts binary")
+    late = packed.groupBy("block").applyInArrow(group, "bucket long, doc binary, text_hash binary, place binary")
+    return late.groupBy("bucket").applyInArrow(gather, "doc_id long, text_hash long, starts binary")
 
 
 def remove_repeats(docs: DataFrame, k: int = K) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the kept words joined by one space) for every row of docs."""
-    late = storage.written(repeated_windows(docs, k), "late").groupBy("doc_id", "text_hash").agg(F.collect_list("starts").alias("starts"))
+    late = storage.written(repeated_windows(docs, k), "late")
     own = docs.select(F.col("doc_id").cast("long"), "text").withColumn("text_hash", F.xxhash64("text"))
     joined = own.join(late.hint("shuffle_merge"), ["doc_id", "text_hash"], "left").select("doc_id", "text", "starts")
 
@@ -119,7 +129,7 @@ def remove_repeats(docs: DataFrame, k: int = K) -> DataFrame:
                 words = (text or "").encode().split()  # on \x20 and \x09-\x0D
                 n.append(len(words))
                 if starts:
-                    at = np.concatenate([np.frombuffer(s, np.uint32) for s in starts])
+                    at = np.frombuffer(starts, np.uint32)
                     edge = np.zeros(len(words) + 1, np.int64)
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + np.uint32(k), -1)
