@@ -30,9 +30,9 @@ DOCUMENTS = [
 ]
 PAGES = [
     ("http://a.example.com/en/1?page=2", '<html lang="en"><title>Dr. A</title><script>x</script><h1>Brass</h1><p>' + PROSE + '</p><p>Table 1 of teeth</p><a href="mailto:a@b.example">m</a><a href="tel:+1 555 0100">t</a> 12 years <a href="?page=7">n</a></html>'),
-    ("https://b.example.org/table/x-ray", "<html><title>Table 2 tooth table</title><table></table><p>Figure 1 of enamel</p><img src=x></html>"), ("http://c.net/", "<h1>chart of photo</h1>"), ("http://a.example.com/en/1", "<article><p>tion</p></article>"), ("not a url", ""), ("http://d.example/x", "<p>one</p><p>two tion</p><p>three</p><p>four</p><p>five table</p>"),
+    ("https://b.example.org/table/x-ray", "<html><title>Table 2 tooth table</title><table></table><p>Figure 1 of enamel</p><img src=x></html>"), ("http://c.net/", "<h1>chart of photo</h1>"), ("http://a.example.com/en/1", "<article><p>tion</p></article>"), ("not a url", ""), ("http://d.example/x?copy", "<h1>chart of photo</h1>"), ("http://d.example/x", "<p>one</p><p>two tion</p><p>three</p><p>four</p><p>five table</p>"),
 ]
-QUESTIONS = ["What is tooth decay?", "What causes a cavity in enamel", "Define the attack of acid", "orthodontic surgery guideline", "zzz qqq", "the", "image of enamel table"]
+QUESTIONS = ["What is tooth decay?", "What causes a cavity in enamel", "Define the attack of acid", "orthodontic surgery guideline", "zzz qqq", "the", "image of enamel table", "leaflet"]
 
 
 @pytest.fixture(scope="module")
@@ -68,7 +68,7 @@ def duck(micro):
 
 #: Query, and a column that must take more than one value on the micro rows.
 NAMES = {
-    "b6_running_lines": "key", "b8_headings": "is_heading", "b20_retained_cleaning": "digest", "b22_enrichment": "level", "b31_source_list": "answer", "b30_transcript_scrub": "answer", "b7_low_value": "low_value", "b32_web_evidence": "pattern",
+    "b9_sections": "chapter", "g14_sufficiency": "enough", "h4_visual_quality": "points", "h5_visual_dedupe": "n", "s10_tagging": "verdict", "e7_profile_search": "page_id", "b6_running_lines": "key", "b8_headings": "is_heading", "b20_retained_cleaning": "digest", "b22_enrichment": "level", "b31_source_list": "answer", "b30_transcript_scrub": "answer", "b7_low_value": "low_value", "b32_web_evidence": "pattern",
     "c1_quality_score": "reasons", "c10_line_rules": "contents_page", "c14_survey_question": "is_survey", "c15_cleanup_score": "reasons", "d7_duplicate_chunks": None, "d9_titles": "title", "d2_blocked_pairs": "left_id", "d10_language": "language", "d11_types": "specialty", "d12_trust": "trust", "d13_verdict": "verdict", "d14_issues": "issues", "d15_audit_rows": "classification", "d15_removal_rows": "classification", "d15_issue_rows": "issues", "d19_cleanup_job": "n_retained", "d20_inferred": "author", "d21_metadata": "topic", "a8_audit_bundle": "n", "d16_chunk_cleaning": "reasons", "d23_clean_selection": "reason",
     "f10_lay_terms": "variant", "f11_question_flags": "definition", "f12_query_type": "kind", "f13_modes": "mode", "g1_hybrid": "place", "g7_gate": "query_id", "g12_lexical_fallback": "gated", "g20_codes": "findings", "g21_evidence": "evidence", "g6_scaled": "scaled", "j9_retrieval_cases": "negative", "j4_visual_accuracy": "accuracy", "i8_self_check": "reasons", "b27_noisy_sentence": "is_noisy", "f4_candidates": "place", "h7_linked": None, "j16_cases": "priority", "h1_captions": "n_captions", "h2_visual_type": "kind", "h3_captions": "of_table", "h11_caption_match": None,
     "i1_safety_flags": "injection", "i2_verdict": "verdict", "i3_redaction": "digest", "i4_intent": "intent", "i5_red_flags": "injection", "i6_direct_answer": "direct", "i9_leaks": "leaked", "i10_citation_support": "state", "i12_suggestions": "suggestions", "i15_polished": "answer", "j2_groundedness": "groundedness", "j3_citations": "accuracy", "j8_answer_cases": "recall", "j14_good_chunks": "good", "l2_contacts": "mail", "l3_page_count": "n_pages",
