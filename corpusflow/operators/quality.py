@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusflow import sqltext as S
 from corpusflow.functions import quality as Q
 from corpusflow.functions import text as T
+from corpusflow.shared import written
 from corpusflow.tables import quoted as q
 from corpusflow.tables import table
 
@@ -21,6 +22,12 @@ def scored(docs, line_aware=False):
     return d.withColumn("is_noisy", (F.col("points") < 60) | F.arrays_overlap("reasons", F.array(*map(F.lit, Q.HARD)))).drop("_c", "_lc", "_compact", "_lengths", "_rw", "_ls", "_rl", "_fired")
 
 
+def clean(docs, least=60):
+    """doc_id, source, points of documents that aren't noisy and have the least points. Scores are a table first: the filter would be pushed below them and score anew for each of its terms."""
+    d = written(scored(docs).select("doc_id", "source", "points", "is_noisy"), "scored")
+    return d.where(~F.col("is_noisy") & (F.col("points") >= least)).drop("is_noisy")
+
+
 def c1_quality_score(spark, sf):
     d = scored(table(spark, sf, "documents"))
     return d.select("doc_id", "points", "is_noisy", F.array_join("reasons", ",").alias("reasons"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusflow import sqltext as S
 from corpusflow.functions import text as T
-from corpusflow.operators.quality import SCORED_SQL, scored
+from corpusflow.operators.quality import SCORED_SQL, clean
 from corpusflow.shared import folder, numbered
 from corpusflow.tables import table
 
@@ -62,7 +62,7 @@ def a3_jsonl(spark, sf):
 def a4_clean_export(spark, sf):
     """Clean chunks as JSON lines, with the score as a fraction."""
     path = folder(spark)
-    scored(table(spark, sf, "documents")).where("NOT is_noisy AND points >= 60").select("doc_id", "source", F.round(F.col("points") / 100, 3).alias("quality")).write.json(path)
+    clean(table(spark, sf, "documents")).select("doc_id", "source", F.round(F.col("points") / 100, 3).alias("quality")).write.json(path)
     return read_jsonl(spark, path, "doc_id long, source string, quality double")
 
 
