@@ -207,7 +207,7 @@ def a8_audit_bundle(spark, sf):
     docs, at = table(spark, sf, "documents"), folder(spark)
     a = audited(spark, sf)
     rows = audit_rows(a)
-    parts = {"audit": rows, "removal": removal_rows(rows), "metadata": issue_rows(a), "exact_groups": A.d1_exact_groups(spark, sf), "chunk_cleaning": ingest.chunk_cleaning(docs).where("reasons <> ''"), "lineage": A.lineage(A.light_chunks(docs))}
+    parts = {"audit": rows, "removal": removal_rows(rows), "metadata": issue_rows(a), "exact_groups": A.d1_exact_groups(spark, sf), "chunk_cleaning": written(ingest.chunk_cleaning(docs), "cleaning").where("reasons <> ''"), "lineage": A.lineage(A.light_chunks(docs))}
     out = None
     for name, part in parts.items():
         part.write.options(header=True, quoteAll=True, escape='"').csv(f"{at}/{name}")

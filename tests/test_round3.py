@@ -103,3 +103,13 @@ def test_whole_sql_of_round(spark):
     sql = entry.oracle_sql()
     assert "(?i) de " in sql["b32_web_evidence"] and "der +die" in sql["f10_lay_terms"] and " AS other" in sql["g20_codes"] and "'process'" in sql["g21_evidence"]
     assert entry.queries()["b32_web_evidence"](spark, SF).count() > 0
+
+
+def test_audit_bundle_filters_a_table_of_scores(spark, monkeypatch):
+    """The bundle's chunk cleaning is a table before rows without reasons go: the filter would otherwise score anew for each of its terms."""
+    from corpusflow.operators import verdicts
+
+    names, real = [], verdicts.written
+    monkeypatch.setattr(verdicts, "written", lambda df, name="table": names.append(name) or real(df, name))
+    assert verdicts.a8_audit_bundle(spark, SF).count() == 6
+    assert "cleaning" in names
