@@ -113,3 +113,54 @@ def test_audit_bundle_filters_a_table_of_scores(spark, monkeypatch):
     monkeypatch.setattr(verdicts, "written", lambda df, name="table": names.append(name) or real(df, name))
     assert verdicts.a8_audit_bundle(spark, SF).count() == 6
     assert "cleaning" in names
+
+
+ODD = ["", " ", "\x00", " a\x00b ", "a  b\t\nc", "\r\n \r\nfirst line \x85second", "one　two ", "x" * 30 + "\n\n" + "y  z\n" * 5, "\x1ca\x1d\x1eb c", "Short\nSHORT\nshort\nother\nshort", "İİİİ rhythm's Kelvin -a'b- crwth bcdfg bcdfg bcdfg bcdfg", " ".join(f"w{i}" for i in range(401)), "a-b 'c d' " * 200, None]
+
+
+def test_squeezed_runs_and_first_lines_equal_loops(spark):
+    """Texts with odd white space and NUL; runs of words are cut from the text, no row holds all of its words."""
+    from corpusflow.operators import verdicts
+
+    def words(t, also=""):
+        return [w for w in "".join(" " if c in T.SPACES + also else c for c in t or "").split(" ") if w]
+
+    d = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
+    got = d.select("text", T.squeezed(F.col("text")).alias("s"), T.first_line(F.col("text")).alias("f"), F.get(T.lines(F.col("text")), F.lit(0)).alias("l")).collect()
+    assert [r.s for r in got] == [" ".join(words(r.text, "\x00")) for r in got] and [r.f for r in got] == [r.l or "" for r in got]
+    runs = verdicts.runs(d)
+    n = verdicts.CHUNK_WORDS
+    assert sorted(tuple(r) for r in runs.collect()) == sorted((i, k, " ".join(words(t)[k * n : (k + 1) * n])) for i, t in enumerate(ODD) for k in range(-(-len(words(t)) // n)))
+    assert "slice(" not in runs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_of_scores_equal_loops(spark):
+    """Lengths of Latin words, those without vowels, and repetitions, from one cut of the text in lower case."""
+    import re
+
+    from corpusflow.functions import quality as Q
+
+    def lengths(t):
+        return [len(w) if len(w) < 5 or re.search("[aeiouAEIOU]", w) else -len(w) for w in re.findall(T.LATIN_WORD_OR_LETTER, t)]
+
+    def repeated(t):
+        ws = re.findall(T.LATIN_WORD, t.lower())
+        return (sum(a == b for a, b in zip(ws, ws[1:])), len(ws))
+
+    ws = Q.latin_words(F.lower("text"))
+    d = spark.createDataFrame([(t,) for t in ODD if t is not None], "text string")
+    for r in d.select("text", Q.word_lengths(F.col("text"), ws).alias("n"), Q.repeated_words(ws).alias("w")).collect():
+        assert (r.n, tuple(r.w)) == (lengths(r.text), repeated(r.text))
+    plan = quality.scored(d)._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(" not in plan
+
+
+def test_title_patterns_wait_for_their_words(spark):
+    """A pattern on titles is tried only where one of its words occurs, with the same result."""
+    from corpusflow.operators import verdicts as V
+
+    titles = ["a guideline", "xguideline", "preconsensus", "consensus", "industrial", "a trial", "trialed study", "manual", "emanual", "fcps x", "the clinical practice guidelines", ""]
+    d = spark.createDataFrame([(t,) for t in titles], "t string")
+    for ladder in (V.TYPES, V.LEVELS):
+        gated = d.select("t", V.first_pattern(F.col("t"), ladder, F.lit("-")).alias("a"), T.first_pattern(F.col("t"), ladder, F.lit("-")).alias("b"))
+        assert all(r.a == r.b for r in gated.collect())
