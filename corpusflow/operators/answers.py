@@ -216,25 +216,34 @@ def j8_answer_cases(spark, sf):
 
 def good_case_chunk(c, keys=KEY_TERMS):
     """Whether a chunk can carry a benchmark case."""
-    t = T.squeezed(c)
-    low = F.lower(t)
-    ws = F.regexp_extract_all(low, F.lit("([A-Za-z][A-Za-z-]{3,})"), 1)
+    low = F.lower(T.squeezed(c))
+    return _good(low, _long_words(low), keys)
+
+
+def _long_words(low):
+    return F.regexp_extract_all(low, F.lit("([A-Za-z][A-Za-z-]{3,})"), 1)
+
+
+def _good(low, ws, keys):
+    """`good_case_chunk` of a text squeezed and in lower case, and its words."""
     head = F.lit(False)
     for h in HEADS:
         head = head | F.contains(F.substring(low, 1, 220), F.lit(h))
     broken = F.size(F.filter(ws, lambda w: w.rlike(BROKEN)))
-    return (T.n_words(t) >= 55) & ~head & (F.regexp_count(low, F.lit(CITED)) < 4) & (F.size(ws) > 0) & (broken <= 0.12 * F.size(ws)) & (T.count_of(low, keys) > 0)
+    return (T.n_words(low) >= 55) & ~head & (F.regexp_count(low, F.lit(CITED)) < 4) & (F.size(ws) > 0) & (broken <= 0.12 * F.size(ws)) & (T.count_of(low, keys) > 0)
 
 
-def clean_terms(c):
-    """The first four distinct clean words of a chunk."""
-    ws = F.array_distinct(F.regexp_extract_all(F.lower(T.squeezed(c)), F.lit("([a-z][a-z-]+)"), 1))
+def clean_terms(low):
+    """The first four distinct clean words of a chunk, squeezed and in lower case."""
+    ws = F.array_distinct(F.regexp_extract_all(low, F.lit("([a-z][a-z-]+)"), 1))
     return F.slice(F.filter(ws, lambda w: F.length(w).between(4, 24) & ~F.endswith(w, F.lit("-")) & ~w.isin(*BAD_TERMS) & w.rlike("[aeiou]")), 1, 4)
 
 
 def case_rows(docs):
     """source, chunk_id, topic, terms, place (within its source), question: what benchmark cases are made of."""
-    good = docs.where(good_case_chunk(F.col("text"), KEY_TERMS + OWN_KEYS)).select("source", F.col("doc_id").alias("chunk_id"), clean_terms(F.col("text")).alias("terms")).where(F.size("terms") >= 3)
+    # What several rules need is a projection of its own, and terms are a table before they are filtered: text would be squeezed anew for every rule.
+    d = docs.select("source", F.col("doc_id").alias("chunk_id"), F.lower(T.squeezed(F.col("text"))).alias("low")).withColumn("ws", _long_words(F.col("low")))
+    good = written(d.select("source", "chunk_id", F.when(_good(F.col("low"), F.col("ws"), KEY_TERMS + OWN_KEYS), clean_terms(F.col("low"))).alias("terms")), "terms").where(F.size("terms") >= 3)
     good = numbered(good, "source", "chunk_id", "place")
     topic = F.concat_ws(" ", F.get("terms", F.lit(0)), F.get("terms", F.lit(1)))
     template = F.element_at(F.array(*map(F.lit, TEMPLATES)), (F.col("place") % len(TEMPLATES) + 1).cast("int"))

@@ -164,3 +164,15 @@ def test_title_patterns_wait_for_their_words(spark):
     for ladder in (V.TYPES, V.LEVELS):
         gated = d.select("t", V.first_pattern(F.col("t"), ladder, F.lit("-")).alias("a"), T.first_pattern(F.col("t"), ladder, F.lit("-")).alias("b"))
         assert all(r.a == r.b for r in gated.collect())
+
+
+def test_cases_filter_a_table_of_terms(spark, monkeypatch):
+    """Texts are squeezed once for a case's rules and terms; the filters read a table."""
+    from corpusflow.operators import answers
+
+    plans, real = [], answers.written
+    monkeypatch.setattr(answers, "written", lambda df, name="table": plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, name))
+    rows = answers.case_rows(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert rows.count() > 0 and len(plans) == 1
+    # Two replacements in one squeezing.
+    assert plans[0].count("regexp_replace") == 2
